@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     flags = materialize(flags.select(*[F.col(c).alias(f"_{c}") for c in _KEY], F.transform("__flags", lambda x: x["kept"]).alias("__kept")))
     keyed = docs.withColumns({"__id": F.col(doc_id), "__t": F.coalesce(F.col(text), F.lit(""))})
     keyed = keyed.withColumns({"__k1": F.xxhash64("__t"), "__k2": F.xxhash64(F.lit(7), F.col("__t"))})
-    joined = keyed.join(flags, match, "left")
+    # always by a shuffle: the flags grow with the input, and a plan that changes with their size is hard to budget for
+    joined = keyed.join(flags.hint("merge"), match, "left")
     parts = F.split("__t", "\n", -1)
     left = F.filter(parts, lambda _, i: F.get("__kept", i))
     new = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.concat_ws("\n", left))
