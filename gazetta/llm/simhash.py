@@ -196,8 +196,10 @@ def near_duplicates(
     joined = components(edges)
     named = joined.join(least, joined["v"] == least["fp"]).groupBy("label").agg(F.min("least").alias("component_id"))
     linked = joined.join(named, "label").select("v", "component_id").join(degrees, "v")
-    per_fp = least.join(linked, least["fp"] == linked["v"], "left").select(
-        F.col("fp").alias("__fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
+    per_fp = materialize(  # so that the last join reads both sides plainly, and a fingerprint with many rows can be split
+        least.join(linked, least["fp"] == linked["v"], "left").select(
+            F.col("fp").alias("__fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
+        )
     )
     return marked.join(per_fp, marked["fp"] == per_fp["__fp"]).select(
         doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
