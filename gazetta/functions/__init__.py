@@ -1 +1 @@
-
+"""Column expressions: text, lexicons, vectors, dates and JSON."""

@@ -1 +1 @@
-
+"""Reports, pipelines and the registered queries."""
