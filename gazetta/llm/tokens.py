@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 A text's count is the sum of its parts' counts (see pieces.PARTS: no piece of the vocabulary crosses a part's
-border). A small table of frequent parts and their counts goes to every worker once, as one packed string and one
-byte each; parts that it lacks are encoded by the library and remembered by the worker. Nothing is shuffled.
+border). A small table of frequent parts and their counts goes to every worker once, with one byte for each
+count; parts that it lacks are encoded by the library and remembered by the worker. Nothing is shuffled.
 
 The frequent parts come from a bounded number of rows (SAMPLE_ROWS). That choice only moves work between the two
 tiers: any part that the table lacks is encoded, so counts are exact whatever the sample holds.
@@ -94,13 +94,13 @@ def count_tokens(
     """keep's columns, n_bytes (UTF-8), n_tokens, over_limit (n_tokens above limit) of each whole text."""
     model = model or default_model()
     table = frequent_parts(docs, text, model)
-    packed = docs.sparkSession.sparkContext.broadcast(("\0".join(table), bytes(min(n, 255) for n in table.values())))
+    packed = docs.sparkSession.sparkContext.broadcast((list(table), bytes(min(n, 255) for n in table.values())))
     held: dict[str, Lengths] = {}
 
     def make():
         if "it" not in held:
             names, sizes = packed.value
-            held["it"] = Lengths(model, {k: n for k, n in zip(names.split("\0"), sizes, strict=False) if k and n < 255})
+            held["it"] = Lengths(model, {k: n for k, n in zip(names, sizes, strict=True) if n < 255})
         lengths = held["it"]
 
         def one(x: str) -> tuple:
