@@ -29,9 +29,9 @@ from gazetta.llm.common import map_texts, materialize
 TABLE_BITS, TRAIN_ROWS, EPOCHS, FOLDS = 20, 12_000, 5, 5
 #: Letters of a stem.
 STEMS = (4, 5)
-#: FTRL's rate, its smoothing, and the L1 and L2 penalties. L1 is what one document can add to a coordinate in all epochs,
-#: so what occurs in a single labelled document never gets a weight.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.0 * EPOCHS, 0.1
+#: FTRL's rate, its smoothing, and the L1 and L2 penalties. L1 is what two documents can add to a coordinate in all epochs,
+#: so what occurs in one or two labelled documents never gets a weight.
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0 * EPOCHS, 0.1
 #: Words whose hashes a worker remembers.
 CACHED = 300_000
 _WORD = re.compile(r"[^\W_]+")
