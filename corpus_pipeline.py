@@ -1,6 +1,7 @@
 """From raw documents to token ids in five stages. Each works on all rows that its predecessor kept.
 
-Every stage's result is written as Parquet to the shared folder and read again before the next one starts.
+Every stage's result is written as Parquet to the shared folder and read again before the next one starts. Stages take
+the columns of documents; any others that docs has are dropped, so their names cannot clash with the operators' own.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    scored = toxicity.toxicity(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines. A document that loses all stays as an empty text."""
-    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return linededup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near-duplicates; others without an id stay only among their like."""
+    docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
@@ -35,7 +37,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, or too little of one to count."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    found = decontam.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 

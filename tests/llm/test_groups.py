@@ -308,10 +308,9 @@ def test_pipeline_by_brute_force(spark, small):
 
 
 def test_stages_with_odd_rows(spark, small, odd, empty):
-    columns = odd.select(*corpus_pipeline.COLUMNS)
-    for docs in (columns, columns.limit(0)):
+    for docs in (odd, empty):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, small)
             assert out.count() <= len(ROWS)
             if name != corpus_pipeline.STAGES[-1][0]:
-                assert sorted(out.columns) == sorted(docs.columns)
+                assert out.columns == list(corpus_pipeline.COLUMNS)
