@@ -117,6 +117,20 @@ class HashEmbedder:
         return texts.fillna("").map(self.one)
 
 
+class SeededEmbedder:
+    """Normal noise seeded by the text's hash: a stand-in for tests of what follows, without meaning."""
+
+    def __init__(self, size: int = DIMENSION):
+        self.size = size
+
+    def one(self, text: str) -> list[float]:
+        seed = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+        return np.random.default_rng(seed).normal(size=self.size).tolist()
+
+    def embed(self, texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(self.one)
+
+
 class LeadSummarizer:
     """First sentences up to a length; short texts pass, cut at snippet length."""
 

@@ -23,6 +23,16 @@ def newest(df: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def pending(processed: DataFrame, vector: str = "embedding", cluster: str = "cluster_id") -> DataFrame:
+    """Rows that wait for clustering: with a vector and without a cluster."""
+    return processed.where((F.coalesce(F.size(vector), F.lit(0)) > 0) & F.col(cluster).isNull())
+
+
+def peek(queue: DataFrame, sequence: str, n: int) -> DataFrame:
+    """The n records that were queued last, last first."""
+    return queue.orderBy(F.desc(sequence)).limit(n)
+
+
 def only_new(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows of batch whose key is not stored, one for each key; null keys are rejected."""
     return batch.where(F.col(key).isNotNull()).dropDuplicates([key]).join(stored.select(key), key, "left_anti")

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,13 @@ def stored_vectors(df: DataFrame, key: str, vector: str, size: int) -> DataFrame
     return df.where(V.valid(F.col(vector), size)).select(key, V.unit(F.col(vector)).alias("unit"))
 
 
+def projected(df: DataFrame, vector: str, k: int, out: str = "projected") -> DataFrame:
+    """Adds the first k principal components of the valid vectors; the model is fitted on the whole table."""
+    points = df.withColumn("__v", array_to_vector(V.doubles(F.col(vector))))
+    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(points)
+    return model.transform(points).withColumn(out, vector_to_array("__p")).drop("__v", "__p")
+
+
 def index_stats(df: DataFrame, vector: str, size: int) -> DataFrame:
     """One row: stored, rejected, dimension."""
     good = V.valid(F.col(vector), size)

@@ -134,6 +134,10 @@ select coalesce(s.doc_id, p.doc_id) as doc_id, coalesce(p.quality, s.quality)::i
     "batch_numbers": "select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 100 as batch from orders",
     "batch_numbers_by_source": "select doc_id, source, (row_number() over (partition by source order by doc_id) - 1) // 100 as batch from documents",
     "lookup_titles": f"with {TITLED} select label, doc_id, title from (select label, min(vec_id) as doc_id from embeddings group by 1) join titled using (doc_id)",
+    "pending_articles": "select vec_id, label from embeddings where vec_id % 2 = 1 and label <> 3",
+    "queue_peek": "select event_id, event_type from events order by event_id desc limit 20",
+    "record_ids": "select doc_id, 'article_' || doc_id || '_' || source as key, sha256(source || '|' || text) as article_id from documents",
+    "cluster_ids": "select label, 'cluster_' || left(sha256(string_agg(vec_id::varchar, '|' order by vec_id::varchar)), 16) as cluster_id from embeddings where label <> -1 group by 1",
     "quick_report": "select count(*) as total, count(*) filter (where doc_id in (select doc_id from labels)) as processed, count(*) filter (where doc_id not in (select doc_id from labels)) as unprocessed from documents",
     "newest_articles": "select o_orderkey from orders order by o_orderdate desc, o_orderkey limit 5",
     "status_counters": "select event_type, count(*) as n, count(*) filter (where value > 10) as large, round(sum(value), 4) as total from events group by 1",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazetta.functions import ids
 from gazetta.functions import lexicon as L
 from gazetta.functions import text as T
 from gazetta.functions import vectors as V
@@ -293,6 +294,23 @@ def lookup_titles(spark: SparkSession, folder: str) -> DataFrame:
     return medoid.join(titled(spark, folder), "doc_id").select("label", "doc_id", T.snippet(F.col("title"), 100).alias("title"))
 
 
+@query
+def pending_articles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = vectors(spark, folder).withColumns({"cluster_id": F.when(F.col("vec_id") % 2 == 0, F.col("label")), "embedding": F.when(F.col("label") != 3, F.col("embedding"))})
+    return R.pending(rows).select("vec_id", "label")
+
+
+@query
+def queue_peek(spark: SparkSession, folder: str) -> DataFrame:
+    return R.peek(events(spark, folder), "event_id", 20).select("event_id", "event_type")
+
+
+@query
+def record_ids(spark: SparkSession, folder: str) -> DataFrame:
+    key, text = ids.article_key(F.col("doc_id"), F.col("source")), F.col("text")
+    return docs(spark, folder).select("doc_id", key.alias("key"), ids.article_id(F.col("source"), text).alias("article_id"))
+
+
 # --- counts and reports
 
 
@@ -375,6 +393,11 @@ def cluster_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return C.centroids(vectors(spark, folder), "label", "embedding", 6).select("label", "n", F.posexplode("center").alias("pos", "x"))
 
 
+@query
+def cluster_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return C.sizes(vectors(spark, folder), "label", "vec_id").select("label", ids.cluster_id(F.col("members")).alias("cluster_id"))
+
+
 @query
 def centroid_similarity_filter(spark: SparkSession, folder: str) -> DataFrame:
     return C.near_center(vectors(spark, folder), "label", "embedding", NEAR).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
@@ -537,6 +560,11 @@ def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", models.embedding(F.col("text")).alias("embedding"))
 
 
+@query
+def principal_components(spark: SparkSession, folder: str) -> DataFrame:
+    return search.projected(vectors(spark, folder), "embedding", 8).select("vec_id", "projected")
+
+
 @query
 def language_vote(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", models.language(F.col("text")).alias("language"))

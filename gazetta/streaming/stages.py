@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gazetta.operators import tagging
 from gazetta.sources.readers import queued
@@ -68,6 +69,25 @@ def window_counts(events: DataFrame, time: str = "ts", size: str = "5 minutes",
     return out.select(F.col("window.start").alias("window_start"), *by, "n", "total")
 
 
+class StatusLog(StreamingQueryListener):
+    """Stage events of all streams as (pipeline_id, stage, message), kept for the last `most`."""
+
+    def __init__(self, most: int = 1000):
+        self.events: deque[tuple[str, str, str]] = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        self.events.append((str(event.runId), event.name or "", "started"))
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        self.events.append((str(event.progress.runId), event.progress.name or "", f"{event.progress.numInputRows} rows"))
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        self.events.append((str(event.runId), "", f"failed: {event.exception}" if event.exception else "ended"))
+
+
 def progress(query: StreamingQuery) -> list[dict]:
     """Rows and seconds of each finished micro-batch, with rows per second (0 without time)."""
     out = []
