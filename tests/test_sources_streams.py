@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,19 @@ def test_when_enough(spark):
     run(spark.range(2), 0)
     run(spark.range(3), 1)
     assert seen == [1]
+
+
+def test_status_log(spark, tmp_path):
+    log = stages.StatusLog()
+    spark.streams.addListener(log)
+    try:
+        spark.createDataFrame([("1", "a")], "id string, x string").write.parquet(str(tmp_path / "in"))
+        df = stages.files(spark, str(tmp_path / "in"), "id string, x string")
+        stages.run_stage(df, lambda batch, n: None, str(tmp_path / "cp")).awaitTermination(60)
+        for _ in range(50):
+            if any(e[2] == "ended" for e in log.events):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert {"started", "ended"} <= {e[2] for e in log.events}

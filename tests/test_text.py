@@ -103,3 +103,9 @@ def test_significance_and_groups(spark):
     df = spark.createDataFrame([(["a"] * 5, "china", None)], "t array<string>, c string, y string")
     assert round(df.select(L.significance(F.col("t"), F.col("c"), F.col("y"))).first()[0], 6) == 0.4
     assert values(spark, ["navy trade in tokyo"], lambda c: L.groups_found(c, L.KEYWORD_GROUPS)) == [["japan", "military", "economic"]]
+
+
+def test_cleaning_is_idempotent(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    once = df.select(T.clean_text(F.col("text"), entities="common").alias("t"))
+    assert once.where(T.clean_text(F.col("t"), entities="common") != F.col("t")).count() == 0
