@@ -89,7 +89,7 @@ def repeats(lines: DataFrame, min_words: int) -> DataFrame:
         .join(first, (F.col("h1") == F.col("__a")) & (F.col("h2") == F.col("__b")))
         .select("gid", "last", "name")
     )
-    found = None
+    windows = None
     levels = (min_words + 1).bit_length()
     for k in range(levels):
         # sizes from 2 ** k up to the next power: two runs of 2 ** k lines cover the window
@@ -98,14 +98,15 @@ def repeats(lines: DataFrame, min_words: int) -> DataFrame:
         right = ranks.select(F.col("gid").alias("__h"), F.col("name").alias("__right"))
         both = mine.join(left, F.col("gid") == F.col("__g")).drop("__g")
         both = both.join(right, F.col("gid") + F.col("size") - (1 << k) == F.col("__h")).drop("__h") if k else both.withColumn("__right", F.col("__left"))
-        both = materialize(both)
-        named = _classes(both, ["size", "__left", "__right"]).withColumnsRenamed({"size": "__s", "__left": "__a", "__right": "__b"})
-        same = (F.col("size") == F.col("__s")) & (F.col("__left") == F.col("__a")) & (F.col("__right") == F.col("__b"))
-        late = both.join(named, same).where("gid > name").select(*_KEY, "pos", (F.col("pos") + F.col("size") - 1).alias("end"))
-        found = late if found is None else found.unionByName(late)
+        windows = both if windows is None else windows.unionByName(both)
         if k + 1 < levels:
             ranks = _level(ranks, k)
-    return materialize(found)
+    # a window's size tells its k, so one pass over (size, first class, last class) finds the intervals of all levels
+    windows = materialize(windows)
+    named = _classes(windows, ["size", "__left", "__right"]).withColumnsRenamed({"size": "__s", "__left": "__a", "__right": "__b"})
+    same = (F.col("size") == F.col("__s")) & (F.col("__left") == F.col("__a")) & (F.col("__right") == F.col("__b"))
+    late = windows.join(named, same).where("gid > name").select(*_KEY, "pos", (F.col("pos") + F.col("size") - 1).alias("end"))
+    return materialize(late)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
