@@ -41,6 +41,7 @@ MAIN_TAGS = frozenset(("article", "main"))
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus donate footer form gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup popular promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tag tags teaser toc toolbar trending widget widgets complementary contentinfo search".split()
 )
+IN_ARTICLE = frozenset(("header", "byline"))
 #: Lengths in characters, and densities, of the first pass.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.12, 0.28
 
@@ -68,10 +69,12 @@ def stop_words() -> frozenset[str]:
     return frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 
-def _named_out(attributes: str) -> bool:
+def _named_out(attributes: str, inside: bool = False) -> bool:
+    """Whether a name says that there is no main text; inside an article, its own header and byline are part of it."""
+    names = OUT_NAMES - IN_ARTICLE if inside else OUT_NAMES
     for m in _NAMED.finditer(attributes):
         for word in re.split(r"[\s_-]+", m[1] or m[2] or m[3] or ""):
-            if word.lower() in OUT_NAMES or any(p.lower() in OUT_NAMES for p in _PIECES.findall(word) if len(p) > 3):
+            if word.lower() in names or any(p.lower() in names for p in _PIECES.findall(word) if len(p) > 3):
                 return True
     return False
 
@@ -109,7 +112,7 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if name not in BLOCK_TAGS and name not in OUT_TAGS:
-            if not closing and name not in VOID_TAGS and not m[3].endswith("/") and m[3] and _named_out(m[3]) and not out:
+            if not closing and name not in VOID_TAGS and not m[3].endswith("/") and m[3] and not out and _named_out(m[3], main > 0):
                 flush()
                 open_tags.append((name, True, main))
                 out = True
@@ -123,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in ("p", "hr", "li", "dt", "dd", "tr", "td", "th", "option", "col") or heading or name[0] == "h" and name[1:].isdigit():
             in_link = False
             # these end without their end tags, so they hold no place unless their name says what they are
-            if not closing and m[3] and not out and _named_out(m[3]):
+            if not closing and m[3] and not out and _named_out(m[3], main > 0):
                 open_tags.append((name, True, main))
                 out = True
             elif open_tags and open_tags[-1][0] == name:
@@ -138,7 +141,7 @@ def blocks_of(page: str) -> list[Block]:
             out, main = open_tags[-1][1:] if open_tags else (False, 0)
             in_link = False
             continue
-        named = bool(m[3]) and name not in ("body", "html", *MAIN_TAGS) and _named_out(m[3]) or name == "article" and bool(re.search("comment|reply", m[3], re.I))
+        named = bool(m[3]) and name not in ("body", "html", *MAIN_TAGS) and _named_out(m[3], main > 0) or name == "article" and bool(re.search("comment|reply", m[3], re.I))
         out = out or named or name in OUT_TAGS or name == "header" and not main
         if name in MAIN_TAGS and not out:
             mains += 1

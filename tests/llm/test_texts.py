@@ -279,6 +279,11 @@ def test_page(open_tag, close_tag):
     assert htmltext.main_text(page) == f"Head & line\n\n{prose}\n\nShort one goes on.\n\n{prose}"
 
 
+def test_header_of_an_article_is_part_of_it():
+    page = f"<div class=page-header>Site</div><article><div class='post-header'><h1>Head</h1></div><p>{PROSE}</p><div class=share-bar>Share</div></article>"
+    assert htmltext.main_text(page) == f"Head\n\n{PROSE.strip()}"
+
+
 def test_page_odd_cases(spark, empty):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>unclosed"), (4, "u", "<script>never ends <p>x</p>"), (5, "u", "just text"), (6, "u", "a < b <p> & c"), (6, "u", "a < b <p> & c")]
     got = htmltext.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
