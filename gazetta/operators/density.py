@@ -1,18 +1,30 @@
 """Clustering that the built-in library lacks: HDBSCAN on one batch, greedy assignment by topic, leader groups.
 
 These are sequential or quadratic by nature. They serve bounded batches: group_in_pandas refuses a batch above its limit
-and names the scalable way (k-means, assignment to centers).
+and names the scalable way (k-means, assignment to centers). assign_all_by_topic gives assign_by_topic's result over a
+whole table of any size.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from gazetta.functions import vectors as V
+from gazetta.operators import relational as R
+from gazetta.operators import search
 
 #: Rows of one batch at most.
 MOST = 5_000
+#: Topics that reach the driver, or are broadcast, at once.
+TOPICS = 4_096
 
 
 def hdbscan(points: np.ndarray, least: int = 2, samples: int = 1) -> np.ndarray:
@@ -175,8 +187,8 @@ def assign_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: s
         for i, c in enumerate(start):
             if c is not None:
                 continue
-            scores = m @ m[i]
-            near = [j for j in np.lexsort((np.arange(len(m)), -np.round(scores, 9))) if j != i][:neighbours]
+            scores = np.round(m @ m[i], 9)
+            near = [j for j in np.lexsort((np.arange(len(m)), -scores)) if j != i][:neighbours]
             near = [j for j in near if scores[j] >= 0.5 and start[j] is not None]
             best = max(((0.7 * overlap(words[i], words[j]) + 0.3 * scores[j], -k, j) for k, j in enumerate(near) if count[start[j]] < small), default=None)
             if best is not None and overlap(words[i], words[best[2]]) > 0.1:
@@ -206,3 +218,135 @@ def assign_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: s
 
     some = df.where(F.size(vector) > 0).select(key, vector, topic, cluster, *([batch] if batch else []))
     return group_in_pandas(some, fn, f"{key} {kind}, cluster long", most, batch)
+
+
+class TopicIndex:
+    """Word sets by their words: the overlap of one set with all of them at once."""
+
+    def __init__(self, most: int):
+        self.places: dict[str, list[int]] = {}
+        self.sizes = np.zeros(most, "int64")
+        self.n = 0
+
+    def add(self, words: list[str]) -> None:
+        for w in words:
+            self.places.setdefault(w, []).append(self.n)
+        self.sizes[self.n] = len(words)
+        self.n += 1
+
+    def best(self, words: list[str], first: int) -> tuple[float, int]:
+        """The largest overlap with the first so many sets, and the first place that has it."""
+        found = [k for w in words for k in self.places.get(w, ()) if k < first]
+        if not found:
+            return 0.0, 0
+        shared = np.bincount(found, minlength=first)
+        scores = shared / (len(words) + self.sizes[:first] - shared)
+        at = int(np.argmax(scores))
+        return float(scores[at]), at
+
+
+def _against(rows: DataFrame, key: str, block: list[tuple], least: float, earlier: bool) -> DataFrame:
+    """rows (key, words, leader, score) with the block's most similar topic as leader, if it is above least and score.
+
+    The block is in key order. With earlier, its topics are leaders: each leads itself and serves later rows only.
+    """
+    schema = to_arrow_schema(rows.schema)
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [k for k, _ in sent.value]
+        index = TopicIndex(len(names))
+        for _, words in sent.value:
+            index.add(words)
+        for b in batches:
+            out = []
+            for k, words, leader, score in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                first = bisect_left(names, k) if earlier else len(names)
+                if earlier and first < len(names) and names[first] == k:
+                    leader, score = k, 1.0
+                else:
+                    new, at = index.best(words, first)
+                    if new > max(least, score):
+                        leader, score = names[at], new
+                out.append((leader, score))
+            leaders, scores = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(schema.types[0]), b.column(1).cast(schema.types[1]), pa.array(leaders, schema.types[2]), pa.array(scores, schema.types[3])], schema=schema)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def all_leader_groups(rows: DataFrame, key: str, least: float = 0.1, block: int = TOPICS) -> DataFrame:
+    """leader_groups in key order over rows (key, words): adds leader, the key of the group's first row.
+
+    The first open rows come to the driver, a block at a time; those unlike all before them in the block are leaders, as
+    rows like an earlier leader are no longer open. Every row then meets the new leaders.
+    """
+    from gazetta.llm.common import materialize
+
+    kind = rows.schema[key].dataType
+    state = materialize(rows.select(key, "words", F.lit(None).cast(kind).alias("leader"), F.lit(0.0).alias("score")))
+    while True:
+        first = state.where("leader is null").orderBy(key).limit(block).select(key, "words").collect()
+        index, leaders = TopicIndex(len(first)), []
+        for k, words in first:
+            if index.best(words, index.n)[0] <= least:
+                index.add(words)
+                leaders.append((k, words))
+        if leaders:
+            state = materialize(_against(state, key, leaders, least, earlier=True))
+        if len(first) < block:
+            return state.drop("score")
+
+
+def assign_all_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: str, size: int, neighbours: int = 15, small: int = 3, block: int = TOPICS) -> DataFrame:
+    """key, cluster: assign_by_topic over all rows as one batch, without a limit. key is unique and not null.
+
+    Neighbours are searched among all rows, cluster sizes are counted over all rows, and leftovers are grouped over all
+    rows; new clusters have numbers of their own in the whole table. Vectors of another size or with nulls are left out.
+    """
+    from gazetta.llm.common import materialize
+
+    @F.pandas_udf("array<string>")
+    def words(topics: pd.Series) -> pd.Series:
+        return topics.map(lambda t: sorted(word_set(t)))
+
+    good = V.valid(F.col(vector), size) & ~F.exists(vector, lambda x: x.isNull())
+    rows = materialize(df.where(good).select(F.col(key).alias("key"), F.col(vector).alias("v"), words(F.col(topic)).alias("words"), F.col(cluster).cast("long").alias("cluster")))
+    free = rows.where("cluster is null")
+    few = rows.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") < small).select("cluster", F.lit(True).alias("few"))
+    held = rows.where("cluster is not null").join(few, "cluster", "left").select("key", "words", "cluster", F.coalesce("few", F.lit(False)).alias("few"))
+
+    # first pass: the neighbours' clusters
+    near = search.nearest(rows, free, neighbours, "key", "v", size, digits=9, block=block).where("similarity >= 0.5")
+    pairs = near.join(held.select(F.col("key").alias("neighbour_id"), F.col("words").alias("b"), "cluster", "few"), "neighbour_id").join(free.select(F.col("key").alias("query_id"), F.col("words").alias("a")), "query_id")
+    overlaps = F.when((F.size("a") > 0) & (F.size("b") > 0), F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).otherwise(0.0)
+    pairs = pairs.withColumn("o", overlaps).withColumn("s", 0.7 * F.col("o") + 0.3 * F.col("similarity"))
+    best = pairs.groupBy("query_id").agg(
+        F.max(F.when(F.col("few"), F.struct("s", -F.col("rank"), "o", "cluster"))).alias("x"), F.min(F.when(~F.col("few") & (F.col("o") > 0.2), F.struct("rank", "cluster"))).alias("y")
+    )
+    joined = best.select(F.col("query_id").alias("key"), F.when(F.col("x.o") > 0.1, F.col("x.cluster")).otherwise(F.col("y.cluster")).alias("new"))
+    joined = materialize(joined.where("new is not null"))
+
+    # second pass: groups of leftovers, and small clusters for groups that are too small
+    groups = all_leader_groups(free.join(joined, "key", "left_anti").select("key", "words"), "key", 0.1, block)
+    alone = groups.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") < small).select("leader", F.lit(True).alias("alone"))
+    groups = materialize(groups.join(alone, "leader", "left").select("key", "words", "leader", F.coalesce("alone", F.lit(False)).alias("alone")))
+    nearest = groups.where("alone").select("key", "words", F.lit(None).cast(rows.schema["key"].dataType).alias("leader"), F.lit(0.0).alias("score"))
+    options: list[tuple] = []
+    for r in held.where("few").select("key", "words").orderBy("key").toLocalIterator():
+        options.append((r.key, r.words))
+        if len(options) == block:
+            nearest, options = materialize(_against(nearest, "key", options, 0.1, earlier=False)), []
+    if options:
+        nearest = _against(nearest, "key", options, 0.1, earlier=False)
+    taken = nearest.where("leader is not null").select("key", F.col("leader").alias("other"))
+    taken = materialize(taken.join(held.select(F.col("key").alias("other"), F.col("cluster").alias("new")), "other").select("key", "new"))
+
+    # numbers of new clusters: groups in the order of their leaders, and the rows that stay alone in theirs
+    new = groups.join(taken, "key", "left_anti").select("key", "leader", "alone")
+    units = materialize(new.where("alone or key = leader").select("key", "leader"))
+    last = rows.agg(F.coalesce(F.max("cluster"), F.lit(0))).first()[0]
+    numbers = R.batches(units, [F.col("leader"), F.col("key")], 1).select(F.col("key").alias("unit"), (F.col("batch") + last + 1).alias("new"))
+    made = new.withColumn("unit", F.when(F.col("alone"), F.col("key")).otherwise(F.col("leader"))).join(numbers, "unit").select("key", "new")
+    found = joined.unionByName(taken).unionByName(made)
+    return rows.select("key", "cluster").join(found, "key", "left").select(F.col("key").alias(key), F.coalesce("cluster", "new").alias("cluster"))

@@ -530,8 +530,8 @@ def hdbscan_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def topic_assign_greedy(spark: SparkSession, folder: str) -> DataFrame:
     rows = titled(spark, folder).join(vectors(spark, folder), F.col("doc_id") == F.col("vec_id"))
-    rows = rows.withColumns({"cluster": F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long")), "batch": F.floor(F.col("vec_id") / 200)})
-    return density.assign_by_topic(rows, "vec_id", "embedding", "title", "cluster", batch="batch")
+    rows = rows.withColumn("cluster", F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long")))
+    return density.assign_all_by_topic(rows, "vec_id", "embedding", "title", "cluster", SIZE)
 
 
 @query

@@ -6,7 +6,7 @@ from gazetta.functions import vectors as V
 from gazetta.operators import clusters as C
 from gazetta.operators import density, models, search, tagging
 from gazetta.operators import relational as R
-from gazetta.plans import pipeline, reports
+from gazetta.plans import pipeline, queries, reports
 
 
 def test_vectors(spark):
@@ -128,6 +128,29 @@ def test_greedy_assignment(spark):
     assert got == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2}
 
 
+def test_assignment_of_a_whole_table(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    base = rng.normal(size=(12, 8))
+    rows = []
+    for i in range(120):
+        v, t = base[i % 12] + rng.normal(0, 0.4, 8), " ".join(rng.choice(words, int(rng.integers(0, 7))))
+        rows.append((i, v.tolist(), t, None if i % 2 else 50 + i // 6 if i % 4 else 7))
+    df = spark.createDataFrame(rows, "id long, v array<double>, t string, c long")
+    want = {r.id: r.cluster for r in density.assign_by_topic(df, "id", "v", "t", "c").collect()}
+    for block in (3, 4096):
+        got = density.assign_all_by_topic(df.repartition(5), "id", "v", "t", "c", 8, block=block).collect()
+        assert len(got) == len(rows) and {r.id: r.cluster for r in got} == want
+
+
+def test_topics_are_assigned_over_blocks_of_ids(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").join(queries.titled(spark, folder), F.col("doc_id") == F.col("vec_id"))
+    rows = rows.withColumn("cluster", F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long")))
+    want = {r.vec_id: r.cluster for r in density.assign_by_topic(rows, "vec_id", "embedding", "title", "cluster").collect()}
+    assert len(want) > 200 and {r.vec_id: r.cluster for r in queries.QUERIES["topic_assign_greedy"](spark, folder).collect()} == want
+
+
 def test_batch_limit_is_an_error(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id int, v array<double>")
     with pytest.raises(Exception, match="above 3"):
