@@ -194,8 +194,14 @@ select source, count(*) as article_count, round(avg(n_chars), 6) as avg_confiden
 with {UNNESTED}, mixed as (select a.vec_id, a.pos, 0.7::double * a.x + 0.3::double * b.x as x, a.x as o from parts a join parts b on a.vec_id = b.vec_id and b.pos = {SIZE - 1} - a.pos),
 again as (select vec_id, pos, case when vec_id % 2 = 0 then 0.8::double * x - 0.2::double * o else x end as x from mixed), sums as (select *, sqrt(sum(x * x) over (partition by vec_id)) as s from again)
 select vec_id, pos::int as pos, round(x / s, 6) as x from sums where pos < 4""",
+    "vector_normalize_whole": f"with {UNNESTED}, scaled as (select vec_id, pos, x * (vec_id % 7) as x from parts), sums as (select vec_id, pos, x, sqrt(sum(x * x) over (partition by vec_id)) as s from scaled) select vec_id, pos::int as pos, round(case when s > 0 then x / s else x end, 6) as x from sums",
+    "vector_blend_whole": f"""
+with {UNNESTED}, mixed as (select a.vec_id, a.pos, 0.7::double * a.x + 0.3::double * b.x as x, a.x as o from parts a join parts b on a.vec_id = b.vec_id and b.pos = {SIZE - 1} - a.pos),
+again as (select vec_id, pos, case when vec_id % 2 = 0 then 0.8::double * x - 0.2::double * o else x end as x from mixed), sums as (select *, sqrt(sum(x * x) over (partition by vec_id)) as s from again)
+select vec_id, pos::int as pos, round(x / s, 6) as x from sums""",
     "vector_index_stats": f"select count(*) filter (where vec_id % 10 not in (3, 4)) as stored, count(*) filter (where vec_id % 10 in (3, 4)) as rejected, {SIZE}::int as dimension from embeddings",
     "embedding_decode": "select vec_id, len(embedding)::int as n, round(embedding[1]::double, 5) as first from embeddings",
+    "embedding_decode_whole": f"with {UNNESTED} select vec_id, pos::int as pos, round(x, 5) as x from parts",
     "incremental_assign": f"""
 with parts as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings where vec_id % 3 > 0),
 centers as (select label, list(x order by pos) as center from (select label, pos, avg(x) as x from parts group by all) group by label),

@@ -474,17 +474,41 @@ def vector_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(vectors(spark, folder), [((i * 7) % 13 - 6) / 6 for i in range(SIZE)], 10)
 
 
+def normalized(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = vectors(spark, folder).withColumn("embedding", F.transform(V.doubles(F.col("embedding")), lambda x: x * (F.col("vec_id") % 7)))
+    return search.stored_vectors(scaled, "vec_id", "embedding", SIZE)
+
+
+def blended(spark: SparkSession, folder: str) -> DataFrame:
+    v = F.col("embedding")
+    mixed = V.blend(v, F.reverse(v), F.when(F.col("vec_id") % 2 == 0, F.transform(v, lambda x: -x)))
+    return vectors(spark, folder).select("vec_id", mixed.alias("unit"))
+
+
+def coordinates(rows: DataFrame, v: Column) -> DataFrame:
+    return rows.select("vec_id", F.posexplode(v).alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 @query
 def vector_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    scaled = vectors(spark, folder).withColumn("embedding", F.transform(V.doubles(F.col("embedding")), lambda x: x * (F.col("vec_id") % 7)))
-    return search.stored_vectors(scaled, "vec_id", "embedding", SIZE).select("vec_id", F.posexplode(F.slice("unit", 1, 4)).alias("pos", "x")).withColumn("x", F.round("x", 6))
+    """The first four coordinates, as its SQL states; vector_normalize_whole has all."""
+    return coordinates(normalized(spark, folder), F.slice("unit", 1, 4))
+
+
+@query
+def vector_normalize_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return coordinates(normalized(spark, folder), F.col("unit"))
 
 
 @query
 def vector_blend(spark: SparkSession, folder: str) -> DataFrame:
-    v = F.col("embedding")
-    mixed = V.blend(v, F.reverse(v), F.when(F.col("vec_id") % 2 == 0, F.transform(v, lambda x: -x)))
-    return vectors(spark, folder).select("vec_id", F.posexplode(F.slice(mixed, 1, 4)).alias("pos", "x")).withColumn("x", F.round("x", 6))
+    """The first four coordinates, as its SQL states; vector_blend_whole has all."""
+    return coordinates(blended(spark, folder), F.slice("unit", 1, 4))
+
+
+@query
+def vector_blend_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return coordinates(blended(spark, folder), F.col("unit"))
 
 
 @query
@@ -499,6 +523,12 @@ def embedding_decode(spark: SparkSession, folder: str) -> DataFrame:
     return text.select("vec_id", F.size(V.decoded(F.col("j"))).alias("n"), F.round(F.get(V.decoded(F.col("j")), F.lit(0)).cast("double"), 5).alias("first"))
 
 
+@query
+def embedding_decode_whole(spark: SparkSession, folder: str) -> DataFrame:
+    text = vectors(spark, folder).select("vec_id", F.to_json("embedding").alias("j"))
+    return text.select("vec_id", F.posexplode(V.decoded(F.col("j"))).alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
+
+
 @query
 def incremental_assign(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)

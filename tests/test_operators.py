@@ -121,6 +121,14 @@ def test_leader_groups():
     assert density.leader_groups(["a b", "b c", "x y", "", "y"]) == [0, 0, 2, 3, 2]
 
 
+@pytest.mark.parametrize("name", ["vector_normalize_whole", "vector_blend_whole", "embedding_decode_whole"])
+def test_queries_return_whole_vectors(spark, small, name):
+    rows = queries.QUERIES[name](spark, small).groupBy("vec_id").agg(F.count_distinct("pos").alias("n"), F.sum(F.col("x") * F.col("x")).alias("s"), F.max("pos").alias("last")).collect()
+    assert len(rows) == queries.vectors(spark, small).count() and {(r.n, r["last"]) for r in rows} == {(64, 63)}
+    if name != "embedding_decode_whole":
+        assert all(abs(r.s - 1) < 1e-4 for r in rows if r.vec_id % 7 or name != "vector_normalize_whole")
+
+
 def test_greedy_assignment(spark):
     rows = [(1, [1.0, 0.0], "navy ships", 1), (2, [0.9, 0.1], "navy ships sail", None), (3, [0.0, 1.0], "bank rates", None), (4, [0.0, 0.9], "bank rates up", None), (5, [0.1, 1.0], "bank rates down", None)]
     df = spark.createDataFrame(rows, "id int, v array<double>, t string, c long")
