@@ -128,16 +128,17 @@ def group_in_pandas(df: DataFrame, fn, schema: str, most: int = MOST, batch: str
 
 
 def hdbscan_clusters(df: DataFrame, key: str, vector: str, least: int = 2, samples: int = 1, most: int = MOST, batch: str | None = None) -> DataFrame:
-    """key, cluster by HDBSCAN on each batch; rows without a vector are left out."""
+    """key, cluster by HDBSCAN on each batch; rows without a vector are left out. Labels are those of the batch, which is returned too if it is named."""
     kind = df.schema[key].dataType.simpleString()
+    named = f", {batch} {df.schema[batch].dataType.simpleString()}" if batch else ""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         points = np.array(pdf[vector].tolist(), float)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "cluster": hdbscan(points, least, samples).astype("int32")})
+        return pd.DataFrame({key: pdf[key].to_numpy(), "cluster": hdbscan(points, least, samples).astype("int32")} | ({batch: pdf[batch].to_numpy()} if batch else {}))
 
     some = df.where(F.size(vector) > 0).select(key, vector, *([batch] if batch else []))
-    return group_in_pandas(some, fn, f"{key} {kind}, cluster int", most, batch)
+    return group_in_pandas(some, fn, f"{key} {kind}, cluster int{named}", most, batch)
 
 
 def word_set(text: str) -> frozenset[str]:

@@ -553,7 +553,7 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hdbscan_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """By batches of at most 50 neighbours in id, as the reference's worker takes them."""
+    """By batches of at most 50 neighbours in id, as the reference's worker takes them. A cluster is its batch and its label."""
     return density.hdbscan_clusters(vectors(spark, folder).withColumn("batch", F.floor(F.col("vec_id") / 50)), "vec_id", "embedding", 2, 1, batch="batch")
 
 

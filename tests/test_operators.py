@@ -117,6 +117,12 @@ def test_hdbscan_finds_blobs():
     assert list(density.hdbscan(points[:1])) == [-1]
 
 
+def test_hdbscan_names_the_batch_of_a_label(spark, small):
+    rows = queries.QUERIES["hdbscan_clusters"](spark, small).collect()
+    assert len(rows) == queries.vectors(spark, small).count() and all(r.batch == r.vec_id // 50 for r in rows)
+    assert len({r.batch for r in rows}) > 1
+
+
 def test_leader_groups():
     assert density.leader_groups(["a b", "b c", "x y", "", "y"]) == [0, 0, 2, 3, 2]
 
