@@ -11,7 +11,8 @@ The items go to the workers in blocks of at most BLOCK_WORDS words, so what is b
 block meets all documents, and the hits of several blocks are put together by document.
 
 Defined results: null, empty or wordless texts have n_words 0 and no hit, and such items have no window; repeated
-items both count (their ids are distinct) and repeated rows repeat their result; with an empty benchmark nothing is hit.
+items both count (their ids are distinct) and repeated rows repeat their result; with an empty benchmark nothing is hit. An item whose id is null hits like any other:
+it counts in n_hit, spans and contaminated; items lists ids, so n_items and items_sha256 leave it out.
 """
 
 from __future__ import annotations
@@ -135,14 +136,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(items: DataFrame, item_id: str, text: str, words: int) -> list[list[tuple[str, str]]]:
+def blocks_of(items: DataFrame, item_id: str, text: str, words: int) -> list[list[tuple[str | None, str]]]:
     """The items, cut into blocks of at most so many words (or one longer item).
 
     They are read through an iterator, one partition at a time: the driver holds one block while it is sent.
     """
-    block: list[tuple[str, str]] = []
+    block: list[tuple[str | None, str]] = []
     size = 0
-    rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     for r in rows.toLocalIterator():
         n = len(words_of(r.t))
         if block and size + n > words:
@@ -166,7 +167,7 @@ def _spans(docs: DataFrame, block: list[tuple[str, str]], text: str, keep: list[
         def one(x: str) -> tuple:
             words = words_of(x)
             spans, names = items.hits(words) if items.words else ([], set())
-            return len(words), [{"first": a, "behind": b} for a, b in spans], sorted(names)
+            return len(words), [{"first": a, "behind": b} for a, b in spans], sorted(x for x in names if x is not None)
 
         return one
 
@@ -194,7 +195,7 @@ def contamination(
         if out is None:
             out = _spans(keyed, block, text, columns)
         else:
-            more.append(materialize(_spans(keyed, block, text, columns[:2]).where(F.size("items") > 0).distinct()))
+            more.append(materialize(_spans(keyed, block, text, columns[:2]).where(F.size("spans") > 0).distinct()))
     if out is None:
         out = _spans(keyed, [], text, columns)
     if more:

@@ -150,6 +150,16 @@ def test_contamination(spark, small, block_words):
     assert got == plain_contamination(docs, items)
 
 
+@pytest.mark.parametrize("block_words", [1, 500_000])
+def test_items_without_an_id_hit(spark, block_words):
+    passage = " ".join(f"w{i}" for i in range(20))
+    df = documents(spark, [(1, f"before {passage} behind"), (2, "nothing of it"), (3, f"{passage} and one two three four")])
+    bench = spark.createDataFrame([(8, "one two three four"), (None, passage), (None, None)], "item_id long, text string")
+    got = {x.doc_id: x for x in decontam.contamination_digest(df, bench, block_words=block_words).collect()}
+    assert {i: (x.n_hit, x.n_items, x.contaminated) for i, x in got.items()} == {1: (20, 0, True), 2: (0, 0, False), 3: (24, 1, True)}
+    assert [got[i].items_sha256 for i in (1, 3)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"8")]
+
+
 def test_contamination_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "quick brown fox"), (2, None)], "item_id long, text string")
     for words in (500_000, 1):
