@@ -206,6 +206,24 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = DIFFERING, size: int = SHINGLE) -> DataFrame:
+    """One row of docs of each component: the least doc_id (null only if there is no other), then the least hash of the text.
+
+    Components are named by fingerprints and rows are found by id and text, so null and repeated ids do not mix them.
+    """
+    hashed = F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
+    marked = fingerprints(docs.select(doc_id, text, hashed.alias("__hash")), text, (doc_id, "__hash"), size)
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__hash").alias("hash"))
+    first = materialize(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    joined = components(links(first, threshold))
+    label = F.coalesce(joined["label"], first["fp"]).alias("__label")
+    kept = first.join(joined, first["fp"] == joined["v"], "left").groupBy(label).agg(F.min("first").alias("f"))
+    kept = kept.select(F.col("f.id").alias("__kept"), F.col("f.hash").alias("__kept_hash"))
+    rows = docs.withColumn("__hash", hashed)
+    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
+    return rows.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+
+
 def hex_words(text: str) -> list[str]:
     """The words that shingles are made of, as the rule states them; for tests."""
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))

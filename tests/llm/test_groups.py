@@ -317,6 +317,17 @@ def test_pipeline_by_brute_force(spark, small):
     assert got == want
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark, small):
+    text = "the quick brown fox jumps over the lazy dog"
+    other, third, alone = "an entirely different line about ships at sea", "nobody has read this sentence before today", "only a row without an id has these words in it"
+    rows = [(5, text), (None, text.upper()), (None, alone), (None, alone.title()), (None, "yet another text that no other row of these holds"), (7, third), (7, other), (3, other.upper()), (9, None), (9, "")]
+    df = documents(spark, rows).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.keep_one_of_each(spark, df, small).collect()]
+    assert len(got) == 6
+    assert {x for x in got if x[0] is not None} == {(5, text), (7, third), (3, other.upper()), (9, None)}
+    assert sorted(t.lower() for i, t in got if i is None) == sorted([alone, rows[4][1]])
+
+
 def test_stages_with_odd_rows(spark, small, odd, empty):
     for docs in (odd, empty):
         for name, stage in corpus_pipeline.STAGES:
