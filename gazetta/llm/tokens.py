@@ -4,8 +4,8 @@ A text's count is the sum of its parts' counts (see pieces.PARTS: no piece of th
 border). A small table of frequent parts and their counts goes to every worker once, with one byte for each
 count; parts that it lacks are encoded by the library and remembered by the worker. Nothing is shuffled.
 
-The frequent parts come from a bounded number of rows (SAMPLE_ROWS). That choice only moves work between the two
-tiers: any part that the table lacks is encoded, so counts are exact whatever the sample holds.
+The frequent parts come from all rows: each task counts its own and passes on its most frequent ones. The table only
+moves work between the two tiers: any part that it lacks is encoded, so counts are exact whatever it holds.
 
 Defined results: null and empty texts have 0 tokens; a part longer than pieces.LONGEST is encoded and not kept.
 """
@@ -21,14 +21,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import map_texts
+from gazetta.llm.common import SLICE, map_texts
 from gazetta.llm.pieces import LONGEST, MARK, PARTS, default_model
 
-#: Rows from which the frequent parts are taken, and how many parts are broadcast (under 2 MB).
-SAMPLE_ROWS, FREQUENT = 2_000, 32_768
+#: How many frequent parts are broadcast (under 2 MB).
+FREQUENT = 32_768
 #: Parts that a worker remembers besides.
 CACHED = 400_000
-#: Distinct parts that a task of the sample counts at once; rare ones leave.
+#: Distinct parts that a task counts at once; rare ones leave.
 COUNTED = 262_144
 
 
@@ -69,20 +69,21 @@ class Lengths(dict):
         return sum(map(self.__getitem__, PARTS.findall(f" {text}"))) if text else 0
 
 
-def frequent_parts(docs: DataFrame, text: str, model: str, rows: int = SAMPLE_ROWS, size: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the most frequent parts of some rows; at most size parts."""
+def frequent_parts(docs: DataFrame, text: str, model: str, size: int = FREQUENT) -> dict[str, int]:
+    """Token counts of the most frequent parts of all rows; at most size parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                seen.update(p for p in PARTS.findall(f" {x}") if len(p) <= LONGEST)
-                if len(seen) > COUNTED:
-                    seen = Counter(dict(seen.most_common(COUNTED // 2)))
+            for at in range(0, batch.num_rows, SLICE):
+                for x in batch.column(0).slice(at, SLICE).to_pylist():
+                    seen.update(p for p in PARTS.findall(f" {x}") if len(p) <= LONGEST)
+                    if len(seen) > COUNTED:
+                        seen = Counter(dict(seen.most_common(COUNTED // 2)))
         top = seen.most_common(size)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["part", "n"])
 
-    some = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).limit(rows)
+    some = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull())
     found = some.mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
     library = _library(model)
     return {r.part: count_part(library, r.part) for r in found.orderBy(F.desc("n"), "part").limit(size).collect()}

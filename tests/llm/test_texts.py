@@ -298,3 +298,11 @@ def test_article_of_every_test_page(small):
 
         want = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", x)))).strip() for x in re.split(r"</?p>|</?h1>", article)]
         assert htmltext.main_text(page) == "\n\n".join(filter(None, want))
+
+
+def test_frequent_parts_come_from_all_rows(spark):
+    from gazetta.llm import tokens
+    from gazetta.llm.pieces import default_model
+
+    df = spark.createDataFrame([(i, "early" if i < 2_500 else "late late") for i in range(5_000)], "doc_id long, text string").coalesce(1)
+    assert any("late" in p for p in tokens.frequent_parts(df, "text", default_model()))
