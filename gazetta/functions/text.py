@@ -18,6 +18,9 @@ COMMON_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos
 KEPT_COMPAT = r"\x{30}-\x{2cea}\x{3300}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{fe30}-\x{fe4f}"
 KEPT_STRICT = r"\x{3300}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{fe30}-\x{fe4f}\x{20000}-\x{2a6df}\x{2a700}-\x{2ceaf}"
 
+#: What counts as white space at the ends of a text.
+WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
 HAN, KANA, HANGUL = r"\x{4e00}-\x{9fff}", r"\x{3040}-\x{30ff}", r"\x{ac00}-\x{d7af}"
 
 
@@ -26,6 +29,11 @@ def _unescape_all(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def strip(c: Column) -> Column:
+    """c without white space at its ends, line breaks and tabs too."""
+    return F.trim(c, F.lit(WHITE))
+
+
 def unescape(c: Column, entities: str = "full") -> Column:
     """Character references resolved: all of HTML's in Python ("full"), or the common ones as an expression ("common")."""
     if entities == "full":
@@ -96,7 +104,7 @@ def needs_translation(language: Column, text: Column) -> Column:
 
 def normalize_entity(c: Column) -> Column:
     """Trimmed, single spaces, lower case, no leading article, no trailing company form."""
-    name = F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    name = F.lower(F.regexp_replace(strip(c), r"(?U)\s+", " "))
     name = F.regexp_replace(name, r"^(the|a|an)\s+", "")
     return F.regexp_replace(name, r"\s+(inc|corp|llc|ltd|co|company|corporation)$", "")
 
@@ -131,7 +139,7 @@ def chunk_text(c: Column, size: int = 100_000) -> Column:
 
 
 def translation_chunks(text: str, size: int = 450) -> list[str]:
-    """Chunks of at most size characters for services with a limit: by sentences, long sentences by words, long words cut."""
+    """Chunks of at most size characters for services with a limit: by sentences, long sentences by words, long words in pieces; no character but white space is lost."""
     if len(text) <= size:
         return [text]
     chunks: list[str] = []
@@ -153,7 +161,8 @@ def translation_chunks(text: str, size: int = 450) -> list[str]:
                 continue
             sentence, held = held, ""
         for word in sentence.split():
-            add(word[: size - 1] + " ")
+            for at in range(0, len(word), size - 1):
+                add(word[at : at + size - 1] + " ")
     if held.strip():
         chunks.append(held.strip())
     return chunks

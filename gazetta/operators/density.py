@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gazetta.functions import vectors as V
 from gazetta.operators import relational as R
 from gazetta.operators import search
+from gazetta.scratch import materialize
 
 #: Rows of one batch at most.
 MOST = 5_000
@@ -282,8 +283,6 @@ def all_leader_groups(rows: DataFrame, key: str, least: float = 0.1, block: int
     The first open rows come to the driver, a block at a time; those unlike all before them in the block are leaders, as
     rows like an earlier leader are no longer open. Every row then meets the new leaders.
     """
-    from gazetta.llm.common import materialize
-
     kind = rows.schema[key].dataType
     state = materialize(rows.select(key, "words", F.lit(None).cast(kind).alias("leader"), F.lit(0.0).alias("score")))
     while True:
@@ -305,8 +304,6 @@ def assign_all_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluste
     Neighbours are searched among all rows, cluster sizes are counted over all rows, and leftovers are grouped over all
     rows; new clusters have numbers of their own in the whole table. Vectors of another size or with nulls are left out.
     """
-    from gazetta.llm.common import materialize
-
     @F.pandas_udf("array<string>")
     def words(topics: pd.Series) -> pd.Series:
         return topics.map(lambda t: sorted(word_set(t)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazetta.functions.text import strip
 from gazetta.schemas import ALIASES
+from gazetta.scratch import materialize
 
 
 def unprocessed(articles: DataFrame, processed: DataFrame, key: str, newest: list[Column], n: int | None = None) -> DataFrame:
@@ -75,8 +77,8 @@ def with_columns_or_null(df: DataFrame, columns: list[str], kind: str = "string"
 
 def ingest_reason(title: Column, body: Column, least_title: int = 5, least_body: int = 50) -> Column:
     """Why an article is rejected, or null: its stripped body, then its stripped title, is too short."""
-    short_body = F.length(F.trim(F.coalesce(body, F.lit("")))) < least_body
-    short_title = F.length(F.trim(F.coalesce(title, F.lit("")))) < least_title
+    short_body = F.length(strip(F.coalesce(body, F.lit("")))) < least_body
+    short_title = F.length(strip(F.coalesce(title, F.lit("")))) < least_title
     return F.when(short_body, "body too short").when(short_title, "title too short")
 
 
@@ -103,19 +105,27 @@ def histogram(df: DataFrame, columns: list[str], name: str = "value") -> DataFra
     return df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
-def batches(df: DataFrame, order: list[Column], size: int, group: list[str] | None = None) -> DataFrame:
-    """Adds batch: rows in order (within group), size at a time, from 0.
+def numbered(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "number") -> DataFrame:
+    """Adds each row's number in order (within group), from 0.
 
-    Without a group the row number is found by range partitions and their running counts, not in one task.
+    Rows are sorted by ranges and written once; a row's place in its range is the low part of its id, and the counts of
+    (range, group) give what stands before it. So neither all rows nor those of a large group meet in one task.
     """
-    if group:
-        number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        return df.withColumn("batch", F.floor((number - 1) / size).cast("long"))
-    ordered = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    within = F.row_number().over(Window.partitionBy("__part").orderBy("__id"))
-    numbered = ordered.withColumn("__n", within)
-    sizes = numbered.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.withColumn("__start", before).select(F.col("__part").alias("__p"), "__start"))
-    out = numbered.join(starts, F.col("__part") == F.col("__p"))
-    return out.withColumn("batch", F.floor((F.col("__start") + F.col("__n") - 1) / size).cast("long")).select(*df.columns, "batch")
+    keys = group or []
+    ordered = materialize(df.orderBy(*keys, *order).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    ordered = ordered.withColumns({"__part": part, "__place": place})
+    first = ordered.groupBy("__part", *keys).agg(F.min("__place").alias("__first"), F.count("*").alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = first.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__first"))
+    starts = starts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__start")
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return ordered.join(starts, same).withColumn(name, F.col("__place") + F.col("__start")).select(*df.columns, name)
+
+
+def batches(df: DataFrame, order: list[Column], size: int, group: list[str] | None = None) -> DataFrame:
+    """Adds batch: rows in order (within group), size at a time, from 0."""
+    rows = numbered(df, order, group, "__n")
+    return rows.withColumn("batch", F.floor(F.col("__n") / size).cast("long")).select(*df.columns, "batch")

@@ -32,11 +32,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def queued(df: DataFrame, schema: str, value: str = "value", key: str = "article_id") -> DataFrame:
-    """Records of a queue: JSON by schema; a row that is no JSON object is a bare id."""
-    parsed = df.select(F.col(value).alias("__v"), F.from_json(F.col(value), schema).alias("__r"))
-    bare = ~F.col("__v").rlike(r"^\s*\{")
+    """Records of a queue: JSON objects by schema. Any other row is a bare id, as it stands: a malformed record, a number,
+    quoted text (without its quotes). An object without a key has a null one; null rows have null fields."""
+    parsed = df.select(F.col(value).alias("__v"), F.from_json(F.col(value), schema).alias("__r"), F.from_json(F.col(value), "map<string,string>", {"mode": "PERMISSIVE"}).alias("__m"))
+    bare = F.col("__m").isNull() | ~F.col("__v").rlike(r"^\s*\{")
     kept = parsed.select("__v", "__r.*", bare.alias("__bare"))
-    return kept.withColumn(key, F.when(F.col("__bare"), F.trim(F.regexp_replace("__v", '^"|"$', ""))).otherwise(F.col(key))).drop("__v", "__bare")
+    fields = [c for c in kept.columns if c not in ("__v", "__bare")]
+    quoted = F.col("__v").rlike(r'^\s*"[^"]*"\s*$')
+    name = F.when(quoted, F.regexp_extract("__v", '"([^"]*)"', 1)).otherwise(T.strip(F.col("__v")))
+    return kept.select(*[F.when(~F.col("__bare"), F.col(c)).otherwise(name.cast(kept.schema[c].dataType) if c == key else None).alias(c) for c in fields])
 
 
 def scraped(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

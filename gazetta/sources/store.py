@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.operators.relational import resolve_aliases, upsert
+from gazetta.scratch import file_system, remove
 
 
 def raw_rows(articles: DataFrame, now: Column | None = None) -> DataFrame:
@@ -24,23 +25,25 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def merge(spark: SparkSession, path: str, patch: DataFrame, key: str, stamp: Column | None = None) -> str:
+def merge(spark: SparkSession, path: str, patch: DataFrame, key: str, stamp: Column | None = None, keep: int = 3) -> str:
     """Upserts patch into the newest version of a table kept as versions under path; returns the new version's path.
 
     A version appears under its name only when it is whole: readers take the last of `versions`. A repeated merge of the
-    same patch gives the same rows.
+    same patch gives the same rows. The last keep versions stay, so that readers of an older one can finish.
     """
     old = versions(spark, path)
     merged = upsert(spark.read.parquet(old[-1]), patch, key, stamp) if old else patch
-    name = f"{path}/v{len(old):08d}-{uuid.uuid4().hex[:8]}"
+    number = int(old[-1].rsplit("/v", 1)[1].split("-")[0]) + 1 if old else 0
+    name = f"{path}/v{number:08d}-{uuid.uuid4().hex[:8]}"
     merged.write.parquet(name)
+    for done in versions(spark, path)[:-keep]:
+        remove(spark, done)
     return name
 
 
 def versions(spark: SparkSession, path: str) -> list[str]:
     """Complete versions of a table, oldest first."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hadoop = file_system(spark, path)
     if not fs.exists(hadoop):
         return []
     found = [s.getPath().toString() for s in fs.listStatus(hadoop) if s.isDirectory()]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gazetta.operators import tagging
+from gazetta.scratch import file_system, remove, scratch_path
 from gazetta.sources.readers import queued
 from gazetta.sources.store import merge
 
@@ -40,23 +41,58 @@ def run_stage(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def upsert_stage(spark: SparkSession, df: DataFrame, target: str, key: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Merges each micro-batch into the table under target, by key; a batch that is run again changes nothing."""
+def last_rows(batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One whole row for each key: that with the largest order (nulls first), of several such the last by its JSON text."""
+    rest = [c for c in batch.columns if c != key]
+    text = F.to_json(F.struct(*rest))
+    best = F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), F.col(order), text) if order else text)
+    return batch.groupBy(key).agg(best.alias("__r")).select(key, "__r.*")
+
+
+def upsert_stage(spark: SparkSession, df: DataFrame, target: str, key: str, checkpoint: str, order: str | None = None, **trigger) -> StreamingQuery:
+    """Merges each micro-batch into the table under target, by key; a batch that is run again changes nothing.
+
+    Of several rows with one key in a batch, the one with the largest order counts, as a whole.
+    """
 
     def step(batch: DataFrame, _: int) -> None:
-        rows = batch.groupBy(key).agg(*[F.max(c).alias(c) for c in batch.columns if c != key])
-        if rows.limit(1).count():
-            merge(spark, target, rows, key)
+        if batch.limit(1).count():
+            merge(spark, target, last_rows(batch, key, order), key)
 
     return run_stage(df, step, checkpoint, **trigger)
 
 
-def when_enough(least: int, step: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """step only for batches of at least so many rows."""
+def when_enough(least: int, step: Callable[[DataFrame, int], None], hold: str | None = None) -> Callable[[DataFrame, int], None]:
+    """step for all held rows as soon as there are at least so many; until then batches are held as tables under hold.
+
+    hold names a folder that all executors share and that outlives the stream; without one, a scratch folder serves one run.
+    Held batches leave when step is done. A marker names the last batch that step had, so one that is run again is not
+    held twice; if step itself fails it gets the same rows again, so it shall be idempotent.
+    """
+    places: list[str] = [hold] if hold else []
 
     def run(batch: DataFrame, number: int) -> None:
-        if batch.limit(least).count() >= least:
-            step(batch, number)
+        spark = batch.sparkSession
+        if not places:
+            places.append(scratch_path(spark))
+        fs, root = file_system(spark, places[0])
+        found = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        taken = max((int(x.split("-")[1]) for x in found if x.startswith("taken-")), default=-1)
+        held = {f"held-{int(x.split('-')[1])}" for x in found if x.startswith("held-") and int(x.split("-")[1]) > taken}
+        for x in set(found) - held:
+            if x.startswith("held-"):  # step had them; the run ended before they were removed
+                remove(spark, f"{places[0]}/{x}")
+        if number <= taken:
+            return
+        batch.write.mode("overwrite").parquet(f"{places[0]}/held-{number}")
+        held.add(f"held-{number}")
+        rows = spark.read.schema(batch.schema).parquet(*[f"{places[0]}/{x}" for x in sorted(held)])
+        if rows.limit(least).count() < least:
+            return
+        step(rows, number)
+        fs.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{places[0]}/taken-{number}"))
+        for x in held:
+            remove(spark, f"{places[0]}/{x}")
 
     return run
 

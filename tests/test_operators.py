@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gazetta.functions import text
 from gazetta.functions import vectors as V
 from gazetta.operators import clusters as C
 from gazetta.operators import density, models, search, tagging
@@ -199,3 +200,29 @@ def test_digest_render():
     text = reports.render_digest(rows, now)
     assert "## January 02, 2024" in text and "Sources: a, b, c..." in text and "## B" in text
     assert "No completed clusters" in reports.render_digest([], now)
+
+
+def test_white_space_is_no_text(spark):
+    rows = [("title", "\n\t " * 30), (" \ntitl\t", "x" * 50), ("title", "\n" + "x" * 50 + " ")]
+    good, bad = pipeline.ingest(spark.createDataFrame(rows, "title string, content string"))
+    assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["body too short", "title too short"]
+    names = spark.createDataFrame([("\tThe  Acme\n Corp ",), (" a bank",)], "n string")
+    assert [r[0] for r in names.select(text.normalize_entity(F.col("n"))).collect()] == ["acme", "bank"]
+
+
+def test_batches_by_group_with_a_hot_one(spark):
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 5}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, s string").repartition(6)
+    places = {}
+    want = {}
+    for i, s in rows:
+        want[i] = places.get(s, 0) // 7
+        places[s] = places.get(s, 0) + 1
+    assert {r.id: r.batch for r in R.batches(df, [F.col("id")], 7, ["s"]).collect()} == want
+    assert R.batches(df.limit(0), [F.col("id")], 7).count() == 0
+
+
+def test_long_words_are_cut_not_lost():
+    word = "".join(chr(97 + i % 26) for i in range(1500))
+    chunks = text.translation_chunks(f"One. {word} two three. Four {word}", 450)
+    assert max(map(len, chunks)) <= 450 and "".join(" ".join(chunks).split()) == "".join(f"One. {word} two three. Four {word}".split())

@@ -89,3 +89,63 @@ def test_status_log(spark, tmp_path):
     finally:
         spark.streams.removeListener(log)
     assert {"started", "ended"} <= {e[2] for e in log.events}
+
+
+def test_small_batches_are_held_until_there_are_enough(spark, tmp_path):
+    seen, hold = [], str(tmp_path / "hold")
+
+    def step(df, n):
+        seen.append((n, sorted(r.id for r in df.collect())))
+
+    run = stages.when_enough(4, step, hold)
+    run(spark.range(0, 2), 0)
+    run(spark.range(2, 3), 1)
+    run(spark.range(2, 3), 1)  # run again: not held twice
+    assert seen == []
+    run = stages.when_enough(4, step, hold)  # a new run finds what is held
+    run(spark.range(3, 5), 2)
+    run(spark.range(3, 5), 2)
+    assert seen == [(2, [0, 1, 2, 3, 4])]
+    run(spark.range(9, 10), 3)
+    run(spark.range(10, 13), 4)
+    assert seen[1:] == [(4, [9, 10, 11, 12])]
+
+
+def test_failed_step_gets_the_held_rows_again(spark, tmp_path):
+    seen, fail = [], [True]
+
+    def step(df, n):
+        if fail.pop():
+            raise RuntimeError("no")
+        seen.append(df.count())
+
+    run = stages.when_enough(2, step, str(tmp_path / "hold"))
+    with pytest.raises(RuntimeError):
+        run(spark.range(2), 0)
+    fail.append(False)
+    run(spark.range(2), 0)
+    assert seen == [2]
+
+
+def test_malformed_records_are_kept(spark):
+    rows = ['{"article_id":"1"', '{"article_id": "2", "region": "x", "more": [1]}', "{}", "17", ' "q" ', "a b", None, "[1]"]
+    got = [tuple(r) for r in readers.queued(spark.createDataFrame([(x,) for x in rows], "value string"), "article_id string, region string").collect()]
+    assert got == [('{"article_id":"1"', None), ("2", "x"), (None, None), ("17", None), ("q", None), ("a b", None), (None, None), ("[1]", None)]
+
+
+def test_upsert_takes_whole_rows(spark, tmp_path):
+    rows = [("1", 1, "a", "z"), ("1", 2, "b", "c"), ("2", None, "x", None), ("2", None, None, "y")]
+    df = spark.createDataFrame(rows, "id string, t int, x string, y string")
+    got = {r.id: tuple(r) for r in stages.last_rows(df, "id", "t").collect()}
+    assert got["1"] == ("1", 2, "b", "c") and got["2"] in rows[2:]
+    df.write.parquet(str(tmp_path / "in"))
+    stream = stages.files(spark, str(tmp_path / "in"), "id string, t int, x string, y string")
+    stages.upsert_stage(spark, stream, str(tmp_path / "out"), "id", str(tmp_path / "cp"), order="t").awaitTermination(60)
+    assert {r.id: (r.x, r.y) for r in spark.read.parquet(store.versions(spark, str(tmp_path / "out"))[-1]).collect()}["1"] == ("b", "c")
+
+
+def test_old_versions_leave(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(5):
+        store.merge(spark, path, spark.createDataFrame([(i,)], "k int"), "k", keep=2)
+    assert len(store.versions(spark, path)) == 2 and spark.read.parquet(store.versions(spark, path)[-1]).count() == 5
