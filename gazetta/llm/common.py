@@ -1,10 +1,9 @@
-"""What the operators share: scratch tables in the cluster's shared folder, and Arrow row maps."""
+"""What the operators share: Arrow row maps and what a worker keeps. Scratch tables are those of gazetta.scratch."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,30 +11,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from gazetta.scratch import materialize, shared_dir
+
+__all__ = ["SLICE", "Remembered", "map_texts", "materialize", "once_per_worker", "shared_dir", "table"]
+
 #: Rows of an Arrow batch that become Python objects at once.
 SLICE = 256
+#: What a worker process keeps from task to task, by key; so many at most.
+_KEPT: dict[str, object] = {}
+KEPT = 4
+
+T = TypeVar("T")
+
+
+def once_per_worker(key: str, make: Callable[[], T]) -> T:
+    """make()'s result, made once in each worker process and kept for its later tasks; the oldest of KEPT leave."""
+    if key not in _KEPT:
+        while len(_KEPT) >= KEPT:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+class Remembered(dict):
+    """make(key) by key: the fixed ones, and up to most others in two generations, so that frequent ones stay.
+
+    Keys longer than longest are made each time.
+    """
 
+    def __init__(self, make: Callable[[str], object], most: int, longest: int, fixed: dict[str, object] | None = None):
+        super().__init__(fixed or {})
+        self.make, self.most, self.longest, self.fixed = make, most, longest, fixed or {}
+        self.older: dict[str, object] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="gazetta-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gazetta/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __missing__(self, key: str):  # noqa: ANN204
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= len(self.fixed) + self.most // 2:
+                self.older = dict(self)
+                self.clear()
+                self.update(self.fixed)
+            self[key] = value
+        return value
 
 
 def map_texts(

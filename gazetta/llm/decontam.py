@@ -17,6 +17,7 @@ it counts in n_hit, spans and contaminated; items lists ids, so n_items and item
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import map_texts, materialize
+from gazetta.llm.common import map_texts, materialize, once_per_worker
 
 #: Words of a window; words of a hashed run.
 WINDOW, RUN = 13, 5
@@ -157,12 +158,10 @@ def blocks_of(items: DataFrame, item_id: str, text: str, words: int) -> list[lis
 
 def _spans(docs: DataFrame, block: list[tuple[str, str]], text: str, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(block)
-    held: dict[str, Items] = {}
+    key = uuid.uuid4().hex
 
     def make() -> Callable[[str], tuple]:
-        if "it" not in held:
-            held["it"] = Items(sent.value)
-        items = held["it"]
+        items = once_per_worker(key, lambda: Items(sent.value))
 
         def one(x: str) -> tuple:
             words = words_of(x)

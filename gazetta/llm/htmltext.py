@@ -1,20 +1,25 @@
 """Main text of web pages by two passes over blocks.
 
-The page is cut into blocks at block-level tags; scripts, styles, comments and the like go first. The first pass
-decides each block alone: by length, by the share of its characters in links, by the density of stop words, and by
-where it stands (menus, forms, page footers and containers named as such are never main text). Short blocks, and those
-whose density is in between, stay undecided. The second pass gives these the label of the nearest decided block,
-inside their own article if it has any. A page that marks an article with prose keeps to it.
+The page is cut into blocks at block-level tags by one linear scan; scripts, styles, comments and the like go first.
+
+The first pass decides blocks by what they hold: the share of their characters in links, their length, and the density of
+stop words. Many links are bad, and so are some links among few stop words; long prose is good; short blocks, headings, and
+those whose density is in between or low stay undecided. Tags and names are a prior to this: in menus, forms, page
+footers and containers named as such nothing is main text; inside an article or main element half the length is enough
+to be good.  The second pass gives undecided blocks the label of the nearest decided one:
+of the two on either side the one in the smaller common container, then the nearer one; a heading goes with what follows
+it. A page that marks an article with prose keeps to it.
 
 Defined results: null, empty or text-less pages have empty text; unclosed comments and scripts reach to the end; a
-tag without an end is text only if no ">" follows; white space (as Unicode has it) inside a block is one space, line
-breaks too; repeated rows repeat their result.
+tag without an end is text only if no ">" follows; a quote that is never closed is no quote; white space (as Unicode has
+it) inside a block is one space, line breaks too; repeated rows repeat their result. Time follows the page's length, whatever it holds.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -37,17 +42,20 @@ RAW_TAGS = "script style noscript template title textarea iframe svg math object
 OUT_TAGS = frozenset("nav aside form footer menu dialog button head fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Block tags that may stay open.
+LOOSE_TAGS = frozenset("p hr li dt dd tr td th option col".split())
 #: Words in a container's class, id or role that say it holds no main text.
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus donate footer form gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup popular promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tag tags teaser toc toolbar trending widget widgets complementary contentinfo search".split()
 )
 IN_ARTICLE = frozenset(("header", "byline"))
-#: Lengths in characters, and densities, of the first pass.
-SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.12, 0.28
+#: The first pass: characters of a short block and of one that is long enough to be good; shares of characters in links
+#: that are too many, and too many for text with few stop words; densities from which text may be prose, and from which it is.
+SHORT, LONG, LINKS, FEW_LINKS, STOPS_LOW, STOPS_HIGH = 70, 140, 0.33, 0.05, 0.12, 0.2
 
-_RAW = "|".join(RAW_TAGS)
-_SKIP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW_TAGS}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -61,6 +69,8 @@ class Block:
     out: bool
     main: int
     heading: bool
+    #: Containers that the block shares with the one before it.
+    shared: int = 0
     label: str = ""
 
 
@@ -79,32 +89,120 @@ def _named_out(attributes: str, inside: bool = False) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page and the text between them, by one scan from left to right."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.quotes = True
+
+    def end_of(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose name ends at at; quoted values may hold others."""
+        page, i = self.page, at
+        while self.quotes:
+            m = _STOP.search(page, i)
+            if m is None:
+                self.quotes = False  # all others are inside quotes: from here on quotes do not count, so this scan is made once
+                break
+            i = m.end()
+            if m[0] == ">":
+                return m.start()
+            k = m.start() - 1
+            while page[k].isspace():
+                k -= 1
+            if page[k] == "=":
+                close = page.find(m[0], i)
+                i = close + 1 if close >= 0 else i
+        return page.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str]]:
+        """Texts as ("", False, text), tags as (name, closing, attributes); comments and raw elements do not come."""
+        page, n, at = self.page, len(self.page), 0
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0 or lt > self.last:
+                lt = n if lt < 0 or not page.startswith("<!--", lt) else lt
+            if lt > at:
+                yield "", False, page[at:lt]
+            if lt >= n:
+                return
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+                yield "", False, " "
+                continue
+            if page[lt + 1] in "!?":
+                at = page.find(">", lt) + 1
+                yield "", False, " "
+                continue
+            closing = page[lt + 1] == "/"
+            m = _NAME.match(page, lt + 1 + closing)
+            if m is None:
+                yield "", False, "<"
+                at = lt + 1
+                continue
+            end = self.end_of(m.end())
+            name, at = m[0].lower(), end + 1
+            if name in _RAW_END and not closing:
+                close = _RAW_END[name].search(page, at)
+                at = n if close is None else (page.find(">", close.end()) + 1 or n)
+                yield "", False, " "
+                continue
+            yield name, closing, page[m.end() : end]
+
+
+class Open:
+    """The open containers: what stands in them is out or not, and in which article. Closing looks only at tags that are open."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int]] = []
+        self.names: dict[str, int] = {}
+        self.low = 0  # fewest containers open since the last block
+
+    def push(self, name: str, out: bool, main: int) -> None:
+        self.stack.append((name, out, main))
+        self.names[name] = self.names.get(name, 0) + 1
+
+    def close(self, name: str) -> None:
+        while self.names.get(name):
+            top = self.stack.pop()[0]
+            self.names[top] -= 1
+            self.low = min(self.low, len(self.stack))
+            if top == name:
+                return
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def state(self) -> tuple[bool, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page, undecided; main is the number of the article or main element they stand in (0: none)."""
-    page = _SKIP.sub(" ", page)
     blocks: list[Block] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is out, article
+    held = Open()
     linked, in_link, mains, heading = 0, False, 0, False
-    out, main, at = False, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                blocks.append(Block(text, linked, out, main, heading))
+                blocks.append(Block(text, linked, *held.state(), heading, held.low))
+                held.low = len(held.stack)
             parts.clear()
         linked = 0
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
+    for name, closing, rest in Tags(page):
+        if not name:
+            parts.append(rest)
             if in_link:
-                linked += len(_SPACE.sub(" ", html.unescape(piece)).strip())
-        at = m.end()
-        closing, name = m[1], m[2].lower()
+                linked += len(_SPACE.sub(" ", html.unescape(rest)).strip())
+            continue
+        out, main = held.state()
         if name == "a":
             in_link = not closing
             continue
@@ -112,59 +210,59 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if name not in BLOCK_TAGS and name not in OUT_TAGS:
-            if not closing and name not in VOID_TAGS and not m[3].endswith("/") and m[3] and not out and _named_out(m[3], main > 0):
+            if not closing and name not in VOID_TAGS and not rest.endswith("/") and rest and not out and _named_out(rest, main > 0):
                 flush()
-                open_tags.append((name, True, main))
-                out = True
-            elif closing and open_tags and open_tags[-1][0] == name:
+                held.push(name, True, main)
+            elif closing and held.top() == name:
                 flush()
-                open_tags.pop()
-                out, main = open_tags[-1][1:] if open_tags else (False, 0)
+                held.close(name)
             continue
         flush()
-        heading = not closing and name[0] == "h" and name[1:].isdigit()
-        if name in ("p", "hr", "li", "dt", "dd", "tr", "td", "th", "option", "col") or heading or name[0] == "h" and name[1:].isdigit():
+        title = name[0] == "h" and name[1:].isdigit()
+        heading = title and not closing
+        if title or name in LOOSE_TAGS:
             in_link = False
             # these end without their end tags, so they hold no place unless their name says what they are
-            if not closing and m[3] and not out and _named_out(m[3], main > 0):
-                open_tags.append((name, True, main))
-                out = True
-            elif open_tags and open_tags[-1][0] == name:
-                open_tags.pop()
-                out, main = open_tags[-1][1:] if open_tags else (False, 0)
+            if not closing and rest and not out and _named_out(rest, main > 0):
+                held.push(name, True, main)
+            elif held.top() == name:
+                held.close(name)
             continue
         if closing:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == name:
-                    del open_tags[i:]
-                    break
-            out, main = open_tags[-1][1:] if open_tags else (False, 0)
+            held.close(name)
             in_link = False
             continue
-        named = bool(m[3]) and name not in ("body", "html", *MAIN_TAGS) and _named_out(m[3], main > 0) or name == "article" and bool(re.search("comment|reply", m[3], re.I))
+        named = bool(rest) and name not in ("body", "html", *MAIN_TAGS) and _named_out(rest, main > 0) or name == "article" and bool(re.search("comment|reply", rest, re.I))
         out = out or named or name in OUT_TAGS or name == "header" and not main
         if name in MAIN_TAGS and not out:
             mains += 1
             main = mains
-        open_tags.append((name, out, main))
-    if at < len(page):
-        parts.append(page[at:])
+        held.push(name, out, main)
     flush()
     return blocks
 
 
+def density(text: str) -> float:
+    """The share of stop words among the words."""
+    words = _WORD.findall(text.lower())
+    return sum(map(stop_words().__contains__, words)) / len(words) if words else 0.0
+
+
 def decide(block: Block) -> str:
-    """The first pass: good, bad, or none of these."""
-    n = len(block.text)
-    if block.out or block.linked > LINKS * n or not block.main and ("©" in block.text or "™" in block.text):
+    """The first pass: good, bad, or undecided: short, near (some stop words) or thin (few)."""
+    n, links = len(block.text), block.linked / len(block.text)
+    if block.out or links > LINKS:
+        return "bad"
+    if not block.main and ("©" in block.text or "™" in block.text):
         return "bad"
     if n < SHORT or block.heading:
         return "short"
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in stop_words() for w in words) / len(words) if words else 0.0
-    if density >= STOPS_HIGH and n >= LONG or density >= STOPS_LOW and block.main:
+    stops = density(block.text)
+    if stops >= STOPS_HIGH and n >= (LONG // 2 if block.main else LONG):
         return "good"
-    return "near" if density >= STOPS_LOW or block.main else "bad"
+    if stops >= STOPS_LOW:
+        return "near"
+    return "bad" if links > FEW_LINKS and not block.main else "thin"
 
 
 def classify(page: str) -> list[Block]:
@@ -173,8 +271,8 @@ def classify(page: str) -> list[Block]:
     for b in blocks:
         b.label = decide(b)
     if not any(b.label == "good" for b in blocks):
-        # no prose that stands for itself: blocks in an article decide, else those in between
-        some = [b for b in blocks if b.main and b.label in ("near", "short")] or [b for b in blocks if b.label == "near"]
+        # no prose that stands for itself: blocks in an article decide, else those in between, else all that is undecided
+        some = [b for b in blocks if b.main and b.label != "bad"] or [b for b in blocks if b.label == "near"] or [b for b in blocks if b.label != "bad"]
         for b in some:
             b.label = "good"
     if any(b.label == "good" and b.main for b in blocks):
@@ -186,30 +284,37 @@ def classify(page: str) -> list[Block]:
 
 
 def inherit(blocks: list[Block]) -> None:
-    """The second pass: undecided blocks take the label of the nearest decided one, of two as near that of the good one."""
+    """The second pass: undecided blocks take the label of the nearest decided one, headings that of what follows them.
+
+    Of the decided blocks on either side the one in the smaller common container counts, then the nearer one, then, but
+    for thin blocks, the good one. Without any decided block all are bad.
+    """
     n = len(blocks)
-    by_main: dict[int, bool] = {}
-    for b in blocks:
-        by_main[b.main] = by_main.get(b.main, False) or b.label in ("good", "bad")
-    # nearest decided block on either side, of the own article and of any
-    sides = []
-    for step in (range(n), range(n - 1, -1, -1)):
-        last: dict[int, int] = {}
-        seen: list[tuple[int | None, int | None]] = [(None, None)] * n
-        for i in step:
-            seen[i] = (last.get(blocks[i].main), last.get(-1))
+    # of the nearest decided block before (behind) each: how many containers they share, the distance as a negative, its label
+    before: list[tuple[int, int, str] | None] = [None] * n
+    behind: list[tuple[int, int, str] | None] = [None] * n
+    for sides, order, turn in ((before, range(n), 0), (behind, range(n - 1, -1, -1), 1)):
+        last, shared = -1, 0
+        for i in order:
+            step = blocks[i].shared if not turn else blocks[i + 1].shared if i + 1 < n else 0
+            shared = min(shared, step)
+            if last >= 0:
+                sides[i] = (shared, -abs(i - last), blocks[last].label)
             if blocks[i].label in ("good", "bad"):
-                last[blocks[i].main] = last[-1] = i
-        sides.append(seen)
-    labels = []
+                last, shared = i, 1 << 30
+    labels = [b.label for b in blocks]
     for i, b in enumerate(blocks):
-        if b.label in ("good", "bad"):
-            labels.append(b.label)
-            continue
-        own = 0 if by_main[b.main] else 1
-        near = [s[i][own] for s in sides if s[i][own] is not None]
-        best = min(near, key=lambda j: (abs(i - j), blocks[j].label == "bad"), default=None)
-        labels.append("bad" if best is None else blocks[best].label)
+        if b.label not in ("good", "bad"):
+            near = [x for x in (before[i], behind[i]) if x is not None]
+            first = "bad" if b.label == "thin" else "good"
+            labels[i] = max(near, key=lambda x: (x[0], x[1], x[2] == first))[2] if near else "bad"
+    follows = ""
+    for i in range(n - 1, -1, -1):
+        b = blocks[i]
+        if b.heading and b.label not in ("good", "bad"):
+            labels[i] = follows or labels[i]
+        else:
+            follows = labels[i]
     for b, label in zip(blocks, labels, strict=True):
         b.label = label
 

@@ -2,16 +2,19 @@
 
 A text's count is the sum of its parts' counts (see pieces.PARTS: no piece of the vocabulary crosses a part's
 border). A small table of frequent parts and their counts goes to every worker once, with one byte for each
-count; parts that it lacks are encoded by the library and remembered by the worker. Nothing is shuffled.
+count; parts that it lacks are encoded by the library and remembered by the worker process, over all its tasks.
+Nothing is shuffled.
 
-The frequent parts come from all rows: each task counts its own and passes on its most frequent ones. The table only
-moves work between the two tiers: any part that it lacks is encoded, so counts are exact whatever it holds.
+The frequent parts are those of about SAMPLE_ROWS rows, drawn evenly from the whole table whatever its order: each task counts
+the parts of its drawn rows and sends its list to the driver. The table only moves work between the two tiers:
+any part that it lacks is encoded, so every text is counted whole and exactly, whatever the table holds.
 
 Defined results: null and empty texts have 0 tokens; a part longer than pieces.LONGEST is encoded and not kept.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -21,15 +24,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import SLICE, map_texts
+from gazetta.llm.common import SLICE, Remembered, map_texts, once_per_worker
 from gazetta.llm.pieces import LONGEST, MARK, PARTS, default_model
 
-#: How many frequent parts are broadcast (under 2 MB).
-FREQUENT = 32_768
+#: How many frequent parts are broadcast (under 2 MB), and how many rows they come from, on average.
+FREQUENT, SAMPLE_ROWS = 32_768, 2_000
 #: Parts that a worker remembers besides.
 CACHED = 400_000
-#: Distinct parts that a task counts at once; rare ones leave.
-COUNTED = 262_144
+#: Distinct parts that a task counts at once (rare ones leave), and those that it sends.
+COUNTED, SENT = 262_144, 8_192
 
 
 @cache
@@ -45,32 +48,22 @@ def count_part(library: sentencepiece.SentencePieceProcessor, part: str) -> int:
     return len(library.encode("\n" + part)) - 2
 
 
-class Lengths(dict):
-    """Tokens by part: the frequent ones, and two generations of others that the worker met."""
+class Lengths(Remembered):
+    """Tokens by part: the frequent ones, and others that the worker met."""
 
     def __init__(self, model: str, frequent: dict[str, int]):
-        super().__init__(frequent)
-        self.library, self.frequent = _library(model), frequent
-        self.older: dict[str, int] = {}
-
-    def __missing__(self, part: str) -> int:
-        n = self.older.get(part)
-        if n is None:
-            n = count_part(self.library, part)
-        if len(part) <= LONGEST:
-            if len(self) >= len(self.frequent) + CACHED // 2:
-                self.older = dict(self)
-                self.clear()
-                self.update(self.frequent)
-            self[part] = n
-        return n
+        library = _library(model)
+        super().__init__(lambda part: count_part(library, part), CACHED, LONGEST, frequent)
 
     def count(self, text: str) -> int:
         return sum(map(self.__getitem__, PARTS.findall(f" {text}"))) if text else 0
 
 
-def frequent_parts(docs: DataFrame, text: str, model: str, size: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the most frequent parts of all rows; at most size parts."""
+def frequent_parts(docs: DataFrame, text: str, model: str, size: int = FREQUENT, rows: int = SAMPLE_ROWS, seed: int = 7) -> dict[str, int]:
+    """Token counts of the most frequent parts of a sample; at most size parts.
+
+    The driver gets at most SENT parts of each task with a drawn row, so at most rows * SENT, and in fact about those of rows texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -80,13 +73,17 @@ def frequent_parts(docs: DataFrame, text: str, model: str, size: int = FREQUENT)
                     seen.update(p for p in PARTS.findall(f" {x}") if len(p) <= LONGEST)
                     if len(seen) > COUNTED:
                         seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        top = seen.most_common(size)
+        top = seen.most_common(SENT)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["part", "n"])
 
     some = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull())
-    found = some.mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    count = some.count()
+    drawn = some if count <= rows else some.sample(rows / count, seed)
+    total: Counter[str] = Counter()
+    for r in drawn.mapInArrow(run, "part string, n long").collect():
+        total[r.part] += r.n
     library = _library(model)
-    return {r.part: count_part(library, r.part) for r in found.orderBy(F.desc("n"), "part").limit(size).collect()}
+    return {part: count_part(library, part) for part, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]}
 
 
 def count_tokens(
@@ -96,16 +93,17 @@ def count_tokens(
     model = model or default_model()
     table = frequent_parts(docs, text, model)
     packed = docs.sparkSession.sparkContext.broadcast((list(table), bytes(min(n, 255) for n in table.values())))
-    held: dict[str, Lengths] = {}
+    key = uuid.uuid4().hex
+
+    def lengths() -> Lengths:
+        names, sizes = packed.value
+        return Lengths(model, {k: n for k, n in zip(names, sizes, strict=True) if n < 255})
 
     def make():
-        if "it" not in held:
-            names, sizes = packed.value
-            held["it"] = Lengths(model, {k: n for k, n in zip(names, sizes, strict=True) if n < 255})
-        lengths = held["it"]
+        count = once_per_worker(key, lengths).count
 
         def one(x: str) -> tuple:
-            n = lengths.count(x)
+            n = count(x)
             return len(x.encode()), n, n > limit
 
         return one

@@ -16,6 +16,7 @@ is false for a null id; repeated rows repeat their result.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import map_texts, materialize
+from gazetta.llm.common import map_texts, materialize, once_per_worker
 
 TABLE_BITS, TRAIN_ROWS, EPOCHS, FOLDS = 20, 12_000, 5, 5
 #: Letters of a stem.
@@ -132,14 +133,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, score and predicted of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    held: dict[str, np.ndarray] = {}
+    key = uuid.uuid4().hex
 
-    def make():
+    def table() -> tuple[np.ndarray, float]:
         at, values, bias = sent.value
-        if "w" not in held:
-            held["w"] = np.zeros(1 << TABLE_BITS, np.float32)
-            held["w"][at] = values
-        dense = held["w"]
+        dense = np.zeros(1 << TABLE_BITS, np.float32)
+        dense[at] = values
+        return dense, bias
+
+    def make():
+        dense, bias = once_per_worker(key, table)
 
         def one(x: str) -> tuple:
             p = chance(bias + float(dense[features(x)].sum(dtype=np.float64))) if bias > -np.inf else 0.0

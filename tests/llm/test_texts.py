@@ -306,3 +306,56 @@ def test_frequent_parts_come_from_all_rows(spark):
 
     df = spark.createDataFrame([(i, "early" if i < 2_500 else "late late") for i in range(5_000)], "doc_id long, text string").coalesce(1)
     assert any("late" in p for p in tokens.frequent_parts(df, "text", default_model()))
+
+
+def test_runs_of_marks(library):
+    import time
+
+    enc = pieces.encoder(MODEL)
+    for n in [*range(1, 120), *range(120, 5001, 61), 4999, 5000]:
+        for t in (" " * n, f"x{' ' * n}y", f"{' ' * n}ü\n{pieces.MARK * n}"):
+            assert enc.encode(t, end=False) == library.encode(t)
+    assert enc.table.longest_run == 16
+    for n in range(1, 200):
+        assert enc.table.run_of_marks(n) == [enc.table.ids[x] for x in enc.table.merged(pieces.MARK * n)]
+    for t in (" " * 1_000_000, "a" * 1_000_000, "\n" * 1_000_000, "a," * 500_000, pieces.MARK * 1_000_000):
+        began = time.perf_counter()
+        enc.encode(t)
+        assert time.perf_counter() - began < 6
+
+
+def test_texts_are_cut_only_where_no_piece_crosses(library, monkeypatch):
+    pattern = pieces._CROSSES
+    assert not any(pattern.search(p) for p in pieces.piece_table(MODEL).ids)
+    import re
+
+    monkeypatch.setattr(pieces, "_CROSSES", re.compile("the"))
+    with pytest.raises(ValueError, match="crosses"):
+        pieces.PieceTable(MODEL)
+    r = random.Random(11)
+    enc = pieces.encoder(MODEL)
+    for _ in range(1500):
+        t = "".join(r.choice(["a", "é", "Word", ",", ".", ",,", ". ", " ", "\n", "1", "²", ")", "the", "..", "_", "ÿ"]) for _ in range(r.randint(1, 25)))
+        assert enc.encode(t, end=False) == library.encode(t)
+
+
+def test_workers_keep_what_they_made():
+    from gazetta.llm.common import KEPT, Remembered, once_per_worker
+
+    made = []
+    for key in ("a", "b", "a", "a", "b"):
+        once_per_worker(f"test-{key}", lambda: made.append(1) or object())
+    assert len(made) == 2
+    for i in range(KEPT):
+        once_per_worker(f"more-{i}", object)
+    once_per_worker("test-a", lambda: made.append(1))
+    assert len(made) == 3
+    seen = Remembered(lambda k: k * 2, 4, 3, {"z": 0})
+    for k in ("a", "b", "c", "a", "long", "long", "z"):
+        assert seen[k] == (0 if k == "z" else k * 2)
+    assert "long" not in seen and len(seen) <= 4
+
+
+def test_no_exchange_of_parts(spark, odd):
+    plan = tokens.count_tokens(odd.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0]
