@@ -1,14 +1,15 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints are 64-bit majorities over the hashes of word shingles. Links (few differing bits) are found around
-anchors: the words of a covering code. The code is a direct sum of two binary Golay codes of length 23, which are
-perfect with covering radius 3, over 46 bits of the fingerprint (2 ** 24 anchors, radius 6; distances over 46 bits are
-at most those over 64). Every fingerprint has its home, the nearest anchor, and is copied to the anchors within
-covering radius plus threshold that some fingerprint within the threshold of it has as its home. So each link
-meets at the home of either end, and homes are compared with copies there, never copies with copies.
+anchors: the words of a covering code. The code is a direct sum of three binary Golay codes of length 23, which are
+perfect with covering radius 3, over all bits of the fingerprint (the last block has 18 of them and 5 zeros): 2 ** 36
+anchors. Every fingerprint has its home, the nearest anchor, and is copied to the anchors within covering radius plus
+threshold that some fingerprint within the threshold of it has as its home. So each link meets at the home of either
+end, and homes are compared with copies there, never copies with copies.
 
 Only distinct fingerprints take part; documents with one fingerprint are one vertex from the start. Components are
-the least label over links, by rounds of neighbours' least labels and pointer jumps on tables in the shared folder.
+the least label over links, by rounds of neighbours' least labels and pointer jumps on tables in the shared folder. A
+vertex with many links, or a label with many vertices, is looked up apart (see lookup), so neither fills one task.
 
 Defined results: a text without words (null, empty, blanks) has fingerprint zero and links like any other; fewer
 words than a shingle has are one shingle; repeated rows repeat their result; null ids are ignored when a component
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,10 @@ SHINGLE, BITS, DIFFERING, SEED = 3, 64, 2, 42
 BLOCK = 65_536
 #: The Golay code's length, its generator polynomial (fixed value) and the number of its syndromes.
 LENGTH, GENERATOR, SYNDROMES = 23, 0b101011100011, 1 << 11
-#: The lowest bits of the two blocks within the fingerprint.
-BLOCKS = (0, 23)
+#: The lowest bit and the width of the blocks within the fingerprint.
+BLOCKS = ((0, 23), (23, 23), (46, 18))
+#: A key with at least one in so many of the rows is hot: there are at most so many.
+HOT = 1_000
 
 
 def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -85,20 +89,29 @@ def syndrome(words: np.ndarray) -> np.ndarray:
 
 
 @cache
-def cells(threshold: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """By syndrome: the step to the nearest code word; and by number of flipped bits up to threshold, the steps to code
-    words that first become the nearest with so many flips (zero rows are padding behind each row's count)."""
-    singles = [1 << i for i in range(LENGTH)]
-    flips = [[0], singles, [a | b for i, a in enumerate(singles) for b in singles[:i]]]
-    flips.append([ab | c for ab in flips[2] for c in singles if c < (ab & -ab)])
+def leaders() -> np.ndarray:
+    """By syndrome: the step to the nearest code word."""
     leader = np.zeros(SYNDROMES, np.uint64)
-    for level in flips:
+    for level in (_flips(LENGTH, n) for n in range(4)):
         e = np.array(level, np.uint64)
         leader[syndrome(e).astype(np.int64)] = e
+    return leader
+
+
+def _flips(width: int, n: int) -> list[int]:
+    """All words of n bits among the lowest width ones."""
+    return [sum(1 << i for i in some) for some in combinations(range(width), n)]
+
+
+@cache
+def cells(threshold: int, width: int = LENGTH) -> list[np.ndarray]:
+    """By number of flipped bits (of the lowest width) up to threshold, and by syndrome: the steps to code words that first
+    become the nearest with so many flips. Rows are filled up with -1."""
+    leader = leaders()
     seen: list[set[int]] = [set() for _ in range(SYNDROMES)]
     steps: list[np.ndarray] = []
     for cost in range(threshold + 1):
-        e = np.array(flips[cost], np.uint64)
+        e = np.array(_flips(width, cost), np.uint64)
         moved = syndrome(e).astype(np.int64)
         fresh = []
         for s in range(SYNDROMES):
@@ -106,29 +119,37 @@ def cells(threshold: int) -> tuple[np.ndarray, list[np.ndarray]]:
             seen[s] |= new
             fresh.append(sorted(new))
         wide = max(map(len, fresh))
-        steps.append(np.array([[*f, *[f[0] if f else -1] * (wide - len(f))] if f else [-1] * wide for f in fresh], np.int64))
-    return leader, steps
+        steps.append(np.array([[*f, *[-1] * (wide - len(f))] for f in fresh], np.int64).reshape(SYNDROMES, wide))
+    return steps
+
 
+def anchors(fps: np.ndarray, threshold: int = DIFFERING, blocks: tuple[tuple[int, int], ...] = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Homes; and for copies, the place of each in fps and its anchor.
 
-def anchors(fps: np.ndarray, threshold: int = DIFFERING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Homes; and for copies, the place of each in fps and its anchor."""
-    mask = np.uint64((1 << LENGTH) - 1)
-    leader, steps = cells(threshold)
-    parts = [fps >> np.uint64(at) & mask for at in BLOCKS]
+    A code word is named by its upper 12 bits, which determine it; an anchor by its words' names side by side.
+    """
+    leader, check = leaders(), np.uint64(LENGTH - 12)
+    parts = [fps >> np.uint64(at) & np.uint64((1 << width) - 1) for at, width in blocks]
     marks = [syndrome(p).astype(np.int64) for p in parts]
-    home = (parts[0] ^ leader[marks[0]]) | (parts[1] ^ leader[marks[1]]) << np.uint64(LENGTH)
+
+    def named(words: np.ndarray, k: int) -> np.ndarray:
+        return words >> check << np.uint64(12 * k)
+
+    home = np.zeros(len(fps), np.uint64)
+    for k, (p, m) in enumerate(zip(parts, marks, strict=True)):
+        home |= named(p ^ leader[m], k)
     places, found = [], []
-    for a in range(threshold + 1):
-        for b in range(threshold + 1 - a):
-            x, y = steps[a][marks[0]], steps[b][marks[1]]
-            fresh_x = (x >= 0) & ~np.concatenate([np.zeros((len(x), 1), bool), x[:, 1:] == x[:, :1]], axis=1)
-            fresh_y = (y >= 0) & ~np.concatenate([np.zeros((len(y), 1), bool), y[:, 1:] == y[:, :1]], axis=1)
-            one = parts[0][:, None] ^ x.astype(np.uint64)
-            two = parts[1][:, None] ^ y.astype(np.uint64)
-            both = one[:, :, None] | two[:, None, :] << np.uint64(LENGTH)
-            i, j, k = np.nonzero(fresh_x[:, :, None] & fresh_y[:, None, :])
-            places.append(i)
-            found.append(both[i, j, k])
+    for costs in product(range(threshold + 1), repeat=len(blocks)):
+        if sum(costs) > threshold:
+            continue
+        place, anchor = np.arange(len(fps)), np.zeros(len(fps), np.uint64)
+        for k, (cost, p, m, (_, width)) in enumerate(zip(costs, parts, marks, blocks, strict=True)):
+            step = cells(threshold, width)[cost][m[place]]
+            row, column = np.nonzero(step >= 0)
+            words = p[place[row]] ^ step[row, column].astype(np.uint64)
+            place, anchor = place[row], anchor[row] | named(words, k)
+        places.append(place)
+        found.append(anchor)
     return home, np.concatenate(places), np.concatenate(found)
 
 
@@ -162,6 +183,27 @@ def links(distinct: DataFrame, threshold: int = DIFFERING) -> DataFrame:
     return homes.join(spread, (homes["anchor"] == spread["anchor"]) & near).select("a", "b")
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys that at least one in HOT rows have, at most HOT of them, as a small table; None without any."""
+    counts = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n"))
+    total = rows.count()
+    found = counts.where((F.col("__n") * HOT >= total) & (F.col("__n") > 1)).select("__hot").collect()
+    return rows.sparkSession.createDataFrame(found, counts.select("__hot").schema) if found else None
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with table's row of their key (its columns __key, unique, and others); rows without one go.
+
+    Hot keys are at most HOT by their definition, so their rows of the table are broadcast; the others are joined by a shuffle.
+    """
+    if hot is None:
+        return rows.join(table, rows[key] == table["__key"]).drop("__key")
+    some = F.broadcast(table.join(F.broadcast(hot), table["__key"] == hot["__hot"], "left_semi"))
+    many = rows.join(some, rows[key] == some["__key"]).drop("__key")
+    few = rows.join(F.broadcast(hot), rows[key] == hot["__hot"], "left_anti")
+    return many.unionByName(few.join(table, few[key] == table["__key"]).drop("__key"))
+
+
 def components(edges: DataFrame, vertex: str = "v", rounds: int = 64) -> DataFrame:
     """Component of each vertex of edges (columns a, b): the least vertex that can be reached from it.
 
@@ -169,13 +211,15 @@ def components(edges: DataFrame, vertex: str = "v", rounds: int = 64) -> DataFra
     at least halve their distance to the least one along settled chains. Ends when a round changes nothing.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    many = hot_keys(both, "b")
     labels = materialize(both.groupBy(F.col("a").alias(vertex)).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     for _ in range(rounds * 1_000):
-        near = both.join(labels, both["b"] == labels[vertex]).groupBy("a").agg(F.min("label").alias("near"))
-        taken = labels.join(near, labels[vertex] == near["a"]).select(vertex, F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = taken.select(F.col(vertex).alias("__v"), F.col("label").alias("__up"))
-        jumped = taken.join(up, taken["label"] == up["__v"], "left").select(vertex, "old", F.least("label", F.coalesce("__up", "label")).alias("label"))
-        jumped = materialize(jumped)
+        table = labels.select(F.col(vertex).alias("__key"), F.col("label").alias("near"))
+        near = lookup(both, "b", table, many).groupBy("a").agg(F.min("near").alias("near"))
+        taken = materialize(labels.join(near, labels[vertex] == near["a"]).select(vertex, F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        table = taken.select(F.col(vertex).alias("__key"), F.col("label").alias("up"))
+        jumped = lookup(taken, "label", table, hot_keys(taken, "label"))
+        jumped = materialize(jumped.select(vertex, "old", F.least("label", "up").alias("label")))
         if not jumped.where(F.col("old") != F.col("label")).limit(1).count():
             return jumped.select(vertex, "label")
         labels = jumped.select(vertex, "label")
@@ -194,8 +238,8 @@ def near_duplicates(
     edges = materialize(links(least, threshold))
     degrees = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).groupBy("v").agg(F.count("*").alias("links"))
     joined = components(edges)
-    named = joined.join(least, joined["v"] == least["fp"]).groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = joined.join(named, "label").select("v", "component_id").join(degrees, "v")
+    named = joined.join(least, joined["v"] == least["fp"]).groupBy(F.col("label").alias("__key")).agg(F.min("least").alias("component_id"))
+    linked = lookup(joined, "label", named, hot_keys(joined, "label")).select("v", "component_id").join(degrees, "v")
     per_fp = materialize(  # so that the last join reads both sides plainly, and a fingerprint with many rows can be split
         least.join(linked, least["fp"] == linked["v"], "left").select(
             F.col("fp").alias("__fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")

@@ -335,3 +335,67 @@ def test_stages_with_odd_rows(spark, small, odd, empty):
             assert out.count() <= len(ROWS)
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def code_words():
+    """All words of the Golay code: multiples of the generator polynomial."""
+    words = [0]
+    for i in range(12):
+        words += [w ^ (simhash.GENERATOR << i) for w in words]
+    return np.array(words, np.uint64)
+
+
+def test_copies_meet_like_literal_replication():
+    """One block: copies to every anchor within covering radius plus threshold, compared with its homes, find the same pairs."""
+    words, r = code_words(), np.random.default_rng(3)
+    assert len(set(words.tolist())) == 4096
+    fps = r.integers(0, 1 << 23, 150, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, fps ^ np.uint64(1 << 4), fps ^ np.uint64(0b11 << 9), fps ^ np.uint64(1 << 22 | 1)]))
+    distance = np.bitwise_count(fps[:, None] ^ words[None, :])
+    assert distance.min(1).max() <= 3
+    home, place, anchor = simhash.anchors(fps, 2, ((0, 23),))
+    assert (home == words[distance.argmin(1)] >> np.uint64(11)).all()
+    literal = {(i, int(words[j] >> np.uint64(11))) for i, j in zip(*np.nonzero(distance <= 3 + 2), strict=True)}
+    own = set(zip(place.tolist(), anchor.tolist(), strict=True))
+    assert own <= literal and len(own) == len(place)
+
+    def pairs(copies):
+        at = defaultdict(list)
+        for i, a in copies:
+            at[a].append(i)
+        return {(i, j) for i, h in enumerate(home.tolist()) for j in at[h] if i != j and int(fps[i] ^ fps[j]).bit_count() <= 2}
+
+    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if i != j and int(fps[i] ^ fps[j]).bit_count() <= 2}
+    assert pairs(own) == pairs(literal) == want and len(want) > 300
+
+
+def test_hot_vertices_and_labels(spark):
+    rows = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(2999, 5000)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    assert [r[0] for r in simhash.hot_keys(edges, "a").collect()] == [0]
+    got = {x.v: x.label for x in simhash.components(edges).collect()}
+    assert len(got) == 3041 and set(got.values()) == {0}
+    table = spark.createDataFrame([(0, "x"), (5000, "y")], "__key long, up string")
+    found = simhash.lookup(edges, "a", table, simhash.hot_keys(edges, "a")).collect()
+    assert len(found) == 3000 and {(r.a, r.up) for r in found} == {(0, "x"), (5000, "y")}
+
+
+def test_long_repeats_of_lines(spark):
+    r = random.Random(8)
+    run = [f"line {i} {'x ' * r.randint(0, 3)}" for i in range(500)]
+    docs = [(1, "\n".join(run)), (2, "head\n" + "\n".join(run[40:460]) + "\ntail"), (3, "\n".join(run[:20] + ["other"] + run[20:])), (4, "\n".join(["a b c"] * 130 + run[499:]))]
+    got = {x.doc_id: x.text or "" for x in linededup.dedup_lines(documents(spark, docs)).collect()}
+    assert got == plain_line_dedup(docs, linededup.MIN_WORDS)
+    assert got[2] == "head\ntail" and got[3] == "other"
+
+
+def test_result_names_that_docs_has(spark):
+    df = spark.createDataFrame([(1, "a b c\nd", 7, 8, "k"), (2, "a b c\nd", 7, 8, "k")], "doc_id long, text string, n_lines int, n_removed int, __x string")
+    out = linededup.dedup_lines(df, min_words=2)
+    assert out.columns == ["doc_id", "text", "__x", "n_lines", "n_removed"]
+    assert {tuple(x) for x in out.collect()} == {(1, "a b c\nd", "k", 2, 0), (2, "", "k", 2, 2)}
+    clash = df.withColumns({c: F.lit(1) for c in ("held_out", "predicted", "evidence", "host", "section", "contaminated", "n_hit", "fingerprint", "n_links", "score")})
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, toxic int, quality int")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for found in (simhash.near_duplicates(clash), toxicity.toxicity(clash, labels), quality.classify(clash, labels, F.col("host").cast("string"), F.col("section").cast("string")), decontam.contamination_digest(clash, bench)):
+        assert found.count() == 2 and len(set(found.columns)) == len(found.columns)
