@@ -15,7 +15,8 @@ min_words + 1 lines, as a line counts its blanks plus one, so log2(min_words) do
 
 Defined results: a null text is one empty line; the earliest copy (by id, nulls first; then by text hash) stays; rows
 that agree in id and text are one document and get the same text; lines are compared as they are, by 128 bits of hash;
-copies that overlap in one document lose all but the first period; columns of docs other than text stay as they are.
+copies that overlap in one document lose all but the first period; columns of docs other than text stay as they are, but
+for columns named as the added ones, which these replace.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from gazetta.llm.common import materialize
 
 #: A repeated run with more words than this is deleted where it occurs again.
 MIN_WORDS = 50
+ADDED = ("n_lines", "n_removed")
 _KEY = ["__id", "__k1", "__k2"]
 
 
@@ -41,7 +43,8 @@ def line_table(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataF
         F.split("__t", "\n", -1),
         lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("w")),
     )
-    rows = whole.select("__id", *_hashes("__t", "__k1", "__k2"), lines.alias("__lines")).repartitionByRange(*_KEY)
+    # written first: finding the ranges reads all rows once more, and this reads hashes and no texts
+    rows = materialize(whole.select("__id", *_hashes("__t", "__k1", "__k2"), lines.alias("__lines"))).repartitionByRange(*_KEY)
     # range partitions hold equal keys together, so the windows below need no further exchange
     one = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(1)))).where("__n = 1").drop("__n")
     placed = one.sortWithinPartitions(*_KEY).select(*_KEY, F.size("__lines").alias("n"), F.posexplode("__lines").alias("pos", "x"))
@@ -110,7 +113,7 @@ def repeats(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text less its later copies of repeated runs; adds n_lines (before) and n_removed."""
+    """docs with text less its later copies of repeated runs; adds n_lines (before) and n_removed, in place of such columns of docs."""
     lines = materialize(line_table(docs, doc_id, text, min_words))
     late = repeats(lines, min_words)
     reach = late.groupBy(*_KEY, "pos").agg(F.max("end").alias("end"))
@@ -131,7 +134,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     new = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.concat_ws("\n", left))
     removed = F.coalesce(F.size(F.filter("__kept", lambda x: ~x)), F.lit(0)).cast("long")
     out = joined.withColumns({text: new, "n_lines": F.size(parts).cast("long"), "n_removed": removed})
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    return out.select(*[c for c in docs.columns if c not in ADDED], *ADDED)
 
 
 #: The same in DuckDB's SQL, by comparing the windows' texts themselves. {0}: min_words.
