@@ -2,8 +2,10 @@
 
 A text becomes its words (A-Z lower-cased, all but letters, digits and non-ASCII characters taken as borders), joined
 by single spaces. A notice that may differ by k edits is cut into k + 1 pieces: if it occurs with k edits, at least
-one piece occurs unchanged. These seeds locate candidates by exact search; around each, a pattern with bounded
-errors (best match first) verifies the notice, counts its edits and gives its span.
+one piece occurs unchanged. These seeds locate candidates by exact search; a pattern with bounded errors (best match
+first) verifies each span of whole words that a seed allows, and counts its edits. The words that name a license must
+stand in the span unchanged, so "kit license" is no MIT license. Of spans of a notice that overlap, the one with fewest
+edits counts, then the first, then the shortest.
 
 Exact places of a notice are a case of this with no edits. They are found through the seeds as well, and a notice's
 first word must start and its last word end at word borders.
@@ -14,6 +16,8 @@ places of one notice all count; repeated rows repeat their result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
 
@@ -31,25 +35,26 @@ class Notice:
     label: str
     edits: int
     base: bool = False
+    name: str = ""
 
 
-#: Short notices, their labels, and the edits they may differ by.
+#: Short notices, their labels, the edits they may differ by, and the words that may not differ.
 NOTICES = (
-    Notice("mit license", "mit", 1, base=True),
-    Notice("apache license", "apache", 2, base=True),
-    Notice("general public license", "gpl", 3, base=True),
-    Notice("lesser general public license", "lgpl", 3),
-    Notice("mozilla public license", "mpl", 3),
-    Notice("eclipse public license", "epl", 3),
-    Notice("bsd license", "bsd", 1),
-    Notice("isc license", "isc", 1),
-    Notice("creative commons attribution", "cc", 3),
-    Notice("released into the public domain", "public domain", 3),
+    Notice("mit license", "mit", 1, base=True, name="mit"),
+    Notice("apache license", "apache", 2, base=True, name="apache"),
+    Notice("general public license", "gpl", 3, base=True, name="general public"),
+    Notice("lesser general public license", "lgpl", 3, name="lesser general public"),
+    Notice("mozilla public license", "mpl", 3, name="mozilla"),
+    Notice("eclipse public license", "epl", 3, name="eclipse"),
+    Notice("bsd license", "bsd", 1, name="bsd"),
+    Notice("isc license", "isc", 1, name="isc"),
+    Notice("creative commons attribution", "cc", 3, name="creative commons"),
+    Notice("released into the public domain", "public domain", 3, name="public domain"),
     Notice("permission is hereby granted free of charge", "mit", 4),
     Notice("redistribution and use in source and binary forms", "bsd", 4),
-    Notice("licensed under the apache license version 2 0", "apache", 4),
+    Notice("licensed under the apache license version 2 0", "apache", 4, name="apache"),
     Notice("you may not use this file except in compliance with the license", "apache", 5),
-    Notice("spdx license identifier", "spdx", 2),
+    Notice("spdx license identifier", "spdx", 2, name="spdx"),
     Notice("all rights reserved", "all rights reserved", 2),
 )
 
@@ -63,40 +68,51 @@ def seeds(words: str, edits: int) -> list[tuple[int, bytes]]:
 
 @cache
 def plans(notices: tuple[Notice, ...]) -> list[tuple[Notice, list[tuple[int, bytes]], regex.Pattern]]:
-    return [(n, seeds(n.words, n.edits), regex.compile(rf"(?<= )(?b:{regex.escape(n.words, special_only=True, literal_spaces=True)}){{e<={n.edits}}}(?= )")) for n in notices]
+    return [(n, seeds(n.words, n.edits), regex.compile(rf"(?b:{regex.escape(n.words, special_only=True, literal_spaces=True)}){{e<={n.edits}}}")) for n in notices]
 
 
-def _borders(text: bytes, at: int, before: int, behind: int) -> tuple[int, int]:
-    """A stretch around at, widened to the next spaces outside."""
-    a = text.rfind(b" ", 0, max(at - before, 0) + 1)
-    b = text.find(b" ", at + behind)
-    return max(a, 0), len(text) if b < 0 else b + 1
+def edits_of(part: bytes, notice: Notice, pattern: regex.Pattern) -> int | None:
+    """The edits of a span of whole words; None if they are too many or change the name."""
+    if part == notice.words.encode():
+        return 0
+    if notice.name and f" {notice.name} ".encode() not in b" " + part + b" ":
+        return None
+    text = part.decode("utf-8", "replace")
+    m = pattern.fullmatch(text) if abs(len(text) - len(notice.words)) <= notice.edits else None
+    return sum(m.fuzzy_counts) if m else None
 
 
 def search(text: bytes, notice: Notice, cut: list[tuple[int, bytes]], pattern: regex.Pattern) -> list[tuple[int, int, int]]:
-    """Spans (start, end, edits) of a notice in space-framed words, in order; bytes. Exact places keep their own span."""
-    raw, n = notice.words.encode(), len(notice.words.encode())
-    found: dict[int, tuple[int, int]] = {}
-    tried: set[tuple[int, int]] = set()
+    """Spans (start, end, edits) of a notice in space-framed words, in order; bytes. Spans do not overlap.
+
+    A character may have up to four bytes, so an inserted one moves a border by as many.
+    """
+    n, slack = len(notice.words), 4 * notice.edits
+    found: dict[tuple[int, int], int | None] = {}
     for start, seed in cut:
         at = text.find(seed)
         while at >= 0:
-            begin = at - start
-            if begin > 0 and text.startswith(raw, begin) and text[begin - 1] == 32 and text[begin + n : begin + n + 1] == b" ":
-                found[begin] = (begin + n, 0)
-            else:
-                window = _borders(text, at, start + notice.edits, n - start + notice.edits)
-                if window not in tried:
-                    tried.add(window)
-                    part = text[window[0] : window[1]].decode("utf-8", "replace")
-                    for m in pattern.finditer(part, overlapped=True):
-                        a = window[0] + len(part[: m.start()].encode())
-                        b = window[0] + len(part[: m.end()].encode())
-                        edits = sum(m.fuzzy_counts)
-                        if a not in found or edits < found[a][1]:
-                            found[a] = (b, edits)
+            starts = [p for p in range(max(1, at - start - slack), at - start + slack + 1) if text[p - 1 : p] == b" "]
+            ends = [q for q in range(at - start + n - slack, min(at - start + n + slack, len(text) - 1) + 1) if text[q : q + 1] == b" "]
+            for p in starts:
+                for q in ends:
+                    if q > p and (p, q) not in found:
+                        found[p, q] = edits_of(text[p:q], notice, pattern)
             at = text.find(seed, at + 1)
-    return sorted((a, b, e) for a, (b, e) in found.items())
+    return chosen((e, p, q) for (p, q), e in found.items() if e is not None)
+
+
+def chosen(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans (edits, start, end) that overlap the best one, as (start, end, edits) in order."""
+    starts, ends, out = [], [], []
+    for e, p, q in sorted(spans):
+        k = bisect_left(starts, p)
+        if (k < len(starts) and starts[k] < q) or (k and ends[k - 1] > p):
+            continue
+        starts.insert(k, p)
+        ends.insert(k, q)
+        out.append((p, q, e))
+    return sorted(out)
 
 
 def scan(text: str, notices: tuple[Notice, ...] = NOTICES) -> tuple[int, list[dict]]:
