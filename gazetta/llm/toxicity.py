@@ -4,12 +4,14 @@ Features are the distinct hashes of a text's words, of their stems (first letter
 together), of word pairs, and of pairs with one or two words between, in a table of 2 ** TABLE_BITS places. Each coordinate has its own learning rate, and L1 keeps weights at zero until the evidence
 exceeds it, so the weights that remain are few: they are broadcast as two arrays of at most 2 ** TABLE_BITS entries.
 
-The classifier is fitted on a bounded sample of labelled rows: the TRAIN_ROWS ones with the least hash of their id,
-held-out rows never among them. Their features lie in the shared folder and pass through the driver one partition at
-a time, once per epoch. All rows are scored.
+The classifier is fitted on a bounded sample of labelled rows: the TRAIN_ROWS ids with the least hash, one row each,
+held-out rows never among them. Their features lie in the shared folder and pass through the driver once per epoch, or
+stay there if they are small. A second model, without every CALIBRATION-th of these rows, is scored on them to find the
+scale and the bias at which scores are probabilities (rare labels and L1 shrink scores towards the common label); both
+go into the weights. All rows are scored.
 
 Defined results: null and empty texts have the bias alone as their score; rows without a label or with a null one are
-not learnt from; of several labels for one id the largest counts; without any labelled row every score is 0; held_out
+not learnt from; of several labels for one id the largest counts, of several texts the one with the least features; without any labelled row every score is 0; held_out
 is false for a null id; repeated rows repeat their result.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from gazetta.llm.common import map_texts, materialize, once_per_worker
 
 TABLE_BITS, TRAIN_ROWS, EPOCHS, FOLDS = 20, 12_000, 5, 5
+#: Every so many training rows one serves the calibration; labels of either kind that it needs; bytes of features that the driver keeps.
+CALIBRATION, LEAST, KEEP_BYTES = 4, 10, 128 << 20
 #: Letters of a stem.
 STEMS = (4, 5)
 #: FTRL's rate, its smoothing, and the L1 and L2 penalties. L1 is what two documents can add to a coordinate in all epochs,
@@ -103,14 +107,52 @@ def chance(x: float) -> float:
     return float(1 / (1 + np.exp(-min(max(x, -35.0), 35.0))))
 
 
-def train(rows: Iterable[Iterable[tuple[bytes, int]]], bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights after the given epochs, each an iterable of (features as uint32 bytes, label)."""
-    model, any_row = Ftrl(bits), False
+def train(rows: Iterable[Iterable[tuple[bytes, int]]], bits: int = TABLE_BITS, calibration: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights after the given epochs, each an iterable of (features as uint32 bytes, label).
+
+    With calibration, the last iterable is not learnt from: its every calibration-th row is scored by a second model, which
+    learnt from the others only, and scores are scaled so that they are probabilities there.
+    """
+    model, other, any_row, last = Ftrl(bits), Ftrl(bits), False, None
     for epoch in rows:
-        for packed, label in epoch:
-            model.learn(np.frombuffer(packed, np.uint32), label)
-            any_row = True
-    return model.compact() if any_row else (np.zeros(0, np.uint32), np.zeros(0, np.float32), -np.inf)
+        if calibration and last is not None:
+            any_row |= _learn(last, model, other, calibration)
+        elif not calibration:
+            any_row |= _learn(epoch, model, None, 0)
+        last = epoch
+    if not any_row:
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32), -np.inf
+    at, weights, bias = model.compact()
+    if calibration:
+        held = [(np.append(np.frombuffer(f, np.uint32).astype(np.int64), 1 << bits), y) for k, (f, y) in enumerate(last) if k % calibration == 0]
+        scale, shift = platt(np.array([other.weights(places).sum() for places, _ in held]), np.array([y for _, y in held], float))
+        at, weights, bias = at, (weights * scale).astype(np.float32), bias * scale + shift
+    return at, weights, bias
+
+
+def _learn(epoch: Iterable[tuple[bytes, int]], model: Ftrl, other: Ftrl | None, calibration: int) -> bool:
+    any_row = False
+    for k, (packed, label) in enumerate(epoch):
+        places = np.frombuffer(packed, np.uint32)
+        model.learn(places, label)
+        if other is not None and k % calibration:
+            other.learn(places, label)
+        any_row = True
+    return any_row
+
+
+def platt(scores: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Scale and shift that make scores log odds of the labels (Newton's steps, a slight pull to 1 and 0); 1 and 0 with few labels."""
+    if min(labels.sum(), len(labels) - labels.sum()) < LEAST:
+        return 1.0, 0.0
+    x, w = np.column_stack([scores, np.ones(len(scores))]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), x.T @ (labels - p) - (w - [1.0, 0.0]))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = FOLDS):
@@ -125,9 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     some = known.orderBy("__order", "__id").limit(rows)
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(some), "__id")
     found = map_texts(texts, "__text", ["__order", "__id", "__y"], lambda: lambda x: (features(x).tobytes(),), "f binary")
-    table = materialize(found.repartitionByRange("__order", "__id").sortWithinPartitions("__order", "__id"))
-    ordered = table.orderBy("__order", "__id", "f").select("f", "__y")
-    return train(((bytes(r.f), r["__y"]) for r in ordered.toLocalIterator(prefetchPartitions=False)) for _ in range(epochs))
+    # one row for each id, whatever the number of documents that repeat it
+    single = materialize(found.groupBy("__order", "__id").agg(F.min("f").alias("f"), F.max("__y").alias("__y")))
+    ordered = single.orderBy("__order", "__id").select("f", "__y")
+    if (single.agg(F.sum(F.length("f"))).first()[0] or 0) <= KEEP_BYTES:
+        kept = [(bytes(r.f), r["__y"]) for r in ordered.collect()]
+        return train((kept for _ in range(epochs + 1)), calibration=CALIBRATION)
+    return train((_Pass(ordered) for _ in range(epochs + 1)), calibration=CALIBRATION)
+
+
+class _Pass:
+    """Rows of a table, one partition at a time."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[tuple[bytes, int]]:
+        return ((bytes(r.f), r["__y"]) for r in self.rows.toLocalIterator())
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
