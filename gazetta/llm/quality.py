@@ -8,8 +8,8 @@ method of moments, so sites with few documents are shrunk and sites with many sp
 are sums of the documents' own probabilities over all documents, by grouped aggregation; a document is left out of
 its own site's rate. The score adds a section's log odds to the document's evidence.
 
-The regression is fitted on at most TRAIN_ROWS labelled rows, those with the least hash of their id; rows whose
-crc32(id) modulo 5 is 0 are never learnt from. Everything else covers all rows.
+The regression is fitted on at most TRAIN_ROWS labelled rows: the ids with the least hash, one row each (of several the one
+with the least measures); rows whose crc32(id) modulo 5 is 0 are never learnt from. Everything else covers all rows.
 
 Defined results: null and empty texts have zero measures; null hosts and sections are the empty string; null labels
 are not learnt from, of several labels for an id the largest counts; without any label evidence is 0 and the score is
@@ -113,7 +113,7 @@ def classify(
     known = labels.select(F.col(doc_id).alias("__l"), F.col(label).cast("int").alias("__y")).where(F.col("__y").isNotNull() & ~held_out("__l"))
     known = known.groupBy("__l").agg(F.max("__y").alias("__y"))
     some = known.orderBy(F.xxhash64("__l"), "__l").limit(rows)
-    found = measured.join(F.broadcast(some), F.col("__id") == F.col("__l")).select("m", "__y").toPandas()
+    found = measured.join(F.broadcast(some), F.col("__id") == F.col("__l")).groupBy("__id").agg(F.min("m").alias("m"), F.max("__y").alias("__y")).select("m", "__y").toPandas()
     x = np.array(found["m"].tolist(), float).reshape(-1, len(MEASURES))
     y = found["__y"].to_numpy(float)
     order = np.lexsort((y, *x.T)) if len(y) else []  # rows come in any order; sums shall not
