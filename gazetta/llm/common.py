@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from gazetta.scratch import materialize, shared_dir
 
-__all__ = ["SLICE", "Remembered", "map_texts", "materialize", "once_per_worker", "shared_dir", "table"]
+__all__ = ["SLICE", "Remembered", "map_slices", "map_texts", "materialize", "once_per_worker", "shared_dir", "table"]
 
 #: Rows of an Arrow batch that become Python objects at once.
 SLICE = 256
@@ -64,6 +64,21 @@ def map_texts(
 
     make runs once per task, in the worker. Rows pass in slices, so memory follows SLICE texts and not the batch.
     """
+
+    def many() -> Callable[[list], list[tuple]]:
+        one = make()
+        return lambda texts: [one(x or "") for x in texts]
+
+    return map_slices(df, text, keep, many, schema)
+
+
+def map_slices(
+    df: DataFrame, column: str, keep: list[str], make: Callable[[], Callable[[list], list[tuple]]], schema: str, size: int | None = None
+) -> DataFrame:
+    """Like map_texts, but the function takes the values of a slice and returns their tuples.
+
+    A slice has at most SLICE rows and, if size is given, about size bytes (or characters) of values, or one longer value.
+    """
     fields = df.select(*keep).schema.fields
     extra: StructType = _parse_datatype_string(schema)
     out = StructType([*fields, *extra.fields])
@@ -71,16 +86,30 @@ def map_texts(
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
+        many = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [one(x or "") for x in part.column(width).to_pylist()]
-                new = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), arrow.types[width:], strict=True)]
-                old = [part.column(i).cast(arrow.types[i]) for i in range(width)]
-                yield pa.RecordBatch.from_arrays([*old, *new], schema=arrow)
-
-    return df.select(*[F.col(c) for c in keep], F.col(text).alias("__text")).mapInArrow(run, out)
+                whole = batch.slice(at, SLICE)
+                values = whole.column(width).to_pylist()
+                for a, b in _cuts(values, size):
+                    part = whole.slice(a, b - a)
+                    new = [pa.array(c, type=t) for c, t in zip(zip(*many(values[a:b]), strict=True), arrow.types[width:], strict=True)]
+                    old = [part.column(i).cast(arrow.types[i]) for i in range(width)]
+                    yield pa.RecordBatch.from_arrays([*old, *new], schema=arrow)
+
+    return df.select(*[F.col(c) for c in keep], F.col(column).alias("__text")).mapInArrow(run, out)
+
+
+def _cuts(values: list, size: int | None) -> Iterator[tuple[int, int]]:
+    at = held = 0
+    for i, x in enumerate(values):
+        n = len(x or "")
+        if size is not None and held and held + n > size:
+            yield at, i
+            at, held = i, 0
+        held += n + 1
+    if values:
+        yield at, len(values)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

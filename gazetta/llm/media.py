@@ -3,34 +3,36 @@
 The reader takes any progressive JPEG (SOF2, 8 bits, any Huffman tables, sampling factors and restart intervals): it
 adds up spectral-selection and successive-approximation scans in coefficient arrays, transforms them inversely by one
 matrix product in numpy, upsamples chroma to full resolution and converts to RGB, strip by strip, so memory besides
-the coefficients and the tensor follows STRIP blocks. Scans whose table has one symbol, and end-of-band runs, are read
-as arrays; all others symbol by symbol.
+the coefficients and the tensor follows STRIP blocks. The entropy-coded segments of first scans are independent of one
+another (a scan's restart intervals, its bands, other files), so all of a slice of files are decoded in step: each step of
+a few array operations decodes one Huffman symbol of every segment. Refinements follow in the order of the file, end-of-band
+runs as arrays, others symbol by symbol.
 
-The writer stores bytes losslessly in the format's own unit, the quantised coefficient: each byte is the sign and the
-low seven bits of a coefficient of magnitude 128 to 255, 48 of them (zigzag 1 to 48) in a block, six blocks (4:2:0) in a
-unit of 16 x 16 pixels; so 576 bytes are two units. A comment segment has the payload's length. Eleven scans carry
-them: DC and its refinement, then for each component two spectral bands without their lowest bit, and that bit.
+The writer stores bytes losslessly in the format's own unit, the quantised coefficient: 48 of them (zigzag 1 to 48) in a
+block, six blocks (4:2:0) in a unit of 16 x 16 pixels; so 576 bytes are two units. A blank is coefficient 0, and other bytes
+have magnitudes of 2 and more that grow with their distance from the middle of the small letters. The DC coefficient is
+a check sum of its block. Scans: DC and its refinement, then for each component two spectral bands without their lowest
+bit, and that bit. First scans are cut by restart markers. A comment segment has the payload's length.
 
 Defined results: null and empty texts are 576 bytes of 255; any length is stored (a side may have 65,520 pixels);
-repeated rows repeat their result, and equal texts have equal values.
+repeated rows repeat their result, and equal texts have equal values; a null file has null columns, a damaged one is an error.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from gazetta.llm.common import map_texts
+from gazetta.llm.common import map_slices, materialize
 
 #: Bytes of a payload's unit; bytes of a block and of an MCU; the low bits that later scans bring.
 UNIT, IN_BLOCK, IN_MCU, LOW = 576, 48, 288, 1
@@ -82,22 +84,30 @@ class Image:
 
 
 class Huffman:
-    """A table by (length, code), and its only entry if it has one."""
+    """A table: entries by (length, code), by the next 16 bits (length and symbol), and by symbol (code and length)."""
 
     def __init__(self, counts: bytes, symbols: bytes):
         self.codes: dict[tuple[int, int], int] = {}
+        self.next = np.zeros(1 << 16, np.int32)
+        self.code, self.size = np.zeros(256, np.int32), np.zeros(256, np.int32)
         code, k = 0, 0
         for length, n in enumerate(counts, 1):
             for _ in range(n):
                 self.codes[length, code] = symbols[k]
+                self.next[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbols[k]
+                self.code[symbols[k]], self.size[symbols[k]] = code, length
                 code, k = code + 1, k + 1
             code <<= 1
-        self.only = next(((k[0], s) for k, s in self.codes.items()), None) if len(self.codes) == 1 else None
+
+
+@lru_cache(256)
+def huffman(counts: bytes, symbols: bytes) -> Huffman:
+    return Huffman(counts, symbols)
 
 
 class Bits:
     def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8))
+        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
         self.at = 0
 
     def take(self, n: int) -> int:
@@ -132,7 +142,26 @@ _END, _RESTART = re.compile(rb"\xff[^\x00\xd0-\xd7]"), re.compile(rb"\xff[\xd0-\
 
 def read(data: bytes) -> Image:
     """The coefficients of a progressive JPEG, all scans added up."""
-    at, tables, quantisers, image, restart, comment = 2, {}, {}, None, 0, b""
+    return read_all([data])[0]
+
+
+def read_all(files: list[bytes]) -> list[Image]:
+    """The coefficients of files. First scans of all files are decoded together, then each file's refinements."""
+    images, first, later = [], [], []
+    for data in files:
+        image, scans = _parse(data)
+        images.append(image)
+        for head, body, tables, restart in scans:
+            (later if head[-1] >> 4 else first).append(_Scan(image, head, body, tables, restart))
+    decode_first(first)
+    for scan in later:
+        scan.refine()
+    return images
+
+
+def _parse(data: bytes) -> tuple[Image, list]:
+    """A file's frame, and its scans: header, entropy-coded data, the tables and the restart interval that hold there."""
+    at, tables, quantisers, image, restart, comment, scans = 2, {}, {}, None, 0, b"", []
     while at < len(data):
         marker = data[at + 1]
         if marker == 0xD9:
@@ -153,7 +182,7 @@ def read(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                tables[body[0] >> 4, body[0] & 15] = Huffman(body[1:17], body[17 : 17 + n])
+                tables = tables | {(body[0] >> 4, body[0] & 15): huffman(body[1:17], body[17 : 17 + n])}
                 body = body[17 + n :]
         elif marker == 0xDD:
             restart = int.from_bytes(body[:2], "big")
@@ -162,10 +191,10 @@ def read(data: bytes) -> Image:
         elif marker == 0xDA:
             m = _END.search(data, at)
             end = m.start() if m else len(data)
-            _scan(image, body, data[at:end], tables, restart)
+            scans.append((body, data[at:end], tables, restart))
             at = end
     image.comment = comment
-    return image
+    return image, scans
 
 
 def _frame(body: bytes, quantisers: dict[int, np.ndarray]) -> Image:
@@ -180,30 +209,203 @@ def _frame(body: bytes, quantisers: dict[int, np.ndarray]) -> Image:
     return Image(width, height, parts, quantisers)
 
 
-def _scan(image: Image, head: bytes, data: bytes, tables: dict, restart: int) -> None:
-    n = head[0]
-    chosen = [(image.components[head[1 + 2 * i]], head[2 + 2 * i] >> 4, head[2 + 2 * i] & 15) for i in range(n)]
-    first, last, approximation = head[1 + 2 * n : 4 + 2 * n]
-    high, low = approximation >> 4, approximation & 15
-    if n > 1:
-        c0 = chosen[0][0]
-        units = c0.wide // c0.h * (c0.high // c0.v)
-        order = [_interleaved(c.high, c.wide, c.v, c.h) for c, _, _ in chosen]
-    else:
-        c0 = chosen[0][0]
-        order = [_alone(c0.own_high, c0.own_wide, c0.wide)]
-        units = len(order[0])
-    parts = _RESTART.split(data) if restart else [data]
-    for k, part in enumerate(parts):
-        a, b = (k * restart, min(units, (k + 1) * restart)) if restart else (0, units)
-        if a >= b:
-            break
-        bits = Bits(part)
-        if first == 0:
-            _dc(bits, [(c, tables.get((0, d)), o[a:b]) for (c, d, _), o in zip(chosen, order, strict=True)], high, low)
+class _Scan:
+    """One scan: its components, the order of their blocks, and its entropy-coded segments."""
+
+    def __init__(self, image: Image, head: bytes, data: bytes, tables: dict, restart: int):
+        n = head[0]
+        self.chosen = [(image.components[head[1 + 2 * i]], head[2 + 2 * i] >> 4, head[2 + 2 * i] & 15) for i in range(n)]
+        self.first, self.last, approximation = head[1 + 2 * n : 4 + 2 * n]
+        self.high, self.low, self.tables = approximation >> 4, approximation & 15, tables
+        c0 = self.chosen[0][0]
+        if n > 1:
+            self.order = [_interleaved(c.high, c.wide, c.v, c.h) for c, _, _ in self.chosen]
         else:
-            c, _, t = chosen[0]
-            (_ac_refined if high else _ac_first)(bits, c.values, order[0][a:b, 0], tables[1, t], first, last, low)
+            self.order = [_alone(c0.own_high, c0.own_wide, c0.wide)]
+        units = len(self.order[0])
+        parts = _RESTART.split(data) if restart else [data]
+        step = restart or units
+        self.segments = [(p.replace(b"\xff\x00", b"\xff"), k * step, min(units, (k + 1) * step)) for k, p in enumerate(parts) if k * step < units]
+
+    def refine(self) -> None:
+        for data, a, b in self.segments:
+            bits = Bits(data)
+            if self.first == 0:
+                got_all = bits.array((b - a) * sum(o.shape[1] for o in self.order)).reshape(b - a, -1).astype(np.int32) << self.low
+                at = 0
+                for (c, _, _), o in zip(self.chosen, self.order, strict=True):
+                    c.values[o[a:b], 0] |= got_all[:, at : at + o.shape[1]]
+                    at += o.shape[1]
+            else:
+                c, _, t = self.chosen[0]
+                _ac_refined(bits, c.values, self.order[0][a:b, 0], self.tables[1, t], self.first, self.last, self.low)
+
+
+def decode_first(scans: list[_Scan]) -> None:
+    """Fills in the coefficients of first scans, all their segments in step."""
+    bands, means = [], []
+    for scan in scans:
+        for data, a, b in scan.segments:
+            (bands if scan.first else means).append((scan, data, a, b))
+    _in_step(bands, _Bands)
+    _in_step(means, _Means)
+
+
+def _in_step(segments: list, kind: type) -> None:
+    if not segments:
+        return
+    sizes = [len(data) for _, data, _, _ in segments]
+    starts = np.concatenate([[0], np.cumsum(np.array(sizes) + 8)])
+    raw = np.full(int(starts[-1]) + 8, 255, np.uint8)
+    for (_, data, _, _), at in zip(segments, starts.tolist(), strict=False):
+        raw[at : at + len(data)] = np.frombuffer(data, np.uint8)
+    wide = raw[: len(raw) - 7].astype(np.int64)
+    for i in range(1, 7):  # each place's next seven bytes
+        wide = wide << 8 | raw[i : len(raw) - 7 + i]
+    job = kind(segments)
+    at, ends = starts[:-1] * 8, (starts[:-1] + np.array(sizes)) * 8
+    live = np.arange(len(segments))
+    while len(live):
+        place = at[live]
+        if (place > ends[live]).any():
+            raise ValueError("entropy-coded data ends early")
+        window = wide[place >> 3] << (8 + (place & 7))  # the next 48 bits and more, at the top
+        found = job.tables[job.table[live], window >> 48 & 0xFFFF]
+        length, symbol = found >> 8, found & 255
+        if not length.all():
+            raise ValueError("no such Huffman code")
+        at[live] = place + length + job.take(live, symbol, window << length)
+        live = live[job.unit[live] < job.units[live]]
+    job.settle()
+
+
+class _Job:
+    """What the segments of a kind share: where each is, its table, and the numbers that symbols announce."""
+
+    def __init__(self, segments: list):
+        self.unit = np.zeros(len(segments), np.int64)
+        names: dict[int, int] = {}
+        tables = []
+        self.table = np.zeros(len(segments), np.int64)
+        for i, (scan, _, _, _) in enumerate(segments):
+            t = self.table_of(scan)
+            if id(t) not in names:
+                names[id(t)] = len(tables)
+                tables.append(t.next)
+            self.table[i] = names[id(t)]
+        self.tables = np.array(tables)
+        self.segments = segments
+        #: Where each segment's part of out begins; the segments of a scan follow one another.
+        self.starts = np.zeros(len(segments) + 1, np.int64)
+
+    def whole(self) -> Iterator[tuple[_Scan, int, int]]:
+        """Each scan, and where in out its segments begin and how much they fill."""
+        i = 0
+        while i < len(self.segments):
+            scan = self.segments[i][0]
+            n = len(scan.segments)
+            yield scan, int(self.starts[i]), int(self.starts[i + n] - self.starts[i])
+            i += n
+
+    @staticmethod
+    def bits(window: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first size bits of windows."""
+        return (window >> 32 & 0xFFFFFFFF) >> (32 - size)
+
+    @classmethod
+    def number(cls, window: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The signed number of size bits that a window begins with."""
+        value = cls.bits(window, size)
+        return np.where(value >> np.maximum(size - 1, 0), value, value - (1 << size) + 1) * (size > 0)
+
+
+class _Bands(_Job):
+    """First scans of spectral bands: runs of zeros and sizes, end-of-band runs."""
+
+    @staticmethod
+    def table_of(scan: _Scan) -> Huffman:
+        return scan.tables[1, scan.chosen[0][2]]
+
+    def __init__(self, segments: list):
+        super().__init__(segments)
+        self.first = np.array([s.first for s, _, _, _ in segments])
+        self.last = np.array([s.last for s, _, _, _ in segments])
+        self.low = np.array([s.low for s, _, _, _ in segments])
+        self.k = self.first.copy()
+        self.units = np.array([b - a for _, _, a, b in segments])
+        self.starts = np.concatenate([[0], np.cumsum(self.units)])
+        self.out = np.zeros((int(self.starts[-1]), 64), np.int16)
+
+    def take(self, live: np.ndarray, symbol: np.ndarray, window: np.ndarray) -> np.ndarray:
+        run, size = symbol >> 4, symbol & 15
+        value = self.number(window, size)
+        k = self.k[live] + np.where((size > 0) | (run == 15), run, 0)
+        unit = self.unit[live]
+        plain = size > 0
+        if (k[plain] > self.last[live][plain]).any():
+            raise ValueError("a run leaves its band")
+        self.out[self.starts[live[plain]] + unit[plain], k[plain]] = value[plain] << self.low[live[plain]]
+        ends = ~plain & (run < 15)
+        k = np.where(ends, self.last[live] + 1, k + 1)
+        skip = np.where(ends, (1 << run) - 1 + self.bits(window, np.where(ends, run, 0)), 0)
+        over = k > self.last[live]
+        self.unit[live] = unit + over + skip
+        self.k[live] = np.where(over, self.first[live], k)
+        return size + np.where(ends, run, 0)
+
+    def settle(self) -> None:
+        for scan, at, n in self.whole():
+            part, values = self.out[at : at + n, scan.first : scan.last + 1], scan.chosen[0][0].values
+            if n == len(values):
+                values[:, scan.first : scan.last + 1] = part
+            else:
+                values[scan.order[0][:n, 0], scan.first : scan.last + 1] = part
+
+
+class _Means(_Job):
+    """First scans of DC coefficients: differences from the block before, by component."""
+
+    @staticmethod
+    def table_of(scan: _Scan) -> Huffman:
+        return scan.tables[0, scan.chosen[0][1]]
+
+    def __init__(self, segments: list):
+        super().__init__(segments)
+        self.each = np.array([sum(o.shape[1] for o in s.order) for s, _, _, _ in segments])
+        self.units = np.array([b - a for _, _, a, b in segments]) * self.each
+        self.starts = np.concatenate([[0], np.cumsum(self.units)])
+        self.out = np.zeros(int(self.starts[-1]), np.int32)
+        # the table may change from component to component: by place within a unit
+        self.by_place = []
+        names = {}
+        for s, _, _, _ in segments:
+            row = []
+            for (_, t, _), o in zip(s.chosen, s.order, strict=True):
+                table = s.tables[0, t]
+                row += [names.setdefault(id(table), (len(names), table))[0]] * o.shape[1]
+            self.by_place.append(row)
+        widest = max(map(len, self.by_place))
+        self.by_place = np.array([r + [0] * (widest - len(r)) for r in self.by_place])
+        self.tables = np.array([t.next for _, t in names.values()])
+        self.table = self.by_place[:, 0].copy()
+
+    def take(self, live: np.ndarray, symbol: np.ndarray, window: np.ndarray) -> np.ndarray:
+        self.out[self.starts[live] + self.unit[live]] = self.number(window, symbol)
+        self.unit[live] += 1
+        self.table[live] = self.by_place[live, self.unit[live] % self.each[live]]
+        return symbol
+
+    def settle(self) -> None:
+        for scan, at, n in self.whole():
+            got, k = self.out[at : at + n].reshape(-1, sum(o.shape[1] for o in scan.order)), 0
+            cut = [b for _, _, b in scan.segments[:-1]]
+            for (c, _, _), o in zip(scan.chosen, scan.order, strict=True):
+                part = got[:, k : k + o.shape[1]]
+                total = np.cumsum(part.ravel()).reshape(part.shape)
+                for a in cut:  # differences start anew at a restart
+                    total[a:] -= total[a - 1, -1]
+                c.values[o[: len(got)], 0] = total << scan.low
+                k += o.shape[1]
 
 
 @lru_cache(64)
@@ -219,56 +421,6 @@ def _interleaved(high: int, wide: int, v: int, h: int) -> np.ndarray:
     return grid.transpose(0, 2, 1, 3).reshape(-1, v * h)
 
 
-def _dc(bits: Bits, parts: list, high: int, low: int) -> None:
-    each = sum(o.shape[1] for _, _, o in parts)
-    units = len(parts[0][2])
-    if high:
-        got = bits.array(units * each).reshape(units, each).astype(np.int32) << low
-        at = 0
-        for c, _, o in parts:
-            c.values[o, 0] |= got[:, at : at + o.shape[1]]
-            at += o.shape[1]
-        return
-    if all(t.only and t.only[1] == 0 for _, t, _ in parts):
-        bits.at += units * sum(t.only[0] * o.shape[1] for _, t, o in parts)
-        return  # all differences are zero
-    before = [0] * len(parts)
-    for unit in range(units):
-        for k, (c, t, o) in enumerate(parts):
-            for block in o[unit].tolist():
-                before[k] += bits.signed(bits.symbol(t))
-                c.values[block, 0] = before[k] << low
-
-
-def _ac_first(bits: Bits, values: np.ndarray, blocks: np.ndarray, table: Huffman, first: int, last: int, low: int) -> None:
-    wide = last - first + 1
-    if table.only and table.only[1] < 16 and table.only[1]:
-        skip, size = table.only
-        got = bits.array(len(blocks) * wide * (skip + size)).reshape(-1, skip + size)[:, skip:]
-        number = got.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
-        number = np.where(number >> (size - 1), number, number - (1 << size) + 1) << low
-        if len(blocks) == len(values):
-            values[:, first : last + 1] = number.reshape(-1, wide)
-        else:
-            values[blocks, first : last + 1] = number.reshape(-1, wide)
-        return
-    at, n = 0, len(blocks)
-    while at < n:
-        row, k = values[blocks[at]], first
-        while k <= last:
-            run, size = divmod(bits.symbol(table), 16)
-            if size:
-                k += run
-                row[k] = bits.signed(size) << low
-                k += 1
-            elif run == 15:
-                k += 16
-            else:
-                at += (1 << run) - 1 + bits.take(run)
-                break
-        at += 1
-
-
 def _ac_refined(bits: Bits, values: np.ndarray, blocks: np.ndarray, table: Huffman, first: int, last: int, low: int) -> None:
     step, at, n = 1 << low, 0, len(blocks)
     while at < n:
@@ -377,67 +529,238 @@ def _header(n: int, first: int, last: int, high: int, low: int, component: int =
     return _segment(0xDA, bytes([n]) + who + bytes([first, last, high << 4 | low]))
 
 
-#: Tables: DC 0 has size 0 alone; AC 0 has no run and the upper bits alone; AC 1 has the end-of-band runs.
-_TABLES = (
-    _segment(0xC4, bytes([0x00, 1, *[0] * 15, 0]))
-    + _segment(0xC4, bytes([0x10, 1, *[0] * 15, 8 - LOW]))
-    + _segment(0xC4, bytes([0x11, 0, 0, 0, 15, *[0] * 12, *[n << 4 for n in range(15)]]))
-)
-_START = b"\xff\xd8" + _segment(0xDB, bytes([0, *[1] * 64])) + _TABLES
-_DC_FIRST, _DC_LOW = _header(3, 0, 0, 0, 1), _header(3, 0, 0, 1, 0)
+def _lengths(weights: dict[int, int]) -> tuple[bytes, bytes]:
+    """A Huffman table for symbols by weight: how many codes of each length, and the symbols; no code is all ones."""
+    heap = [(w, i, (s,)) for i, (s, w) in enumerate({**weights, -1: 0}.items())]  # -1 takes the longest code, which stays unused
+    heapify(heap)
+    depth = dict.fromkeys([*weights, -1], 0)
+    while len(heap) > 1:
+        (a, _, x), (b, n, y) = heappop(heap), heappop(heap)
+        for s in (*x, *y):
+            depth[s] += 1
+        heappush(heap, (a + b, n + len(depth), (*x, *y)))
+    order = sorted(weights, key=lambda s: (depth[s], s))
+    if max(depth.values()) > 16:
+        raise ValueError("a code is too long")
+    return bytes(sum(depth[s] == n for s in order) for n in range(1, 17)), bytes(order)
+
+
+#: Weights of DC sizes, of runs of blanks, and of sizes of other bytes, as they occur in texts.
+_DC_WEIGHTS = {n: w for n, w in enumerate((4, 4, 6, 10, 16, 24, 30, 24, 4, 1))}
+_RUNS, _SIZES = (64, 20, 2, *[1] * 13), (24, 30, 40, 8, 8, 14, 2)
+_AC_WEIGHTS = {0x00: 200, 0xF0: 2} | {run << 4 | size: r * s for run, r in enumerate(_RUNS) for size, s in enumerate(_SIZES, 1)}
+#: AC table 1 has the end-of-band runs of refinements, 2 ** n blocks each.
+_END_RUNS = (bytes([0, 0, 0, 15, *[0] * 12]), bytes(n << 4 for n in range(15)))
+
+
+@cache
+def _tables() -> tuple[Huffman, Huffman, bytes]:
+    """The writer's DC and AC tables, and the segment that holds all its tables."""
+    dc, ac = _lengths(_DC_WEIGHTS), _lengths(_AC_WEIGHTS)
+    body = b"".join(bytes([kind]) + counts + symbols for kind, (counts, symbols) in ((0x00, dc), (0x10, ac), (0x11, _END_RUNS)))
+    return huffman(*dc), huffman(*ac), _segment(0xC4, body)
+
+
+#: A byte's coefficient: blanks are 0, others two more than their distance from "m", with its sign.
+_FAR = (np.arange(256) - 0x6D + 128) % 256 - 128
+COEFFICIENT = np.where(np.arange(256) == 32, 0, np.where(_FAR >= 0, _FAR + 2, _FAR - 2)).astype(np.int32)
+_LEAST = int(COEFFICIENT.min())
+#: The byte of a coefficient less the least one; -1 where there is none.
+BYTE = np.full(int(COEFFICIENT.max()) - _LEAST + 1, -1, np.int32)
+BYTE[COEFFICIENT - _LEAST] = np.arange(256)
+#: Restart intervals of first scans: units of DC scans, blocks of others.
+RESTART_DC, RESTART = 16, 4
+
+
+def check_sums(blocks: np.ndarray) -> np.ndarray:
+    """The DC coefficient of blocks of bytes: their weighted sum, folded to -128 to 127."""
+    return (blocks.astype(np.int64) @ np.arange(1, IN_BLOCK + 1)) % 251 - 125
+
+
+def _numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of signed numbers, and their bits."""
+    size = _BIT_LENGTH[np.abs(values)]
+    return size, np.where(values < 0, values + (1 << size) - 1, values).astype(np.int32)
+
+
+_BIT_LENGTH = np.array([i.bit_length() for i in range(2048)], np.int32)
+
+
+def _packed(codes: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Codes of so many bits, one behind the other, as entropy-coded segments that begin at the given items."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.append(starts[1:], len(sizes))
+    length = total[ends] - total[starts]
+    spare = -length % 8  # filled with ones
+    sizes, codes = np.insert(sizes.astype(np.uint8), ends, spare), np.insert(codes, ends, (1 << spare) - 1)
+    aligned = (codes.astype(np.uint32) << (32 - np.maximum(sizes, 1)).astype(np.uint32)).astype(">u4").view(np.uint8).reshape(-1, 4)
+    some = 1 << 15
+    bits = [np.unpackbits(aligned[at : at + some], axis=1)[_COLUMNS < sizes[at : at + some, None]] for at in range(0, len(sizes), some)]
+    raw, cut = np.packbits(np.concatenate(bits)).tobytes(), np.concatenate([[0], np.cumsum(length + spare) // 8]).tolist()
+    return [raw[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip(cut, cut[1:], strict=False)]
+
+
+_COLUMNS = np.arange(32, dtype=np.uint8)
+_MARKS = [bytes((0xFF, 0xD0 + k)) for k in range(8)]
+
+
+def _marked(segments: list[bytes]) -> bytes:
+    """Segments of a scan, parted by restart markers."""
+    out = [segments[0]]
+    for k, x in enumerate(segments[1:]):
+        out += (_MARKS[k % 8], x)
+    return b"".join(out)
+
+
+def _grouped(segments: list[bytes], counts: list[int]) -> list[bytes]:
+    """The scans of files that have so many segments each."""
+    out, at = [], 0
+    for n in counts:
+        out.append(_marked(segments[at : at + n]))
+        at += n
+    return out
+
+
+def _steps(sizes: list[int], step: int) -> tuple[np.ndarray, list[int]]:
+    """Where segments of step begin, for files of so many units one behind the other; and how many each file has."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return np.concatenate([np.arange(a, b, step) for a, b in zip(at, at[1:], strict=False)]), [-(-n // step) for n in sizes]
+
+
+def _dc_scans(parts: list[np.ndarray], order: list[np.ndarray], units: list[int]) -> list[bytes]:
+    """DC differences of interleaved units, cut at restart intervals. parts have the components' DC values by block."""
+    table, (starts, counts), columns = _tables()[0], _steps(units, RESTART_DC), []
+    for values, o in zip(parts, order, strict=True):
+        rows = values[o]  # by unit
+        before = np.concatenate([[0], rows.ravel()[:-1]]).reshape(rows.shape)
+        before[starts, 0] = 0
+        columns.append(rows - before)
+    size, bits = _numbers(np.concatenate(columns, axis=1).ravel())
+    each = sum(o.shape[1] for o in order)
+    return _grouped(_packed(table.code[size] << size | bits, table.size[size] + size, starts * each), counts)
+
+
+def _band_scans(values: np.ndarray, blocks: list[int]) -> list[bytes]:
+    """First scans of a band: blocks by coefficients, without their lowest bits, of files of so many blocks."""
+    table, (n, wide) = _tables()[1], values.shape
+    block, k = np.nonzero(values)
+    before = np.concatenate([[-1], k[:-1]])[: len(k)]
+    before[np.flatnonzero(np.diff(block, prepend=-1))] = -1
+    run = k - before - 1
+    size, bits = _numbers(values[block, k])
+    symbol = (run % 16) << 4 | size
+    last = np.full(n, -1)
+    last[block] = k  # the last one of each block stays
+    short = np.flatnonzero(last < wide - 1)
+    code, sizes, owner = table.code[symbol] << size | bits, table.size[symbol] + size, block
+    many = run // 16
+    if many.any() or len(short):
+        # besides the coefficients, the long runs before them and the ends of blocks, put in order
+        long = np.repeat(np.arange(len(k)), many)
+        key = np.concatenate([block * 128 + 2 * k + 1, block[long] * 128 + 2 * k[long], short * 128 + 127])
+        at = np.argsort(key, kind="stable")
+        code = np.concatenate([code, np.full(len(long), table.code[0xF0]), np.full(len(short), table.code[0])])[at]
+        sizes = np.concatenate([sizes, np.full(len(long), table.size[0xF0]), np.full(len(short), table.size[0])])[at]
+        owner = key[at] >> 7
+    starts, counts = _steps(blocks, RESTART)
+    return _grouped(_packed(code, sizes, np.searchsorted(owner, starts)), counts)
+
+
+def _refinements(corrections: np.ndarray, known: np.ndarray, blocks: list[int]) -> list[bytes]:
+    """Refinement scans without new coefficients: end-of-band runs, each with its blocks' corrections of known ones."""
+    bits = corrections[known].astype(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(known.sum(1))])
+    out, first, most = [], 0, (1 << 15) - 1
+    for n in blocks:
+        parts = []
+        for at in range(first, first + n, most):
+            run = min(most, first + n - at)
+            parts += [_run_head(run), bits[ends[at] : ends[at + run]]]
+        out.append(_entropy(np.concatenate(parts)))
+        first += n
+    return out
+
+
+@lru_cache(4096)
+def _run_head(run: int) -> np.ndarray:
+    size = run.bit_length() - 1
+    return np.array(list(map(int, f"{size:04b}" + (f"{run - (1 << size):0{size}b}" if size else ""))), np.uint8)
+
+
+def _interval(n: int) -> bytes:
+    return _segment(0xDD, struct.pack(">H", n))
 
 
 def write(payload: bytes) -> bytes:
     """A progressive 4:2:0 JPEG whose coefficients hold the payload, a multiple of UNIT bytes."""
-    if not payload or len(payload) % UNIT:
-        raise ValueError(f"a payload has a positive multiple of {UNIT} bytes")
-    units = len(payload) // IN_MCU
-    across = int(np.ceil(np.sqrt(units)))
-    down = -(-units // across)
-    if across > MOST:
-        raise ValueError("the payload is too long for one image")
-    data = np.full(across * down * IN_MCU, 255, np.uint8)
-    data[: len(payload)] = np.frombuffer(payload, np.uint8)
-    # by component, the blocks in raster order
-    mcus = data.reshape(down, across, 6, IN_BLOCK)
-    luma = mcus[:, :, :4].reshape(down, across, 2, 2, IN_BLOCK).transpose(0, 2, 1, 3, 4).reshape(-1, IN_BLOCK)
-    parts = [luma, mcus[:, :, 4].reshape(-1, IN_BLOCK), mcus[:, :, 5].reshape(-1, IN_BLOCK)]
-    frame = struct.pack(">BHHB", 8, down * 16, across * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-    blank = _entropy(np.zeros(across * down * 6, np.uint8))
-    out = [_START, _segment(0xFE, str(len(payload)).encode()), _segment(0xC2, frame), _DC_FIRST, blank, _DC_LOW, blank]
-    for k, part in enumerate(parts, 1):
-        # the magnitude without its low bits, complemented where negative
-        upper = (part & 127 | 128) >> LOW
-        upper ^= (part >> 7) * np.uint8((256 >> LOW) - 1)
+    return write_all([payload])[0]
+
+
+def write_all(payloads: list[bytes]) -> list[bytes]:
+    """The files of payloads; the same work is done for all of them at once."""
+    sides, parts = [], ([], [], [])
+    for payload in payloads:
+        if not payload or len(payload) % UNIT:
+            raise ValueError(f"a payload has a positive multiple of {UNIT} bytes")
+        units = len(payload) // IN_MCU
+        across = math.isqrt(units - 1) + 1
+        down = -(-units // across)
+        if across > MOST:
+            raise ValueError("the payload is too long for one image")
+        data = np.full(across * down * IN_MCU, 255, np.uint8)
+        data[: len(payload)] = np.frombuffer(payload, np.uint8)
+        # by component, the blocks in raster order
+        mcus = data.reshape(down, across, 6, IN_BLOCK)
+        parts[0].append(mcus[:, :, :4].reshape(down, across, 2, 2, IN_BLOCK).transpose(0, 2, 1, 3, 4).reshape(-1, IN_BLOCK))
+        parts[1].append(mcus[:, :, 4].reshape(-1, IN_BLOCK))
+        parts[2].append(mcus[:, :, 5].reshape(-1, IN_BLOCK))
+        sides.append((down, across))
+    parts = [np.concatenate(p) for p in parts]
+    units = [down * across for down, across in sides]
+    at = np.concatenate([[0], np.cumsum(units)])
+    chroma = np.arange(at[-1]).reshape(-1, 1)
+    order = [np.concatenate([_interleaved(2 * d, 2 * a, 2, 2) + 4 * b for (d, a), b in zip(sides, at.tolist(), strict=False)]), chroma, chroma]
+    sums = [check_sums(p) for p in parts]
+    low_bits = np.concatenate([(s & 1)[o] for s, o in zip(sums, order, strict=True)], axis=1).astype(np.uint8)
+    scans = [[_header(3, 0, 0, 0, 1), x, _interval(0), _header(3, 0, 0, 1, 0)] for x in _dc_scans([s >> 1 for s in sums], order, units)]
+    for scan, a, b in zip(scans, at.tolist(), at.tolist()[1:], strict=False):
+        scan += (_entropy(low_bits[a:b].ravel()), _interval(RESTART))
+    blocks = [[4 * n for n in units], units, units]
+    values = [COEFFICIENT[p] for p in parts]
+    for k, (v, n) in enumerate(zip(values, blocks, strict=True), 1):
+        upper = np.sign(v) * (np.abs(v) >> LOW)
         for first, last in BANDS:
-            some = np.ascontiguousarray(upper[:, first - 1 : last])
-            out += [_header(1, first, last, 0, LOW, k, 0), _entropy(np.unpackbits(some.reshape(-1, 1), axis=1)[:, LOW - 1 :].ravel())]
+            head = _header(1, first, last, 0, LOW, k, 0)
+            for scan, x in zip(scans, _band_scans(upper[:, first - 1 : last], n), strict=True):
+                scan += (head, x)
+    for scan in scans:
+        scan.append(_interval(0))
+    for k, (v, n) in enumerate(zip(values, blocks, strict=True), 1):
         for low in range(LOW - 1, -1, -1):
-            out += [_header(1, 1, IN_BLOCK, low + 1, low, k, 1), _entropy(_refinement(part >> low & 1))]
-    return b"".join([*out, b"\xff\xd9"])
-
-
-def _refinement(corrections: np.ndarray) -> np.ndarray:
-    """Bits of a refinement scan without new coefficients: end-of-band runs, each with its blocks' corrections."""
-    parts, n, most = [], len(corrections), (1 << 15) - 1
-    for at in range(0, n, most):
-        run = min(most, n - at)
-        size = run.bit_length() - 1
-        head = f"{size:04b}" + (f"{run - (1 << size):0{size}b}" if size else "")
-        parts += [np.array(list(map(int, head)), np.uint8), corrections[at : at + run].ravel()]
-    return np.concatenate(parts)
+            head = _header(1, 1, IN_BLOCK, low + 1, low, k, 1)
+            for scan, x in zip(scans, _refinements(np.abs(v) >> low & 1, v != 0, n), strict=True):
+                scan += (head, x)
+    start = b"\xff\xd8" + _segment(0xDB, bytes([0, *[1] * 64])) + _tables()[2]
+    out = []
+    for payload, (down, across), scan in zip(payloads, sides, scans, strict=True):
+        frame = struct.pack(">BHHB", 8, down * 16, across * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+        out.append(b"".join([start, _segment(0xFE, str(len(payload)).encode()), _segment(0xC2, frame), _interval(RESTART_DC), *scan, b"\xff\xd9"]))
+    return out
 
 
 def payload_of(image: Image) -> bytes:
-    """The bytes that write() stored."""
-    luma, blue, red = [c.values[:, 1 : IN_BLOCK + 1] for c in image.components.values()]
+    """The bytes that write() stored; an error if a block's check sum differs."""
+    luma, blue, red = [c.values for c in image.components.values()]
     c = image.components[1]
     down, across = c.high // 2, c.wide // 2
-    data = np.empty((down, across, 6, IN_BLOCK), np.int32)
-    data[:, :, :4] = luma.reshape(down, 2, across, 2, IN_BLOCK).transpose(0, 2, 1, 3, 4).reshape(down, across, 4, IN_BLOCK)
-    data[:, :, 4], data[:, :, 5] = blue.reshape(down, across, IN_BLOCK), red.reshape(down, across, IN_BLOCK)
-    flat = data.ravel()
-    return (np.abs(flat) - 128 + 128 * (flat < 0)).astype(np.uint8).tobytes()[: int(image.comment)]
+    data = np.empty((down, across, 6, 64), np.int32)
+    data[:, :, :4] = luma.reshape(down, 2, across, 2, 64).transpose(0, 2, 1, 3, 4).reshape(down, across, 4, 64)
+    data[:, :, 4], data[:, :, 5] = blue.reshape(down, across, 64), red.reshape(down, across, 64)
+    blocks = data.reshape(-1, 64)
+    found = BYTE[np.clip(blocks[:, 1 : IN_BLOCK + 1] - _LEAST, 0, len(BYTE) - 1)]
+    if (found < 0).any() or (check_sums(found) != blocks[:, 0]).any():
+        raise ValueError("a block's check sum differs")
+    return found.astype(np.uint8).tobytes()[: int(image.comment)]
 
 
 def padded(raw: bytes) -> bytes:
@@ -447,56 +770,60 @@ def padded(raw: bytes) -> bytes:
 # --- columns
 
 
+#: Characters of texts that are written together, and bytes of files that are read together.
+WRITTEN, READ = 1 << 17, 1 << 20
+
+
 def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, n_bytes, media: the text's UTF-8 payload as a progressive JPEG."""
 
-    def one(x: str) -> tuple:
-        raw = x.encode()
-        return len(raw), write(padded(raw))
+    def many(texts: list) -> list[tuple]:
+        raw = [(x or "").encode() for x in texts]
+        return list(zip(map(len, raw), write_all([padded(x) for x in raw]), strict=True))
+
+    return map_slices(docs, text, list(keep), lambda: many, "n_bytes long, media binary", WRITTEN)
+
+
+def to_tensors(media: DataFrame, column: str = "media", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """keep's columns (all, if none are named) and of each progressive JPEG height, width, rgb (row-major uint8, height x width x 3) and feature; null stays null."""
+
+    def many(files: list) -> list[tuple]:
+        images = iter(read_all([bytes(x) for x in files if x is not None]))
+        return [(None,) * 4 if x is None else _tensor_row(next(images)) for x in files]
+
+    return map_slices(media, column, list(media.columns if keep is None else keep), lambda: many, "height int, width int, rgb binary, feature string", READ)
 
-    return map_texts(docs, text, list(keep), lambda: one, "n_bytes long, media binary")
 
+def _tensor_row(image: Image) -> tuple:
+    rgb = np.concatenate(list(strips(image)))
+    return rgb.shape[0], rgb.shape[1], rgb.tobytes(), feature_of(rgb)
 
-def to_tensors(media: DataFrame, column: str = "media") -> DataFrame:
-    """Adds height, width and rgb (row-major uint8, height x width x 3) of each progressive JPEG; null stays null."""
 
-    @F.pandas_udf("height int, width int, rgb binary")
-    def decode(files):  # noqa: ANN001, ANN202
-        import pandas as pd
+def feature_of(rgb: np.ndarray) -> str:
+    """Size, channel means and standard deviations of an RGB tensor, from exact sums."""
+    flat = rgb.reshape(-1, 3)
+    n = len(flat)
+    mean = flat.sum(0, dtype=np.int64) / n
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", flat, flat, dtype=np.int64) / n - mean**2, 0))
+    return f"{rgb.shape[1]}x{rgb.shape[0]} mean {' '.join(f'{x:.3f}' for x in mean)} std {' '.join(f'{x:.3f}' for x in spread)}"
 
-        rows = [None if x is None else tensor(x) for x in files]
-        return pd.DataFrame(
-            {"height": [None if r is None else r.shape[0] for r in rows], "width": [None if r is None else r.shape[1] for r in rows], "rgb": [None if r is None else r.tobytes() for r in rows]}
-        )
 
-    return media.withColumn("__t", decode(F.col(column).cast(BinaryType()))).select(*media.columns, "__t.height", "__t.width", "__t.rgb")
+def from_media(media: DataFrame, column: str = "media", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Like to_tensors, with payload: the bytes that to_media stored."""
 
+    def many(files: list) -> list[tuple]:
+        images = iter(read_all([bytes(x) for x in files if x is not None]))
+        return [(None,) * 5 if x is None else (payload_of(image := next(images)), *_tensor_row(image)) for x in files]
 
-def features(image: Image) -> str:
-    """Size, channel means and standard deviations of the RGB tensor."""
-    n, total, square, high = 0, np.zeros(3), np.zeros(3), 0
-    for rgb in strips(image):
-        flat = rgb.reshape(-1, 3).astype(np.float64)
-        ones = np.ones(len(flat))
-        n, high = n + len(flat), high + rgb.shape[0]
-        total += ones @ flat  # whole numbers, so exact
-        square += ones @ (flat * flat)
-    mean = total / n
-    spread = np.sqrt(np.maximum(square / n - mean**2, 0))
-    return f"{image.width}x{high} mean {' '.join(f'{x:.3f}' for x in mean)} std {' '.join(f'{x:.3f}' for x in spread)}"
+    return map_slices(media, column, list(media.columns if keep is None else keep), lambda: many, "payload binary, height int, width int, rgb binary, feature string", READ)
 
 
 def media_digest(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Stores each payload, reads the stored file back, and returns hashes of both and the tensor's features."""
-    sha = hashlib.sha256
-
-    def one(x: str) -> tuple:
-        raw = x.encode()
-        stored = write(padded(raw))
-        image = read(stored)
-        back = payload_of(image)
-        return len(raw), len(back), sha(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), sha(stored).hexdigest(), features(image)
-
-    return map_texts(
-        docs, text, list(keep), lambda: one, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    """Stores each text as a media column, reads it back, and returns hashes of payload, file and tensor, and the tensor's feature."""
+    stored = materialize(to_media(docs, text, keep))
+    stored = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    back = from_media(stored, "media", (*keep, "n_bytes", "media_bytes", "media_sha256"))
+    return back.select(
+        *keep, "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        "media_bytes", "media_sha256", "feature", "height", "width", F.length("rgb").cast("long").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"),
+    )
