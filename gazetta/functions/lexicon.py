@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gazetta.functions.vectors import let
+
 # The lists below decide results and stand in their natural order.
 POSITIVE = "cooperation peace dialogue agreement partnership stability progress development growth success positive constructive friendly mutual".split()
 NEGATIVE = "conflict tension threat aggression hostility sanction blockade invasion war crisis danger risk escalation provocation".split()
@@ -67,8 +69,8 @@ def count_words(text: Column, words: list[str]) -> Column:
 
 
 def groups_found(text: Column, groups: dict[str, list[str]], whole_word: bool = False) -> Column:
-    """Names of the groups with a word in text, in the groups' order."""
-    return F.array_compact(F.array(*[F.when(contains_any(text, words, whole_word), name) for name, words in groups.items()]))
+    """Names of the groups with a word in text, in the groups' order. The text is computed once."""
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(contains_any(t, words, whole_word), name) for name, words in groups.items()])))
 
 
 def title_and_text(title: Column, content: Column) -> Column:
@@ -77,22 +79,29 @@ def title_and_text(title: Column, content: Column) -> Column:
 
 def sentiment(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> Column:
     """Struct sentiment, confidence, positive_score, negative_score: the side with more words found, at most 0.9 sure."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    up, down = count_words(low, positive), count_words(low, negative)
-    sure = F.least(F.lit(0.9), F.abs(up - down) / F.greatest(up, down, F.lit(1)))
-    label = F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
-    return F.struct(label.alias("sentiment"), F.when(up == down, 0.5).otherwise(sure).alias("confidence"), up.alias("positive_score"), down.alias("negative_score"))
+
+    def judged(n: Column) -> Column:
+        up, down = n["up"], n["down"]
+        sure = F.least(F.lit(0.9), F.abs(up - down) / F.greatest(up, down, F.lit(1)))
+        label = F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
+        return F.struct(label.alias("sentiment"), F.when(up == down, 0.5).otherwise(sure).alias("confidence"), up.alias("positive_score"), down.alias("negative_score"))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: let(F.struct(count_words(low, positive).alias("up"), count_words(low, negative).alias("down")), judged))
 
 
 def sentiment_score(text: Column, **lists) -> Column:
     """Signed confidence: the default of the pluggable sentiment model."""
-    s = sentiment(text, **lists)
-    return F.when(s["sentiment"] == "positive", s["confidence"]).when(s["sentiment"] == "negative", -s["confidence"]).otherwise(0.0)
+    return let(sentiment(text, **lists), lambda s: F.when(s["sentiment"] == "positive", s["confidence"]).when(s["sentiment"] == "negative", -s["confidence"]).otherwise(0.0))
 
 
 def primary_country(text: Column, countries: dict[str, list[str]] = COUNTRIES) -> Column:
     """The first country, in the table's order, with a name in text; null without one."""
-    return F.coalesce(*[F.when(contains_any(text, words), name) for name, words in countries.items()])
+    return let(text, lambda t: F.coalesce(*[F.when(contains_any(t, words), name) for name, words in countries.items()]))
+
+
+def locations(text: Column, countries: dict[str, list[str]] = COUNTRIES) -> Column:
+    """All countries with a name in text, in the table's order."""
+    return groups_found(text, countries)
 
 
 def significance(keyword_tags: Column, country: Column, city: Column) -> Column:

@@ -71,6 +71,17 @@ def extract_meta_description(c: Column) -> Column:
     return _first_of(c, r"""(?i)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""")
 
 
+def extract_author(c: Column) -> Column:
+    """The content of the author meta element; null without one."""
+    return _first_of(c, r"""(?i)<meta[^>]*name=["']author["'][^>]*content=["']([^"']*)["']""")
+
+
+def extract_published(c: Column) -> Column:
+    """The content of the article:published_time meta element; null without one."""
+    pattern = r"""(?i)<meta[^>]*property=["']article:published_time["'][^>]*content=["']([^"']*)["']"""
+    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))
+
+
 def script_share(c: Column, characters: str) -> Column:
     """Share of the characters of a class; 0 for null and empty."""
     text = F.coalesce(c, F.lit(""))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from gazetta.functions import vectors as V
 from gazetta.operators.relational import modal_value, top_values
+from gazetta.operators.search import ROWS, matrix
 
 LEAST_SIZE = 3
 
@@ -108,24 +115,59 @@ def cluster_topics(df: DataFrame, cluster: str, topic: Column) -> DataFrame:
     return top.groupBy(cluster).agg(F.array_join(F.transform(listed, lambda s: s["value"]), " ").alias("topic"))
 
 
+#: Bytes of centres that are broadcast at once.
+CENTER_BYTES = 32 << 20
+
+
 def assign_to_centers(rows: DataFrame, centers: DataFrame, row: str, cluster: str, vector: str, threshold: float, most: int = 100_000) -> DataFrame:
     """Each row's nearest stored center (ties: the least cluster) and similarity; cluster null under threshold.
 
-    Centers are broadcast if there are at most most of them. Beyond that they go in blocks of that size, and each
-    row keeps its best over all blocks.
+    Centers come in blocks of at most most, and at most CENTER_BYTES; each batch of rows meets a block in one matrix product,
+    and only with several blocks are a row's best ones compared by a shuffle. A row without a vector, or with one of
+    another size, has no cluster and no similarity.
     """
-    kept = centers.select(F.col(cluster).alias("__c"), F.col("center").alias("__v")).withColumn("__block", F.lit(0))
-    count = centers.count()
-    if count > most:
-        kept = kept.withColumn("__block", F.pmod(F.xxhash64("__c"), F.lit(-(-count // most))))
-    found = None
-    for block in range(max(1, -(-count // most))):
-        part = rows.join(F.broadcast(kept.where(F.col("__block") == block)), F.lit(True), "left")
-        score = F.round(V.cosine(F.col(vector), F.col("__v")), 9)
-        best = part.groupBy(row).agg(F.min_by(F.struct(F.col("__c"), score.alias("s")), F.struct(-score, F.col("__c"))).alias("best"))
-        found = best if found is None else found.unionByName(best)
-    best = found.groupBy(row).agg(F.min_by("best", F.struct(-F.col("best.s"), F.col("best.__c"))).alias("b")) if count > most else found.withColumnRenamed("best", "b")
-    return best.select(row, F.when(F.col("b.s") >= threshold, F.col("b.__c")).alias(cluster), F.col("b.s").alias("similarity"))
+    kind = centers.schema[cluster].dataType
+    wide = centers.agg(F.max(F.size("center"))).first()[0] or 0
+    size = max(1, min(most, CENTER_BYTES // max(1, 8 * wide)))
+    found, count, block = None, 0, []
+    ordered = centers.where(F.size("center") == wide).select(F.col(cluster).alias("c"), V.doubles(F.col("center")).alias("v")).orderBy("c")
+    for r in ordered.toLocalIterator():
+        block.append((r.c, r.v))
+        if len(block) == size:
+            part, block = _to_block(rows, block, row, vector, wide, kind), []
+            found, count = part if found is None else found.unionByName(part), count + 1
+    if block or found is None:
+        part = _to_block(rows, block, row, vector, wide, kind)
+        found, count = part if found is None else found.unionByName(part), count + 1
+    if count > 1:
+        best = found.where("__s is not null").groupBy(row).agg(F.min(F.struct((-F.col("__s")).alias("d"), F.col("__c").alias("c"))).alias("b"))
+        found = rows.select(row).join(best, row, "left").select(row, F.col("b.c").alias("__c"), (-F.col("b.d")).alias("__s"))
+    return found.select(row, F.when(F.col("__s") >= threshold, F.col("__c")).alias(cluster), F.col("__s").alias("similarity"))
+
+
+def _to_block(rows: DataFrame, block: list[tuple], row: str, vector: str, wide: int, kind: DataType) -> DataFrame:
+    """row, __c and __s: the nearest of a block's centers, which are in order, so the first of several as near is the least."""
+    sent = rows.sparkSession.sparkContext.broadcast(([c for c, _ in block], np.array([v for _, v in block], float).reshape(len(block), wide)))
+    schema = StructType([rows.schema[row], StructField("__c", kind), StructField("__s", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        norms = np.linalg.norm(q, axis=1, keepdims=True)
+        q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                m, good = matrix(part.column(1), max(wide, 1))
+                best, scores = [None] * part.num_rows, [None] * part.num_rows
+                if len(names) and len(good):
+                    s = np.round(m @ q.T, 9)
+                    first = s.argmax(1)
+                    for i, k, x in zip(good.tolist(), first.tolist(), s[np.arange(len(good)), first].tolist(), strict=True):
+                        best[i], scores[i] = names[k], x
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.types[0]), pa.array(best, arrow.types[1]), pa.array(scores, arrow.types[2])], schema=arrow)
+
+    return rows.select(row, vector).mapInArrow(run, schema)
 
 
 def kmeans(df: DataFrame, member: str, vector: str, k: int, threshold: float = 0.85, seed: int = 42, rounds: int = 200) -> DataFrame:
@@ -156,8 +198,3 @@ def nearest_topics(rows: DataFrame, topics: DataFrame, row: str, text: str, topi
     best = scored.groupBy(row).agg(F.min_by(F.struct(topic, "jaccard"), F.struct(-F.col("jaccard"), F.col(topic))).alias("b"))
     return best.select(row, f"b.{topic}", "b.jaccard")
 
-
-
-
-def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -12,9 +12,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazetta.scratch import materialize
+
 DIMENSION = 384
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -202,3 +204,23 @@ def translation(c: Column, make: Callable[[], Translator] = SameText) -> Column:
 
 def language(c: Column, make: Callable[[], LanguageId] = WordVote) -> Column:
     return apply(c, make, "detect", "string")
+
+
+def tfidf(df: DataFrame, key: str, text: Column, features: int = 1000) -> DataFrame:
+    """key, term, weight: the sparse TF-IDF vectors of all texts, of unit length.
+
+    Terms are words of two or more letters or digits, and pairs of them, without the most frequent English words; the
+    features most frequent in all texts (ties: by term) make the vocabulary. Weights are counts times ln((1 + texts) / (1 +
+    texts with the term)) + 1. Texts without such a term have no row. Counts are summed on the map side by (key, term).
+    """
+    stop = LANGUAGE_WORDS["en"]
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0), lambda w: ~w.isin(stop))
+    pairs = F.when(F.size("__w") > 1, F.zip_with(F.slice("__w", 1, F.size("__w") - 1), F.slice("__w", 2, F.size("__w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    terms = df.select(key, words.alias("__w")).select(key, F.explode(F.concat("__w", pairs)).alias("term"))
+    counts = materialize(terms.groupBy(key, "term").agg(F.count("*").alias("n")))
+    n = df.count()
+    vocabulary = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).orderBy(F.desc("total"), "term").limit(features)
+    idf = vocabulary.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("texts"))) + 1).alias("idf"))
+    weighted = counts.join(F.broadcast(idf), "term").select(key, "term", (F.col("n") * F.col("idf")).alias("x"))
+    norms = weighted.groupBy(F.col(key).alias("__k")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return weighted.join(norms, F.col(key) == F.col("__k")).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))

@@ -30,6 +30,24 @@ def pending(processed: DataFrame, vector: str = "embedding", cluster: str = "clu
     return processed.where((F.coalesce(F.size(vector), F.lit(0)) > 0) & F.col(cluster).isNull())
 
 
+def untagged(raw: DataFrame, order: list[Column], n: int | None = None, tags: str = "tags") -> DataFrame:
+    """Raw rows that have no tags yet, newest first."""
+    out = raw.where(F.col(tags).isNull()).orderBy(*order)
+    return out.limit(n) if n is not None else out
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Every field of defaults: its own value, or the default where it is null or the table lacks it. Defaults may name other fields."""
+    given = {c: (F.coalesce(F.col(c), value) if c in df.columns else value) for c, value in defaults.items()}
+    return df.withColumns(given)
+
+
+def batch_totals(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
+    """articles, and for each array column the number of its elements in all rows (by group); null arrays have none."""
+    sums = [F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0)).alias(f"total_{c}") for c in columns]
+    return (df.groupBy(*group) if group else df.groupBy()).agg(F.count("*").alias("articles"), *sums)
+
+
 def peek(queue: DataFrame, sequence: str, n: int) -> DataFrame:
     """The n records that were queued last, last first."""
     return queue.orderBy(F.desc(sequence)).limit(n)

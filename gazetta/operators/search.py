@@ -23,7 +23,7 @@ BLOCK = 4096
 ROWS = 2048
 
 
-def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows of the vectors that have size elements, and their places."""
     rows = column.to_pylist()
     good = np.array([i for i, x in enumerate(rows) if x is not None and len(x) == size and None not in x], int)
@@ -66,7 +66,7 @@ def _meet(corpus: DataFrame, block: list, k: int, key: str, vector: str, size: i
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                m, good = _matrix(part.column(1), size)
+                m, good = matrix(part.column(1), size)
                 if not len(good) or not names:
                     continue
                 own = part.column(0).to_pylist()
@@ -110,5 +110,3 @@ def index_stats(df: DataFrame, vector: str, size: int) -> DataFrame:
     """One row: stored, rejected, dimension."""
     good = V.valid(F.col(vector), size)
     return df.agg(F.count_if(good).alias("stored"), F.count_if(~good).alias("rejected"), F.lit(size).alias("dimension"))
-
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazetta.functions import lexicon as L
 from gazetta.functions import text as T
+from gazetta.functions import vectors as V
 from gazetta.operators import models
 
 #: Entity label, category, tag prefix. Other labels are entities only.
@@ -76,13 +77,30 @@ def tag_summary(categories: Column, n: int = 3) -> Column:
     return F.when(F.size(filled) > 0, F.array_join(said, "; ")).otherwise("No tags identified")
 
 
+def word_counts(words: Column) -> Column:
+    """Distinct words of an array with their counts (structs n, w), by sorting and the places where runs begin: nothing is shuffled."""
+
+    def runs(ws: Column) -> Column:
+        begin = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | (F.get(ws, i) != F.get(ws, i - 1)))
+
+        def counted(at: Column) -> Column:
+            return F.transform(at, lambda i, k: F.struct((F.coalesce(F.get(at, k + 1), F.size(ws)) - i).alias("n"), F.get(ws, i).alias("w")))
+
+        return V.let(begin, counted)
+
+    empty = F.array().cast("array<struct<n:int,w:string>>")
+    return F.when(F.size(words) > 0, V.let(F.array_sort(words), runs)).otherwise(empty)
+
+
 def keywords(df: DataFrame, key: str, title: Column, text: Column, groups: dict[str, list[str]], n: int = 10) -> DataFrame:
     """key, found (group names with a phrase in the text), general (words over two letters that occur twice, most frequent first, at most n of the first 20)."""
-    low = L.title_and_text(title, text)
     stop = sorted({w for some in models.LANGUAGE_WORDS.values() for w in some})
-    words = F.filter(F.split(low, r"(?U)[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 2) & ~w.isin(stop))
-    base = df.select(key, L.groups_found(low, groups).alias("found"), words.alias("w"))
-    counts = base.select(key, F.explode("w").alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    ordered = counts.where("n > 1").groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("w")))).alias("s"))
-    top = ordered.select(key, F.transform(F.slice("s", 1, min(n, 20)), lambda x: x["w"]).alias("general"))
-    return base.select(key, "found").join(top, key, "left").withColumn("general", F.coalesce("general", F.array().cast("array<string>")))
+
+    def of(low: Column) -> Column:
+        words = F.filter(F.split(low, r"(?U)[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 2) & ~w.isin(stop))
+        often = F.filter(word_counts(words), lambda x: x["n"] > 1)
+        ranked = F.slice(F.array_sort(F.transform(often, lambda x: F.struct((-x["n"]).alias("m"), x["w"].alias("w")))), 1, min(n, 20))
+        return F.struct(L.groups_found(low, groups).alias("found"), F.transform(ranked, lambda x: x["w"]).alias("general"))
+
+    found = df.select(key, V.let(L.title_and_text(title, text), of).alias("__k"))
+    return found.select(key, "__k.found", "__k.general")

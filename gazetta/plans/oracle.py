@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gazetta.functions import lexicon as L
+from gazetta.operators import models
 from gazetta.plans.queries import NEAR, NOW, SIZE
 
 ORACLE_SQL: dict[str, str] = {}
@@ -189,18 +190,12 @@ select source, count(*) as article_count, round(avg(n_chars), 6) as avg_confiden
     "optimal_k": "select source, lang, count(*) as n, case when count(*) < 10 then least(count(*), 8) else least(greatest(count(*) // 10, 20), 150, count(*)) end as k from documents group by 1, 2",
     "knn_topk": "select query_id, neighbour_id, similarity, rank::int as rank from (select q.vec_id as query_id, e.vec_id as neighbour_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as similarity, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) desc, e.vec_id) as rank from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 20 = 0) where rank <= 15",
     "vector_search_topk": f"select vec_id, round(greatest(0, least(1, (list_cosine_similarity(embedding::double[], {QUERY}::double[]) + 1) / 2)), 4) as similarity from embeddings order by similarity desc, vec_id limit 10",
-    "vector_normalize": f"with {UNNESTED}, scaled as (select vec_id, pos, x * (vec_id % 7) as x from parts), sums as (select vec_id, pos, x, sqrt(sum(x * x) over (partition by vec_id)) as s from scaled) select vec_id, pos::int as pos, round(case when s > 0 then x / s else x end, 6) as x from sums where pos < 4",
-    "vector_blend": f"""
-with {UNNESTED}, mixed as (select a.vec_id, a.pos, 0.7::double * a.x + 0.3::double * b.x as x, a.x as o from parts a join parts b on a.vec_id = b.vec_id and b.pos = {SIZE - 1} - a.pos),
-again as (select vec_id, pos, case when vec_id % 2 = 0 then 0.8::double * x - 0.2::double * o else x end as x from mixed), sums as (select *, sqrt(sum(x * x) over (partition by vec_id)) as s from again)
-select vec_id, pos::int as pos, round(x / s, 6) as x from sums where pos < 4""",
     "vector_normalize_whole": f"with {UNNESTED}, scaled as (select vec_id, pos, x * (vec_id % 7) as x from parts), sums as (select vec_id, pos, x, sqrt(sum(x * x) over (partition by vec_id)) as s from scaled) select vec_id, pos::int as pos, round(case when s > 0 then x / s else x end, 6) as x from sums",
     "vector_blend_whole": f"""
 with {UNNESTED}, mixed as (select a.vec_id, a.pos, 0.7::double * a.x + 0.3::double * b.x as x, a.x as o from parts a join parts b on a.vec_id = b.vec_id and b.pos = {SIZE - 1} - a.pos),
 again as (select vec_id, pos, case when vec_id % 2 = 0 then 0.8::double * x - 0.2::double * o else x end as x from mixed), sums as (select *, sqrt(sum(x * x) over (partition by vec_id)) as s from again)
 select vec_id, pos::int as pos, round(x / s, 6) as x from sums""",
     "vector_index_stats": f"select count(*) filter (where vec_id % 10 not in (3, 4)) as stored, count(*) filter (where vec_id % 10 in (3, 4)) as rejected, {SIZE}::int as dimension from embeddings",
-    "embedding_decode": "select vec_id, len(embedding)::int as n, round(embedding[1]::double, 5) as first from embeddings",
     "embedding_decode_whole": f"with {UNNESTED} select vec_id, pos::int as pos, round(x, 5) as x from parts",
     "incremental_assign": f"""
 with parts as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings where vec_id % 3 > 0),
@@ -213,3 +208,78 @@ b as (select item_id, list_distinct(list_filter(string_split(regexp_replace(lowe
 pairs as (select doc_id, item_id, round(len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v))), 9) as j from a cross join b)
 select doc_id, item_id, round(j, 6) as jaccard from (select *, row_number() over (partition by doc_id order by j desc, item_id) as k from pairs where j > 0.05) where k = 1""",
 }
+
+LISTED = "array_to_string(list_sort(list_distinct({})), ',')"
+STOPPED = sorted({w for some in models.LANGUAGE_WORDS.values() for w in some})
+SCRIPTS = "(case doc_id % 4 when 0 then '漢字漢字漢字' when 1 then 'かなカナひらがな' when 2 then '한글한글한글' else '' end || left(text, 40))"
+VOTES = ", ".join(f"len(list_filter(w, lambda x: list_contains({some!r}, x))) as {code}" for code, some in models.LANGUAGE_WORDS.items())
+MOST = f"greatest({', '.join(models.LANGUAGE_WORDS)})"
+
+ORACLE_SQL |= {
+    "field_defaults": "select doc_id, case when lang <> 'en' then lang else 'Unknown' end as region, case when doc_id % 3 = 0 then source else 'General' end as topic, 'LOW' as priority_level from documents",
+    "batch_totals": f"with {TITLED} select source, count(*) as articles, sum(len(list_filter(string_split(lower(title), ' '), lambda w: length(w) > 2)))::bigint as total_tags, sum(case when lang <> 'en' then 2 else 0 end)::bigint as total_entities from titled group by source",
+    "untagged_newest": "select doc_id, n_chars from documents where lang = 'de'",
+    "prediction_rows": "select doc_id as osint_id, source as event_type, upper(lang) as region, round(n_chars / 1e6, 6) as likelihood_score, 'rules' as model_used from documents where lang = 'fr'",
+    "pending_clusters": "select (n_chars // 100)::int as cluster, count(*) as n from documents group by 1 having count(*) >= 3",
+    "ingest_status": """
+with q as (select count(*) as n from events where event_type = 'view')
+select (select count(*) from documents) + n as articles_scraped, (select count(*) from documents where doc_id in (select doc_id from labels)) as articles_processed, (select count(distinct label) from embeddings) as clusters_created,
+  (select count(*) from documents where n_chars > 1000) as summaries_generated, n as queue_size, case when n > 0 then 'active' else 'inactive' end as status from q""",
+    "daily_digest": """
+with last as (select user_id as cluster, ts, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events),
+chosen as (select cluster from last where k = 1 and event_type = 'purchase' and ts >= timestamp '2024-01-30' and ts <= timestamp '2024-01-31'),
+rows as (select *, doc_id % 150 as cluster from documents where doc_id % 150 in (select cluster from chosen)),
+langs as (select cluster, lang, row_number() over (partition by cluster order by count(*) desc, lang) as k from rows group by cluster, lang),
+sources as (select cluster, source, row_number() over (partition by cluster order by count(*) desc, source) as k from rows group by cluster, source),
+base as (select cluster, count(*) as n, string_agg(distinct source, ',' order by source) as sources from rows group by 1)
+select lang, source, row_number() over (partition by lang, source order by cluster)::int as item, cluster, n, sources from base join (from langs where k = 1) using (cluster) join (from sources where k = 1) using (cluster)""",
+    "cluster_stats_full": f"""
+with {TITLED}, words as (select source, {WORDS} as w from titled), tags as (select source, count(distinct w) as unique_tags from words group by 1)
+select source, count(*) as article_count, round(avg(n_chars), 6) as avg_confidence, round(max(doc_id % 10) / 10, 6)::double as max_escalation, coalesce(any_value(unique_tags), 0) as unique_tags, count(distinct lang) as unique_entities,
+  case when max(doc_id % 10) >= 7 then 'high' when max(doc_id % 10) >= 3 then 'medium' else 'low' end as escalation_level from titled left join tags using (source) group by source""",
+    "cluster_records": f"""
+with {TITLED}, members as (select label, doc_id, title, lang, embedding from titled join embeddings on doc_id = vec_id),
+parts as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from members),
+centers as (select label, list(x order by pos) as center from (select label, pos, avg(x) as x from parts group by all) group by label),
+medoids as (select m.label, arg_min(doc_id, [round(list_distance(embedding::double[], center), 9), doc_id]) as representative_article_id from members m join centers c on m.label = c.label group by m.label),
+words as (select label, unnest(list_filter(string_split(lower(title), ' '), lambda w: length(w) > 2)) as w from members),
+ranked as (select label, w, row_number() over (partition by label order by count(*) desc, w) as k from words group by label, w),
+tags as (select label, string_agg(w, ',' order by k) as top_tags from ranked where k <= 10 group by 1),
+langs as (select label, lang, row_number() over (partition by label order by count(*) desc, lang) as k from members group by label, lang),
+entities as (select label, string_agg(lang, ',' order by k) as top_entities from langs where k <= 10 group by 1)
+select m.label, count(*) as member_count, any_value(representative_article_id)::bigint as representative_article_id, coalesce(any_value(top_tags), '') as top_tags, any_value(top_entities) as top_entities, case when count(*) < 3 then 'complete' else 'pending' end as status
+from members m join medoids d on m.label = d.label left join tags t on m.label = t.label join entities e on m.label = e.label group by m.label""",
+    "cluster_members": "select label, doc_id, lang from documents join embeddings on doc_id = vec_id where label <> -1",
+    "page_metadata": "select page_id, case when page_id % 3 > 0 then 'A ' || page_id end as author, case when page_id % 3 > 0 then "
+    + cleaned("('About & ' || url)")
+    + " end as description, case when page_id % 3 > 0 then '2024-01-02' end as date, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages",
+    "language_scripts": f"select doc_id, {language(SCRIPTS)} as service_code, case when length(trim({SCRIPTS})) < 3 then 'en' when {share(SCRIPTS, HAN)} > 0.1 then 'zh' when {share(SCRIPTS, KANA)} > 0.1 then 'ja' when {share(SCRIPTS, KO)} > 0.1 then 'ko' else 'en' end as translator_code from documents",
+    "ingest_white_space": rf"""
+with {TITLED}, stripped as (select doc_id, length(regexp_replace(left(text, 55), '^\s+|\s+$', '', 'g')) as b, length(regexp_replace(left(title, 6), '^\s+|\s+$', '', 'g')) as t from titled)
+select doc_id, case when b < 50 then 'body too short' when t < 5 then 'title too short' end as reason from stripped""",
+    "queue_malformed": """select case when doc_id % 3 = 0 then '{"article_id":"' || doc_id || '"' else doc_id::varchar end as article_id, case when doc_id % 3 > 0 then lang end as region from documents""",
+    "latest_by_user": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as k from events) where k = 1",
+    "incremental_assign_all": f"""
+with {CENTERS}, scored as (select e.vec_id, c.label, round({COSINE}, 9) as s from embeddings e cross join centers c)
+select vec_id, case when s >= {NEAR} then label end as label, round(s, 6) as similarity from (select *, row_number() over (partition by vec_id order by s desc, label) as k from scored) where k = 1""",
+    "tfidf_embeddings": rf"""
+with words as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]{{2,}}'), lambda w: not list_contains({models.LANGUAGE_WORDS["en"]!r}, w)) as w from documents),
+terms as (select doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from words),
+counts as (select doc_id, term, count(*) as n from terms group by all),
+vocabulary as (select term, count(*) as texts from counts group by 1 order by sum(n) desc, term limit 200),
+weighted as (select doc_id, term, n * (ln((1 + (select count(*) from documents)) / (1 + texts)) + 1) as x from counts join vocabulary using (term))
+select doc_id, term, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) as weight from weighted""",
+    "top_keywords": rf"""
+with {TITLED}, words as (select doc_id, unnest(list_filter(regexp_split_to_array({LOW}, '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2 and not list_contains({STOPPED!r}, w))) as w from titled),
+ranked as (select doc_id, w, row_number() over (partition by doc_id order by count(*) desc, w) as k from words group by doc_id, w having count(*) > 1),
+general as (select doc_id, string_agg(w, ',' order by k) as general from ranked where k <= 10 group by 1)
+select t.doc_id, {found(L.PLAIN_GROUPS, LOW)} as found, coalesce(general, '') as general from titled t left join general g on t.doc_id = g.doc_id""",
+    "language_vote": rf"""
+with words as (select doc_id, regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') as w from documents), votes as (select doc_id, {VOTES} from words)
+select doc_id, case when {MOST} = 0 then 'unknown' {" ".join(f"when {c} = {MOST} then '{c}'" for c in models.LANGUAGE_WORDS)} end as language from votes""",
+    "lead_summaries": r"""
+with bare as (select doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) as t from documents),
+split as (select doc_id, t, string_split(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(31), 'g'), chr(31)) as s from bare),
+fit as (select doc_id, t, s, list_transform(range(1, len(s) + 1), lambda k: array_to_string(s[1:k], ' ')) as p from split)
+select doc_id, case when length(t) < 100 then t when length(s[1]) > 600 then left(s[1], 600) || '...' else list_filter(p, lambda x: length(x) <= 600)[-1] end as summary from fit""",
+}

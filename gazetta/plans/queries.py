@@ -489,23 +489,11 @@ def coordinates(rows: DataFrame, v: Column) -> DataFrame:
     return rows.select("vec_id", F.posexplode(v).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query
-def vector_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    """The first four coordinates, as its SQL states; vector_normalize_whole has all."""
-    return coordinates(normalized(spark, folder), F.slice("unit", 1, 4))
-
-
 @query
 def vector_normalize_whole(spark: SparkSession, folder: str) -> DataFrame:
     return coordinates(normalized(spark, folder), F.col("unit"))
 
 
-@query
-def vector_blend(spark: SparkSession, folder: str) -> DataFrame:
-    """The first four coordinates, as its SQL states; vector_blend_whole has all."""
-    return coordinates(blended(spark, folder), F.slice("unit", 1, 4))
-
-
 @query
 def vector_blend_whole(spark: SparkSession, folder: str) -> DataFrame:
     return coordinates(blended(spark, folder), F.col("unit"))
@@ -517,12 +505,6 @@ def vector_index_stats(spark: SparkSession, folder: str) -> DataFrame:
     return search.index_stats(rows, "embedding", SIZE)
 
 
-@query
-def embedding_decode(spark: SparkSession, folder: str) -> DataFrame:
-    text = vectors(spark, folder).select("vec_id", F.to_json("embedding").alias("j"))
-    return text.select("vec_id", F.size(V.decoded(F.col("j"))).alias("n"), F.round(F.get(V.decoded(F.col("j")), F.lit(0)).cast("double"), 5).alias("first"))
-
-
 @query
 def embedding_decode_whole(spark: SparkSession, folder: str) -> DataFrame:
     text = vectors(spark, folder).select("vec_id", F.to_json("embedding").alias("j"))
@@ -543,6 +525,124 @@ def topic_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return C.nearest_topics(rows, topics, "doc_id", "title", "item_id", "text", 0.05).withColumn("jaccard", F.round("jaccard", 6))
 
 
+# --- stores, states and runs
+
+
+@query
+def field_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    rows = docs(spark, folder).select("doc_id", F.when(F.col("lang") != "en", F.col("lang")).alias("region"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("topic"))
+    return R.with_defaults(rows, {"region": F.lit("Unknown"), "topic": F.lit("General"), "priority_level": F.lit("LOW")})
+
+
+@query
+def batch_totals(spark: SparkSession, folder: str) -> DataFrame:
+    rows = titled(spark, folder).select("source", title_words().alias("tags"), F.when(F.col("lang") != "en", F.array("lang", "source")).alias("entities"))
+    return R.batch_totals(rows, ["tags", "entities"], ["source"])
+
+
+@query
+def untagged_newest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = docs(spark, folder).select("doc_id", "n_chars", F.when(F.col("lang") != "de", F.array("lang")).alias("tags"))
+    return R.untagged(rows, [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "n_chars")
+
+
+@query
+def prediction_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return store.predictions(docs(spark, folder).where("lang = 'fr'"), "doc_id", F.col("source"), F.upper("lang"), F.round(F.col("n_chars") / 1e6, 6), "rules")
+
+
+@query
+def pending_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = docs(spark, folder).groupBy((F.col("n_chars") / 100).cast("int").alias("cluster")).agg(F.count("*").alias("n"))
+    return reports.pending_clusters(reports.route_summaries(sizes)).select("cluster", "n")
+
+
+@query
+def ingest_status(spark: SparkSession, folder: str) -> DataFrame:
+    articles = docs(spark, folder).withColumn("summary", F.when(F.col("n_chars") > 1000, F.lit("s")))
+    return reports.ingest_status(articles, events(spark, folder).where("event_type = 'view'"), readers.table(spark, folder, "labels"), vectors(spark, folder).select("label").distinct(), "doc_id", "summary")
+
+
+@query
+def daily_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Users stand for clusters: complete ones are those whose last event is a purchase, and documents are their members."""
+    clusters = events(spark, folder).groupBy(F.col("user_id").alias("cluster")).agg(F.max_by(F.when(F.col("event_type") == "purchase", "complete").otherwise("pending"), F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))
+    members = docs(spark, folder).withColumn("cluster", F.col("doc_id") % 150)
+    out = reports.daily_digest(clusters, members, "cluster", "ts", F.lit("2024-01-31 00:00:00").cast("timestamp"), "lang", "source", "source")
+    return out.select("lang", "source", "item", "cluster", "n", F.array_join("sources", ",").alias("sources"))
+
+
+@query
+def cluster_stats_full(spark: SparkSession, folder: str) -> DataFrame:
+    rows = titled(spark, folder).withColumn("escalation", (F.col("doc_id") % 10) / 10)
+    return reports.cluster_stats(rows, "source", "n_chars", title_words(), F.array("lang"), "escalation")
+
+
+@query
+def cluster_records(spark: SparkSession, folder: str) -> DataFrame:
+    """What is written back for each cluster: documents' titles and languages, and the embeddings' labels as clusters."""
+    rows = titled(spark, folder).join(vectors(spark, folder), F.col("doc_id") == F.col("vec_id"))
+    out = pipeline.cluster_records(rows, "label", "doc_id", F.col("title"), title_words(), F.array("lang"), "embedding")
+    return out.select("label", "member_count", "representative_article_id", F.array_join("top_tags", ",").alias("top_tags"), F.array_join("top_entities", ",").alias("top_entities"), "status")
+
+
+@query
+def cluster_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The articles of clusters that list their members' ids."""
+    listed = C.sizes(vectors(spark, folder), "label", "vec_id").select("label", F.explode("members").alias("doc_id"))
+    return docs(spark, folder).join(listed, "doc_id").select("label", "doc_id", "lang")
+
+
+@query
+def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with meta elements put before them, since the given ones have none."""
+    meta = F.concat(F.lit("<meta name=\"author\" content=\"A "), F.col("page_id").cast("string"), F.lit("\"><meta name='description' content='About &amp; "), F.col("url"), F.lit("'><META property=\"article:published_time\" content=\"2024-01-02\">"))
+    pages = readers.table(spark, folder, "pages").withColumn("html", F.when(F.col("page_id") % 3 > 0, F.concat(meta, F.col("html"))).otherwise(F.col("html")))
+    return readers.scraped(pages).select("page_id", "author", "description", "date", "host")
+
+
+@query
+def language_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts in several scripts: a piece of each document behind Han, kana, Hangul or nothing."""
+    said = F.when(F.col("doc_id") % 4 == 0, "漢字漢字漢字").when(F.col("doc_id") % 4 == 1, "かなカナひらがな").when(F.col("doc_id") % 4 == 2, "한글한글한글").otherwise("")
+    text = F.concat(said, F.substring("text", 1, 40))
+    return docs(spark, folder).select("doc_id", T.detect_language(text).alias("service_code"), T.detect_language(text, "translator").alias("translator_code"))
+
+
+@query
+def ingest_white_space(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles and bodies with white space of all kinds around them, none of which counts."""
+    rows = titled(spark, folder).select("doc_id", F.concat(F.lit(" \t\n"), F.substring("title", 1, 6), F.lit("\r\n ")).alias("title"), F.concat(F.lit("\n" * 40), F.substring("text", 1, 55), F.lit("\t" * 20)).alias("text"))
+    return rows.withColumn("reason", R.ingest_reason(F.col("title"), F.col("text"))).select("doc_id", "reason")
+
+
+@query
+def queue_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of which every third lacks its end: they stay, as they are, in the id."""
+    whole = F.to_json(F.struct(F.col("doc_id").cast("string").alias("article_id"), F.col("lang").alias("region")))
+    rows = docs(spark, folder).select(F.when(F.col("doc_id") % 3 == 0, F.substring_index(whole, ",", 1)).otherwise(whole).alias("value"))
+    return readers.queued(rows, "article_id string, region string").select("article_id", "region")
+
+
+@query
+def latest_by_user(spark: SparkSession, folder: str) -> DataFrame:
+    """Of a batch's rows with one key the last one, as a whole."""
+    return stages.last_rows(events(spark, folder).select("user_id", "ts", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query
+def incremental_assign_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector to the nearest centroid of all labels."""
+    rows = vectors(spark, folder)
+    out = C.assign_to_centers(rows.select("vec_id", "embedding"), C.centroids(rows, "label", "embedding"), "vec_id", "label", "embedding", NEAR)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def tfidf_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return models.tfidf(docs(spark, folder), "doc_id", F.col("text"), 200).withColumn("weight", F.round("weight", 6))
+
+
 # --- rows that SQL cannot state
 
 
@@ -580,6 +680,14 @@ def cluster_lead_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.summarise(docs(spark, folder).withColumn("cluster", F.xxhash64("text") % 1000), "cluster", "doc_id", "text")
 
 
+@query
+def clustering_run(spark: SparkSession, folder: str) -> DataFrame:
+    """k estimated, k-means, summaries: what is stored of each cluster."""
+    rows = titled(spark, folder).join(vectors(spark, folder), F.col("doc_id") == F.col("vec_id")).select("doc_id", "title", "text", "embedding")
+    _, stored = pipeline.clustering_run(rows, "doc_id", "title", "text", threshold=NEAR)
+    return stored
+
+
 @query
 def html_main_content(spark: SparkSession, folder: str) -> DataFrame:
     return readers.table(spark, folder, "pages").select("page_id", P.content(F.col("html")).alias("content"))

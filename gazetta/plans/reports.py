@@ -45,6 +45,46 @@ def source_categories(df: DataFrame, name: Column, words: tuple[str, str]) -> Da
     return df.agg(F.count("*").alias("total"), F.count_if(a).alias("first"), F.count_if(b).alias("second"), F.count_if(~a & ~b).alias("neither"))
 
 
+def ingest_status(articles: DataFrame, queue: DataFrame, processed: DataFrame, clusters: DataFrame, key: str, summary: str) -> DataFrame:
+    """One row for a dashboard: articles_scraped (stored and queued), articles_processed, clusters_created, summaries_generated, queue_size, status."""
+    done = articles.join(processed.select(key).distinct(), key, "left_semi")
+    parts = [
+        articles.agg(F.count("*").alias("stored"), F.count(summary).alias("summaries_generated")),
+        queue.agg(F.count("*").alias("queue_size")), done.agg(F.count("*").alias("articles_processed")), clusters.agg(F.count("*").alias("clusters_created")),
+    ]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.crossJoin(p)  # one row each
+    status = F.when(F.col("queue_size") > 0, "active").otherwise("inactive")
+    return one.select((F.col("stored") + F.col("queue_size")).alias("articles_scraped"), "articles_processed", "clusters_created", "summaries_generated", "queue_size", status.alias("status"))
+
+
+def pending_clusters(clusters: DataFrame, status: str = "status") -> DataFrame:
+    return clusters.where(F.col(status) == "pending")
+
+
+def recent_complete(clusters: DataFrame, time: str, now: Column, status: str = "status") -> DataFrame:
+    """Clusters that were completed in the last 24 hours."""
+    return clusters.where((F.col(status) == "complete") & (F.col(time).cast("timestamp") >= now - F.expr("INTERVAL 1 DAY")) & (F.col(time).cast("timestamp") <= now))
+
+
+def daily_digest(clusters: DataFrame, members: DataFrame, cluster: str, time: str, now: Column, region: str, topic: str, source: str) -> DataFrame:
+    """grouped_digest of the clusters that were completed in the last 24 hours; clusters without members are left out."""
+    some = recent_complete(clusters, time, now).select(cluster)
+    return grouped_digest(members.join(some, cluster, "left_semi"), cluster, region, topic, source)
+
+
+def cluster_stats(members: DataFrame, cluster: str, score: str, tags: Column, entities: Column, escalation: str) -> DataFrame:
+    """Per cluster article_count, avg_confidence, unique_tags, unique_entities, max_escalation and escalation_level (by thresholds 0.3 and 0.7)."""
+    rows = members.withColumns({"__tags": tags, "__entities": entities})
+    base = rows.groupBy(cluster).agg(F.count("*").alias("article_count"), F.round(F.avg(score), 6).alias("avg_confidence"), F.round(F.max(escalation), 6).alias("max_escalation"))
+    for c, name in (("__tags", "unique_tags"), ("__entities", "unique_entities")):
+        distinct = rows.select(cluster, F.explode(c).alias("t")).distinct().groupBy(cluster).agg(F.count("*").alias(name))
+        base = base.join(distinct, cluster, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    level = F.when(F.col("max_escalation") >= 0.7, "high").when(F.col("max_escalation") >= 0.3, "medium").otherwise("low")
+    return base.withColumn("escalation_level", level)
+
+
 def route_summaries(sizes: DataFrame, size: str = "n", least: int = LEAST_SIZE) -> DataFrame:
     """Pending clusters: small ones are complete with a fixed text, others are to be summarised."""
     small = F.col(size) < least

@@ -44,9 +44,9 @@ def queued(df: DataFrame, schema: str, value: str = "value", key: str = "article
 
 
 def scraped(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Articles of fetched pages: title, description, url, host; text is left to the extractors."""
+    """Articles of fetched pages: title, description, author, date, url, host; text is left to the extractors."""
     page = F.col(html)
-    return pages.withColumns({"title": T.extract_title(page), "description": T.extract_meta_description(page), "host": F.regexp_extract(F.col(url), r"^[a-z]+://([^/:?#]+)", 1)})
+    return pages.withColumns({"title": T.extract_title(page), "description": T.extract_meta_description(page), "author": T.extract_author(page), "date": T.extract_published(page), "host": F.regexp_extract(F.col(url), r"^[a-z]+://([^/:?#]+)", 1)})
 
 
 def needs_translation(language: Column) -> Column:

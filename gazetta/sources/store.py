@@ -55,6 +55,39 @@ def records(df: DataFrame, name: str = "value") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
+def push(df: DataFrame, path: str) -> None:
+    """Rows to the end of a queue: a folder of JSON lines that the next stage reads as a stream."""
+    records(df).write.mode("append").text(path)
+
+
+def queue_size(spark: SparkSession, path: str) -> int:
+    """Records of a queue; 0 without one."""
+    fs, at = file_system(spark, path)
+    return spark.read.text(path).count() if fs.exists(at) and len(fs.listStatus(at)) else 0
+
+
+def clear_queue(spark: SparkSession, path: str) -> None:
+    remove(spark, path)
+
+
+def predictions(df: DataFrame, key: str, event_type: Column, region: Column, score: Column, model: str) -> DataFrame:
+    """Rows of the predictions table for tagged rows."""
+    return df.select(F.col(key).alias("osint_id"), event_type.alias("event_type"), region.alias("region"), score.alias("likelihood_score"), F.lit(model).alias("model_used"))
+
+
+def cluster_rows(df: DataFrame, now: Column) -> DataFrame:
+    """New rows of the clusters table: label, description, centre, member count and representative of df; status pending."""
+    fields = ["label", "description", "center_embedding", "member_count", "representative_article_id"]
+    own = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in fields]
+    return df.select("id", *own, F.lit("pending").alias("status"), now.alias("created_at"))
+
+
+def cluster_update(df: DataFrame, now: Column, status: str | None = None) -> DataFrame:
+    """A patch for merge() of the clusters table: df's fields, the time, and a new status if one is given."""
+    out = df.withColumn("updated_at", now)
+    return out.withColumn("status", F.lit(status)) if status else out
+
+
 #: Columns of the two external tables.
 OSINT = "title content url source primary_country primary_city primary_region all_locations keyword_tags semantic_tags geographic_tags sentiment_score significance_score language scraped_at processed_at title_embedding content_embedding".split()
 GDELT = "title content source_url source primary_country primary_city primary_region keyword_tags semantic_tags geographic_tags sentiment_score significance_score language processed_at title_embedding content_embedding".split()

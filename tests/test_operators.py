@@ -226,3 +226,42 @@ def test_long_words_are_cut_not_lost():
     word = "".join(chr(97 + i % 26) for i in range(1500))
     chunks = text.translation_chunks(f"One. {word} two three. Four {word}", 450)
     assert max(map(len, chunks)) <= 450 and "".join(" ".join(chunks).split()) == "".join(f"One. {word} two three. Four {word}".split())
+
+
+def test_plans_read_the_text_once(spark, small):
+    plan = queries.QUERIES["process_articles"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 4
+    plan = queries.QUERIES["top_keywords"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_word_counts(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "b", "a"],), ([],), (None,)], "w array<string>")
+    got = [r[0] for r in df.select(tagging.word_counts(F.col("w"))).collect()]
+    assert [[tuple(x) for x in g] for g in got] == [[(2, "a"), (3, "b"), (1, "c")], [], []]
+
+
+def test_nearest_centre_with_odd_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [1.0, 1.0])], "id int, v array<double>").repartition(2)
+    centers = spark.createDataFrame([("b", [0.0, 1.0]), ("a", [1.0, 0.0])], "c string, center array<double>")
+    for most in (1, 10):
+        got = {r.id: (r.c, r.similarity) for r in C.assign_to_centers(rows, centers, "id", "c", "v", 0.5, most).collect()}
+        assert got == {1: ("a", 1.0), 2: (None, None), 3: (None, None), 4: (None, 0.0), 5: ("a", 0.707106781)}
+    assert {r.c for r in C.assign_to_centers(rows, centers.limit(0), "id", "c", "v", 0.5).collect()} == {None}
+
+
+def test_cluster_texts_take_the_first_members(spark):
+    df = spark.createDataFrame([(1 if i % 2 else 2, i, f"t{i}") for i in range(200)] + [(3, 900, "x"), (None, 901, "y")], "c int, id int, b string").repartition(4)
+    got = {r.c: (r.n, r.text) for r in pipeline.cluster_texts(df, "c", "id", "b", most=3).collect()}
+    assert got == {1: (100, "t1\n\nt3\n\nt5"), 2: (100, "t0\n\nt2\n\nt4")}
+
+
+def test_clustering_run(spark, small):
+    rows = queries.titled(spark, small).join(queries.vectors(spark, small), F.col("doc_id") == F.col("vec_id")).select("doc_id", "title", "text", "embedding")
+    assigned, stored = pipeline.clustering_run(rows, "doc_id", "title", "text", threshold=0.15)
+    sizes = {r.cluster: r.n for r in assigned.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    assert assigned.count() == rows.count() and len([c for c in sizes if c is not None]) <= max(20, rows.count() // 10)
+    kept = {r.cluster: r for r in stored.collect()}
+    assert set(kept) == {c for c, n in sizes.items() if c is not None and n >= 3} and all(kept[c].member_count == sizes[c] and kept[c].summary and kept[c].status == "complete" for c in kept)
+    assert len({r.cluster_id for r in kept.values()}) == len(kept)
+    assert pipeline.cluster(rows.limit(0), "doc_id").count() == 0

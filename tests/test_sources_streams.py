@@ -149,3 +149,45 @@ def test_old_versions_leave(spark, tmp_path):
     for i in range(5):
         store.merge(spark, path, spark.createDataFrame([(i,)], "k int"), "k", keep=2)
     assert len(store.versions(spark, path)) == 2 and spark.read.parquet(store.versions(spark, path)[-1]).count() == 5
+
+
+def test_queue_folder(spark, tmp_path):
+    path = str(tmp_path / "q")
+    assert store.queue_size(spark, path) == 0
+    store.push(spark.createDataFrame([("1", "x"), ("2", None)], "article_id string, region string"), path)
+    store.push(spark.createDataFrame([("3", "y")], "article_id string, region string"), path)
+    assert store.queue_size(spark, path) == 3
+    got = {tuple(r) for r in readers.queued(spark.read.text(path), "article_id string, region string").collect()}
+    assert got == {("1", "x"), ("2", None), ("3", "y")}
+    store.clear_queue(spark, path)
+    assert store.queue_size(spark, path) == 0
+
+
+def test_chain_of_stages(spark, tmp_path):
+    from gazetta.streaming import chain
+
+    words = {"a": "navy ships sail near taiwan and the pla watches them", "b": "banks raise rates and trade slows in the market"}
+    rows = [(f"{g}{i}", f"title {g} {i}", f"{text}. More about it, part {i}.", "u") for g, text in words.items() for i in range(6)]
+    store.push(spark.createDataFrame(rows + [("x", "no text", "", "u"), ("a0", "again", words["a"], "u")], chain.RAW_QUEUE).repartition(3), str(tmp_path / "raw"))
+    for _ in range(2):  # a second run finds nothing new
+        chain.run_chain(spark, str(tmp_path / "raw"), str(tmp_path / "out"), k=2, threshold=0.1, size=64)
+    articles = spark.read.parquet(store.versions(spark, str(tmp_path / "out/articles"))[-1])
+    clusters = spark.read.parquet(store.versions(spark, str(tmp_path / "out/clusters"))[-1])
+    assert articles.count() == 12 and {len(r.embedding) for r in articles.collect()} == {64}
+    groups = {}
+    for r in articles.collect():
+        groups.setdefault(r.cluster_id, set()).add(r.article_id[0])
+    assert sorted(map(tuple, groups.values())) == [("a",), ("b",)]
+    assert {r.cluster_id: (r.member_count, r.status) for r in clusters.collect()} == {c: (6, "complete") for c in groups}
+    assert all(r.summary and r.theme.startswith("title") for r in clusters.collect())
+    assert any("GEO:taiwan" in r.tags for r in articles.collect())
+
+
+def test_cluster_rows_and_updates(spark, tmp_path):
+    path, now = str(tmp_path / "clusters"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    store.merge(spark, path, store.cluster_rows(spark.createDataFrame([("c1", "ships", 3), ("c2", "rates", 2)], "id string, label string, member_count int"), now), "id")
+    first = spark.read.parquet(store.versions(spark, path)[-1]).withColumns({"updated_at": F.lit(None).cast("timestamp"), "summary": F.lit(None).cast("string")})
+    store.merge(spark, str(tmp_path / "c"), first, "id")
+    store.merge(spark, str(tmp_path / "c"), store.cluster_update(spark.createDataFrame([("c1", "said", 4)], "id string, summary string, member_count int"), now, "complete"), "id")
+    got = {r.id: (r.status, r.summary, r.member_count, r.label) for r in spark.read.parquet(store.versions(spark, str(tmp_path / "c"))[-1]).collect()}
+    assert got == {"c1": ("complete", "said", 4, "ships"), "c2": ("pending", None, 2, "rates")}
