@@ -272,7 +272,7 @@ def _in_step(segments: list, kind: type) -> None:
         window = wide[place >> 3] << (8 + (place & 7))  # the next 48 bits and more, at the top
         found = job.tables[job.table[live], window >> 48 & 0xFFFF]
         length, symbol = found >> 8, found & 255
-        if not length.all():
+        if length.min() == 0:
             raise ValueError("no such Huffman code")
         at[live] = place + length + job.take(live, symbol, window << length)
         live = live[job.unit[live] < job.units[live]]
@@ -316,7 +316,8 @@ class _Job:
     def number(cls, window: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The signed number of size bits that a window begins with."""
         value = cls.bits(window, size)
-        return np.where(value >> np.maximum(size - 1, 0), value, value - (1 << size) + 1) * (size > 0)
+        # window's top bit is the number's first one: numbers that begin with 0 are negative, and none has no value
+        return value - np.where((window < 0) | (size == 0), 0, (1 << size) - 1)
 
 
 class _Bands(_Job):
@@ -334,24 +335,33 @@ class _Bands(_Job):
         self.k = self.first.copy()
         self.units = np.array([b - a for _, _, a, b in segments])
         self.starts = np.concatenate([[0], np.cumsum(self.units)])
-        self.out = np.zeros((int(self.starts[-1]), 64), np.int16)
+        self.out = np.zeros((int(self.starts[-1]) + 1, 64), np.int16)
+        self.flat = self.out.reshape(-1)
 
     def take(self, live: np.ndarray, symbol: np.ndarray, window: np.ndarray) -> np.ndarray:
         run, size = symbol >> 4, symbol & 15
-        value = self.number(window, size)
-        k = self.k[live] + np.where((size > 0) | (run == 15), run, 0)
-        unit = self.unit[live]
-        plain = size > 0
-        if (k[plain] > self.last[live][plain]).any():
+        k, unit, last = self.k[live] + run, self.unit[live], self.last[live]
+        used = size
+        # where no number is announced, a 0 is written to a place whose turn is still to come
+        self.flat[(self.starts[live] + unit) * 64 + np.minimum(k, 63)] = self.number(window, size) << self.low[live]
+        few = np.flatnonzero(size == 0)
+        skip = None
+        if len(few):
+            ends = run[few] < 15
+            more = np.where(ends, run[few], 0)
+            skip = np.where(ends, (1 << more) - 1 + self.bits(window[few], more), 0)
+            k[few] = np.where(ends, last[few], k[few])
+            used = size.copy()
+            used[few] = more
+        if ((k > last) & (size > 0)).any():
             raise ValueError("a run leaves its band")
-        self.out[self.starts[live[plain]] + unit[plain], k[plain]] = value[plain] << self.low[live[plain]]
-        ends = ~plain & (run < 15)
-        k = np.where(ends, self.last[live] + 1, k + 1)
-        skip = np.where(ends, (1 << run) - 1 + self.bits(window, np.where(ends, run, 0)), 0)
-        over = k > self.last[live]
-        self.unit[live] = unit + over + skip
-        self.k[live] = np.where(over, self.first[live], k)
-        return size + np.where(ends, run, 0)
+        over = k >= last
+        unit = unit + over
+        if skip is not None:
+            unit[few] += skip
+        self.unit[live] = unit
+        self.k[live] = np.where(over, self.first[live], k + 1)
+        return used
 
     def settle(self) -> None:
         for scan, at, n in self.whole():
@@ -771,7 +781,7 @@ def padded(raw: bytes) -> bytes:
 
 
 #: Characters of texts that are written together, and bytes of files that are read together.
-WRITTEN, READ = 1 << 17, 1 << 20
+WRITTEN, READ = 1 << 16, 1 << 20
 
 
 def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
