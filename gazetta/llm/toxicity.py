@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     single = materialize(found.groupBy("__order", "__id").agg(F.min("f").alias("f"), F.max("__y").alias("__y")))
     ordered = single.orderBy("__order", "__id").select("f", "__y")
     if (single.agg(F.sum(F.length("f"))).first()[0] or 0) <= KEEP_BYTES:
-        kept = [(bytes(r.f), r["__y"]) for r in ordered.collect()]
+        kept = list(_Pass(ordered))  # by partition, so that the JVM never holds all of them
         return train((kept for _ in range(epochs + 1)), calibration=CALIBRATION)
     return train((_Pass(ordered) for _ in range(epochs + 1)), calibration=CALIBRATION)
 
