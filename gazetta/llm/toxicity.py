@@ -107,7 +107,7 @@ def chance(x: float) -> float:
     return float(1 / (1 + np.exp(-min(max(x, -35.0), 35.0))))
 
 
-def train(rows: Iterable[Iterable[tuple[bytes, int]]], bits: int = TABLE_BITS, calibration: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def train(rows: Iterable[Iterable[tuple[bytes | memoryview, int]]], bits: int = TABLE_BITS, calibration: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights after the given epochs, each an iterable of (features as uint32 bytes, label).
 
     With calibration, the last iterable is not learnt from: its every calibration-th row is scored by a second model, which
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     single = materialize(found.groupBy("__order", "__id").agg(F.min("f").alias("f"), F.max("__y").alias("__y")))
     ordered = single.orderBy("__order", "__id").select("f", "__y")
     if (single.agg(F.sum(F.length("f"))).first()[0] or 0) <= KEEP_BYTES:
-        kept = list(_Pass(ordered))  # by partition, so that the JVM never holds all of them
+        kept = _Kept(_Pass(ordered))
         return train((kept for _ in range(epochs + 1)), calibration=CALIBRATION)
     return train((_Pass(ordered) for _ in range(epochs + 1)), calibration=CALIBRATION)
 
@@ -186,6 +186,21 @@ class _Pass:
         return ((bytes(r.f), r["__y"]) for r in self.rows.toLocalIterator())
 
 
+class _Kept:
+    """Rows of a pass in one buffer, which goes back to the system as a whole. They come by partition: the JVM never holds all."""
+
+    def __init__(self, rows: Iterable[tuple[bytes, int]]):
+        buffer, self.ends, self.labels = bytearray(), [0], []
+        for packed, label in rows:
+            buffer += packed
+            self.ends.append(len(buffer))
+            self.labels.append(label)
+        self.data = memoryview(buffer)
+
+    def __iter__(self) -> Iterator[tuple[memoryview, int]]:
+        return ((self.data[a:b], y) for a, b, y in zip(self.ends, self.ends[1:], self.labels, strict=False))
+
+
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, score and predicted of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
