@@ -418,15 +418,27 @@ class _Means(_Job):
                 k += o.shape[1]
 
 
-@lru_cache(64)
+#: Blocks of an image whose order is remembered.
+SMALL = 4096
+
+
 def _alone(high: int, wide: int, stride: int) -> np.ndarray:
     """Block numbers of a component in a scan of its own."""
+    return (_alone_small if high * wide <= SMALL else _alone_small.__wrapped__)(high, wide, stride)
+
+
+@lru_cache(1024)
+def _alone_small(high: int, wide: int, stride: int) -> np.ndarray:
     return (np.arange(high)[:, None] * stride + np.arange(wide)[None, :]).reshape(-1, 1)
 
 
-@lru_cache(64)
 def _interleaved(high: int, wide: int, v: int, h: int) -> np.ndarray:
     """Block numbers of a component by MCU."""
+    return (_interleaved_small if high * wide <= SMALL else _interleaved_small.__wrapped__)(high, wide, v, h)
+
+
+@lru_cache(1024)
+def _interleaved_small(high: int, wide: int, v: int, h: int) -> np.ndarray:
     grid = np.arange(high * wide).reshape(high // v, v, wide // h, h)
     return grid.transpose(0, 2, 1, 3).reshape(-1, v * h)
 
@@ -781,7 +793,7 @@ def padded(raw: bytes) -> bytes:
 
 
 #: Characters of texts that are written together, and bytes of files that are read together.
-WRITTEN, READ = 1 << 16, 1 << 20
+WRITTEN, READ = 1 << 17, 1 << 20
 
 
 def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
