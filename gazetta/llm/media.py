@@ -822,11 +822,11 @@ def _tensor_row(image: Image) -> tuple:
 
 
 def feature_of(rgb: np.ndarray) -> str:
-    """Size, channel means and standard deviations of an RGB tensor, from exact sums."""
+    """Size, channel means and standard deviations of an RGB tensor, from the counts of its values."""
     flat = rgb.reshape(-1, 3)
-    n = len(flat)
-    mean = flat.sum(0, dtype=np.int64) / n
-    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", flat, flat, dtype=np.int64) / n - mean**2, 0))
+    counts, values = np.stack([np.bincount(flat[:, k], minlength=256) for k in range(3)]), np.arange(256)
+    mean = counts @ values / len(flat)
+    spread = np.sqrt(np.maximum(counts @ (values * values) / len(flat) - mean**2, 0))
     return f"{rgb.shape[1]}x{rgb.shape[0]} mean {' '.join(f'{x:.3f}' for x in mean)} std {' '.join(f'{x:.3f}' for x in spread)}"
 
 
