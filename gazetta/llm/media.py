@@ -25,7 +25,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -42,6 +42,8 @@ BANDS = ((1, 15), (16, 48))
 STRIP = 8192
 #: The last MCU along a side.
 MOST = 4095
+#: Zeros that an end of block stands for: more than any run that leaves its band.
+END = 100
 
 
 @cache
@@ -84,7 +86,11 @@ class Image:
 
 
 class Huffman:
-    """A table: entries by (length, code), by the next 16 bits (length and symbol), and by symbol (code and length)."""
+    """A table: entries by (length, code), by the next 16 bits (length and symbol), and by symbol (code and length).
+
+    bands and means have by the next 16 bits what the symbol and the number behind it say together, if both are in these
+    bits: the number << 16 | zeros before it << 8 | bits of both. An end of block has END zeros. Others have no bits.
+    """
 
     def __init__(self, counts: bytes, symbols: bytes):
         self.codes: dict[tuple[int, int], int] = {}
@@ -99,6 +105,22 @@ class Huffman:
                 code, k = code + 1, k + 1
             code <<= 1
 
+    @cached_property
+    def bands(self) -> np.ndarray:
+        run, size = self.next >> 4 & 15, self.next & 15
+        return self._together(np.where(self.next & 255, run, END), size, (size > 0) | (run == 0) | (run == 15))
+
+    @cached_property
+    def means(self) -> np.ndarray:
+        size = self.next & 255
+        return self._together(np.zeros_like(size), np.minimum(size, 16), size <= 16)
+
+    def _together(self, zeros: np.ndarray, size: np.ndarray, known: np.ndarray) -> np.ndarray:
+        length = self.next >> 8
+        rest = np.arange(1 << 16, dtype=np.int32) << length & 0xFFFF
+        number = (rest >> (16 - size)) - np.where((rest >> 15 == 1) | (size == 0), 0, (1 << size) - 1)
+        return np.where(known & (length > 0) & (length + size <= 16), number << 16 | zeros << 8 | length + size, 0).astype(np.int32)
+
 
 @lru_cache(256)
 def huffman(counts: bytes, symbols: bytes) -> Huffman:
@@ -254,49 +276,69 @@ def decode_first(scans: list[_Scan]) -> None:
 def _in_step(segments: list, kind: type) -> None:
     if not segments:
         return
-    sizes = [len(data) for _, data, _, _ in segments]
-    starts = np.concatenate([[0], np.cumsum(np.array(sizes) + 8)])
-    raw = np.full(int(starts[-1]) + 8, 255, np.uint8)
-    for (_, data, _, _), at in zip(segments, starts.tolist(), strict=False):
+    sizes = np.array([len(data) for _, data, _, _ in segments])
+    starts = np.cumsum(sizes + 8) - sizes - 8
+    raw = np.full(int(starts[-1] + sizes[-1]) + 8, 255, np.uint8)
+    for (_, data, _, _), at in zip(segments, starts.tolist(), strict=True):
         raw[at : at + len(data)] = np.frombuffer(data, np.uint8)
-    wide = raw[: len(raw) - 7].astype(np.int64)
-    for i in range(1, 7):  # each place's next seven bytes
-        wide = wide << 8 | raw[i : len(raw) - 7 + i]
+    three = raw[:-2].astype(np.int32) << 16 | raw[1:-1].astype(np.int32) << 8 | raw[2:]  # each place's next three bytes
     job = kind(segments)
-    at, ends = starts[:-1] * 8, (starts[:-1] + np.array(sizes)) * 8
-    live = np.arange(len(segments))
-    while len(live):
-        place = at[live]
-        if (place > ends[live]).any():
-            raise ValueError("entropy-coded data ends early")
-        window = wide[place >> 3] << (8 + (place & 7))  # the next 48 bits and more, at the top
-        found = job.tables[job.table[live], window >> 48 & 0xFFFF]
-        length, symbol = found >> 8, found & 255
-        if length.min() == 0:
-            raise ValueError("no such Huffman code")
-        at[live] = place + length + job.take(live, symbol, window << length)
-        live = live[job.unit[live] < job.units[live]]
+    at, ends = starts * 8, (starts + sizes) * 8
+    while len(at):
+        # a place behind the data stays there: each step ends a coefficient, and the end is compared after the last one
+        window = three.take(at >> 3, mode="clip") >> (8 - (at & 7)) & 0xFFFF
+        if job.table is not None:
+            window += job.table
+        found = job.fast.take(window)
+        used = found & 31
+        few = None if used.all() else np.flatnonzero(used == 0)
+        more = None
+        if few is not None:
+            length, symbol = np.divmod(job.next[window[few]], 256)
+            if not length.all():
+                raise ValueError("no such Huffman code")
+            place = at[few] + length
+            five = raw.take((place >> 3)[:, None] + np.arange(5), mode="clip").astype(np.int64) @ (1 << np.arange(32, -1, -8))
+            bits, more = job.other(symbol, five << (24 + (place & 7)))  # the next 32 bits and more, at the top
+            used[few] = length + bits
+        at += used
+        done = job.take(found, few, more)
+        if len(done):
+            if (at[done] > ends[done]).any():
+                raise ValueError("entropy-coded data ends early")
+            stay = np.ones(len(at), bool)
+            stay[done] = False
+            at, ends = at[stay], ends[stay]
+            job.keep(stay)
     job.settle()
 
 
 class _Job:
-    """What the segments of a kind share: where each is, its table, and the numbers that symbols announce."""
+    """What the segments of a kind share: where each is, its table, and the numbers that symbols announce.
 
-    def __init__(self, segments: list):
-        self.unit = np.zeros(len(segments), np.int64)
-        names: dict[int, int] = {}
-        tables = []
-        self.table = np.zeros(len(segments), np.int64)
-        for i, (scan, _, _, _) in enumerate(segments):
-            t = self.table_of(scan)
-            if id(t) not in names:
-                names[id(t)] = len(tables)
-                tables.append(t.next)
-            self.table[i] = names[id(t)]
-        self.tables = np.array(tables)
+    Attributes named in STATE have one entry for each segment that is not yet at its end.
+    """
+
+    STATE: tuple[str, ...] = ()
+
+    def __init__(self, segments: list, units: list[int]):
         self.segments = segments
         #: Where each segment's part of out begins; the segments of a scan follow one another.
-        self.starts = np.zeros(len(segments) + 1, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(units)])
+
+    def tables_of(self, tables: list[Huffman], fast: str) -> np.ndarray:
+        """Takes these tables; returns where each one's entries begin."""
+        names: dict[int, tuple[int, Huffman]] = {}
+        which = [names.setdefault(id(t), (len(names), t))[0] for t in tables]
+        self.fast = np.concatenate([getattr(t, fast) for _, t in names.values()])
+        self.next = np.concatenate([t.next for _, t in names.values()])
+        return np.array(which, np.int32) << 16
+
+    def keep(self, stay: np.ndarray) -> None:
+        for name in self.STATE:
+            value = getattr(self, name)
+            if value is not None:
+                setattr(self, name, value[stay])
 
     def whole(self) -> Iterator[tuple[_Scan, int, int]]:
         """Each scan, and where in out its segments begin and how much they fill."""
@@ -323,45 +365,45 @@ class _Job:
 class _Bands(_Job):
     """First scans of spectral bands: runs of zeros and sizes, end-of-band runs."""
 
-    @staticmethod
-    def table_of(scan: _Scan) -> Huffman:
-        return scan.tables[1, scan.chosen[0][2]]
+    STATE = ("k", "block", "stop", "first", "last", "low", "table")
 
     def __init__(self, segments: list):
-        super().__init__(segments)
-        self.first = np.array([s.first for s, _, _, _ in segments])
-        self.last = np.array([s.last for s, _, _, _ in segments])
-        self.low = np.array([s.low for s, _, _, _ in segments])
-        self.k = self.first.copy()
-        self.units = np.array([b - a for _, _, a, b in segments])
-        self.starts = np.concatenate([[0], np.cumsum(self.units)])
+        super().__init__(segments, [b - a for _, _, a, b in segments])
+        scans = [s for s, _, _, _ in segments]
+        self.first, self.last, self.low = (np.array([getattr(s, x) for s in scans], np.int32) for x in ("first", "last", "low"))
+        self.table = self.tables_of([s.tables[1, s.chosen[0][2]] for s in scans], "bands")
+        if not self.table.any():
+            self.table = None
+        self.k, self.block, self.stop = self.first.copy(), self.starts[:-1] * 64, self.starts[1:] * 64
         self.out = np.zeros((int(self.starts[-1]) + 1, 64), np.int16)
         self.flat = self.out.reshape(-1)
 
-    def take(self, live: np.ndarray, symbol: np.ndarray, window: np.ndarray) -> np.ndarray:
+    def other(self, symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """For symbols whose numbers the tables lack: bits behind the symbol; zeros, the number, and blocks that an end-of-band run skips."""
         run, size = symbol >> 4, symbol & 15
-        k, unit, last = self.k[live] + run, self.unit[live], self.last[live]
-        used = size
+        ends = (size == 0) & (run < 15)
+        bits = np.where(ends, run, size)
+        skipped = np.where(ends, (1 << bits) - 1 + self.bits(window, bits), 0)
+        return bits, (np.where(ends, END, run), np.where(ends, 0, self.number(window, size)), skipped)
+
+    def take(self, found: np.ndarray, few: np.ndarray | None, more: tuple | None) -> np.ndarray:
+        zeros, value = found >> 8 & 127, found >> 16
+        if few is not None:
+            zeros[few], value[few], skipped = more
+        self.k += zeros
         # where no number is announced, a 0 is written to a place whose turn is still to come
-        self.flat[(self.starts[live] + unit) * 64 + np.minimum(k, 63)] = self.number(window, size) << self.low[live]
-        few = np.flatnonzero(size == 0)
-        skip = None
-        if len(few):
-            ends = run[few] < 15
-            more = np.where(ends, run[few], 0)
-            skip = np.where(ends, (1 << more) - 1 + self.bits(window[few], more), 0)
-            k[few] = np.where(ends, last[few], k[few])
-            used = size.copy()
-            used[few] = more
-        if ((k > last) & (size > 0)).any():
+        self.flat[self.block + np.minimum(self.k, 63)] = value << self.low
+        over = np.flatnonzero(self.k >= self.last)
+        self.k += 1
+        if few is not None:
+            self.block[few] += 64 * skipped
+        k = self.k[over]
+        if ((k > self.last[over] + 1) & (k <= END)).any():
             raise ValueError("a run leaves its band")
-        over = k >= last
-        unit = unit + over
-        if skip is not None:
-            unit[few] += skip
-        self.unit[live] = unit
-        self.k[live] = np.where(over, self.first[live], k + 1)
-        return used
+        self.k[over] = self.first[over]
+        block = self.block[over] + 64
+        self.block[over] = block
+        return over[block >= self.stop[over]]
 
     def settle(self) -> None:
         for scan, at, n in self.whole():
@@ -375,35 +417,36 @@ class _Bands(_Job):
 class _Means(_Job):
     """First scans of DC coefficients: differences from the block before, by component."""
 
-    @staticmethod
-    def table_of(scan: _Scan) -> Huffman:
-        return scan.tables[0, scan.chosen[0][1]]
+    STATE = ("unit", "stop", "place", "each", "row", "table")
 
     def __init__(self, segments: list):
-        super().__init__(segments)
-        self.each = np.array([sum(o.shape[1] for o in s.order) for s, _, _, _ in segments])
-        self.units = np.array([b - a for _, _, a, b in segments]) * self.each
-        self.starts = np.concatenate([[0], np.cumsum(self.units)])
+        scans = [s for s, _, _, _ in segments]
+        self.each = np.array([sum(o.shape[1] for o in s.order) for s in scans])
+        super().__init__(segments, [(b - a) * n for (_, _, a, b), n in zip(segments, self.each.tolist(), strict=True)])
         self.out = np.zeros(int(self.starts[-1]), np.int32)
         # the table may change from component to component: by place within a unit
-        self.by_place = []
-        names = {}
-        for s, _, _, _ in segments:
-            row = []
-            for (_, t, _), o in zip(s.chosen, s.order, strict=True):
-                table = s.tables[0, t]
-                row += [names.setdefault(id(table), (len(names), table))[0]] * o.shape[1]
-            self.by_place.append(row)
-        widest = max(map(len, self.by_place))
-        self.by_place = np.array([r + [0] * (widest - len(r)) for r in self.by_place])
-        self.tables = np.array([t.next for _, t in names.values()])
-        self.table = self.by_place[:, 0].copy()
-
-    def take(self, live: np.ndarray, symbol: np.ndarray, window: np.ndarray) -> np.ndarray:
-        self.out[self.starts[live] + self.unit[live]] = self.number(window, symbol)
-        self.unit[live] += 1
-        self.table[live] = self.by_place[live, self.unit[live] % self.each[live]]
-        return symbol
+        by_place = [[s.tables[0, t] for (_, t, _), o in zip(s.chosen, s.order, strict=True) for _ in range(o.shape[1])] for s in scans]
+        widest = max(map(len, by_place))
+        self.by_place = self.tables_of([t for row in by_place for t in row + row[:1] * (widest - len(row))], "means").reshape(-1, widest)
+        self.row = np.arange(len(segments)) if self.by_place.any() else None
+        self.table = None if self.row is None else self.by_place[:, 0]
+        self.unit, self.stop, self.place = self.starts[:-1].copy(), self.starts[1:], np.zeros(len(segments), np.int64)
+
+    def other(self, symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if symbol.max() > 16:
+            raise ValueError("no such size")
+        return symbol, self.number(window, symbol)
+
+    def take(self, found: np.ndarray, few: np.ndarray | None, more: np.ndarray | None) -> np.ndarray:
+        value = found >> 16
+        if few is not None:
+            value[few] = more
+        self.out[self.unit] = value
+        self.unit += 1
+        if self.row is not None:
+            self.place = (self.place + 1) % self.each
+            self.table = self.by_place[self.row, self.place]
+        return np.flatnonzero(self.unit >= self.stop)
 
     def settle(self) -> None:
         for scan, at, n in self.whole():
