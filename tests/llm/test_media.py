@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -48,21 +49,51 @@ def test_tensor_and_feature_by_plain_sums():
     assert np.allclose([float(x) for x in said[1:]], [*mean, *spread], atol=6e-4)
 
 
-def test_an_outside_decoder_reads_the_files(spark):
+def agrees_with_the_jvm(spark, data):
     """The JVM's own JPEG reader; its chroma is interpolated, so luma is compared, where nothing is clipped."""
-    for n in (0, 40, 3000):
-        data = media.write(payload(n))
-        ours = np.concatenate(list(media.strips(media.read(data)))).astype(float)
-        jvm = spark.sparkContext._jvm
-        picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
-        wide, high = picture.getWidth(), picture.getHeight()
-        assert (high, wide) == ours.shape[:2]
-        buffer = picture.getRGB(0, 0, wide, high, None, 0, wide)
-        values = np.array(list(buffer), np.int64).reshape(high, wide)
-        theirs = np.stack([values >> 16 & 255, values >> 8 & 255, values & 255], axis=2).astype(float)
-        free = ((ours > 0) & (ours < 255) & (theirs > 0) & (theirs < 255)).all(2)
-        weights = np.array([0.299, 0.587, 0.114])
-        assert free.mean() > 0.5 and np.abs(ours @ weights - theirs @ weights)[free].max() < 4
+    ours = np.concatenate(list(media.strips(media.read(data)))).astype(float)
+    jvm = spark.sparkContext._jvm
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    wide, high = picture.getWidth(), picture.getHeight()
+    assert (high, wide) == ours.shape[:2]
+    buffer = picture.getRGB(0, 0, wide, high, None, 0, wide)
+    values = np.array(list(buffer), np.int64).reshape(high, wide)
+    theirs = np.stack([values >> 16 & 255, values >> 8 & 255, values & 255], axis=2).astype(float)
+    free = ((ours > 0) & (ours < 255) & (theirs > 0) & (theirs < 255)).all(2)
+    weights = np.array([0.299, 0.587, 0.114])
+    assert free.mean() > 0.5 and np.abs(ours @ weights - theirs @ weights)[free].max() < 4
+
+
+@pytest.mark.parametrize("n", [0, 40, 3000])
+def test_an_outside_decoder_reads_the_files(spark, n):
+    agrees_with_the_jvm(spark, media.write(payload(n)))
+
+
+@pytest.mark.parametrize(("wide", "high"), [(83, 61), (16, 16), (7, 120)])
+def test_files_of_an_outside_encoder(spark, wide, high):
+    """Its tables differ between scans; flat parts make end-of-band runs, noise large numbers, and it refines twice."""
+    r = np.random.default_rng(wide)
+    y, x = np.mgrid[:high, :wide]
+    gray = 60 + x + y / 2
+    gray[high // 2 :] = 128
+    gray[:, wide // 2 : wide // 2 + 9] += r.integers(-50, 50, (high, len(range(wide)[wide // 2 : wide // 2 + 9])))
+    pixels = np.clip(np.stack([gray, gray * 0.9, gray * 0.8 + 20], axis=2), 20, 235).astype(np.uint8)
+    rows = b"".join(row.tobytes() + b"\0" * (-3 * wide % 4) for row in pixels[::-1])
+    bmp = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, wide, high, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+    jvm = spark.sparkContext._jvm
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(bmp)))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(jvm.javax.imageio.ImageWriteParam.MODE_DEFAULT)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.stream.MemoryCacheImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), how)
+    stream.close()
+    data = bytes(out.toByteArray())
+    _, scans = media._parse(data)
+    assert len(scans) > 6 and any(h[-1] >> 4 and h[-3] for h, _, _, _ in scans)
+    agrees_with_the_jvm(spark, data)
 
 
 def test_tables_and_scans_are_real():
