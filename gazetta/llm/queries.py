@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetta.llm import decontam, htmltext, licenses, linededup, media, pieces, quality, simhash, tokens, toxicity
+from gazetta.llm import decontam, htmltext, licenses, linededup, media, panes, pieces, quality, runs, simhash, tokenfile, tokens, toxicity
 from gazetta.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.revised_panes(table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,8 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_line_dedup,
         op10_toxicity,
+        op11_periodic_runs,
+        op12_token_files,
+        op13_pane_revisions,
     )
 }
 
 #: What SQL can state over whole tables. The others are tested against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": linededup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": linededup.oracle(), "op13_pane_revisions": panes.ORACLE}
