@@ -4,15 +4,18 @@ The page is cut into blocks at block-level tags by one linear scan; scripts, sty
 
 The first pass decides blocks by what they hold: the share of their characters in links, their length, and the density of
 stop words. Many links are bad, and so are some links among few stop words; long prose is good; short blocks, headings, and
-those whose density is in between or low stay undecided. Tags and names are a prior to this: in menus, forms, page
-footers and containers named as such nothing is main text; inside an article or main element half the length is enough
-to be good.  The second pass gives undecided blocks the label of the nearest decided one:
-of the two on either side the one in the smaller common container, then the nearer one; a heading goes with what follows
-it. A page that marks an article with prose keeps to it.
+those whose density is in between or low stay undecided. Inside an article or main element half the length is enough to
+be good. The second pass gives undecided blocks the label of the nearest decided one: of the two on either side the one
+in the smaller common container, then the nearer one; a heading goes with what follows it. A page that marks an article
+with prose keeps to it, and to prose elsewhere that stands for itself.
+
+Tags and names of containers (menus, forms, page footers, sidebars, adverts) are a prior: what they mark is bad, unless the
+page speaks against it. A mark does not count if it would take nearly all of the page's prose and most of its text. Comments also go if
+only a heading names them.
 
 Defined results: null, empty or text-less pages have empty text; unclosed comments and scripts reach to the end; a
 tag without an end is text only if no ">" follows; a quote that is never closed is no quote; white space (as Unicode has
-it) inside a block is one space, line breaks too; repeated rows repeat their result. Time follows the page's length, whatever it holds.
+it) inside a block is one space, line breaks too; a head ends where a tag of the body begins; repeated rows repeat their result. Time follows the page's length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -40,6 +43,9 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = "script style noscript template title textarea iframe svg math object canvas audio video select datalist noframes".split()
 OUT_TAGS = frozenset("nav aside form footer menu dialog button head fieldset".split())
+#: Those of them that are hardly ever put around a whole page; what may stand in a head.
+SURE_TAGS = frozenset("nav aside footer menu".split())
+HEAD_TAGS = frozenset("head title meta link base script style noscript template".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: Block tags that may stay open.
@@ -49,9 +55,18 @@ OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus donate footer form gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup popular promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tag tags teaser toc toolbar trending widget widgets complementary contentinfo search".split()
 )
 IN_ARTICLE = frozenset(("header", "byline"))
+#: Those of them that hardly ever name a whole article; words that say the next one is only near; headings of comments.
+SURE_NAMES = frozenset(
+    "breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright discussion disqus footer gdpr menu menus nav navbar navigation newsletter pagination pager replies respond sidebar".split()
+)
+NEAR_NAMES = frozenset("with has no without".split())
+COMMENTS = re.compile(r"\W*(?:\d+\s+)?(?:reader |user |leser)?(?:comments?|replies|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d*\)?)?\W*", re.I)
 #: The first pass: characters of a short block and of one that is long enough to be good; shares of characters in links
 #: that are too many, and too many for text with few stop words; densities from which text may be prose, and from which it is.
 SHORT, LONG, LINKS, FEW_LINKS, STOPS_LOW, STOPS_HIGH = 70, 140, 0.33, 0.05, 0.12, 0.2
+#: A mark does not count if the prose elsewhere is less than this share of what it holds (a sure one: less than the second),
+#: and it holds at least the third of the page's text.
+ELSEWHERE, ELSEWHERE_SURE, MOST_TEXT = 0.25, 0.05, 0.5
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
@@ -66,12 +81,15 @@ _SPACE = re.compile(r"\s+")
 class Block:
     text: str
     linked: int
-    out: bool
+    #: The innermost mark that the block stands in (-1: none).
+    mark: int
     main: int
     heading: bool
-    #: Containers that the block shares with the one before it.
+    #: Containers that the block shares with the one before it, and those it stands in.
     shared: int = 0
+    depth: int = 0
     label: str = ""
+    out: bool = False
 
 
 @cache
@@ -79,14 +97,20 @@ def stop_words() -> frozenset[str]:
     return frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 
-def _named_out(attributes: str, inside: bool = False) -> bool:
-    """Whether a name says that there is no main text; inside an article, its own header and byline are part of it."""
+@lru_cache(4096)
+def _named_out(attributes: str, inside: bool = False) -> int:
+    """Whether a name says that there is no main text: 2 surely, 1 perhaps, 0 no. Inside an article, its own header and byline are part of it."""
     names = OUT_NAMES - IN_ARTICLE if inside else OUT_NAMES
+    found = 0
     for m in _NAMED.finditer(attributes):
-        for word in re.split(r"[\s_-]+", m[1] or m[2] or m[3] or ""):
-            if word.lower() in names or any(p.lower() in names for p in _PIECES.findall(word) if len(p) > 3):
-                return True
-    return False
+        for group in (m[1] or m[2] or m[3] or "").split():
+            near = False
+            for word in re.split(r"[_-]+", group):
+                words = {word.lower(), *(p.lower() for p in _PIECES.findall(word) if len(p) > 3)}
+                if not near and words & names:
+                    found = max(found, 2 if words & SURE_NAMES else 1)
+                near = word.lower() in NEAR_NAMES
+    return found
 
 
 class Tags:
@@ -153,15 +177,22 @@ class Tags:
 
 
 class Open:
-    """The open containers: what stands in them is out or not, and in which article. Closing looks only at tags that are open."""
+    """The open containers, with the innermost mark and article that each stands in. Closing looks only at tags that are open."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, int, int]] = []
         self.names: dict[str, int] = {}
         self.low = 0  # fewest containers open since the last block
-
-    def push(self, name: str, out: bool, main: int) -> None:
-        self.stack.append((name, out, main))
+        #: The mark around each mark (-1: none), and whether it is sure.
+        self.marks: list[tuple[int, bool]] = []
+
+    def push(self, name: str, sure: int, main: int) -> None:
+        """sure: 2 and 1 make a mark, 0 does not."""
+        mark = self.state()[0]
+        if sure:
+            self.marks.append((mark, sure > 1))
+            mark = len(self.marks) - 1
+        self.stack.append((name, mark, main))
         self.names[name] = self.names.get(name, 0) + 1
 
     def close(self, name: str) -> None:
@@ -175,12 +206,12 @@ class Open:
     def top(self) -> str:
         return self.stack[-1][0] if self.stack else ""
 
-    def state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def state(self) -> tuple[int, int]:
+        return self.stack[-1][1:] if self.stack else (-1, 0)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page, undecided; main is the number of the article or main element they stand in (0: none)."""
+def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
+    """The blocks of a page, undecided, and its marks; main is the number of the article or main element they stand in (0: none)."""
     blocks: list[Block] = []
     parts: list[str] = []
     held = Open()
@@ -191,7 +222,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                blocks.append(Block(text, linked, *held.state(), heading, held.low))
+                blocks.append(Block(text, linked, *held.state(), heading, held.low, len(held.stack)))
                 held.low = len(held.stack)
             parts.clear()
         linked = 0
@@ -202,7 +233,10 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(_SPACE.sub(" ", html.unescape(rest)).strip())
             continue
-        out, main = held.state()
+        if held.names.get("head") and name not in HEAD_TAGS and not closing:
+            flush()
+            held.close("head")
+        main = held.state()[1]
         if name == "a":
             in_link = not closing
             continue
@@ -210,9 +244,9 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if name not in BLOCK_TAGS and name not in OUT_TAGS:
-            if not closing and name not in VOID_TAGS and not rest.endswith("/") and rest and not out and _named_out(rest, main > 0):
+            if not closing and name not in VOID_TAGS and not rest.endswith("/") and rest and (sure := _named_out(rest, main > 0)):
                 flush()
-                held.push(name, True, main)
+                held.push(name, sure, main)
             elif closing and held.top() == name:
                 flush()
                 held.close(name)
@@ -223,8 +257,8 @@ def blocks_of(page: str) -> list[Block]:
         if title or name in LOOSE_TAGS:
             in_link = False
             # these end without their end tags, so they hold no place unless their name says what they are
-            if not closing and rest and not out and _named_out(rest, main > 0):
-                held.push(name, True, main)
+            if not closing and rest and held.top() != name and (sure := _named_out(rest, main > 0)):
+                held.push(name, sure, main)
             elif held.top() == name:
                 held.close(name)
             continue
@@ -232,14 +266,17 @@ def blocks_of(page: str) -> list[Block]:
             held.close(name)
             in_link = False
             continue
-        named = bool(rest) and name not in ("body", "html", *MAIN_TAGS) and _named_out(rest, main > 0) or name == "article" and bool(re.search("comment|reply", rest, re.I))
-        out = out or named or name in OUT_TAGS or name == "header" and not main
-        if name in MAIN_TAGS and not out:
+        sure = _named_out(rest, main > 0) if rest and name not in ("body", "html", *MAIN_TAGS) else 0
+        if name == "article" and re.search("comment|reply", rest, re.I):
+            sure = 2
+        if name in OUT_TAGS or name == "header" and not main:
+            sure = max(sure, 2 if name in SURE_TAGS else 1)
+        if name in MAIN_TAGS and not sure:
             mains += 1
             main = mains
-        held.push(name, out, main)
+        held.push(name, sure, main)
     flush()
-    return blocks
+    return blocks, held.marks
 
 
 def density(text: str) -> float:
@@ -249,9 +286,9 @@ def density(text: str) -> float:
 
 
 def decide(block: Block) -> str:
-    """The first pass: good, bad, or undecided: short, near (some stop words) or thin (few)."""
+    """The first pass, by what a block holds: good, bad, or undecided: short, near (some stop words) or thin (few)."""
     n, links = len(block.text), block.linked / len(block.text)
-    if block.out or links > LINKS:
+    if links > LINKS:
         return "bad"
     if not block.main and ("©" in block.text or "™" in block.text):
         return "bad"
@@ -265,11 +302,63 @@ def decide(block: Block) -> str:
     return "bad" if links > FEW_LINKS and not block.main else "thin"
 
 
+def without_comments(blocks: list[Block]) -> list[Block]:
+    """The blocks but for those from a heading of comments to another heading or the end of its container, which are bad."""
+    kept, depth, shared = [], -1, 1 << 30
+    for b in blocks:
+        if depth >= 0 and (b.shared < depth or b.heading):
+            depth = -1
+        if b.heading and COMMENTS.fullmatch(b.text):
+            depth = b.depth
+        shared = min(shared, b.shared)
+        if depth >= 0:
+            b.label = "bad"
+        else:
+            b.shared, shared = shared, 1 << 30
+            kept.append(b)
+    return kept
+
+
+def standing(blocks: list[Block], marks: list[tuple[int, bool]]) -> None:
+    """Sets out for blocks in a mark that counts. What an article element holds is prose too.
+
+    Sure marks are tried first; the prose in those that count is no prose for the others.
+    """
+    if not marks:
+        return
+    counts = [True] * len(marks)
+    inner: list[bool] = []
+    for turn in (True, False):
+        prose, text = [0] * (len(marks) + 1), [0] * (len(marks) + 1)
+        for b in blocks:
+            if turn or not (b.mark >= 0 and inner[b.mark]):
+                n = len(b.text) - b.linked
+                text[b.mark] += max(0, n)
+                prose[b.mark] += n if b.label == "good" or b.main and b.label != "bad" else 0
+        # a mark's number is above that of the one around it; -1, outside all, is the last place
+        for i in range(len(marks) - 1, -1, -1):
+            prose[marks[i][0]] += prose[i]
+            text[marks[i][0]] += text[i]
+        for i, (_, sure) in enumerate(marks):
+            if sure == turn:
+                least = ELSEWHERE_SURE if sure else ELSEWHERE
+                counts[i] = not (prose[i] and prose[-1] - prose[i] < least * prose[i] and text[i] >= MOST_TEXT * text[-1])
+        inner = []
+        for i, (around, sure) in enumerate(marks):
+            inner.append((counts[i] and (sure or not turn)) or (around >= 0 and inner[around]))
+    for b in blocks:
+        b.out = b.mark >= 0 and inner[b.mark]
+
+
 def classify(page: str) -> list[Block]:
     """All blocks of a page, labelled good or bad."""
-    blocks = blocks_of(page)
-    for b in blocks:
+    every, marks = blocks_of(page)
+    for b in every:
         b.label = decide(b)
+    standing(every, marks)
+    blocks = without_comments(every)
+    for b in blocks:
+        b.label = "bad" if b.out else b.label
     if not any(b.label == "good" for b in blocks):
         # no prose that stands for itself: blocks in an article decide, else those in between, else all that is undecided
         some = [b for b in blocks if b.main and b.label != "bad"] or [b for b in blocks if b.label == "near"] or [b for b in blocks if b.label != "bad"]
@@ -277,10 +366,10 @@ def classify(page: str) -> list[Block]:
             b.label = "good"
     if any(b.label == "good" and b.main for b in blocks):
         for b in blocks:
-            if not b.main:
+            if not b.main and b.label != "good":
                 b.label = "bad"
     inherit(blocks)
-    return blocks
+    return every
 
 
 def inherit(blocks: list[Block]) -> None:
