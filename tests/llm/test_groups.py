@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -169,6 +170,29 @@ def test_contamination_odd_rows(spark, odd, empty):
     assert {x.n_hit for x in decontam.contamination_digest(odd, bench.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block_words", [1, 500_000])
+def test_contamination_of_periodic_texts(spark, block_words):
+    r = random.Random(9)
+    items = [(i, " ".join(r.choice("ab") for _ in range(r.randint(1, 40)))) for i in range(12)] + [(20, "a " * 60), (21, "a b " * 30), (22, "a b c " * 9), (23, "a " * 12)]
+    docs = [(i, " ".join(r.choice("ab") for _ in range(r.randint(0, 300)))) for i in range(30)] + [(40, "a " * 500), (41, "a b " * 200), (42, "c a b " * 50), (43, "a " * 500), (44, "b " * 12 + "c " + "a " * 13)]
+    df, bench = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: tuple(x)[1:] for x in decontam.contamination_digest(df, bench, block_words=block_words).collect()}
+    assert got == plain_contamination(docs, items)
+
+
+def test_repeated_words_take_no_more_time():
+    known = decontam.Items([("1", "same " * 5000), ("2", "same other " * 2000)])
+    began = time.process_time()
+    spans, names = known.hits(decontam.words_of("same " * 1_000_000))
+    assert spans == [(0, 1_000_000)] and names == {"1"} and time.process_time() - began < 10
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam, "MULTIPLIER", np.uint64(0))
+    known = decontam.Items([("1", "a b c"), ("2", "d e f"), ("3", "a b c d")])
+    assert known.hits(decontam.words_of("x d e f a b c e a b c d")) == ([(1, 7), (8, 12)], {"1", "2", "3"})
+
+
 # --- line dedup
 
 
