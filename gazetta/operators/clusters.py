@@ -178,23 +178,3 @@ def kmeans(df: DataFrame, member: str, vector: str, k: int, threshold: float = 0
     labelled = model.transform(points).withColumn("cluster", F.col("prediction").cast("int")).select(member, vector, "cluster")
     out = labelled.join(F.broadcast(centers), "cluster").withColumn("similarity", V.cosine(F.col(vector), F.col("center")))
     return out.select(member, F.when(F.col("similarity") >= threshold, F.col("cluster")).alias("cluster"), "similarity")
-
-
-def nearest_topics(rows: DataFrame, topics: DataFrame, row: str, text: str, topic: str, topic_text: str, least: float = 0.1) -> DataFrame:
-    """Each row's most similar topic by word-set Jaccard above least (ties: the least topic).
-
-    Rows and topics meet at shared words, so pairs without one are never made; a pair's shared words are counted, and
-    set sizes give the union.
-    """
-
-    def words(df: DataFrame, key: str, value: str) -> DataFrame:
-        lists = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(value), F.lit(""))), r"\s+"), lambda w: F.length(w) > 0))
-        return df.select(F.col(key), lists.alias("w")).withColumn("size", F.size("w")).select(key, "size", F.explode("w").alias("word"))
-
-    left = words(rows, row, text).withColumnRenamed("size", "__a")
-    right = words(topics, topic, topic_text).withColumnRenamed("size", "__b")
-    shared = left.join(right, "word").groupBy(row, topic, "__a", "__b").agg(F.count("*").alias("__n"))
-    scored = shared.withColumn("jaccard", F.round(F.col("__n") / (F.col("__a") + F.col("__b") - F.col("__n")), 9)).where(F.col("jaccard") > least)
-    best = scored.groupBy(row).agg(F.min_by(F.struct(topic, "jaccard"), F.struct(-F.col("jaccard"), F.col(topic))).alias("b"))
-    return best.select(row, f"b.{topic}", "b.jaccard")
-

@@ -1,8 +1,8 @@
 """Clustering that the built-in library lacks: HDBSCAN on one batch, greedy assignment by topic, leader groups.
 
 These are sequential or quadratic by nature. They serve bounded batches: group_in_pandas refuses a batch above its limit
-and names the scalable way (k-means, assignment to centers). assign_all_by_topic gives assign_by_topic's result over a
-whole table of any size.
+and names the way for whole tables: `hierarchy.hdbscan` gives the labels of HDBSCAN, and assign_all_by_topic
+assign_by_topic's result.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def group_in_pandas(df: DataFrame, fn, schema: str, most: int = MOST, batch: str
 
     def checked(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most:
-            raise ValueError(f"a batch of {len(pdf)} rows is above {most}; use kmeans or assign_to_centers")
+            raise ValueError(f"a batch of {len(pdf)} rows is above {most}; use hierarchy.hdbscan or assign_all_by_topic")
         return fn(pdf)
 
     return df.withColumn("__batch", F.col(batch) if batch else F.lit(0)).groupBy("__batch").applyInPandas(lambda pdf: checked(pdf.drop(columns="__batch")), schema)

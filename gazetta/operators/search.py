@@ -1,25 +1,26 @@
-"""Nearest neighbours of a stated query set, exactly.
+"""Nearest neighbours of a query set, exactly.
 
-Queries go to the workers in blocks; every corpus batch meets a block in one matrix product and keeps its best k for
-each query, so the rows that are shuffled are at most k for each query and batch. The final rank is taken by query.
+Queries and corpus meet by blocks (`blocks.block_join`): every cell keeps the best k of its corpus block for each of its
+queries, and the final rank is taken by query over its cells. Neither side goes through the driver or is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gazetta.functions import vectors as V
+from gazetta.operators import blocks as B
 
-#: Queries of a block: with 1,024 elements each, 32 MB.
-BLOCK = 4096
-#: Corpus rows of one product.
+#: Rows of a block: with 1,024 elements each, 32 MB.
+BLOCK = B.BLOCK
+#: Rows of one product with centres.
 ROWS = 2048
 
 
@@ -32,57 +33,46 @@ def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0), good
 
 
+def best_of(scores: np.ndarray, names: np.ndarray, own: object, k: int) -> list[tuple[float, object]]:
+    """The k largest scores and their names (ties: the least name), without own."""
+    # everything at least as good as the k-th (one more for the query itself) may be among the best
+    edge = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else -np.inf
+    some = [(-float(scores[i]), names[i]) for i in np.flatnonzero(scores >= edge).tolist() if own is None or names[i] != own]
+    return sorted(some)[:k]
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", size: int = 64, itself: bool = False, digits: int = 6, block: int = BLOCK) -> DataFrame:
     """query_id, neighbour_id, similarity, rank: the k most similar rows of corpus for every query (ties: the least id).
 
     Similarities are rounded before they are ranked. Vectors of another size or with nulls are left out; zero vectors
-    have similarity 0. A query is not its own neighbour unless itself is set.
+    have similarity 0. A query is not its own neighbour unless itself is set. block bounds the rows of a block on either side.
     """
-    ids = corpus.schema[key].dataType.simpleString()
-    pieces, batch = [], []
-    for r in queries.select(F.col(key).alias("i"), F.col(vector).alias("v")).toLocalIterator():
-        if r.v is not None and len(r.v) == size and None not in r.v:
-            batch.append((r.i, r.v))
-        if len(batch) == block:
-            pieces.append(_meet(corpus, batch, k, key, vector, size, itself, digits, ids))
-            batch = []
-    if batch or not pieces:
-        pieces.append(_meet(corpus, batch, k, key, vector, size, itself, digits, ids))
-    found = pieces[0]
-    for p in pieces[1:]:
-        found = found.unionByName(p)
+    left = B.usable(queries, vector, size).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    right = B.usable(corpus, vector, size).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    n, m = left.count(), right.count()
+    # a corpus of few blocks is cut further, so that all cores have cells; queries of one block are sent once to each
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    shape = (B.count_of(n, block), max(B.count_of(m, block), min(cores, B.count_of(m, 256))))
+    kind = corpus.schema[key].dataType
+    schema = StructType().add("query_id", kind).add("neighbour_id", kind).add("similarity", "double")
+    arrow = to_arrow_schema(schema)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            q, c = B.unit_rows(B.matrix(a, "v", size)), B.unit_rows(B.matrix(b, "v", size))
+            own, names = a.column("k").to_pylist(), b.column("k").to_pylist()
+            for at in range(0, len(q), B.ROWS):
+                for i, scores in enumerate(np.round(q[at : at + B.ROWS] @ c.T, digits) + 0.0, at):
+                    rows += [(own[i], name, -s) for s, name in best_of(scores, names, None if itself else own[i], k)]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    found = B.block_join(left, right, shape, cell, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _meet(corpus: DataFrame, block: list, k: int, key: str, vector: str, size: int, itself: bool, digits: int, ids: str) -> DataFrame:
-    sent = corpus.sparkSession.sparkContext.broadcast(([i for i, _ in block], np.array([v for _, v in block], np.float64).reshape(-1, size)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
-        norms = np.sqrt((q * q).sum(1, keepdims=True))
-        q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-        best: list[list[tuple[float, object]]] = [[] for _ in names]
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                m, good = matrix(part.column(1), size)
-                if not len(good) or not names:
-                    continue
-                own = part.column(0).to_pylist()
-                scores = np.round(q @ m.T, digits)
-                for j, row in enumerate(scores):
-                    # everything at least as good as the k-th (one more for the query itself) may be among the best
-                    edge = np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else -np.inf
-                    some = [(-float(row[i]), own[good[i]]) for i in np.flatnonzero(row >= edge) if itself or own[good[i]] != names[j]]
-                    best[j] = sorted(best[j] + some)[:k]
-        rows = [(names[j], i, -s) for j, found in enumerate(best) for s, i in found]
-        kind = pa.int64() if ids == "bigint" else pa.int32() if ids == "int" else pa.string()
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "neighbour_id", "similarity"])
-
-    return corpus.select(key, vector).mapInArrow(run, f"query_id {ids}, neighbour_id {ids}, similarity double")
-
-
 def search(corpus: DataFrame, query: list[float], k: int = 5, key: str = "vec_id", vector: str = "embedding", scaled: bool = True) -> DataFrame:
     """The k rows most similar to one vector; similarity rescaled to [0, 1] and rounded to 4 places if scaled.
 

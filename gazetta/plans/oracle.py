@@ -190,6 +190,7 @@ select source, count(*) as article_count, round(avg(n_chars), 6) as avg_confiden
     "optimal_k": "select source, lang, count(*) as n, case when count(*) < 10 then least(count(*), 8) else least(greatest(count(*) // 10, 20), 150, count(*)) end as k from documents group by 1, 2",
     "knn_topk": "select query_id, neighbour_id, similarity, rank::int as rank from (select q.vec_id as query_id, e.vec_id as neighbour_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as similarity, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) desc, e.vec_id) as rank from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 20 = 0) where rank <= 15",
     "vector_search_topk": f"select vec_id, round(greatest(0, least(1, (list_cosine_similarity(embedding::double[], {QUERY}::double[]) + 1) / 2)), 4) as similarity from embeddings order by similarity desc, vec_id limit 10",
+    "stored_index_search": f"select vec_id, round(greatest(0, least(1, (list_cosine_similarity(embedding::double[], {QUERY}::double[]) + 1) / 2)), 4) as similarity from embeddings order by similarity desc, vec_id limit 10",
     "vector_normalize_whole": f"with {UNNESTED}, scaled as (select vec_id, pos, x * (vec_id % 7) as x from parts), sums as (select vec_id, pos, x, sqrt(sum(x * x) over (partition by vec_id)) as s from scaled) select vec_id, pos::int as pos, round(case when s > 0 then x / s else x end, 6) as x from sums",
     "vector_blend_whole": f"""
 with {UNNESTED}, mixed as (select a.vec_id, a.pos, 0.7::double * a.x + 0.3::double * b.x as x, a.x as o from parts a join parts b on a.vec_id = b.vec_id and b.pos = {SIZE - 1} - a.pos),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gazetta.functions import lexicon as L
 from gazetta.functions import text as T
 from gazetta.functions import vectors as V
-from gazetta.operators import clusters, models, tagging
+from gazetta.operators import clusters, hierarchy, models, tagging
 from gazetta.operators import relational as R
 from gazetta.operators.relational import ingest_reason
 from gazetta.plans import reports
@@ -168,3 +168,16 @@ def store_clusters(spark: SparkSession, folder: str, assigned: DataFrame, stored
     patch = assigned.join(F.broadcast(stored.select("cluster", "cluster_id")), "cluster").select(key, "cluster_id")
     store.merge(spark, f"{folder}/articles", patch, key)
     store.merge(spark, f"{folder}/clusters", stored.drop("cluster"), "cluster_id")
+
+
+def density_run(spark: SparkSession, rows: DataFrame, folder: str, key: str, vector: str, title: str, size: int, least: int = 2) -> dict[str, int]:
+    """HDBSCAN over all rows, written back: records into the table of clusters under folder, cluster ids into that of processed articles.
+
+    A repeated run over the same rows changes nothing. Returns the counts of a worker's report.
+    """
+    labels = materialize(hierarchy.hdbscan(rows, key, vector, size, least))
+    found = materialize(hierarchy.cluster_rows(labels, rows, key, vector, title))
+    store.merge(spark, f"{folder}/clusters", store.cluster_rows(found, F.current_timestamp()), "id")
+    patch = labels.join(found.select("cluster", F.col("id").alias("cluster_id")), "cluster").select(key, "cluster_id")
+    store.merge(spark, f"{folder}/articles_processed", patch, key)
+    return {"clusters_created": found.count(), "articles_processed": labels.count()}

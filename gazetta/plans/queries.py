@@ -12,11 +12,13 @@ from gazetta.functions import lexicon as L
 from gazetta.functions import text as T
 from gazetta.functions import vectors as V
 from gazetta.operators import clusters as C
-from gazetta.operators import density, models, search, tagging
+from gazetta.operators import density, hierarchy, models, search, setjoin, tagging
 from gazetta.operators import relational as R
 from gazetta.plans import pipeline, reports
+from gazetta.scratch import materialize, scratch_path
 from gazetta.sources import pages as P
 from gazetta.sources import readers, store
+from gazetta.sources.vectorindex import VectorIndex
 from gazetta.streaming import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,6 +471,16 @@ def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.nearest(rows, rows.where("vec_id % 20 = 0"), 15, size=SIZE)
 
 
+@query
+def stored_index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search over an index that is stored, added to and loaded again."""
+    rows = vectors(spark, folder)
+    path = scratch_path(spark)
+    index = VectorIndex.create(spark, path, rows.where("vec_id % 3 > 0"), "vec_id", "embedding", SIZE)
+    index.add(rows.where("vec_id % 3 = 0"))
+    return VectorIndex.load(spark, path).search([((i * 7) % 13 - 6) / 6 for i in range(SIZE)], 10)
+
+
 @query
 def vector_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(vectors(spark, folder), [((i * 7) % 13 - 6) / 6 for i in range(SIZE)], 10)
@@ -522,7 +534,7 @@ def incremental_assign(spark: SparkSession, folder: str) -> DataFrame:
 def topic_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     rows = titled(spark, folder).select("doc_id", "title")
     topics = readers.table(spark, folder, "benchmark").select("item_id", "text")
-    return C.nearest_topics(rows, topics, "doc_id", "title", "item_id", "text", 0.05).withColumn("jaccard", F.round("jaccard", 6))
+    return setjoin.best_matches(rows, topics, "doc_id", "title", "item_id", "text", 0.05).withColumn("jaccard", F.round("jaccard", 6))
 
 
 # --- stores, states and runs
@@ -653,8 +665,16 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hdbscan_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """By batches of at most 50 neighbours in id, as the reference's worker takes them. A cluster is its batch and its label."""
-    return density.hdbscan_clusters(vectors(spark, folder).withColumn("batch", F.floor(F.col("vec_id") / 50)), "vec_id", "embedding", 2, 1, batch="batch")
+    """Over the whole table; the reference's worker takes 50 rows a run."""
+    return hierarchy.hdbscan(vectors(spark, folder), "vec_id", "embedding", SIZE, 2, 1)
+
+
+@query
+def hdbscan_cluster_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusters of a run as they are stored."""
+    rows = titled(spark, folder).join(vectors(spark, folder), F.col("doc_id") == F.col("vec_id")).select("doc_id", "title", "embedding")
+    labels = materialize(hierarchy.hdbscan(rows, "doc_id", "embedding", SIZE, 2, 1))
+    return hierarchy.cluster_rows(labels, rows, "doc_id", "embedding", "title").withColumn("center_embedding", F.transform("center_embedding", lambda x: F.round(x, 6)))
 
 
 @query

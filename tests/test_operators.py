@@ -119,8 +119,9 @@ def test_hdbscan_finds_blobs():
 
 
 def test_hdbscan_names_the_batch_of_a_label(spark, small):
-    rows = queries.QUERIES["hdbscan_clusters"](spark, small).collect()
-    assert len(rows) == queries.vectors(spark, small).count() and all(r.batch == r.vec_id // 50 for r in rows)
+    vectors = queries.vectors(spark, small)
+    rows = density.hdbscan_clusters(vectors.withColumn("batch", F.floor(F.col("vec_id") / 50)), "vec_id", "embedding", 2, 1, batch="batch").collect()
+    assert len(rows) == vectors.count() and all(r.batch == r.vec_id // 50 for r in rows)
     assert len({r.batch for r in rows}) > 1
 
 
