@@ -7,17 +7,15 @@ side by side, and the high ones are a bit vector in which value i sets bit (high
 place is kept in 32 bits, so value i is found by counting the set bits of a few bytes; no table of 64-bit offsets is
 written or made. The manifest has one row for each file; its starts are sums over files in two levels.
 
-Writing: texts are encoded where they lie, the ids are sorted by ranges of document id, and each task writes its range
-as files of about FILE_IDS ids. Files that a lost task left are in no manifest and are never read. Reading: the
+Writing: texts are sorted by ranges of document id, and each task encodes its range and writes it as files of about FILE_IDS ids. Files that a lost task left are in no manifest and are never read. Reading: the
 manifest's rows are dealt to tasks, which open the files that they name.
 
-A text's ids are those of its pieces, which the tokenizer's pattern cuts and encodes apart. Plain texts are cut by the
-same pattern here; in others each word is encoded as a whole, as the tokenizer drops white space and neither its normal
-form nor its pattern joins what ASCII white space divides. A worker remembers the ids of pieces over its tasks, and
-encodes the new pieces of a slice of texts by a few calls.
+A text's ids are those of its words: the tokenizer drops white space, and neither its normal form nor its pattern joins
+what ASCII white space divides. Words of plain texts are cut into pieces as the tokenizer's pattern cuts them, and its model encodes
+the pieces; other words go through the whole tokenizer. A worker remembers words and pieces over its tasks.
 
 Defined results: a null or empty text has the end id alone; documents without an id come first and read back as null;
-of several with one id those of smaller ids bytes come first; an empty table gives no file and no rows.
+of several with one id the order is by a hash of their texts; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -40,15 +38,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from tokenizers import Tokenizer
 
-from gazetta.llm.common import map_slices, materialize, once_per_worker
+from gazetta.llm.common import SLICE, _cuts, materialize, once_per_worker
 from gazetta.scratch import scratch_path
 
 #: Ids of a file, about; the id that ends a document.
 FILE_IDS, END = 1 << 24, 1
 #: Values between two kept places of set bits.
 STRIDE = 256
-#: Pieces that a worker remembers, and the longest; characters of texts that are encoded together, and of new pieces in one call.
-CACHED, LONGEST, TOGETHER, GROUPED = 1_000_000, 48, 2_000_000, 2_000
+#: Words and pieces that a worker remembers, and the longest; characters of texts that are encoded together.
+CACHED, LONGEST, TOGETHER = 1_000_000, 48, 2_000_000
 #: What a file begins with: name, version, bytes of an id, documents without an id, documents, ids, least document id,
 #: and how many bytes the two sequences take.
 HEAD = struct.Struct("<4sHHIIQqQQ")
@@ -200,85 +198,69 @@ PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
-class PieceIds:
-    """The ids of pieces of text as bytes: pieces of plain texts, and whole words (behind a space) of others.
+def byte_letters() -> dict[int, str]:
+    """The letters of Latin-1 as the tokenizer sees them: a character for each byte of UTF-8, its own if that is printable."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    seen = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(seen[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
-    Up to about CACHED are remembered; they leave in two generations.
+
+class WordIds:
+    """The ids of words as bytes: words of plain texts in lower case, and words of others as they are (behind a space).
+
+    Up to about CACHED words and pieces of them are remembered; they leave in two generations.
     """
 
     def __init__(self, path: str, width: int):
         self.library, self.width = _library(path), width
+        self.model, self.letters = self.library.model, byte_letters()
         self.special = [t.content for _, t in sorted(self.library.get_added_tokens_decoder().items())]
-        #: Whether a token ends a piece.
-        self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text) and not any(t in text for t in self.special):
-            return PIECES.findall(text.lower())
-        out = []
-        for w in ascii_words(text):
-            if PLAIN.fullmatch(w) and not any(t in w for t in self.special):
-                out += PIECES.findall(w.lower())
-            else:
-                out.append(f" {w}")
-        return out
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """The ids of plain pieces, by one call: each ends at the first token that ends a piece."""
-        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
-        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        data, w = ids.astype(f"<u{self.width}").tobytes(), self.width
-        return [data[a * w : b * w] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def _learn(self, new: set[str]) -> None:
-        group, size = [], 0
-        for x in sorted(new):
-            if x in self.older:
-                self.known[x] = self.older[x]
-            elif x[0] == " ":
-                ids = self.library.encode(x[1:], add_special_tokens=False).ids
-                self.known[x] = np.array(ids, f"<u{self.width}").tobytes()
-            else:
-                group.append(x)
-                size += len(x)
-                if size > GROUPED:
-                    self.known.update(zip(group, self._encode(group), strict=True))
-                    group, size = [], 0
-        if group:
-            self.known.update(zip(group, self._encode(group), strict=True))
+            return text.lower().split()
+        return [w.lower() if PLAIN.fullmatch(w) and not any(t in w for t in self.special) else f" {w}" for w in ascii_words(text)]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            ids = self._bytes([t.id for t in self.model.tokenize(piece.translate(self.letters))])
+        if len(piece) <= LONGEST:
+            self.known[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Plain words by their pieces, which the model encodes; others by the library."""
+        if word[0] == " ":
+            return self._bytes(self.library.encode(word[1:], add_special_tokens=False).ids)
+        return b"".join(map(self._piece, PIECES.findall(word)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        lists = [self.pieces(x) for x in texts]
-        found = [list(map(self.known.get, pieces)) for pieces in lists]
-        new = {p for pieces, ids in zip(lists, found, strict=True) for p, x in zip(pieces, ids, strict=True) if x is None}
-        self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join([get(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]) for pieces, ids in zip(lists, found, strict=True)]
-        for x in new:
-            if len(x) > LONGEST:
-                del self.known[x]
-        if len(self.known) > CACHED // 2:
-            self.older, self.known = self.known, {}
+        out, known = [], self.known
+        for text in texts:
+            words = self.words(text)
+            found = list(map(known.get, words))
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        w = words[i]
+                        x = known.get(w) or self.older.get(w) or self._word(w)
+                        if len(w) <= LONGEST:
+                            known[w] = x
+                        found[i] = x
+            out.append(b"".join(found))
+        if len(known) > CACHED // 2:
+            self.older, self.known = known, {}
         return out
 
 
-def encode_ids(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", end: int = END) -> tuple[DataFrame, int]:
-    """keep's columns and ids: each whole text's ids and the end id, side by side in so many bytes each (the second result)."""
-    width = 2 if max(_library(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else 4
-    key = uuid.uuid4().hex
-    last = np.array([end], f"<u{width}").tobytes()
-
-    def make() -> Callable[[list], list[tuple]]:
-        pieces = once_per_worker(key, lambda: PieceIds(tokenizer, width))
-        return lambda texts: [(ids + last,) for ids in pieces.ids([x or "" for x in texts])]
-
-    return map_slices(docs, text, list(keep), make, "ids binary", TOGETHER), width
-
-
 _WHITE = dict.fromkeys((9, 10, 11, 12, 13), " ")
 
 
@@ -291,12 +273,16 @@ def ascii_words(text: str) -> list[str]:
 
 def write_dataset(docs: DataFrame, folder: str, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of all texts under folder, by ascending document id. The manifest: part, file, first, path, n_docs, n_ids."""
-    encoded, width = encode_ids(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer or default_tokenizer(), end=end)
-    # written first: finding the ranges reads all rows once more, and this reads ids and encodes nothing
-    rows = materialize(encoded.withColumn("h", F.crc32("ids"))).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
+    tokenizer = tokenizer or default_tokenizer()
+    width = 2 if max(_library(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else 4
+    key, last = uuid.uuid4().hex, np.array([end], f"<u{width}").tobytes()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # by the hash too, so that a frequent id is divided; texts move before they are encoded, as finding the ranges computes all rows once more
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, files = TaskContext.get().partitionId(), 0
+        words = once_per_worker(key, lambda: WordIds(tokenizer, width))
         system, top = file_system(folder)
         keys: list[int | None] = []
         held: list[bytes] = []
@@ -318,13 +304,16 @@ def write_dataset(docs: DataFrame, folder: str, tokenizer: str | None = None, do
 
         system.create_dir(top, recursive=True)
         for batch in batches:
-            for at in range(batch.num_rows):
-                x = batch.column(1)[at].as_py()
-                if held and (size + len(x)) > file_ids * width:
-                    yield put()
-                keys.append(batch.column(0)[at].as_py())
-                held.append(x)
-                size += len(x)
+            for at in range(0, batch.num_rows, SLICE):
+                whole = batch.slice(at, SLICE)
+                names, texts = whole.column(0).to_pylist(), whole.column(1).to_pylist()
+                for a, b in _cuts(texts, TOGETHER):
+                    for name, x in zip(names[a:b], words.ids(texts[a:b]), strict=True):
+                        if held and size + len(x) + width > file_ids * width:
+                            yield put()
+                        keys.append(name)
+                        held.append(x + last)
+                        size += len(held[-1])
         if held:
             yield put()
 
