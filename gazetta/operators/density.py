@@ -8,6 +8,7 @@ assign_by_topic's result.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType
 
 from gazetta.functions import vectors as V
 from gazetta.operators import relational as R
-from gazetta.operators import search
+from gazetta.operators import search, setjoin
 from gazetta.scratch import materialize
 
 #: Rows of one batch at most.
@@ -150,6 +152,13 @@ def overlap(a: frozenset[str], b: frozenset[str]) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+def topic_words(topics: list[str]) -> frozenset[str]:
+    """Of a cluster's members' topics the five most frequent words (ties: the least), those over two characters."""
+    counts = Counter(w for t in topics for w in (t or "").split())
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:5]
+    return frozenset(w.lower() for w, _ in top if len(w) > 2)
+
+
 def leader_groups(topics: list[str], least: float = 0.1) -> list[int]:
     """Each topic joins the most similar leader above least (the first of several), or becomes one; the leader's place is the group."""
     leaders: list[tuple[int, frozenset[str]]] = []
@@ -169,10 +178,11 @@ def leader_groups(topics: list[str], least: float = 0.1) -> list[int]:
 def assign_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: str, neighbours: int = 15, small: int = 3, most: int = MOST, batch: str | None = None) -> DataFrame:
     """key, cluster: greedy assignment of unclustered rows in key order.
 
-    Among the nearest rows (similarity 0.5 or more) in small clusters, 0.7 Jaccard + 0.3 similarity decides, if the
-    Jaccard is above 0.1; else the first neighbour of a larger cluster above 0.2. Leftovers form leader groups: those of
-    three become clusters; others join the most similar small cluster above 0.1, or stay alone. New clusters are
-    numbered after the largest number in use. Neighbours' clusters are those before the pass.
+    A row's topic is compared with those of clusters (topic_words). Of the nearest rows (similarity 0.5 or more) in small
+    clusters, 0.7 Jaccard + 0.3 similarity decides, if the Jaccard is above 0.1; else the first neighbour whose larger
+    cluster is above 0.2. Leftovers form leader groups: those of three become clusters; others join the most similar
+    small cluster above 0.1 (ties: the least), or stay alone. New clusters are numbered after the largest number in use.
+    Clusters, their sizes and topics are those before the pass.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -184,6 +194,7 @@ def assign_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: s
         words = [word_set(t) for t in pdf[topic]]
         start = [None if pd.isna(c) else int(c) for c in pdf[cluster]]
         count = pd.Series([c for c in start if c is not None], dtype="int64").value_counts().to_dict()
+        about = {c: topic_words([t for t, x in zip(pdf[topic], start, strict=True) if x == c]) for c in count}
         now, free = list(start), max(count, default=0) + 1
         left = []
         for i, c in enumerate(start):
@@ -192,11 +203,12 @@ def assign_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: s
             scores = np.round(m @ m[i], 9)
             near = [j for j in np.lexsort((np.arange(len(m)), -scores)) if j != i][:neighbours]
             near = [j for j in near if scores[j] >= 0.5 and start[j] is not None]
-            best = max(((0.7 * overlap(words[i], words[j]) + 0.3 * scores[j], -k, j) for k, j in enumerate(near) if count[start[j]] < small), default=None)
-            if best is not None and overlap(words[i], words[best[2]]) > 0.1:
-                now[i] = start[best[2]]
+            like = {c: overlap(words[i], about[c]) for c in {start[j] for j in near}}
+            best = max(((0.7 * like[start[j]] + 0.3 * scores[j], -k, start[j]) for k, j in enumerate(near) if count[start[j]] < small), default=None)
+            if best is not None and like[best[2]] > 0.1:
+                now[i] = best[2]
             else:
-                now[i] = next((start[j] for j in near if count[start[j]] >= small and overlap(words[i], words[j]) > 0.2), None)
+                now[i] = next((start[j] for j in near if count[start[j]] >= small and like[start[j]] > 0.2), None)
             if now[i] is None:
                 left.append(i)
         groups = leader_groups([pdf[topic][i] for i in left])
@@ -210,10 +222,9 @@ def assign_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: s
                 free += 1
                 continue
             for i in group:
-                options = [(overlap(words[i], words[j]), -j, start[j]) for j in range(len(now)) if start[j] is not None and count[start[j]] < small]
-                best = max(options, default=(0.0, 0, None))
+                best = max(((round(overlap(words[i], about[c]), 9), -c) for c in count if count[c] < small), default=(0.0, 0))
                 if best[0] > 0.1:
-                    now[i] = best[2]
+                    now[i] = -best[1]
                 else:
                     now[i], free = free, free + 1
         return pd.DataFrame({key: pdf[key].to_numpy(), "cluster": np.array(now, "int64")})
@@ -247,10 +258,10 @@ class TopicIndex:
         return float(scores[at]), at
 
 
-def _against(rows: DataFrame, key: str, block: list[tuple], least: float, earlier: bool) -> DataFrame:
+def _against(rows: DataFrame, key: str, block: list[tuple], least: float) -> DataFrame:
     """rows (key, words, leader, score) with the block's most similar topic as leader, if it is above least and score.
 
-    The block is in key order. With earlier, its topics are leaders: each leads itself and serves later rows only.
+    The block is in key order; each of its topics leads itself and serves later rows only.
     """
     schema = to_arrow_schema(rows.schema)
     sent = rows.sparkSession.sparkContext.broadcast(block)
@@ -263,8 +274,8 @@ def _against(rows: DataFrame, key: str, block: list[tuple], least: float, earlie
         for b in batches:
             out = []
             for k, words, leader, score in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                first = bisect_left(names, k) if earlier else len(names)
-                if earlier and first < len(names) and names[first] == k:
+                first = bisect_left(names, k)
+                if first < len(names) and names[first] == k:
                     leader, score = k, 1.0
                 else:
                     new, at = index.best(words, first)
@@ -293,55 +304,77 @@ def all_leader_groups(rows: DataFrame, key: str, least: float = 0.1, block: int
                 index.add(words)
                 leaders.append((k, words))
         if leaders:
-            state = materialize(_against(state, key, leaders, least, earlier=True))
+            state = materialize(_against(state, key, leaders, least))
         if len(first) < block:
             return state.drop("score")
 
 
-def assign_all_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: str, size: int, neighbours: int = 15, small: int = 3, block: int = TOPICS) -> DataFrame:
-    """key, cluster: assign_by_topic over all rows as one batch, without a limit. key is unique and not null.
+@F.pandas_udf(ArrayType(StringType()))
+def topic_list(topics: pd.Series) -> pd.Series:
+    """The words of a topic as they stand."""
+    return topics.map(lambda t: (t or "").split())
 
-    Neighbours are searched among all rows, cluster sizes are counted over all rows, and leftovers are grouped over all
-    rows; new clusters have numbers of their own in the whole table. Vectors of another size or with nulls are left out.
-    """
-    @F.pandas_udf("array<string>")
-    def words(topics: pd.Series) -> pd.Series:
-        return topics.map(lambda t: sorted(word_set(t)))
 
+@F.pandas_udf(ArrayType(StringType()))
+def lower_set(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: sorted({w.lower() for w in ws}))
+
+
+def topic_rows(df: DataFrame, key: str, vector: str, topic: str, cluster: str, size: int) -> DataFrame:
+    """key, v, said (the topic's words), words (their lower-case set) and cluster of rows whose vector has size elements, none null."""
     good = V.valid(F.col(vector), size) & ~F.exists(vector, lambda x: x.isNull())
-    rows = materialize(df.where(good).select(F.col(key).alias("key"), F.col(vector).alias("v"), words(F.col(topic)).alias("words"), F.col(cluster).cast("long").alias("cluster")))
-    free = rows.where("cluster is null")
-    few = rows.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") < small).select("cluster", F.lit(True).alias("few"))
-    held = rows.where("cluster is not null").join(few, "cluster", "left").select("key", "words", "cluster", F.coalesce("few", F.lit(False)).alias("few"))
+    rows = df.where(good).select(F.col(key).alias("key"), F.col(vector).alias("v"), topic_list(F.col(topic)).alias("said"), F.col(cluster).cast("long").alias("cluster"))
+    return rows.withColumn("words", lower_set("said"))
 
-    # first pass: the neighbours' clusters
-    near = search.nearest(rows, free, neighbours, "key", "v", size, digits=9, block=block).where("similarity >= 0.5")
-    pairs = near.join(held.select(F.col("key").alias("neighbour_id"), F.col("words").alias("b"), "cluster", "few"), "neighbour_id").join(free.select(F.col("key").alias("query_id"), F.col("words").alias("a")), "query_id")
-    overlaps = F.when((F.size("a") > 0) & (F.size("b") > 0), F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).otherwise(0.0)
+
+def cluster_words(rows: DataFrame, small: int) -> DataFrame:
+    """cluster, about (topic_words of its members) and few: fewer members than small."""
+    held = rows.where("cluster is not null")
+    top = R.top_values(held, ["cluster"], F.col("said"), 5).where(F.length("value") > 2).groupBy("cluster").agg(F.collect_list("value").alias("about"))
+    sizes = held.groupBy("cluster").agg((F.count("*") < small).alias("few"))
+    out = sizes.join(top, "cluster", "left").select("cluster", F.coalesce("about", F.array().cast("array<string>")).alias("about"), "few")
+    return out.withColumn("about", lower_set("about"))
+
+
+def by_neighbours(rows: DataFrame, groups: DataFrame, size: int, neighbours: int = 15, least: float = 0.5, block: int = search.BLOCK) -> DataFrame:
+    """key and new: the cluster that an unclustered row's nearest rows suggest, if any does. rows of topic_rows, groups of cluster_words."""
+    free = rows.where("cluster is null")
+    near = search.nearest(rows, free, neighbours, "key", "v", size, digits=9, block=block).where(F.col("similarity") >= least)
+    held = rows.where("cluster is not null").select(F.col("key").alias("neighbour_id"), "cluster").join(groups, "cluster")
+    pairs = near.join(held, "neighbour_id").join(free.select(F.col("key").alias("query_id"), F.col("words").alias("a")), "query_id")
+    b = F.col("about")
+    overlaps = F.when((F.size("a") > 0) & (F.size(b) > 0), F.size(F.array_intersect("a", b)) / F.size(F.array_union("a", b))).otherwise(0.0)
     pairs = pairs.withColumn("o", overlaps).withColumn("s", 0.7 * F.col("o") + 0.3 * F.col("similarity"))
     best = pairs.groupBy("query_id").agg(
         F.max(F.when(F.col("few"), F.struct("s", -F.col("rank"), "o", "cluster"))).alias("x"), F.min(F.when(~F.col("few") & (F.col("o") > 0.2), F.struct("rank", "cluster"))).alias("y")
     )
     joined = best.select(F.col("query_id").alias("key"), F.when(F.col("x.o") > 0.1, F.col("x.cluster")).otherwise(F.col("y.cluster")).alias("new"))
-    joined = materialize(joined.where("new is not null"))
-
-    # second pass: groups of leftovers, and small clusters for groups that are too small
-    groups = all_leader_groups(free.join(joined, "key", "left_anti").select("key", "words"), "key", 0.1, block)
-    alone = groups.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") < small).select("leader", F.lit(True).alias("alone"))
-    groups = materialize(groups.join(alone, "leader", "left").select("key", "words", "leader", F.coalesce("alone", F.lit(False)).alias("alone")))
-    nearest = groups.where("alone").select("key", "words", F.lit(None).cast(rows.schema["key"].dataType).alias("leader"), F.lit(0.0).alias("score"))
-    options: list[tuple] = []
-    for r in held.where("few").select("key", "words").orderBy("key").toLocalIterator():
-        options.append((r.key, r.words))
-        if len(options) == block:
-            nearest, options = materialize(_against(nearest, "key", options, 0.1, earlier=False)), []
-    if options:
-        nearest = _against(nearest, "key", options, 0.1, earlier=False)
-    taken = nearest.where("leader is not null").select("key", F.col("leader").alias("other"))
-    taken = materialize(taken.join(held.select(F.col("key").alias("other"), F.col("cluster").alias("new")), "other").select("key", "new"))
+    return joined.where("new is not null")
+
+
+def assign_all_by_topic(df: DataFrame, key: str, vector: str, topic: str, cluster: str, size: int, neighbours: int = 15, small: int = 3, block: int = TOPICS) -> DataFrame:
+    """key, cluster: assign_by_topic over all rows as one batch, without a limit. key is unique and not null.
+
+    Neighbours are searched among all rows, clusters' sizes and topics come from all rows, and leftovers are grouped over all
+    rows; new clusters have numbers of their own in the whole table. Vectors of another size or with nulls are left out.
+    """
+    rows = materialize(topic_rows(df, key, vector, topic, cluster, size))
+    groups = materialize(cluster_words(rows, small))
+    free = rows.where("cluster is null")
+
+    # first pass: the neighbours' clusters
+    joined = materialize(by_neighbours(rows, groups, size, neighbours, block=block))
+
+    # second pass: groups of leftovers, and small clusters for rows of groups that are too small
+    led = all_leader_groups(free.join(joined, "key", "left_anti").select("key", "words"), "key", 0.1, block)
+    alone = led.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") < small).select("leader", F.lit(True).alias("alone"))
+    led = materialize(led.join(alone, "leader", "left").select("key", "words", "leader", F.coalesce("alone", F.lit(False)).alias("alone")))
+    texts = led.where("alone").select("key", F.concat_ws(" ", "words").alias("t"))
+    options = groups.where("few").select("cluster", F.concat_ws(" ", "about").alias("u"))
+    taken = materialize(setjoin.best_matches(texts, options, "key", "t", "cluster", "u", 0.1).select("key", F.col("cluster").alias("new")))
 
     # numbers of new clusters: groups in the order of their leaders, and the rows that stay alone in theirs
-    new = groups.join(taken, "key", "left_anti").select("key", "leader", "alone")
+    new = led.join(taken, "key", "left_anti").select("key", "leader", "alone")
     units = materialize(new.where("alone or key = leader").select("key", "leader"))
     last = rows.agg(F.coalesce(F.max("cluster"), F.lit(0))).first()[0]
     numbers = R.batches(units, [F.col("leader"), F.col("key")], 1).select(F.col("key").alias("unit"), (F.col("batch") + last + 1).alias("new"))

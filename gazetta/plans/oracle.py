@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gazetta.functions import lexicon as L
 from gazetta.operators import models
-from gazetta.plans.queries import NEAR, NOW, SIZE
+from gazetta.plans.queries import NEAR, NOW, SIZE, TOPIC_NEAR
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -203,6 +203,20 @@ with parts as (select label, unnest(embedding)::double as x, generate_subscripts
 centers as (select label, list(x order by pos) as center from (select label, pos, avg(x) as x from parts group by all) group by label),
 scored as (select e.vec_id, c.label, round({COSINE}, 9) as s from embeddings e cross join centers c where e.vec_id % 3 = 0)
 select vec_id, case when s >= {NEAR} then label end as label, round(s, 6) as similarity from (select *, row_number() over (partition by vec_id order by s desc, label) as k from scored) where k = 1""",
+    "topic_assign_first_pass": rf"""
+with {TITLED}, topics as (select e.vec_id, e.embedding::double[] as v, list_filter(string_split(regexp_replace(title, '\s+', ' ', 'g'), ' '), lambda w: length(w) > 0)[1:5].list_filter(lambda w: length(w) > 2)[1:3] as ws, title,
+  case when vec_id % 4 = 1 then vec_id // 8 when vec_id % 4 > 1 then 1000000 + label end as cluster from embeddings e join titled t on t.doc_id = e.vec_id),
+rows_ as (select *, case when len(ws) > 0 then ws else list_filter(string_split(regexp_replace(left(title, 50), '\s+', ' ', 'g'), ' '), lambda w: length(w) > 0) end as said from topics),
+sizes as (select cluster, count(*) < 3 as few from rows_ where cluster is not null group by 1),
+counted as (select cluster, w, row_number() over (partition by cluster order by count(*) desc, w) as k from (select cluster, unnest(said) as w from rows_ where cluster is not null) group by cluster, w),
+abouts as (select cluster, list_distinct(list(lower(w))) as about from counted where k <= 5 and length(w) > 2 group by 1),
+near as (select a.vec_id, b.cluster, list_distinct(list_transform(a.said, lambda w: lower(w))) as x, round(list_cosine_similarity(a.v, b.v), 9) as s, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 9) desc, b.vec_id) as rank
+  from rows_ a join rows_ b on a.vec_id <> b.vec_id where a.cluster is null),
+scored as (select n.vec_id, n.cluster, n.s, n.rank, few, coalesce(len(list_intersect(x, about)) / len(list_distinct(x || about)), 0) as o
+  from near n join sizes using (cluster) left join abouts using (cluster) where rank <= 15 and n.s >= {TOPIC_NEAR}),
+small as (select vec_id, cluster, o from (select *, row_number() over (partition by vec_id order by 0.7::double * o + 0.3::double * s desc, rank) as k from scored where few) where k = 1),
+large as (select vec_id, arg_min(cluster, rank) as cluster from scored where not few and o > 0.2 group by 1)
+select vec_id, new from (select coalesce(a.vec_id, b.vec_id) as vec_id, case when a.o > 0.1 then a.cluster else b.cluster end as new from small a full join large b on a.vec_id = b.vec_id) where new is not null""",
     "topic_jaccard": rf"""
 with {TITLED}, a as (select doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(title), '\s+', ' ', 'g'), ' '), lambda w: length(w) > 0)) as w from titled),
 b as (select item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda w: length(w) > 0)) as v from benchmark),

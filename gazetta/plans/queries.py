@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 
 #: The embeddings' length, a threshold that their centroids reach, and the moment taken as now for the events.
 SIZE, NEAR, NOW = 64, 0.15, "2024-01-30 12:00:00"
+#: Similarity from which neighbours' clusters count in topic_assign_first_pass.
+TOPIC_NEAR = 0.2
 
 
 def query(f: Query) -> Query:
@@ -677,11 +679,22 @@ def hdbscan_cluster_rows(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.cluster_rows(labels, rows, "doc_id", "embedding", "title").withColumn("center_embedding", F.transform("center_embedding", lambda x: F.round(x, 6)))
 
 
+def topic_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return titled(spark, folder).join(vectors(spark, folder), F.col("doc_id") == F.col("vec_id")).withColumn("topic", C.article_topic(F.col("title"), F.array().cast("array<string>")))
+
+
 @query
 def topic_assign_greedy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = titled(spark, folder).join(vectors(spark, folder), F.col("doc_id") == F.col("vec_id"))
-    rows = rows.withColumn("cluster", F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long")))
-    return density.assign_all_by_topic(rows, "vec_id", "embedding", "title", "cluster", SIZE)
+    rows = topic_articles(spark, folder).withColumn("cluster", F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long")))
+    return density.assign_all_by_topic(rows, "vec_id", "embedding", "topic", "cluster", SIZE)
+
+
+@query
+def topic_assign_first_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusters that neighbours suggest, small ones (eight ids have one) and large ones (labels)."""
+    cluster = F.when(F.col("vec_id") % 4 == 1, F.floor(F.col("vec_id") / 8)).when(F.col("vec_id") % 4 > 1, 1_000_000 + F.col("label"))
+    rows = materialize(density.topic_rows(topic_articles(spark, folder).withColumn("cluster", cluster), "vec_id", "embedding", "topic", "cluster", SIZE))
+    return density.by_neighbours(rows, materialize(density.cluster_words(rows, 3)), SIZE, least=TOPIC_NEAR).withColumnRenamed("key", "vec_id")
 
 
 @query

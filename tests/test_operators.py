@@ -161,12 +161,22 @@ def test_assignment_of_a_whole_table(spark):
 
 def test_topics_are_assigned_over_blocks_of_ids(spark):
     folder = "/root/testdata/sf0.01"
-    rows = spark.read.parquet(f"{folder}/embeddings.parquet").join(queries.titled(spark, folder), F.col("doc_id") == F.col("vec_id"))
-    rows = rows.withColumn("cluster", F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long")))
-    want = {r.vec_id: r.cluster for r in density.assign_by_topic(rows, "vec_id", "embedding", "title", "cluster").collect()}
+    rows = queries.topic_articles(spark, folder).withColumn("cluster", F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long")))
+    want = {r.vec_id: r.cluster for r in density.assign_by_topic(rows, "vec_id", "embedding", "topic", "cluster").collect()}
     assert len(want) > 200 and {r.vec_id: r.cluster for r in queries.QUERIES["topic_assign_greedy"](spark, folder).collect()} == want
 
 
+def test_topics_are_those_of_clusters(spark):
+    """The nearest row's own topic is another, but its cluster's topic is like the new row's."""
+    rows = [(1, [1.0, 0.0], "odd words", 7), (2, [0.0, 1.0], "navy ships", 7), (3, [0.0, 1.0], "navy ships", 7), (4, [0.9, 0.1], "navy ships", None), (5, [0.2, 1.0], "bank rates", None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, t string, c long")
+    # five words at most, and short ones take places too
+    assert density.topic_words(["a navy b", "navy Ships", None, "an"]) == {"navy", "ships"} and density.topic_words(["a navy b", "navy ships", "an of"]) == {"navy"}
+    want = {1: 7, 2: 7, 3: 7, 4: 7, 5: 8}
+    assert {r.id: r.cluster for r in density.assign_by_topic(df, "id", "v", "t", "c").collect()} == want
+    assert {r.id: r.cluster for r in density.assign_all_by_topic(df, "id", "v", "t", "c", 2).collect()} == want
+
+
 def test_batch_limit_is_an_error(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id int, v array<double>")
     with pytest.raises(Exception, match="above 3"):
