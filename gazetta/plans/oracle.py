@@ -203,6 +203,7 @@ with parts as (select label, unnest(embedding)::double as x, generate_subscripts
 centers as (select label, list(x order by pos) as center from (select label, pos, avg(x) as x from parts group by all) group by label),
 scored as (select e.vec_id, c.label, round({COSINE}, 9) as s from embeddings e cross join centers c where e.vec_id % 3 = 0)
 select vec_id, case when s >= {NEAR} then label end as label, round(s, 6) as similarity from (select *, row_number() over (partition by vec_id order by s desc, label) as k from scored) where k = 1""",
+    "keyed_table_steps": "select doc_id::varchar as article_id, length(text)::int as n_chars, lang as source_language, 'en' as target_language, case when doc_id % 10 = 0 then coalesce(source, '') when doc_id % 3 > 0 then concat_ws(',', source, lang) else '' end as tags, case when doc_id % 5 = 0 then 'c' || (doc_id % 7) end as cluster_id from documents",
     "topic_assign_first_pass": rf"""
 with {TITLED}, topics as (select e.vec_id, e.embedding::double[] as v, list_filter(string_split(regexp_replace(title, '\s+', ' ', 'g'), ' '), lambda w: length(w) > 0)[1:5].list_filter(lambda w: length(w) > 2)[1:3] as ws, title,
   case when vec_id % 4 = 1 then vec_id // 8 when vec_id % 4 > 1 then 1000000 + label end as cluster from embeddings e join titled t on t.doc_id = e.vec_id),

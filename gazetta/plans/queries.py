@@ -18,6 +18,7 @@ from gazetta.plans import pipeline, reports
 from gazetta.scratch import materialize, scratch_path
 from gazetta.sources import pages as P
 from gazetta.sources import readers, store
+from gazetta.sources.keyed import KeyedTable, step_patch
 from gazetta.sources.vectorindex import VectorIndex
 from gazetta.streaming import stages
 
@@ -263,6 +264,20 @@ def upsert_processed(spark: SparkSession, folder: str) -> DataFrame:
     return R.upsert(stored, patch, "doc_id")
 
 
+@query
+def keyed_table_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """A keyed table after the steps of all articles: translated, then tagged (a third have no tags), some clustered, some tagged again."""
+    rows = docs(spark, folder).select(F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("translated_text"), F.col("lang").alias("source_language"), "doc_id", "source")
+    wanted = "article_id string, translated_text string, source_language string, target_language string, tags array<string>, cluster_id string"
+    table = KeyedTable(spark, scratch_path(spark), spark.createDataFrame([], wanted).schema, "article_id", buckets=8, compact=2)
+    table.upsert(step_patch(rows, "translate"))
+    table.upsert(step_patch(rows.withColumn("tags", F.when(F.col("doc_id") % 3 > 0, F.array("source", "source_language"))), "tag"))
+    table.upsert(step_patch(rows.where("doc_id % 5 = 0").withColumn("cluster_id", F.concat(F.lit("c"), F.col("doc_id") % 7)), "cluster"))
+    table.upsert(step_patch(rows.where("doc_id % 10 = 0").withColumn("tags", F.array("source")), "tag"))
+    out = table.read()
+    return out.select("article_id", F.length("translated_text").alias("n_chars"), "source_language", "target_language", F.array_join("tags", ",").alias("tags"), "cluster_id")
+
+
 @query
 def keyed_update(spark: SparkSession, folder: str) -> DataFrame:
     stored = readers.table(spark, folder, "customer").select("c_custkey", "c_nationkey", F.lit(None).cast("string").alias("status"))
