@@ -186,6 +186,36 @@ def apply(c: Column, make: Callable[[], object], method: str, kind: str) -> Colu
     return run(c)
 
 
+def tried(c: Column, make: Callable[[], object], method: str, kind: str) -> Column:
+    """apply, with what went wrong: a struct of value and error. A batch in which a row fails is taken row by row, so only that row has no value."""
+
+    @F.pandas_udf(f"value {kind}, error string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        plug, missing = None, None
+        try:
+            plug = getattr(make(), method)
+        except Exception as e:  # noqa: BLE001  the plug-in itself: all rows fail alike
+            missing = f"{type(e).__name__}: {e}"
+
+        def one(x: object) -> tuple[object, str | None]:
+            try:
+                return plug(pd.Series([x])).iloc[0], None
+            except Exception as e:  # noqa: BLE001  what a plug-in may raise is not known
+                return None, f"{type(e).__name__}: {e}"
+
+        for s in parts:
+            if missing is not None:
+                rows = [(None, missing)] * len(s)
+            else:
+                try:
+                    rows = [(x, None) for x in plug(s)]
+                except Exception:  # noqa: BLE001
+                    rows = [one(x) for x in s]
+            yield pd.DataFrame({"value": pd.Series([x for x, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
+
+    return run(c)
+
+
 def entities(c: Column, make: Callable[[], Annotator] = GazetteerAnnotator) -> Column:
     return apply(c, make, "annotate", "array<struct<text:string,label:string>>")
 

@@ -24,6 +24,12 @@ def _lookup(at: int) -> Column:
     return F.create_map(*[F.lit(x) for row in LABELS for x in (row[0], row[at])])
 
 
+def with_error(df: DataFrame, *errors: Column) -> DataFrame:
+    """Adds error, or keeps the one that a row has: the first of some that is not null."""
+    own = [F.col("error")] if "error" in df.columns else []
+    return df.withColumn("error", F.coalesce(*own, *errors))
+
+
 def tag_columns(entities: Column, normalized: bool = False) -> dict[str, Column]:
     """entities, tags (prefixed) and tag_categories of an array of structs (text, label); all sorted and distinct."""
     named = entities
@@ -43,10 +49,18 @@ def tag_columns(entities: Column, normalized: bool = False) -> dict[str, Column]
     }
 
 
-def tag_articles(df: DataFrame, title: str, text: str, make=models.GazetteerAnnotator) -> DataFrame:
-    """Adds entities, tags, tag_categories, sentiment, topics, escalation_score, region, topic and priority_level."""
+def tag_articles(df: DataFrame, title: str, text: str, make=models.GazetteerAnnotator, errors: bool = False) -> DataFrame:
+    """Adds entities, tags, tag_categories, sentiment, topics, escalation_score, region, topic and priority_level.
+
+    With errors, rows that the annotator fails on have no entities and an error.
+    """
     # names are normalised beside the model, so that the categories below are plain filters
-    found = df.withColumn("__e", models.entities(F.concat_ws(" ", F.col(title), F.col(text)), lambda: models.NormalizedAnnotator(make())))
+    both, named = F.concat_ws(" ", F.col(title), F.col(text)), lambda: models.NormalizedAnnotator(make())
+    if errors:
+        found = df.withColumn("__x", models.tried(both, named, "annotate", "array<struct<text:string,label:string>>"))
+        found = with_error(found.withColumn("__e", F.col("__x.value")), F.col("__x.error")).drop("__x")
+    else:
+        found = df.withColumn("__e", models.entities(both, named))
     out = found.withColumns(tag_columns(F.col("__e"), normalized=True)).drop("__e")
     return out.withColumns(
         {

@@ -24,31 +24,40 @@ def ingest(articles: DataFrame, title: str = "title", body: str = "content") ->
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
-def translate(df: DataFrame, title: str = "title", body: str = "content", make=models.SameText) -> DataFrame:
-    """Adds language, title_translated, content_translated, cleaned_text and translation_status; English passes as it is."""
+def translate(df: DataFrame, title: str = "title", body: str = "content", make=models.SameText, errors: bool = False) -> DataFrame:
+    """Adds language, title_translated, content_translated, cleaned_text and translation_status; English passes as it is.
+
+    With errors, rows that the translator fails on keep their texts and have an error.
+    """
     out = df.withColumn("language", T.detect_language(F.col(body), "translator"))
     need = T.needs_translation(F.col("language"), F.col(body))
+    if errors:
+        # null for English: the translator may fail on what it need not see
+        out = out.withColumns({f"__{c}": models.tried(F.when(need, F.col(c)), make, "translate", "string") for c in (title, body)})
+        out = tagging.with_error(out, *[F.when(need, F.col(f"__{c}.error")) for c in (title, body)])
 
     def of(c: str) -> Column:
-        return F.when(need, models.translation(F.col(c), make)).otherwise(F.col(c))
+        new = F.coalesce(F.col(f"__{c}.value"), F.col(c)) if errors else models.translation(F.col(c), make)
+        return F.when(need, new).otherwise(F.col(c))
 
-    out = out.withColumns({"title_translated": of(title), "content_translated": of(body)})
+    out = out.withColumns({"title_translated": of(title), "content_translated": of(body)}).drop(f"__{title}", f"__{body}")
     status = F.when(~need, "not_needed").when(F.col("content_translated") == F.col(body), "failed").otherwise("translated")
     return out.withColumns({"cleaned_text": T.clean_text(F.col("content_translated")), "translation_status": status})
 
 
-def tag(df: DataFrame) -> DataFrame:
-    return tagging.tag_articles(df, "title_translated", "cleaned_text")
-
-
-def embed(df: DataFrame, size: int = models.DIMENSION) -> DataFrame:
-    """Adds embedding: of the prepared text, mixed with those of the tags and entities."""
-    make = lambda: models.HashEmbedder(size)
+def tag(df: DataFrame, make=models.GazetteerAnnotator, errors: bool = False) -> DataFrame:
+    return tagging.tag_articles(df, "title_translated", "cleaned_text", make, errors)
 
-    def of(c: Column) -> Column:
-        return models.embedding(c, make)
 
-    out = df.withColumns({"__t": of(T.embedding_text(F.col("title_translated"), F.col("cleaned_text"), F.col("tags"), F.col("entities"))), "__g": of(F.concat_ws(" ", "tags")), "__e": of(F.concat_ws(" ", "entities"))})
+def embed(df: DataFrame, size: int = models.DIMENSION, make: Callable[[], models.Embedder] | None = None, errors: bool = False) -> DataFrame:
+    """Adds embedding: of the prepared text, mixed with those of the tags and entities. With errors, a row that the embedder fails on has none, and an error."""
+    make = make or (lambda: models.HashEmbedder(size))
+    texts = {"__t": T.embedding_text(F.col("title_translated"), F.col("cleaned_text"), F.col("tags"), F.col("entities")), "__g": F.concat_ws(" ", "tags"), "__e": F.concat_ws(" ", "entities")}
+    if errors:
+        out = df.withColumns({name: models.tried(c, make, "embed", "array<double>") for name, c in texts.items()})
+        out = tagging.with_error(out, *[F.col(f"{name}.error") for name in texts]).withColumns({name: F.col(f"{name}.value") for name in texts})
+    else:
+        out = df.withColumns({name: models.embedding(c, make) for name, c in texts.items()})
     has = lambda c: F.size(c) > 0
     mixed = V.blend(F.col("__t"), F.when(has("tags"), F.col("__g")), F.when(has("entities"), F.col("__e")))
     return out.withColumn("embedding", mixed).drop("__t", "__g", "__e")
