@@ -738,7 +738,7 @@ def clustering_run(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def html_main_content(spark: SparkSession, folder: str) -> DataFrame:
-    return readers.table(spark, folder, "pages").select("page_id", P.content(F.col("html")).alias("content"))
+    return P.main_content(readers.table(spark, folder, "pages"))
 
 
 @query
