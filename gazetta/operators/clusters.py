@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
@@ -74,17 +74,28 @@ def stats(df: DataFrame, cluster: str) -> DataFrame:
 
 
 def summaries(df: DataFrame, cluster: str, member: str, title: Column, tags: Column, topic: str, region: str, least: int = LEAST_SIZE) -> DataFrame:
-    """size, top_tags (5), primary_topic, primary_region, representative_title (of the least member with one)."""
-    rows = df.withColumns({"__title": title, "__tags": tags})
+    """size, top_tags (5), primary_topic, primary_region, representative_title (of the least member with one).
+
+    Tags, topics and regions are counted together, and what is counted is dealt out by cluster once for ranks, lists and the join.
+    """
+    rows = df.withColumns({"__title": title, "__tags": F.coalesce(tags, F.array().cast("array<string>"))})
     base = rows.groupBy(cluster).agg(
         F.count("*").alias("size"), F.min_by("__title", F.when(F.length("__title") > 0, F.col(member))).alias("representative_title")
     ).where(F.col("size") >= least)
-    top = top_values(rows, [cluster], F.col("__tags"), 5).groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("t"))
-    top = top.select(cluster, F.transform("t", lambda s: s["value"]).alias("top_tags"))
-    topics = modal_value(rows, [cluster], topic, "Unknown").withColumnRenamed(topic, "primary_topic")
-    regions = modal_value(rows, [cluster], region, "Unknown").withColumnRenamed(region, "primary_region")
-    out = base.join(top, cluster, "left").join(topics, cluster, "left").join(regions, cluster, "left")
-    return out.withColumn("top_tags", F.coalesce("top_tags", F.array().cast("array<string>")))
+
+    def of(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+    every = F.concat(F.transform("__tags", lambda t: of("tag", t)), F.array(of("topic", F.col(topic)), of("region", F.col(region))))
+    counts = rows.select(cluster, F.explode(every).alias("e")).select(cluster, "e.*").where("kind = 'tag' or value is not null").groupBy(cluster, "kind", "value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(cluster, "kind").orderBy(F.desc("n"), "value"))
+    best = counts.repartition(cluster).withColumn("rank", rank).where((F.col("rank") == 1) | (F.col("kind") == "tag") & (F.col("rank") <= 5))
+    first = {name: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("value"))), F.lit("Unknown")).alias(name) for kind, name in (("topic", "primary_topic"), ("region", "primary_region"))}
+    listed = F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.struct("rank", "value"))))
+    top = best.groupBy(cluster).agg(F.transform(listed, lambda s: s["value"]).alias("top_tags"), *first.values())
+    out = base.join(top, cluster, "left")
+    defaults = {"top_tags": F.array().cast("array<string>"), "primary_topic": F.lit("Unknown"), "primary_region": F.lit("Unknown")}
+    return out.select(cluster, "size", "representative_title", *[F.coalesce(c, d).alias(c) for c, d in defaults.items()])
 
 
 def summary_text(topic: Column, n: Column, entities: Column, tags: Column) -> Column:

@@ -69,7 +69,7 @@ ORACLE_SQL |= {
     "clean_text_pages": f"select page_id, {cleaned(unescaped('html'))} as cleaned from pages",
     "normalize_text": f"select doc_id, lower({cleaned('text')}) as normalized from documents",
     "extract_title": f"select page_id, {cleaned(unescaped(chr(39).join(['regexp_extract(html, ', '(?i)<title[^>]*>(.*?)</title>', ', 1)'])))} as title from pages",
-    "extract_meta_description": "select page_id, null::varchar as description from pages",
+    "extract_meta_description": "select page_id, case when page_id % 3 > 0 then " + cleaned("('About & of ' || url)") + " end as description from pages",
     "language_detect": f"select doc_id, {language('text')} as service_code, case when length(trim(text)) < 3 then 'en' when {share('text', HAN)} > 0.1 then 'zh' when {share('text', KANA)} > 0.1 then 'ja' when {share('text', KO)} > 0.1 then 'ko' else 'en' end as translator_code from documents",
     "language_confidence": f"select doc_id, round({share(SAMPLE, HAN)}, 6) as zh, round({share(SAMPLE, JA)}, 6) as ja, round({share(SAMPLE, KO)}, 6) as ko, round(greatest(1 - {share(SAMPLE, HAN)} - {share(SAMPLE, JA)} - {share(SAMPLE, KO)}, 0), 6) as en from documents",
     "language_histogram": f"select language, count(*) as n from (select lang as language from documents union all select {language('text')} from documents) group by 1",
@@ -227,7 +227,7 @@ select doc_id, item_id, round(j, 6) as jaccard from (select *, row_number() over
 
 LISTED = "array_to_string(list_sort(list_distinct({})), ',')"
 STOPPED = sorted({w for some in models.LANGUAGE_WORDS.values() for w in some})
-SCRIPTS = "(case doc_id % 4 when 0 then '漢字漢字漢字' when 1 then 'かなカナひらがな' when 2 then '한글한글한글' else '' end || left(text, 40))"
+SCRIPTS = "(repeat(case doc_id % 4 when 0 then '漢字漢字漢字' when 1 then 'かなカナひらがな' when 2 then '한글한글한글' else '' end, ceil(length(text) / 40.0)::int) || text)"
 VOTES = ", ".join(f"len(list_filter(w, lambda x: list_contains({some!r}, x))) as {code}" for code, some in models.LANGUAGE_WORDS.items())
 MOST = f"greatest({', '.join(models.LANGUAGE_WORDS)})"
 
@@ -262,16 +262,23 @@ words as (select label, unnest(list_filter(string_split(lower(title), ' '), lamb
 ranked as (select label, w, row_number() over (partition by label order by count(*) desc, w) as k from words group by label, w),
 tags as (select label, string_agg(w, ',' order by k) as top_tags from ranked where k <= 10 group by 1),
 langs as (select label, lang, row_number() over (partition by label order by count(*) desc, lang) as k from members group by label, lang),
-entities as (select label, string_agg(lang, ',' order by k) as top_entities from langs where k <= 10 group by 1)
-select m.label, count(*) as member_count, any_value(representative_article_id)::bigint as representative_article_id, coalesce(any_value(top_tags), '') as top_tags, any_value(top_entities) as top_entities, case when count(*) < 3 then 'complete' else 'pending' end as status
-from members m join medoids d on m.label = d.label left join tags t on m.label = t.label join entities e on m.label = e.label group by m.label""",
+entities as (select label, string_agg(lang, ',' order by k) as top_entities, string_agg(lang, ', ' order by k) filter (where k <= 3) as three_entities from langs where k <= 10 group by 1),
+said as (select label, unnest(case when len(t) > 0 then t else list_filter(string_split(left(title, 50), ' '), lambda w: length(w) > 0) end) as w from (
+  select label, title, (list_filter(string_split(lower(title), ' '), lambda w: length(w) > 2) || list_filter(list_filter(string_split(title, ' '), lambda w: length(w) > 0)[1:5], lambda w: length(w) > 2))[1:3] as t from members)),
+about as (select label, w, row_number() over (partition by label order by count(*) desc, w) as k from said group by label, w),
+themes as (select label, string_agg(w, ' ' order by k) as theme from about where k <= 5 and length(w) > 2 group by 1),
+three as (select label, string_agg(w, ', ' order by k) as three_tags from ranked where k <= 3 group by 1)
+select m.label, count(*) as member_count, any_value(representative_article_id)::bigint as representative_article_id, coalesce(any_value(top_tags), '') as top_tags, any_value(top_entities) as top_entities, case when count(*) < 3 then 'complete' else 'pending' end as status,
+  coalesce(any_value(theme), '') as theme, case when count(*) < 3 then 'Single article cluster - no summary needed' else case when any_value(theme) <> '' then 'Topic Cluster: ' || any_value(theme) || '. Contains ' || count(*) || ' articles. ' else 'Cluster of ' || count(*) || ' articles. ' end
+    || coalesce('Key entities: ' || any_value(three_entities) || '. ', '') || coalesce('Common tags: ' || any_value(three_tags) || '.', '') end as summary
+from members m left join themes on m.label = themes.label left join three on m.label = three.label join medoids d on m.label = d.label left join tags t on m.label = t.label join entities e on m.label = e.label group by m.label""",
     "cluster_members": "select label, doc_id, lang from documents join embeddings on doc_id = vec_id where label <> -1",
     "page_metadata": "select page_id, case when page_id % 3 > 0 then 'A ' || page_id end as author, case when page_id % 3 > 0 then "
     + cleaned("('About & ' || url)")
     + " end as description, case when page_id % 3 > 0 then '2024-01-02' end as date, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages",
     "language_scripts": f"select doc_id, {language(SCRIPTS)} as service_code, case when length(trim({SCRIPTS})) < 3 then 'en' when {share(SCRIPTS, HAN)} > 0.1 then 'zh' when {share(SCRIPTS, KANA)} > 0.1 then 'ja' when {share(SCRIPTS, KO)} > 0.1 then 'ko' else 'en' end as translator_code from documents",
     "ingest_white_space": rf"""
-with {TITLED}, stripped as (select doc_id, length(regexp_replace(left(text, 55), '^\s+|\s+$', '', 'g')) as b, length(regexp_replace(left(title, 6), '^\s+|\s+$', '', 'g')) as t from titled)
+with {TITLED}, stripped as (select doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) as b, length(regexp_replace(title, '^\s+|\s+$', '', 'g')) as t from titled)
 select doc_id, case when b < 50 then 'body too short' when t < 5 then 'title too short' end as reason from stripped""",
     "queue_malformed": """select case when doc_id % 3 = 0 then '{"article_id":"' || doc_id || '"' else doc_id::varchar end as article_id, case when doc_id % 3 > 0 then lang end as region from documents""",
     "latest_by_user": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as k from events) where k = 1",
@@ -293,6 +300,12 @@ select t.doc_id, {found(L.PLAIN_GROUPS, LOW)} as found, coalesce(general, '') as
     "language_vote": rf"""
 with words as (select doc_id, regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') as w from documents), votes as (select doc_id, {VOTES} from words)
 select doc_id, case when {MOST} = 0 then 'unknown' {" ".join(f"when {c} = {MOST} then '{c}'" for c in models.LANGUAGE_WORDS)} end as language from votes""",
+    "cluster_lead_summaries": r"""
+with texts as (select doc_id // 4 as cluster, count(*) as n, string_agg(text, chr(10) || chr(10) order by doc_id) as text from documents group by 1 having count(*) >= 3),
+bare as (select cluster, n, trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) as t from texts),
+split as (select cluster, n, t, string_split(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(31), 'g'), chr(31)) as s from bare),
+fit as (select cluster, n, t, s, list_transform(range(1, least(len(s), 601) + 1), lambda k: array_to_string(s[1:k], ' ')) as p from split)
+select cluster, n, case when length(t) < 100 then t when length(s[1]) > 600 then left(s[1], 600) || '...' else list_filter(p, lambda x: length(x) <= 600)[-1] end as summary from fit""",
     "lead_summaries": r"""
 with bare as (select doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) as t from documents),
 split as (select doc_id, t, string_split(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(31), 'g'), chr(31)) as s from bare),

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from gazetta.functions import lexicon as L
 from gazetta.functions import text as T
 from gazetta.functions import vectors as V
-from gazetta.operators import clusters, hierarchy, models, tagging
+from gazetta.operators import clusters, density, hierarchy, models, tagging
 from gazetta.operators import relational as R
 from gazetta.operators.relational import ingest_reason
 from gazetta.plans import reports
 from gazetta.scratch import materialize
 from gazetta.sources import store
+from gazetta.sources.vectorindex import VectorIndex
 
 
 def ingest(articles: DataFrame, title: str = "title", body: str = "content") -> tuple[DataFrame, DataFrame]:
@@ -190,3 +191,26 @@ def density_run(spark: SparkSession, rows: DataFrame, folder: str, key: str, vec
     patch = labels.join(found.select("cluster", F.col("id").alias("cluster_id")), "cluster").select(key, "cluster_id")
     store.merge(spark, f"{folder}/articles_processed", patch, key)
     return {"clusters_created": found.count(), "articles_processed": labels.count()}
+
+
+def topic_run(spark: SparkSession, rows: DataFrame, folder: str, key: str, vector: str, topic: str, cluster: str, size: int) -> dict:
+    """The whole run by topics: index, counts, assignment of what has no cluster, write-back, counts again.
+
+    The index is stored under folder; new assignments go into its table of processed articles, and every cluster's size and
+    representative into that of clusters. A repeated run over the same rows changes nothing.
+    """
+    if not rows.limit(1).count():
+        return {"status": "no_articles", "total_articles": 0}
+    rows = materialize(rows.select(key, vector, topic, F.col(cluster).cast("long").alias(cluster)))
+    index = VectorIndex.create(spark, f"{folder}/index", rows, key, vector, size)
+    before = clusters.stats(rows, cluster).first().asDict()
+    found = materialize(density.assign_all_by_topic(rows, key, vector, topic, cluster, size))
+    whole = materialize(rows.drop(cluster).join(found.withColumnRenamed("cluster", cluster), key, "left"))
+    fresh = found.join(rows.where(F.col(cluster).isNull()).select(key), key, "left_semi")
+    patch = fresh.select(key, F.concat(F.lit("cluster_"), F.col("cluster")).alias("cluster_id"))
+    store.merge(spark, f"{folder}/articles_processed", patch, key)
+    members = clusters.medoids(whole.where(F.col(cluster).isNotNull()), cluster, key, vector)
+    kept = members.select(F.concat(F.lit("cluster_"), F.col(cluster)).alias("cluster_id"), F.col("n").alias("member_count"), F.col("medoid").alias("representative_article_id"))
+    store.merge(spark, f"{folder}/clusters", kept, "cluster_id")
+    after = clusters.stats(whole, cluster).first().asDict()
+    return {"status": "success", "total_articles": after["total"], "assigned": fresh.count(), "before": before, "after": after, "index": index.stats()}

@@ -160,6 +160,34 @@ def test_clusters_are_written_back(spark, small, tmp_path):
         assert c.description == f"Cluster of {len(own)} articles. Representative: {vectors[own[0]][0][:100]}..."
 
 
+def test_run_by_topics(spark, small, tmp_path):
+    from gazetta.plans import pipeline
+    from gazetta.sources import store
+    from gazetta.sources.vectorindex import VectorIndex
+
+    folder = f"file://{tmp_path}/run"
+    rows = queries.topic_articles(spark, small).withColumn("cluster", F.when(F.col("vec_id") % 4 > 0, F.col("label").cast("long"))).select("vec_id", "embedding", "topic", "cluster")
+    want = {r.vec_id: r.cluster for r in density.assign_by_topic(rows, "vec_id", "embedding", "topic", "cluster").collect()}
+    for _ in range(2):
+        report = pipeline.topic_run(spark, rows, folder, "vec_id", "embedding", "topic", "cluster", queries.SIZE)
+    free = {r.vec_id for r in rows.where("cluster is null").collect()}
+    assert report["status"] == "success" and report["total_articles"] == len(want) and report["assigned"] == len(free) > 20
+    assert report["before"]["unclustered"] == len(free) and report["after"]["unclustered"] == 0 and report["after"]["n_clusters"] == len(set(want.values()))
+    stored = {r.vec_id: r.cluster_id for r in spark.read.parquet(store.versions(spark, f"{folder}/articles_processed")[-1]).collect()}
+    assert stored == {i: f"cluster_{want[i]}" for i in free}
+    sizes = {r.cluster_id: r.member_count for r in spark.read.parquet(store.versions(spark, f"{folder}/clusters")[-1]).collect()}
+    assert sizes == {f"cluster_{c}": list(want.values()).count(c) for c in set(want.values())}
+    assert VectorIndex.load(spark, f"{folder}/index").stats()["total_vectors"] == len(want)
+    assert pipeline.topic_run(spark, rows.limit(0), folder, "vec_id", "embedding", "topic", "cluster", queries.SIZE)["status"] == "no_articles"
+
+
+def test_summaries_scan_twice(spark, small):
+    df = queries.QUERIES["cluster_summaries"](spark, small)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") <= 2 and plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_neighbours_by_blocks(spark):
     rng = np.random.default_rng(4)
     m = np.round(rng.normal(size=(60, 4)), 1)
