@@ -8,6 +8,10 @@ from gazetta.plans.queries import NEAR, NOW, SIZE, TOPIC_NEAR
 
 ORACLE_SQL: dict[str, str] = {}
 
+#: The character trigrams of all documents.
+GRAMS = r"""padded as (select doc_id, lang, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\f]+', ' ', 'g'), ' ') || ' ' as t from documents),
+grams as (select doc_id, lang, substring(t, i, 3) as gram from (select doc_id, lang, t, unnest(range(1, length(t) - 1)) as i from padded))"""
+
 TITLE = "left(split_part(coalesce(text, ''), chr(10), 1), 100)"
 TITLED = f"titled as (select *, {TITLE} as title from documents)"
 LOW = "lower(concat(title, ' ', text))"
@@ -99,6 +103,22 @@ select doc_id, concat_ws(' ', nullif(t, ''), nullif(case when length(b) > 2000 t
     "keyword_tags": f"with {TITLED} select doc_id, {found(L.KEYWORD_GROUPS, LOW)} as tags, {found(L.PLAIN_GROUPS, LOW)} as plain_tags from titled",
     "semantic_tags": f"with {TITLED} select doc_id, {found(L.SEMANTIC_GROUPS, LOW)} as tags from titled",
     "geo_primary_country": f"select doc_id, {first(L.COUNTRIES, 'lower(text)')} as country, {first(L.PLAIN_GROUPS, 'lower(text)')} as plain from documents",
+    "language_profiles": f"with {GRAMS}, counts as (select lang as language, gram, count(*) as n from grams group by 1, 2) select language, gram, n, rank::int as rank from (select *, row_number() over (partition by language order by n desc, gram) as rank from counts) where rank <= 100",
+    "language_ngrams": f"""
+with {GRAMS}, counts as (select lang as language, gram, count(*) as n from grams group by 1, 2),
+kept as (select language, gram, n from (select *, row_number() over (partition by language order by n desc, gram) as k from counts) where k <= 300),
+totals as (select language, sum(n) + (select count(distinct gram) from kept) as total from kept group by 1),
+words as (select gram, t.language, ln((coalesce(k.n, 0) + 1) / t.total) as w from (select distinct gram from kept) g cross join totals t left join kept k using (gram, language)),
+found as (select doc_id, gram, count(*) as c from grams group by 1, 2),
+scores as (select doc_id, language, round(sum(c * w), 6) as score, sum(c) as seen from found join words using (gram) group by 1, 2),
+best as (select doc_id, language, seen from (select *, row_number() over (partition by doc_id order by score desc, language) as k from scores) where k = 1)
+select d.doc_id, case when coalesce(seen, 0) < 5 then 'unknown' else language end as language from documents d left join best b on d.doc_id = b.doc_id""",
+    "geo_locations": f"select doc_id, {found(L.COUNTRIES, 'lower(text)')} as countries, {found(L.PLAIN_GROUPS, 'lower(text)')} as plain from documents",
+    "storable_articles": f"with {TITLED} select doc_id, title, lang, length(text)::int as n_chars, null::varchar as author from titled where doc_id % 5 > 0 and doc_id % 7 > 0 and title <> '' and text <> ''",
+    "capped_sources": "select distinct source as name from documents order by name nulls first limit 10",
+    "chunk_tags": """
+with chunks as (select conv_id, role, list_filter(string_split(lower(coalesce(text, '')), ' '), lambda w: length(w) > 6)[1:4] as tags from conversations)
+select conv_id, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') as tags, array_to_string(list_sort(list(distinct role)), ',') as entities from chunks group by conv_id""",
     "significance_score": f"""
 with {TITLED}, tags as (select *, {found(L.SEMANTIC_GROUPS, LOW)} as tags from titled)
 select doc_id, round(least(least(case when tags = '' then 0 else len(string_split(tags, ',')) end / 10, 0.3) + case when lang = 'en' then 0.1 else 0 end + case when source = 'src1' then 0.1 else 0 end, 1.0)::double, 6) as score from tags""",

@@ -13,6 +13,7 @@ from gazetta.functions import text as T
 from gazetta.functions import vectors as V
 from gazetta.operators import clusters as C
 from gazetta.operators import density, hierarchy, models, search, setjoin, tagging
+from gazetta.operators import langprofile as LP
 from gazetta.operators import relational as R
 from gazetta.plans import pipeline, reports
 from gazetta.scratch import materialize, scratch_path
@@ -114,6 +115,23 @@ def language_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return R.histogram(rows, ["lang", "found"], "language")
 
 
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose languages profiles are made from: four of five, by a hash of their ids."""
+    return docs(spark, folder).where(F.crc32(F.col("doc_id").cast("string")) % 5 > 0)
+
+
+@query
+def language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return LP.profiles(docs(spark, folder), "text", "lang", top=100).select("language", "gram", "n", "rank")
+
+
+@query
+def language_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's language by profiles of all documents."""
+    make = LP.plug_in(LP.profiles(docs(spark, folder), "text", "lang"))
+    return docs(spark, folder).select("doc_id", models.language(F.col("text"), make).alias("language"))
+
+
 @query
 def needs_translation(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", T.needs_translation(F.col("lang"), F.col("text")).alias("needed"), readers.needs_translation(F.col("lang")).alias("flag"))
@@ -169,6 +187,36 @@ def geo_primary_country(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", L.primary_country(low).alias("country"), L.primary_country(low, L.PLAIN_GROUPS).alias("plain"))
 
 
+@query
+def geo_locations(spark: SparkSession, folder: str) -> DataFrame:
+    """All countries, and all groups of plain words, that a text names."""
+    low = F.lower("text")
+    return docs(spark, folder).select("doc_id", F.array_join(L.locations(low), ",").alias("countries"), F.array_join(L.locations(low, L.PLAIN_GROUPS), ",").alias("plain"))
+
+
+@query
+def storable_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles with a title and a text, of which every fifth lacks one; with the columns that the next step wants, null if there are none."""
+    rows = titled(spark, folder).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("title")).alias("title"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).otherwise("").alias("content"), "lang")
+    kept = rows.where(R.storable(F.col("title"), F.col("content"))).withColumn("n_chars", F.length("content"))
+    return R.with_columns_or_null(kept, ["doc_id", "title", "lang", "n_chars", "author"])
+
+
+@query
+def capped_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten sources by name, as a scrape that is capped takes them."""
+    return readers.first_sources(docs(spark, folder).select(F.col("source").alias("name")).distinct(), 10)
+
+
+@query
+def chunk_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags and entities of conversations whose turns are tagged apart, as chunks of a long article are."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda w: F.length(w) > 6)
+    chunks = readers.table(spark, folder, "conversations").select("conv_id", F.slice(words, 1, 4).alias("tags"), F.array("role").alias("entities"))
+    out = tagging.merge_chunks(chunks, "conv_id")
+    return out.select("conv_id", F.array_join("tags", ",").alias("tags"), F.array_join("entities", ",").alias("entities"))
+
+
 @query
 def significance_score(spark: SparkSession, folder: str) -> DataFrame:
     low = L.title_and_text(F.col("title"), F.col("text"))

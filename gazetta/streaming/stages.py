@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from gazetta.operators import tagging
 from gazetta.scratch import file_system, remove, scratch_path
 from gazetta.sources.readers import queued
 from gazetta.sources.store import merge
@@ -30,11 +29,6 @@ def once_each(df: DataFrame, key: str, time: str | None = None, delay: str = "1
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark([key]) if time else df.dropDuplicates([key])
 
 
-def enrich(df: DataFrame, title: str, text: str) -> DataFrame:
-    """The stages between scraping and storage as one projection."""
-    return tagging.tag_articles(df, title, text)
-
-
 def run_stage(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every: str = "5 minutes") -> StreamingQuery:
     """step for each micro-batch: all that is there and then stop, or at intervals. step shall be idempotent by batch."""
     writer = df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

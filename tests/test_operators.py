@@ -213,6 +213,38 @@ def test_digest_render():
     assert "No completed clusters" in reports.render_digest([], now)
 
 
+def test_cluster_report_and_error_page():
+    from datetime import datetime
+
+    report = {"label": "Cluster_1", "article_count": 3, "avg_confidence": 0.5, "escalation_level": "high", "description": "About ships.", "top_tags": [("GEO:taiwan", 2)], "top_entities": [("navy", 1)], "articles": ["One", "Two"]}
+    text = reports.render_cluster(report)
+    assert text.startswith("# Cluster report: Cluster_1") and "- Articles: 3" in text and "- Average score: 0.50" in text and "- Escalation: high" in text
+    assert "## Top tags\n\n- GEO:taiwan: 2" in text and "## Top entities\n\n- navy: 1" in text and text.endswith("- One\n- Two")
+    assert "No description." in reports.render_cluster({"label": "x", "article_count": 0})
+    page = reports.render_error("no table", datetime(2024, 1, 2))
+    assert page.startswith("# Daily Digest\n## January 02, 2024") and "no table" in page
+
+
+def test_seeded_embedder_and_wanted_categories(spark):
+    e = models.SeededEmbedder(8)
+    assert e.one("a") == e.one("a") != e.one("b") and len(e.one("")) == 8
+    df = spark.createDataFrame([("a",), (None,)], "t string").select(models.embedding(F.col("t"), lambda: models.SeededEmbedder(8)).alias("v"))
+    assert [r.v for r in df.collect()] == [e.one("a"), e.one("")]
+    df = spark.createDataFrame([({"geo": ["a"], "actor": ["b"]},), (None,)], "m map<string,array<string>>")
+    assert [r[0] for r in df.select(tagging.only_categories(F.col("m"), ["geo"])).collect()] == [{"geo": ["a"]}, None]
+
+
+def test_scratch_tables_go(spark):
+    from gazetta import scratch
+
+    path = scratch.scratch_path(spark)
+    spark.range(3).write.parquet(path)
+    fs, at = scratch.file_system(spark, path)
+    assert fs.exists(at)
+    scratch.clear_scratch(spark)
+    assert not fs.exists(at) and scratch.materialize(spark.range(2)).count() == 2
+
+
 def test_white_space_is_no_text(spark):
     rows = [("title", "\n\t " * 30), (" \ntitl\t", "x" * 50), ("title", "\n" + "x" * 50 + " ")]
     good, bad = pipeline.ingest(spark.createDataFrame(rows, "title string, content string"))

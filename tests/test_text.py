@@ -109,3 +109,20 @@ def test_cleaning_is_idempotent(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     once = df.select(T.clean_text(F.col("text"), entities="common").alias("t"))
     assert once.where(T.clean_text(F.col("t"), entities="common") != F.col("t")).count() == 0
+
+
+def test_languages_by_ngrams(spark):
+    from gazetta.operators import langprofile as LP
+    from gazetta.operators import models
+    from gazetta.plans import queries
+
+    folder = "/root/testdata/sf0.01"
+    make = LP.plug_in(LP.profiles(queries.labelled(spark, folder), "text", "lang"))
+    held = queries.docs(spark, folder).join(queries.labelled(spark, folder).select("doc_id"), "doc_id", "left_anti").where(F.length("text") > 100)
+    rows = held.select("lang", models.language(F.col("text"), make).alias("found")).collect()
+    assert len(rows) > 100 and sum(r.lang == r.found for r in rows) > 0.98 * len(rows)
+    one = make()
+    assert one.one("") == one.one("12 34") == one.one("\u6f22\u5b57" * 9) == "unknown"
+    few = spark.createDataFrame([("a b", "x"), (None, "x"), ("B", None)], "t string, l string")
+    assert [tuple(r) for r in LP.profiles(few, "t", "l").orderBy("rank").collect()] == [("x", " a ", 1, 1), ("x", " b ", 1, 2), ("x", "a b", 1, 3)]
+    assert LP.profiles(few.limit(0), "t", "l").count() == 0
