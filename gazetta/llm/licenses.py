@@ -89,6 +89,8 @@ def search(text: bytes, notice: Notice, cut: list[tuple[int, bytes]], pattern: r
     """
     n, slack = len(notice.words), 4 * notice.edits
     found: dict[tuple[int, int], int | None] = {}
+    # equal spans have equal edits: in a text that repeats a notice few are looked at
+    known: dict[bytes, int | None] = {}
     for start, seed in cut:
         at = text.find(seed)
         while at >= 0:
@@ -97,7 +99,10 @@ def search(text: bytes, notice: Notice, cut: list[tuple[int, bytes]], pattern: r
             for p in starts:
                 for q in ends:
                     if q > p and (p, q) not in found:
-                        found[p, q] = edits_of(text[p:q], notice, pattern)
+                        part = text[p:q]
+                        if part not in known:
+                            known[part] = edits_of(part, notice, pattern)
+                        found[p, q] = known[part]
             at = text.find(seed, at + 1)
     return chosen((e, p, q) for (p, q), e in found.items() if e is not None)
 

@@ -230,3 +230,11 @@ def test_quotes():
     assert H.main_text("<p title=it's>one</p><p>two</p>") == "one\n\ntwo"
     assert H.main_text('<p title="a>b">one</p>') == "one"
     assert H.main_text('<p>one</p><p title="never closed>two</p>') == "one\n\ntwo"
+
+
+def test_blocks_as_a_column(spark):
+    prose = "This is the text of the article and it is about all of the things that you would like to know in this world. " * 2
+    page = f"<article><p>{prose}</p><p><a href=x>{'linked words ' * 9}</a></p></article>"
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: [(b.text, b.linked, b.label) for b in r.blocks] for r in H.html_blocks(rows).collect()}
+    assert got == {1: [(prose.strip(), 0, "good"), (("linked words " * 9).strip(), len(("linked words " * 9).strip()), "bad")], 2: []}
