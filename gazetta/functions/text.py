@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,20 +26,32 @@ WHITE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 HAN, KANA, HANGUL = r"\x{4e00}-\x{9fff}", r"\x{3040}-\x{30ff}", r"\x{ac00}-\x{d7af}"
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 @F.pandas_udf(StringType())
 def _unescape_all(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def _closed(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+
+
+@F.pandas_udf(StringType())
+def _unescape_closed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: _CLOSED.sub(_closed, x), na_action="ignore")
+
+
 def strip(c: Column) -> Column:
     """c without white space at its ends, line breaks and tabs too."""
     return F.trim(c, F.lit(WHITE))
 
 
 def unescape(c: Column, entities: str = "full") -> Column:
-    """Character references resolved: all of HTML's in Python ("full"), or the common ones as an expression ("common")."""
-    if entities == "full":
-        return _unescape_all(c)
+    """Character references resolved: all of HTML's in Python ("full"; "closed": only those that end in a semicolon), or the common ones as an expression ("common")."""
+    if entities in ("full", "closed"):
+        return (_unescape_all if entities == "full" else _unescape_closed)(c)
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), COMMON_ENTITIES.items(), c)
 
 

@@ -44,5 +44,15 @@ def test_runs(spark, small, name):
     assert __spark_entry__.QUERIES[name](spark, small).count() > 0
 
 
+def test_references_without_a_semicolon_are_those_of_the_sql(spark, tmp_path):
+    pages = [(1, "<title>und&amp</title> a &amp; b &lt;i&gt;"), (2, "x&amp y &am z &copy 1 &copy; 2"), (3, "&quot;q&quot;&amp"), (4, "")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.sql(f"select page_id, cleaned from ({__spark_entry__.ORACLE_SQL['clean_text_pages']})").fetchall()
+    got = __spark_entry__.QUERIES["clean_text_pages"](spark, str(tmp_path)).select("page_id", "cleaned").collect()
+    assert sorted_rows(got) == sorted_rows(want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
