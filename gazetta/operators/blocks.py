@@ -61,6 +61,6 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def distances(m: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """From each row of m to a point, by the same sums whatever else is in m, so that both directions agree to the last bit."""
+    """From each row of m to a point (or to its own row of points), by the same sums whatever else is in m, so that both directions agree to the last bit."""
     d = m - point
     return np.sqrt(np.einsum("ij,ij->i", d, d))

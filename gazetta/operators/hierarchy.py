@@ -1,9 +1,10 @@
 """HDBSCAN of a whole table (Campello et al. 2013, Euclidean, excess of mass).
 
 1. Core distances: blocks of rows meet (`blocks.block_join`), each cell keeps the least distances of its rows.
-2. Spanning tree of mutual reachability. A cell of two blocks gives the spanning tree of its rows; an edge of the whole
-   tree that joins rows of a cell is in that cell's tree, as no cycle of the cell has it as its longest. So the trees of all
-   cells are a sparse graph that holds the whole tree, which is found by Borůvka rounds: every component takes its
+   With samples 1 there is nothing to do: no pair is nearer than either's nearest row.
+2. Spanning tree of mutual reachability. A cell has the pairs between two blocks, or within one, and gives their spanning
+   tree; an edge of the whole tree that is a pair of a cell is in that cell's tree, as no cycle of the cell has it as its longest.
+   So the trees of all cells are a sparse graph that holds the whole tree, which is found by Borůvka rounds: every component takes its
    shortest edge out, components that are joined get one name by pointer jumping, and of the edges between two components the
    shortest stays. Edges are ordered by (length, ends), so the tree is one and no round makes a cycle.
 3. Condensed tree. The edges come in order of their length, BAND at a time, and a band is one task: it merges the
@@ -13,7 +14,7 @@
    once follows the band. Edges of one length merge what they join at once (but where a band ends among them).
 4. Each row's cluster is the highest chosen one above the one it left, found by pointer doubling over the clusters.
 
-Cells compare all pairs of rows once for each of 1 and 2; the rest follows the number of rows.
+Cells compare all pairs of rows once for each of 1 and 2, in products of matrices; the rest follows the number of rows.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
 from gazetta.functions import vectors as V
 from gazetta.operators import blocks as B
 from gazetta.operators import relational as R
 from gazetta.scratch import materialize
 
-#: Rows of a block; edges that are merged in one task.
-BLOCK, BAND = 2048, 500_000
+#: Rows of a block; edges that are merged in one task; pairs that are measured exactly at once.
+BLOCK, BAND, PAIRS = 4096, 500_000, 1 << 15
 #: The rate at which rows at distance 0 leave.
 FASTEST = 1e12
 
@@ -89,21 +90,98 @@ def tree_of(keys: list, points: np.ndarray, core: np.ndarray) -> tuple[list, lis
     return ends
 
 
+def forest_of(keys: list, points: np.ndarray, core: np.ndarray, left: np.ndarray | None = None) -> tuple[list, list, list]:
+    """The spanning tree of the pairs between rows in left and others (None: of all pairs), by Borůvka rounds over one matrix.
+
+    The matrix is rough: it tells which pairs may be the shortest ones out of a component; those are measured exactly and
+    ordered by (length, ends). Rows that are not finite have no edge.
+    """
+    good = np.flatnonzero(np.isfinite(points).all(1))
+    order = sorted(good.tolist(), key=keys.__getitem__)
+    keys, points, core, n = [keys[i] for i in order], points[order], core[order], len(order)
+    sides = [np.arange(n)] * 2 if left is None else [np.flatnonzero(left[order]), np.flatnonzero(~left[order])]
+    ends: tuple[list, list, list] = ([], [], [])
+    if n < 2 or not len(sides[0]) or not len(sides[1]):
+        return ends
+    moved = points - points.mean(0)
+    scale = np.sqrt((moved * moved).sum(1).max()) or 1.0
+    rough, floor = (moved / scale).astype(np.float32), ((core / scale) ** 2).astype(np.float32)
+    squares = (rough * rough).sum(1)
+    slack = np.float32(8 * (points.shape[1] + 8) * 2.0**-24)
+    table = rough[sides[0]] @ rough[sides[1]].T
+    table *= -2
+    table += squares[sides[0]][:, None]
+    table += squares[sides[1]]
+    np.maximum(table, 0, out=table)
+    if core.any():
+        np.maximum(table, floor[sides[0]][:, None], out=table)
+        np.maximum(table, floor[sides[1]], out=table)
+    views = [(sides[0], sides[1], table)]
+    if left is not None:
+        views.append((sides[1], sides[0], np.ascontiguousarray(table.T)))
+    names, near, least = np.arange(n), np.arange(n), np.full(n, np.inf, np.float32)
+
+    def outside(mine: np.ndarray, theirs: np.ndarray, table: np.ndarray, some: np.ndarray) -> np.ndarray:
+        return np.where(names[mine[some]][:, None] == names[theirs], np.float32(np.inf), table[some])
+
+    def shortest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.lexsort((np.maximum(u, v), np.minimum(u, v), w, names[u]))
+        first = np.ones(len(by), bool)
+        first[1:] = names[u[by[1:]]] != names[u[by[:-1]]]
+        return u[by[first]], v[by[first]], w[by[first]]
+
+    while True:
+        for mine, theirs, some_table in views:
+            # a row's nearest one counts until both are in one component
+            stale = np.flatnonzero(names[near[mine]] == names[mine])
+            for at in range(0, len(stale), B.ROWS):
+                some = stale[at : at + B.ROWS]
+                x = outside(mine, theirs, some_table, some)
+                j = x.argmin(1)
+                least[mine[some]], near[mine[some]] = x[np.arange(len(some)), j], theirs[j]
+        edge = np.full(n, np.inf, np.float32)
+        np.minimum.at(edge, names, least)
+        if not np.isfinite(edge).any():
+            return ends
+        edge = np.where(np.isfinite(edge), edge + slack * (1 + edge), np.float32(-1))
+        found = []
+        for mine, theirs, some_table in views:
+            rows = np.flatnonzero(least[mine] <= edge[names[mine]])
+            for at in range(0, len(rows), B.ROWS):
+                some = rows[at : at + B.ROWS]
+                r, c = np.nonzero(outside(mine, theirs, some_table, some) <= edge[names[mine[some]]][:, None])
+                for k in range(0, len(r), PAIRS):
+                    u, v = mine[some[r[k : k + PAIRS]]], theirs[c[k : k + PAIRS]]
+                    w = np.maximum(np.maximum(B.distances(points[u], points[v]), core[u]), core[v])
+                    found.append(shortest(u, v, w))
+        u, v, w = shortest(*map(np.concatenate, zip(*found, strict=True)))
+        a, b = np.minimum(u, v), np.maximum(u, v)
+        _, once = np.unique(a * n + b, return_index=True)
+        for column, x in zip(ends, ([keys[i] for i in a[once]], [keys[i] for i in b[once]], w[once].tolist()), strict=True):
+            column += x
+        # of a mutual pair the least name is the root
+        to = np.arange(n)
+        to[names[u]] = names[v]
+        back = to[to] == np.arange(n)
+        to = np.where(back, np.minimum(to, np.arange(n)), to)
+        while (to != to[to]).any():
+            to = to[to]
+        names = to[names]
+
+
 def cell_trees(points: DataFrame, size: int, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """Edges a, b, w (a < b) of the trees of all pairs of blocks, and the number of blocks. points: k, v, core."""
+    """Edges a, b, w (a < b) of the trees of each block and of each pair of blocks, and the number of blocks. points: k, v, core."""
     n = B.count_of(points.count(), block)
     schema = edge_schema(points.schema["k"].dataType)
     arrow = to_arrow_schema(schema)
 
     def cell(rows: pa.Table) -> pa.Table:
-        ends = tree_of(rows.column("k").to_pylist(), B.matrix(rows, "v", size), rows.column("core").to_numpy())
+        b, i, j = (rows.column(c).to_numpy() for c in ("__b", "__i", "__j"))
+        ends = forest_of(rows.column("k").to_pylist(), B.matrix(rows, "v", size), rows.column("core").to_numpy(), None if i[0] == j[0] else b == i)
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(ends, arrow.types, strict=True)], schema=arrow)
 
-    placed = B.in_blocks(points, n, "__b")
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    if n > 1:
-        others = F.filter(others, lambda x: x != F.col("__b"))
-    cells = placed.withColumn("__o", F.explode(others)).withColumns({"__i": F.least("__b", "__o"), "__j": F.greatest("__b", "__o")})
+    placed = B.in_blocks(points, n, "__b").withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = placed.select("k", "v", "core", "__b", F.least("__b", "__o").alias("__i"), F.greatest("__b", "__o").alias("__j"))
     return cells.groupBy("__i", "__j").applyInArrow(cell, schema), n
 
 
@@ -291,8 +369,10 @@ def hdbscan(df: DataFrame, key: str, vector: str, size: int, least: int = 2, sam
 
     Clusters are numbered by their least key. key is unique and not null. Fewer rows than least: all are noise.
     """
-    points = materialize(B.usable(df, vector, size).select(F.col(key).alias("k"), V.doubles(F.col(vector)).alias("v")))
-    cored = materialize(core_distances(points, size, samples, block))
+    # floats are moved as floats, which is half the shuffle; cells reckon in doubles
+    whole = F.col(vector) if df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull) else V.doubles(F.col(vector))
+    points = materialize(B.usable(df, vector, size).select(F.col(key).alias("k"), whole.alias("v")))
+    cored = points.withColumn("core", F.lit(0.0)) if samples == 1 else materialize(core_distances(points, size, samples, block))
     edges, blocks = cell_trees(cored, size, block)
     tree = materialize(edges)
     if blocks > 1:

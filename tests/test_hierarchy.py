@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gazetta.operators import blocks as B
 from gazetta.operators import density
 from gazetta.operators import hierarchy as H
 from gazetta.operators import search
@@ -122,6 +123,44 @@ def test_the_tree_is_the_shortest(spark):
     assert np.allclose(sorted(r.w for r in tree), sorted(one[2]))
 
 
+@pytest.mark.parametrize("kind", ["normal", "copies", "lattice", "far", "near"])
+def test_forests_are_those_of_exact_lengths(kind):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(120, 6))
+    if kind == "copies":
+        points[40:90] = points[3]
+    if kind == "lattice":
+        points = rng.integers(0, 3, (120, 6)).astype(float)
+    if kind == "far":
+        points = points * 1e-4 + 1000
+    if kind == "near":
+        points[60:] = points[:60] + rng.normal(size=(60, 6)) * 1e-9
+    keys, left, none = rng.permutation(120).tolist(), rng.random(120) < 0.4, np.zeros(120)
+    for core in (none, rng.random(120) * 3):
+        for side in (None, left):
+            d = np.stack([np.maximum(np.maximum(B.distances(points, p), core), c) for p, c in zip(points, core, strict=True)])
+            pairs = [(d[i, j], *sorted((keys[i], keys[j]))) for i in range(120) for j in range(i) if side is None or side[i] != side[j]]
+            up, want = list(range(120)), []
+            for w, a, b in sorted(pairs):
+                x, y = a, b
+                while up[x] != x:
+                    x = up[x]
+                while up[y] != y:
+                    y = up[y]
+                if x != y:
+                    up[x] = y
+                    want.append((a, b, w))
+            assert sorted(zip(*H.forest_of(keys, points, core, side), strict=True)) == sorted(want)
+
+
+def test_cells_of_one_blocks_rows_and_of_two(spark):
+    """Every pair is in one cell, so no edge comes twice, and a row is not measured against its block in each cell."""
+    points = np.random.default_rng(6).normal(size=(90, 3))
+    edges, blocks = H.cell_trees(frame(spark, points).select(F.col("id").alias("k"), "v", F.lit(0.0).alias("core")), 3, 20)
+    rows = edges.collect()
+    assert blocks == 5 and len({(r.a, r.b) for r in rows}) == len(rows)
+
+
 def test_few_and_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
