@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from functools import reduce
 from html.entities import html5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -29,18 +31,34 @@ HAN, KANA, HANGUL = r"\x{4e00}-\x{9fff}", r"\x{3040}-\x{30ff}", r"\x{ac00}-\x{d7
 _CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
-@F.pandas_udf(StringType())
-def _unescape_all(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+#: Rows, and bytes of texts on average, of an Arrow batch that become Python objects at once.
+SLICE, SLICE_BYTES = 256, 1 << 20
+
+
+def slices(parts: Iterator[pa.Array]) -> Iterator[pd.Series]:
+    """The rows of Arrow batches, a slice at a time: the objects that a worker holds follow the slice and not the batch."""
+    for a in parts:
+        rows = max(1, min(SLICE, SLICE_BYTES * len(a) // max(1, a.nbytes)))
+        for at in range(0, len(a), rows):
+            yield a.slice(at, rows).to_pandas()
+        if not len(a):
+            yield a.to_pandas()
+
+
+@F.arrow_udf(StringType())
+def _unescape_all(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for s in slices(parts):
+        yield pa.Array.from_pandas(s.map(html.unescape, na_action="ignore"), type=pa.string())
 
 
 def _closed(m: re.Match) -> str:
     return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
 
 
-@F.pandas_udf(StringType())
-def _unescape_closed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: _CLOSED.sub(_closed, x), na_action="ignore")
+@F.arrow_udf(StringType())
+def _unescape_closed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for s in slices(parts):
+        yield pa.Array.from_pandas(s.map(lambda x: _CLOSED.sub(_closed, x), na_action="ignore"), type=pa.string())
 
 
 def strip(c: Column) -> Column:
@@ -193,9 +211,10 @@ def translation_chunks(text: str, size: int = 450) -> list[str]:
     return chunks
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def split_for_translation(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: translation_chunks(x or ""))
+@F.arrow_udf(ArrayType(StringType()))
+def split_for_translation(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for s in slices(parts):
+        yield pa.array([translation_chunks(x or "") for x in s], type=pa.list_(pa.string()))
 
 
 def _plain(c: Column) -> Column:

@@ -12,9 +12,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from gazetta.functions import text as T
 from gazetta.scratch import materialize
 
 DIMENSION = 384
@@ -100,23 +103,42 @@ class NormalizedAnnotator:
         return self.inner.annotate(texts).map(self.one)
 
 
+class Places(dict):
+    """The place and sign of grams, 2 * place + (sign is plus), made once for each gram; all are forgotten beyond most."""
+
+    def __init__(self, size: int, most: int = 1 << 17, longest: int = 64):
+        super().__init__()
+        self.size, self.most, self.longest = size, most, longest
+
+    def __missing__(self, gram: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+        at = h % self.size * 2 + (h >> 63)
+        if len(gram) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[gram] = at
+        return at
+
+
 class HashEmbedder:
     """Signed feature hashing of words and word pairs, normalised: the same text has the same vector everywhere."""
 
     def __init__(self, size: int = DIMENSION):
-        self.size = size
+        self.size, self.places = size, Places(size)
 
     def one(self, text: str) -> list[float]:
+        return self.vector(text).tolist()
+
+    def vector(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
-        v = np.zeros(self.size)
-        for gram in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-            h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-            v[h % self.size] += 1 if h >> 63 else -1
+        grams = [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+        hits = np.bincount(np.fromiter(map(self.places.__getitem__, grams), np.int64, len(grams)), minlength=2 * self.size)
+        v = (hits[1::2] - hits[::2]).astype(float)
         norm = np.sqrt(v @ v)
-        return (v / norm if norm else v).tolist()
+        return v / norm if norm else v
 
     def embed(self, texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(self.one)
+        return pd.Series([self.vector(x) for x in texts.fillna("")], dtype=object)
 
 
 class SeededEmbedder:
@@ -175,13 +197,15 @@ class WordVote:
 
 
 def apply(c: Column, make: Callable[[], object], method: str, kind: str) -> Column:
-    """c through a plug-in's method; make() runs once per task."""
+    """c through a plug-in's method; make() runs once per task. Texts become Python objects by slices, whatever a batch has."""
 
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         plug = getattr(make(), method)
-        for s in parts:
-            yield plug(s)
+        for s in T.slices(parts):
+            yield pa.Array.from_pandas(plug(s), type=arrow)
+
+    arrow = to_arrow_type(run.returnType)
 
     return run(c)
 

@@ -1,4 +1,10 @@
+import hashlib
+import math
+from collections import Counter
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +314,54 @@ def test_clustering_run(spark, small):
     assert set(kept) == {c for c, n in sizes.items() if c is not None and n >= 3} and all(kept[c].member_count == sizes[c] and kept[c].summary and kept[c].status == "complete" for c in kept)
     assert len({r.cluster_id for r in kept.values()}) == len(kept)
     assert pipeline.cluster(rows.limit(0), "doc_id").count() == 0
+
+
+def test_plug_ins_get_slices_of_batches(spark):
+    """What a worker holds as objects follows the slice: by rows, and by bytes of long texts."""
+
+    class Length:
+        def detect(self, texts):
+            return texts.map(lambda _: str(len(texts)))
+
+    short = spark.range(3000).coalesce(1).select(models.language(F.col("id").cast("string"), Length).alias("n"))
+    assert max(int(r.n) for r in short.collect()) == text.SLICE
+    long = spark.range(40).coalesce(1).select(models.language(F.repeat(F.lit("x"), 200_000), Length).alias("n"))
+    assert max(int(r.n) for r in long.collect()) <= 5
+    assert [len(s) for s in text.slices(iter([pa.array([], pa.string()), pa.array(["a", None])]))] == [0, 2]
+
+
+def test_hashed_grams_are_those_of_the_definition():
+    words = "the cat sat on the mat on the cat".split()
+    want = np.zeros(16)
+    for gram in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
+        h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+        want[h % 16] += 1 if h >> 63 else -1
+    e = models.HashEmbedder(16)
+    e.places.most = 3
+    for v in (e.one("The cat sat on the mat, on the CAT!"), e.embed(pd.Series(["The cat sat on the mat, on the CAT!", None]))[0]):
+        assert np.array_equal(v, want / np.sqrt(want @ want))
+    assert len(e.places) <= 3
+
+
+def test_text_search_embeds_once(spark, small):
+    assert "ArrowEvalPython" not in queries.text_search(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tfidf_counts_pairs_of_frequent_words_only(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc"], 6).tolist() + [f"w{rng.integers(400)}" for _ in range(30)]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, "aa bb", "", None])), "id long, t string")
+    kept, write = [], models.materialize
+    monkeypatch.setattr(models, "materialize", lambda x: kept.append(write(x)) or kept[-1])
+    for features in (5, 9, 40):
+        got = {(r.id, r.term): r.weight for r in models.tfidf(df, "id", F.col("t"), features).collect()}
+        counts = [Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]) for w in (t.split() for t in [*texts, "aa bb"])]
+        total, n = sum(counts, Counter()), 63
+        vocabulary = sorted(total, key=lambda t: (-total[t], t))[:features]
+        idf = {t: math.log((1 + n) / (1 + sum(t in c for c in counts))) + 1 for t in vocabulary}
+        rows = {(i, t): c[t] * idf[t] for i, c in enumerate(counts) for t in vocabulary if c[t]}
+        assert got.keys() == rows.keys()
+        for (i, t), x in rows.items():
+            assert abs(got[i, t] - x / math.sqrt(sum(y * y for (j, _), y in rows.items() if j == i))) < 1e-9
+    # the first call: of three words and their pairs, not of every pair
+    assert kept[2].count() < sum(map(len, counts)) / 4
