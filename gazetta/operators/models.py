@@ -265,13 +265,23 @@ def tfidf(df: DataFrame, key: str, text: Column, features: int = 1000) -> DataFr
 
     Terms are words of two or more letters or digits, and pairs of them, without the most frequent English words; the
     features most frequent in all texts (ties: by term) make the vocabulary. Weights are counts times ln((1 + texts) / (1 +
-    texts with the term)) + 1. Texts without such a term have no row. Counts are summed on the map side by (key, term).
+    texts with the term)) + 1. Texts without such a term have no row.
+
+    A pair is not more frequent than either of its words. So words are counted first, and pairs only of words that are as
+    frequent as the last of the features most frequent ones: what is shuffled follows the words, not the pairs of all texts.
     """
     stop = LANGUAGE_WORDS["en"]
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0), lambda w: ~w.isin(stop))
-    pairs = F.when(F.size("__w") > 1, F.zip_with(F.slice("__w", 1, F.size("__w") - 1), F.slice("__w", 2, F.size("__w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    terms = df.select(key, words.alias("__w")).select(key, F.explode(F.concat("__w", pairs)).alias("term"))
-    counts = materialize(terms.groupBy(key, "term").agg(F.count("*").alias("n")))
+    texts = df.select(key, words.alias("__w"))
+    totals = materialize(texts.select(F.explode("__w").alias("term")).groupBy("term").agg(F.count("*").alias("total")))
+    last = totals.orderBy(F.desc("total"), "term").limit(features).agg(F.min("total")).first()[0]
+    often = materialize(totals.where(F.col("total") >= F.lit(last)).select("term"))
+    pairs = F.when(F.size("__w") > 1, F.zip_with(F.slice("__w", 1, F.size("__w") - 1), F.slice("__w", 2, F.size("__w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    both = texts.select(key, F.explode(pairs).alias("p")).select(key, "p.a", "p.b")
+    for side in ("a", "b"):
+        both = both.join(often.select(F.col("term").alias(side)), side, "left_semi")
+    terms = texts.select(key, F.explode("__w").alias("term")).join(often, "term", "left_semi").select(key, "term")
+    counts = materialize(terms.unionByName(both.select(key, F.concat_ws(" ", "a", "b").alias("term"))).groupBy(key, "term").agg(F.count("*").alias("n")))
     n = df.count()
     vocabulary = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).orderBy(F.desc("total"), "term").limit(features)
     idf = vocabulary.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("texts"))) + 1).alias("idf"))
