@@ -1,3 +1,6 @@
+from collections import Counter
+
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +129,25 @@ def test_languages_by_ngrams(spark):
     few = spark.createDataFrame([("a b", "x"), (None, "x"), ("B", None)], "t string, l string")
     assert [tuple(r) for r in LP.profiles(few, "t", "l").orderBy("rank").collect()] == [("x", " a ", 1, 1), ("x", " b ", 1, 2), ("x", "a b", 1, 3)]
     assert LP.profiles(few.limit(0), "t", "l").count() == 0
+
+
+def test_gram_counts_are_those_of_all_places():
+    from gazetta.operators import langprofile as LP
+
+    texts = [" ab abab ", "", "x", "  ", " 😀a😀a é ", "\x00ab"]
+    for size in (1, 2, 3, 4):
+        want = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+        assert dict(zip(*LP.gram_counts(texts, size), strict=True)) == want
+    plug = LP.NgramId([("x", " ab", 5), ("x", "bab", 2), ("y", "aba", 3), ("y", " x ", 1)], least=1)
+    some = pd.Series([*texts, None, "aba aba", "😀 ab"])
+    assert plug.detect(some).tolist() == [plug.one(t or "") for t in some]
+
+
+def test_profiles_send_distinct_grams(spark):
+    """A row for each n-gram of a slice of texts and not for each place."""
+    from gazetta.operators import langprofile as LP
+
+    df = spark.range(50).coalesce(1).select(F.repeat(F.lit("abc "), 500).alias("t"), F.lit("x").alias("l"))
+    out = LP.profiles(df, "t", "l")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.gram: r.n for r in out.collect()} == {" ab": 25000, "abc": 25000, "bc ": 25000, "c a": 24950}
