@@ -91,9 +91,9 @@ def tree_of(keys: list, points: np.ndarray, core: np.ndarray) -> tuple[list, lis
 
 
 def forest_of(keys: list, points: np.ndarray, core: np.ndarray, left: np.ndarray | None = None) -> tuple[list, list, list]:
-    """The spanning tree of the pairs between rows in left and others (None: of all pairs), by Borůvka rounds over one matrix.
+    """The spanning tree of the pairs between rows in left and others (None: of all pairs), by Borůvka rounds over matrices of products.
 
-    The matrix is rough: it tells which pairs may be the shortest ones out of a component; those are measured exactly and
+    They are rough: they tell which pairs may be the shortest ones out of a component; those are measured exactly and
     ordered by (length, ends). Rows that are not finite have no edge.
     """
     good = np.flatnonzero(np.isfinite(points).all(1))
@@ -108,17 +108,19 @@ def forest_of(keys: list, points: np.ndarray, core: np.ndarray, left: np.ndarray
     rough, floor = (moved / scale).astype(np.float32), ((core / scale) ** 2).astype(np.float32)
     squares = (rough * rough).sum(1)
     slack = np.float32(8 * (points.shape[1] + 8) * 2.0**-24)
-    table = rough[sides[0]] @ rough[sides[1]].T
-    table *= -2
-    table += squares[sides[0]][:, None]
-    table += squares[sides[1]]
-    np.maximum(table, 0, out=table)
-    if core.any():
-        np.maximum(table, floor[sides[0]][:, None], out=table)
-        np.maximum(table, floor[sides[1]], out=table)
-    views = [(sides[0], sides[1], table)]
-    if left is not None:
-        views.append((sides[1], sides[0], np.ascontiguousarray(table.T)))
+
+    def lengths(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        table = rough[mine] @ rough[theirs].T
+        table *= -2
+        table += squares[mine][:, None]
+        table += squares[theirs]
+        np.maximum(table, 0, out=table)
+        if core.any():
+            np.maximum(table, floor[mine][:, None], out=table)
+            np.maximum(table, floor[theirs], out=table)
+        return table
+
+    views = [(mine, theirs, lengths(mine, theirs)) for mine, theirs in ([sides] if left is None else [sides, sides[::-1]])]
     names, near, least = np.arange(n), np.arange(n), np.full(n, np.inf, np.float32)
 
     def outside(mine: np.ndarray, theirs: np.ndarray, table: np.ndarray, some: np.ndarray) -> np.ndarray:
