@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from gazetta.functions import vectors as V
+
 #: Character references that are resolved without Python; the ampersand comes last.
 COMMON_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&reg;": "®", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
 
@@ -35,14 +37,17 @@ _CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 SLICE, SLICE_BYTES = 256, 1 << 20
 
 
-def slices(parts: Iterator[pa.Array]) -> Iterator[pd.Series]:
+def pieces(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The rows of Arrow batches, a slice at a time: the objects that a worker holds follow the slice and not the batch."""
     for a in parts:
         rows = max(1, min(SLICE, SLICE_BYTES * len(a) // max(1, a.nbytes)))
-        for at in range(0, len(a), rows):
-            yield a.slice(at, rows).to_pandas()
-        if not len(a):
-            yield a.to_pandas()
+        for at in range(0, max(1, len(a)), rows):
+            yield a.slice(at, rows)
+
+
+def slices(parts: Iterator[pa.Array]) -> Iterator[pd.Series]:
+    for a in pieces(parts):
+        yield a.to_pandas()
 
 
 @F.arrow_udf(StringType())
@@ -225,7 +230,7 @@ def embedding_text(title: Column, content: Column, tags: Column | None = None, e
     """Title, content (cut at size characters, with "..."), "Topics: ..." and "Entities: ...", joined by spaces."""
 
     def some(c: Column) -> Column:
-        return F.when(F.length(c) > 0, c)
+        return V.let(c, lambda x: F.when(F.length(x) > 0, x))
 
     def listed(name: str, values: Column | None) -> Column:
         if values is None:
@@ -233,4 +238,4 @@ def embedding_text(title: Column, content: Column, tags: Column | None = None, e
         kept = F.transform(F.filter(values, lambda x: F.length(x) > 0), _plain)
         return F.when(F.size(kept) > 0, F.concat(F.lit(f"{name}: "), F.concat_ws(" ", kept)))
 
-    return F.concat_ws(" ", some(_plain(title)), some(snippet(_plain(content), size)), listed("Topics", tags), listed("Entities", entities))
+    return F.concat_ws(" ", some(_plain(title)), some(V.let(_plain(content), lambda x: snippet(x, size))), listed("Topics", tags), listed("Entities", entities))

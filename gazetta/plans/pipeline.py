@@ -37,11 +37,14 @@ def translate(df: DataFrame, title: str = "title", body: str = "content", make=m
         out = out.withColumns({f"__{c}": models.tried(F.when(need, F.col(c)), make, "translate", "string") for c in (title, body)})
         out = tagging.with_error(out, *[F.when(need, F.col(f"__{c}.error")) for c in (title, body)])
 
-    def of(c: str) -> Column:
-        new = F.coalesce(F.col(f"__{c}.value"), F.col(c)) if errors else models.translation(F.col(c), make)
+    else:
+        out = out.withColumn("__new", models.apply_all([F.col(title), F.col(body)], make, "translate", "string"))
+
+    def of(c: str, at: int) -> Column:
+        new = F.coalesce(F.col(f"__{c}.value"), F.col(c)) if errors else F.get("__new", F.lit(at))
         return F.when(need, new).otherwise(F.col(c))
 
-    out = out.withColumns({"title_translated": of(title), "content_translated": of(body)}).drop(f"__{title}", f"__{body}")
+    out = out.withColumns({"title_translated": of(title, 0), "content_translated": of(body, 1)}).drop(f"__{title}", f"__{body}", "__new")
     status = F.when(~need, "not_needed").when(F.col("content_translated") == F.col(body), "failed").otherwise("translated")
     return out.withColumns({"cleaned_text": T.clean_text(F.col("content_translated")), "translation_status": status})
 
@@ -58,7 +61,8 @@ def embed(df: DataFrame, size: int = models.DIMENSION, make: Callable[[], models
         out = df.withColumns({name: models.tried(c, make, "embed", "array<double>") for name, c in texts.items()})
         out = tagging.with_error(out, *[F.col(f"{name}.error") for name in texts]).withColumns({name: F.col(f"{name}.value") for name in texts})
     else:
-        out = df.withColumns({name: models.embedding(c, make) for name, c in texts.items()})
+        both = df.withColumn("__all", models.apply_all(list(texts.values()), make, "embed", "array<double>"))
+        out = both.withColumns({name: F.get("__all", F.lit(i)) for i, name in enumerate(texts)}).drop("__all")
     has = lambda c: F.size(c) > 0
     mixed = V.blend(F.col("__t"), F.when(has("tags"), F.col("__g")), F.when(has("entities"), F.col("__e")))
     return out.withColumn("embedding", mixed).drop("__t", "__g", "__e")

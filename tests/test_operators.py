@@ -365,3 +365,17 @@ def test_tfidf_counts_pairs_of_frequent_words_only(spark, monkeypatch):
             assert abs(got[i, t] - x / math.sqrt(sum(y * y for (j, _), y in rows.items() if j == i))) < 1e-9
     # the first call: of three words and their pairs, not of every pair
     assert kept[2].count() < sum(map(len, counts)) / 4
+
+
+def test_articles_pass_four_workers(spark, small):
+    """Translation, references, entities and embeddings: one worker each, whatever number of columns goes through."""
+    plan = queries.article_pipeline(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 4
+
+
+def test_several_columns_through_one_plug_in(spark):
+    df = spark.createDataFrame([(i, f"a {i}", None if i % 3 else f"b {i}") for i in range(700)], "id long, x string, y string").coalesce(1)
+    make = lambda: models.HashEmbedder(8)
+    both = df.select("x", "y", models.apply_all([F.col("x"), F.col("y")], make, "embed", "array<double>").alias("v"), models.embedding(F.col("x"), make).alias("vx"), models.embedding(F.col("y"), make).alias("vy"))
+    rows = both.collect()
+    assert len(rows) == 700 and all(r.v == [r.vx, r.vy] for r in rows)
