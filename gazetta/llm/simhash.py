@@ -180,7 +180,8 @@ def links(distinct: DataFrame, threshold: int = DIFFERING) -> DataFrame:
     spread = distinct.select("fp").mapInArrow(copies, _ANCHORED).select("anchor", F.col("fp").alias("b"))
     # A copy meets its partner at the partner's home: a pair is seen from both ends, and the smaller one's home keeps it.
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return homes.join(spread, (homes["anchor"] == spread["anchor"]) & near).select("a", "b")
+    # always by a shuffle: Spark sizes both sides by distinct's rows and not by their copies, so it may broadcast over a hundred times what it allows
+    return homes.hint("merge").join(spread, (homes["anchor"] == spread["anchor"]) & near).select("a", "b")
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gazetta.llm import decontam, linededup, quality, queries, simhash, toxicity
-from gazetta.llm.common import table
+from gazetta.llm.common import materialize, table
 from tests.llm.conftest import ROWS
 from tests.llm.test_texts import plain_words
 
@@ -96,6 +96,14 @@ def test_links_lose_none_and_chains_meet(spark):
     assert {v: labels[v] for v in labels} == {ids[f]: want_labels[ids[f]] for f in linked}
 
 
+def test_copies_are_not_broadcast(spark):
+    # Spark sizes the copies by the fingerprints that they are made of, here a few KB
+    df = materialize(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    plan = simhash.links(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in random.Random(1).sample(range(300), 300)], "a long, b long")
     assert {x.label for x in simhash.components(edges).collect()} == {0}
