@@ -3,7 +3,8 @@
 All lines of all documents form one sequence of line ids, in order of document id; gid is a line's place in it. The
 suffix ranks of that sequence are found by prefix doubling: the rank class of the 2 ** (k + 1) lines from a place is
 given by the classes of its two halves, and is named by its first place. Places whose class has one member leave, so
-the work follows the repeated lines.
+the work follows the repeated lines. Joins are always by a shuffle: the files of these tables, by which Spark sizes them, are
+a small part of their rows in memory.
 
 A run that occurs before (a maximal repeat) is deleted if it has more than min_words words. The intervals of suffixes
 that share such a prefix are found without a sequential scan: from each place, the fewest lines that have more than
@@ -77,9 +78,9 @@ def _level(ranks: DataFrame, k: int) -> DataFrame:
     """Ranks of runs of 2 ** (k + 1) lines from those of 2 ** k: gid, last gid of the document, name."""
     step = 1 << k
     right = ranks.select((F.col("gid") - step).alias("__g"), F.col("name").alias("__right"), F.col("last").alias("__last"))
-    pairs = materialize(ranks.join(right, (F.col("gid") == F.col("__g")) & (F.col("last") == F.col("__last"))).select("gid", "last", F.col("name").alias("__left"), "__right"))
+    pairs = materialize(ranks.join(right.hint("merge"), (F.col("gid") == F.col("__g")) & (F.col("last") == F.col("__last"))).select("gid", "last", F.col("name").alias("__left"), "__right"))
     named = _classes(pairs, ["__left", "__right"]).select(F.col("__left").alias("__a"), F.col("__right").alias("__b"), "name")
-    return materialize(pairs.join(named, (F.col("__left") == F.col("__a")) & (F.col("__right") == F.col("__b"))).select("gid", "last", "name"))
+    return materialize(pairs.join(named.hint("merge"), (F.col("__left") == F.col("__a")) & (F.col("__right") == F.col("__b"))).select("gid", "last", "name"))
 
 
 def repeats(lines: DataFrame, min_words: int) -> DataFrame:
@@ -89,7 +90,7 @@ def repeats(lines: DataFrame, min_words: int) -> DataFrame:
     first = _classes(lines.select("gid", "h1", "h2"), ["h1", "h2"]).withColumnsRenamed({"h1": "__a", "h2": "__b"})
     ranks = materialize(
         lines.select("gid", "h1", "h2", (F.col("gid") - F.col("pos") + F.col("n") - 1).alias("last"))
-        .join(first, (F.col("h1") == F.col("__a")) & (F.col("h2") == F.col("__b")))
+        .join(first.hint("merge"), (F.col("h1") == F.col("__a")) & (F.col("h2") == F.col("__b")))
         .select("gid", "last", "name")
     )
     windows = None
@@ -99,8 +100,8 @@ def repeats(lines: DataFrame, min_words: int) -> DataFrame:
         mine = ahead.unionByName(back).where((F.col("size") >= 1 << k) & (F.col("size") < 2 << k))
         left = ranks.select(F.col("gid").alias("__g"), F.col("name").alias("__left"))
         right = ranks.select(F.col("gid").alias("__h"), F.col("name").alias("__right"))
-        both = mine.join(left, F.col("gid") == F.col("__g")).drop("__g")
-        both = both.join(right, F.col("gid") + F.col("size") - (1 << k) == F.col("__h")).drop("__h") if k else both.withColumn("__right", F.col("__left"))
+        both = mine.join(left.hint("merge"), F.col("gid") == F.col("__g")).drop("__g")
+        both = both.join(right.hint("merge"), F.col("gid") + F.col("size") - (1 << k) == F.col("__h")).drop("__h") if k else both.withColumn("__right", F.col("__left"))
         windows = both if windows is None else windows.unionByName(both)
         if k + 1 < levels:
             ranks = _level(ranks, k)
@@ -108,7 +109,7 @@ def repeats(lines: DataFrame, min_words: int) -> DataFrame:
     windows = materialize(windows)
     named = _classes(windows, ["size", "__left", "__right"]).withColumnsRenamed({"size": "__s", "__left": "__a", "__right": "__b"})
     same = (F.col("size") == F.col("__s")) & (F.col("__left") == F.col("__a")) & (F.col("__right") == F.col("__b"))
-    late = windows.join(named, same).where("gid > name").select(*_KEY, "pos", (F.col("pos") + F.col("size") - 1).alias("end"))
+    late = windows.join(named.hint("merge"), same).where("gid > name").select(*_KEY, "pos", (F.col("pos") + F.col("size") - 1).alias("end"))
     return materialize(late)
 
 
@@ -119,9 +120,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     reach = late.groupBy(*_KEY, "pos").agg(F.max("end").alias("end"))
     touched = late.select(*[F.col(c).alias(f"_{c}") for c in _KEY]).distinct()
     match = F.col("__id").eqNullSafe(F.col("___id")) & (F.col("__k1") == F.col("___k1")) & (F.col("__k2") == F.col("___k2"))
-    rows = lines.select(*_KEY, "pos").join(touched, match, "left_semi")
+    rows = lines.select(*_KEY, "pos").join(touched.hint("merge"), match, "left_semi")
     ends = reach.select(*[F.col(c).alias(f"_{c}") for c in _KEY], F.col("pos").alias("__p"), "end")
-    rows = rows.join(ends, match & (F.col("pos") == F.col("__p")), "left").select(*_KEY, "pos", "end")
+    rows = rows.join(ends.hint("merge"), match & (F.col("pos") == F.col("__p")), "left").select(*_KEY, "pos", "end")
     far = F.max("end").over(Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     flags = rows.withColumn("kept", F.coalesce(far < F.col("pos"), F.lit(True))).groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "kept"))).alias("__flags"))
     flags = materialize(flags.select(*[F.col(c).alias(f"_{c}") for c in _KEY], F.transform("__flags", lambda x: x["kept"]).alias("__kept")))

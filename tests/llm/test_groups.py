@@ -244,6 +244,19 @@ def test_line_dedup_odd_rows(odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_broadcasts_nothing(spark, small, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df)
+
+    monkeypatch.setattr(linededup, "materialize", seen)
+    out = linededup.dedup_lines(materialize(table(spark, small, "documents")))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_line_dedup_is_native(odd):
     plan = linededup.dedup_lines(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
