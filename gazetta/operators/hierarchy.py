@@ -2,23 +2,28 @@
 
 1. Core distances: blocks of rows meet (`blocks.block_join`), each cell keeps the least distances of its rows.
    With samples 1 there is nothing to do: no pair is nearer than either's nearest row.
-2. Spanning tree of mutual reachability. A cell has the pairs between two blocks, or within one, and gives their spanning
-   tree; an edge of the whole tree that is a pair of a cell is in that cell's tree, as no cycle of the cell has it as its longest.
-   So the trees of all cells are a sparse graph that holds the whole tree, which is found by Borůvka rounds: every component takes its
+2. Spanning tree of mutual reachability. First each block's own tree, then for each two blocks the edges between them that are in
+   the tree of their rows; an edge of the whole tree is in the tree of any rows that hold it, but for ties. A pair can
+   only be in a tree if it is shorter than the longest edge between its ends in some other tree of the same rows. So a cell begins with its
+   blocks' trees and a few pairs between them; their rows stand in a line in which any two are joined at the greatest gap between
+   them (`lined`), and one comparison of a matrix product with these lengths leaves few pairs, which are measured exactly (`joined`).
+   All cells' edges are a sparse graph that holds a shortest tree, which is found by Borůvka rounds: every component takes its
    shortest edge out, components that are joined get one name by pointer jumping, and of the edges between two components the
-   shortest stays. Edges are ordered by (length, ends), so the tree is one and no round makes a cycle.
+   shortest stays; no more than BAND edges are finished in one task. Edges are ordered by (length, ends), so no round makes a cycle.
 3. Condensed tree. The edges come in order of their length, BAND at a time, and a band is one task: it merges the
    components that its edges join, from what is left of the bands before. A component keeps its size and the
    cluster that it is, with the sum of the rates at which its rows left it and the best that the clusters below are worth; so mass
    and choice are known when it merges with another cluster, and rows are written out as soon as they leave. What is held at
    once follows the band. Edges of one length merge what they join at once (but where a band ends among them).
-4. Each row's cluster is the highest chosen one above the one it left, found by pointer doubling over the clusters.
+4. Each row's cluster is the highest chosen one above the one it left, found by pointer doubling over the clusters, or in one
+   task if they are no more than BAND.
 
 Cells compare all pairs of rows once for each of 1 and 2, in products of matrices; the rest follows the number of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -33,8 +38,14 @@ from gazetta.operators import blocks as B
 from gazetta.operators import relational as R
 from gazetta.scratch import materialize
 
-#: Rows of a block; edges that are merged in one task; pairs that are measured exactly at once.
+#: Rows of a block for core distances; edges that are merged in one task; pairs that are measured exactly at once.
 BLOCK, BAND, PAIRS = 4096, 500_000, 1 << 15
+#: Rows of a block for trees: at most, and at least where that leaves fewer than SPLIT blocks. Rows of a block's smallest parts.
+WIDEST, NARROWEST, SPLIT, LEAF = 16_384, 2_048, 16, 1_024
+#: Rows and columns of a product in a cell; of so many rows one is measured against all others first.
+TILE, SAMPLED = (256, 4096), 32
+#: Tasks for all cells at most.
+CELLS = 4_096
 #: The rate at which rows at distance 0 leave.
 FASTEST = 1e12
 
@@ -171,20 +182,206 @@ def forest_of(keys: list, points: np.ndarray, core: np.ndarray, left: np.ndarray
         names = to[names]
 
 
-def cell_trees(points: DataFrame, size: int, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """Edges a, b, w (a < b) of the trees of each block and of each pair of blocks, and the number of blocks. points: k, v, core."""
-    n = B.count_of(points.count(), block)
+def lined(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of some edges on rows 0 to n - 1 are in their shortest forest (of equal ones the first), the rows in a line, and the gap behind each.
+
+    Two rows are joined at the greatest gap between them (inf: never), as whole lines are put behind one another.
+    """
+    up, size, tail, behind, gap = list(range(n)), [1] * n, list(range(n)), [-1] * n, [np.inf] * n
+    kept = []
+    order = np.argsort(w, kind="stable")
+    for k, x, y, length in zip(order.tolist(), a[order].tolist(), b[order].tolist(), w[order].tolist(), strict=True):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x == y:
+            continue
+        # a line begins with the row that names it; the longer one comes first
+        if size[x] < size[y]:
+            x, y = y, x
+        up[y] = x
+        size[x] += size[y]
+        behind[tail[x]], gap[tail[x]] = y, length
+        tail[x] = tail[y]
+        kept.append(k)
+    line = []
+    for x in range(n):
+        if up[x] == x:
+            while x >= 0:
+                line.append(x)
+                x = behind[x]
+    line = np.array(line, np.int64)
+    return np.array(kept, np.int64), line, np.array(gap)[line]
+
+
+def reach_of(line_gaps: np.ndarray, first: int, last: int) -> np.ndarray:
+    """By place in a line: at which length, at most, it is joined with each of the places from first to last."""
+    within = line_gaps[first:last].max(initial=0.0)
+    out = np.full(len(line_gaps), within)
+    out[last + 1 :] = np.maximum(within, np.maximum.accumulate(line_gaps[last:-1]))
+    out[:first] = np.maximum(within, np.maximum.accumulate(line_gaps[:first][::-1])[::-1])
+    return out
+
+
+class Between:
+    """The greatest gap between any two places of a line, from the greatest of each 1, 2, 4, ... gaps."""
+
+    def __init__(self, gaps: np.ndarray):
+        self.most = [gaps]
+        while (half := 1 << (len(self.most) - 1)) * 2 <= len(gaps):
+            wider = self.most[-1].copy()
+            wider[:-half] = np.maximum(wider[:-half], self.most[-1][half:])
+            self.most.append(wider)
+        self.most = np.stack(self.most)
+
+    def __call__(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of places p and q, which differ."""
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        k = np.frexp(q - p)[1] - 1
+        return np.maximum(self.most[k, p], self.most[k, q - (1 << k)])
+
+
+def joined(points: np.ndarray, core: np.ndarray, m: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest tree of rows, all finite, given the edges a, b, w of the trees of the first m and of the others.
+
+    Returns its edges and the line and gaps of `lined`; edges between the two sides have the first side's row first.
+    """
+    n = len(points)
+    if not 0 < m < n:
+        kept, line, gaps = lined(n, a, b, w)
+        return a[kept], b[kept], w[kept], line, gaps
+    moved = points - points.mean(0)
+    scale = np.sqrt((moved * moved).sum(1).max()) or 1.0
+    rough = (moved / scale).astype(np.float32)
+    squares, ones = (rough * rough).sum(1)[:, None], np.ones((n, 1), np.float32)
+    # the product of a row of either is a squared distance
+    ours, theirs = np.hstack([-2 * rough[:m], squares[:m], ones[:m]]), np.hstack([rough, ones, squares])
+    slack = np.float32(8 * (points.shape[1] + 8) * 2.0**-24)
+
+    def lengths(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        parts = [np.maximum(np.maximum(B.distances(points[u[k : k + PAIRS]], points[v[k : k + PAIRS]]), core[u[k : k + PAIRS]]), core[v[k : k + PAIRS]]) for k in range(0, len(u), PAIRS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def rough_limit(bound: np.ndarray) -> np.ndarray:
+        """What the product of a pair within bound is at most."""
+        limit = (bound / scale) ** 2
+        return (limit + slack * (1 + limit)).astype(np.float32)
+
+    # the nearest ones of some rows, so that most ways between the sides are short
+    some = np.arange(0, m, SAMPLED)
+    nearest = np.concatenate([m + (ours[some[k : k + 64]] @ theirs[m:].T).argmin(1) for k in range(0, len(some), 64)])
+    a, b, w = np.concatenate([a, some]), np.concatenate([b, nearest]), np.concatenate([w, lengths(some, nearest)])
+    waiting, found, many = np.ones(m, bool), [], 0
+
+    def settle() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal a, b, w, many
+        a, b, w = (np.concatenate([x, *(f[i] for f in found)]) for i, x in enumerate((a, b, w)))
+        found.clear()
+        kept, line, gaps = lined(n, a, b, w)
+        a, b, w, many = a[kept], b[kept], w[kept], 0
+        return line, gaps
+
+    while True:
+        line, gaps = settle()
+        mine = np.flatnonzero((line < m) & waiting[np.minimum(line, m - 1)])
+        if not len(mine):
+            return a, b, w, line, gaps
+        between = Between(gaps)
+        places = np.flatnonzero(line >= m)
+        columns = line[places]
+        sorted_theirs = theirs[columns]
+        for at in range(0, len(mine), TILE[0]):
+            spots = mine[at : at + TILE[0]]
+            rows = line[spots]
+            waiting[rows] = False
+            bound = reach_of(gaps, spots[0], spots[-1])[places]
+            limit = rough_limit(bound)
+            # nothing is shorter than 0, or than a core distance
+            limit[(bound <= 0) | (core[columns] >= bound)] = -1
+            for c in range(0, len(columns), TILE[1]):
+                width = min(TILE[1], len(columns) - c)
+                near = np.zeros((len(rows), -(-width // 8) * 8), bool)
+                product = ours[rows] @ sorted_theirs[c : c + width].T
+                np.less_equal(product, limit[c : c + width], out=near[:, :width])
+                # eight at once: few are near
+                eights = np.flatnonzero(near.view(np.uint64))
+                e, k = np.nonzero(near.reshape(-1, 8)[eights])
+                r, k = np.divmod(eights[e] * 8 + k, near.shape[1])
+                if len(r):
+                    u, v, most = rows[r], columns[c + k], between(spots[r], places[c + k])
+                    few = (product[r, k] <= rough_limit(most)) & (np.maximum(core[u], core[v]) < most)
+                    u, v, most = u[few], v[few], most[few]
+                    exact = lengths(u, v)
+                    short = exact < most
+                    found.append((u[short], v[short], exact[short]))
+                    many += int(short.sum())
+            if many > 2 * n:
+                break
+
+
+def block_tree(points: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest tree of rows, all finite, as `joined` gives it: trees of LEAF rows are found by themselves, and joined by twos."""
+    n = len(points)
+    if n <= LEAF:
+        a, b, w = forest_of(list(range(n)), points, core)
+        a, b, w = np.array(a, np.int64), np.array(b, np.int64), np.array(w, np.float64)
+        kept, line, gaps = lined(n, a, b, w)
+        return a[kept], b[kept], w[kept], line, gaps
+    m = n // 2
+    one, two = block_tree(points[:m], core[:m]), block_tree(points[m:], core[m:])
+    return joined(points, core, m, np.concatenate([one[0], two[0] + m]), np.concatenate([one[1], two[1] + m]), np.concatenate([one[2], two[2]]))
+
+
+def block_rows(points: DataFrame, size: int) -> DataFrame:
+    """Finite rows of points (k, v, core, __b) with their place and gap in their block's line, and one edge a, b, w (a < b) of its tree each, but for the last."""
+    key = points.schema["k"].dataType
+    schema = StructType([*points.schema.fields]).add("place", "integer").add("gap", "double").add("a", key).add("b", key).add("w", "double")
+    arrow, names = to_arrow_schema(schema), points.columns
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, at = rows.column("k").to_pylist(), np.flatnonzero(np.isfinite(m := B.matrix(rows, "v", size)).all(1))
+        at = np.array(sorted(at.tolist(), key=keys.__getitem__), np.int64)
+        a, b, w, line, gaps = block_tree(m[at], rows.column("core").to_numpy()[at])
+        keys = [keys[i] for i in at.tolist()]
+        ends = [sorted((keys[x], keys[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        rest = [None] * (len(at) - len(ends))
+        some = rows.take(pa.array(at[line]))
+        new = [range(len(at)), gaps, [x for x, _ in ends] + rest, [y for _, y in ends] + rest, w.tolist() + rest]
+        old = [some.column(c).cast(t) for c, t in zip(names, arrow.types, strict=False)]
+        return pa.Table.from_arrays([*old, *[pa.array(x, t) for x, t in zip(new, arrow.types[len(names) :], strict=True)]], schema=arrow)
+
+    return points.groupBy("__b").applyInArrow(run, schema)
+
+
+def cell_trees(points: DataFrame, size: int, block: int | None = None) -> tuple[DataFrame, int]:
+    """Edges a, b, w (a < b) of each block's tree, and those between each two blocks that are in the tree of their rows; and the number of blocks. points: k, v, core."""
+    count = points.count()
+    n = B.count_of(count, block or min(WIDEST, max(NARROWEST, -(-count // SPLIT))))
     schema = edge_schema(points.schema["k"].dataType)
     arrow = to_arrow_schema(schema)
 
     def cell(rows: pa.Table) -> pa.Table:
-        b, i, j = (rows.column(c).to_numpy() for c in ("__b", "__i", "__j"))
-        ends = forest_of(rows.column("k").to_pylist(), B.matrix(rows, "v", size), rows.column("core").to_numpy(), None if i[0] == j[0] else b == i)
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(ends, arrow.types, strict=True)], schema=arrow)
-
-    placed = B.in_blocks(points, n, "__b").withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cells = placed.select("k", "v", "core", "__b", F.least("__b", "__o").alias("__i"), F.greatest("__b", "__o").alias("__j"))
-    return cells.groupBy("__i", "__j").applyInArrow(cell, schema), n
+        side, place = (rows.column(c).to_numpy() for c in ("__b", "place"))
+        order = np.lexsort((place, side))
+        keys, gap, m = rows.column("k").to_pylist(), rows.column("gap").to_numpy()[order], int((side == side.min()).sum())
+        # a line stands for its tree: neighbours joined at their gap
+        at = np.flatnonzero(np.isfinite(gap))
+        at = at[(at != m - 1) & (at != len(gap) - 1)]
+        a, b, w = joined(B.matrix(rows, "v", size)[order], rows.column("core").to_numpy()[order], m, at, at + 1, gap[at])[:3]
+        new = (a < m) & (b >= m)
+        ends = [sorted((keys[x], keys[y])) for x, y in zip(order[a[new]].tolist(), order[b[new]].tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(([x for x, _ in ends], [y for _, y in ends], w[new]), arrow.types, strict=True)], schema=arrow)
+
+    lines = block_rows(B.in_blocks(points, n, "__b"), size)
+    if n == 1:
+        return lines.where("w is not null").select("a", "b", "w"), n
+    lines = materialize(lines)
+    spread = lines.select("k", "v", "core", "__b", "place", "gap", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__o")).where("__b <> __o")
+    cells = spread.select("k", "v", "core", "__b", "place", "gap", F.least("__b", "__o").alias("__i"), F.greatest("__b", "__o").alias("__j"))
+    # cells are few and dear, so each may be a task
+    cells = cells.repartition(min(n * (n - 1) // 2, CELLS), "__i", "__j")
+    return lines.where("w is not null").select("a", "b", "w").unionByName(cells.groupBy("__i", "__j").applyInArrow(cell, schema)), n
 
 
 def edge_schema(key: DataType) -> StructType:
@@ -206,13 +403,35 @@ def named(hooks: DataFrame) -> DataFrame:
             return state
 
 
-def spanning_tree(edges: DataFrame) -> DataFrame:
-    """The shortest spanning forest of a graph by Borůvka rounds. edges: a, b, w with a < b; repeated edges count once."""
+def rest_of_tree(state: DataFrame, schema: StructType) -> DataFrame:
+    """The shortest forest of edges x, y, w, a, b between components x and y, in one task: a, b, w."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        table = table.sort_by([(c, "ascending") for c in ("w", "a", "b")])
+        number: dict = {}
+        x, y = (np.array([number.setdefault(c, len(number)) for c in table.column(s).to_pylist()], np.int64) for s in ("x", "y"))
+        kept, _, _ = lined(len(number), x, y, table.column("w").to_numpy())
+        some = table.take(pa.array(kept)).select(["a", "b", "w"]).cast(arrow)
+        yield from some.to_batches()
+
+    return state.select("x", "y", "w", "a", "b").coalesce(1).mapInArrow(run, schema)
+
+
+def spanning_tree(edges: DataFrame, band: int = BAND) -> DataFrame:
+    """The shortest spanning forest of a graph by Borůvka rounds, until band edges or less are left. edges: a, b, w with a < b; repeated edges count once."""
     key = edges.schema["a"].dataType
     found = None
     # x and y name the components of an edge's ends
     state = materialize(edges.groupBy("a", "b").agg(F.min("w").alias("w")).select(F.col("a").alias("x"), F.col("b").alias("y"), "w", "a", "b"))
-    while state.limit(1).count():
+    while left := state.count():
+        if left <= band:
+            taken = rest_of_tree(state, edge_schema(key))
+            found = taken if found is None else found.unionByName(taken)
+            break
         order = F.struct("w", "a", "b")
         sides = state.select(F.col("x").alias("c"), F.col("y").alias("to"), order.alias("e")).unionByName(state.select(F.col("y").alias("c"), F.col("x").alias("to"), order.alias("e")))
         best = materialize(sides.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", "m.to", "m.e"))
@@ -356,8 +575,25 @@ def condensed(tree: DataFrame, least: int, band: int = BAND) -> tuple[DataFrame,
     return every.where("what = 'row'").select("k", "c"), every.where("what = 'cluster'").select("c", "above", "chosen")
 
 
-def chosen_above(clusters: DataFrame) -> DataFrame:
-    """c and best: the highest chosen cluster from c upwards (null: none), by pointer doubling."""
+def chosen_in_one(clusters: DataFrame) -> DataFrame:
+    """chosen_above of few clusters, in one task. A cluster has a lower number than the one above."""
+    schema = StructType().add("c", "long").add("best", "long")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {None: None}
+        for c, above, chosen in sorted((x for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)), reverse=True):
+            best[c] = c if best[above] is None and chosen else best[above]
+        del best[None]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(best), list(best.values()))], schema=arrow)
+
+    return clusters.select("c", "above", "chosen").coalesce(1).mapInArrow(run, schema)
+
+
+def chosen_above(clusters: DataFrame, band: int = BAND) -> DataFrame:
+    """c and best: the highest chosen cluster from c upwards (null: none), by pointer doubling; band clusters or less in one task."""
+    if clusters.count() <= band:
+        return materialize(chosen_in_one(clusters))
     state = materialize(clusters.select("c", F.when(F.col("chosen"), F.col("c")).alias("best"), "above"))
     while state.where("above is not null").limit(1).count():
         up = state.select(F.col("c").alias("__c"), F.col("best").alias("__best"), F.col("above").alias("__above"))
@@ -366,7 +602,7 @@ def chosen_above(clusters: DataFrame) -> DataFrame:
     return state.select("c", "best")
 
 
-def hdbscan(df: DataFrame, key: str, vector: str, size: int, least: int = 2, samples: int = 1, block: int = BLOCK, band: int = BAND) -> DataFrame:
+def hdbscan(df: DataFrame, key: str, vector: str, size: int, least: int = 2, samples: int = 1, block: int | None = None, band: int = BAND) -> DataFrame:
     """key and cluster of every row with a vector of size elements, over the whole table; -1 is noise.
 
     Clusters are numbered by their least key. key is unique and not null. Fewer rows than least: all are noise.
@@ -374,13 +610,13 @@ def hdbscan(df: DataFrame, key: str, vector: str, size: int, least: int = 2, sam
     # floats are moved as floats, which is half the shuffle; cells reckon in doubles
     whole = F.col(vector) if df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull) else V.doubles(F.col(vector))
     points = materialize(B.usable(df, vector, size).select(F.col(key).alias("k"), whole.alias("v")))
-    cored = points.withColumn("core", F.lit(0.0)) if samples == 1 else materialize(core_distances(points, size, samples, block))
+    cored = points.withColumn("core", F.lit(0.0)) if samples == 1 else materialize(core_distances(points, size, samples, block or BLOCK))
     edges, blocks = cell_trees(cored, size, block)
     tree = materialize(edges)
     if blocks > 1:
-        tree = spanning_tree(tree)
+        tree = spanning_tree(tree, band)
     rows, clusters = condensed(tree, max(2, least), band)
-    found = materialize(rows.join(chosen_above(clusters), "c").where("best is not null").select("k", "best"))
+    found = materialize(rows.join(chosen_above(clusters, band), "c").where("best is not null").select("k", "best"))
     firsts = found.groupBy("best").agg(F.min("k").alias("first"))
     numbers = R.numbered(firsts, [F.col("first")], name="cluster").select(F.col("best").alias("__b"), "cluster")
     labels = found.join(numbers, F.col("best") == F.col("__b")).select("k", "cluster")

@@ -161,6 +161,86 @@ def test_cells_of_one_blocks_rows_and_of_two(spark):
     assert blocks == 5 and len({(r.a, r.b) for r in rows}) == len(rows)
 
 
+def test_cells_give_only_edges_between_their_blocks(spark):
+    """Of two blocks' rows the edges within a block are known, and were once given by each cell again."""
+    points = np.random.default_rng(6).normal(size=(90, 3))
+    edges, blocks = H.cell_trees(frame(spark, points).select(F.col("id").alias("k"), "v", F.lit(0.0).alias("core")), 3, 20)
+    assert blocks == 5 and edges.count() < 90 + (blocks - 1) * 90 // 2 + 45
+
+
+def tree_lengths(points, core):
+    return np.sort(H.tree_of(list(range(len(points))), points, core)[2])
+
+
+@pytest.mark.parametrize("kind", ["normal", "copies", "lattice", "far", "near", "clusters", "one"])
+def test_block_trees_are_the_shortest(kind, monkeypatch):
+    monkeypatch.setattr(H, "LEAF", 20)
+    monkeypatch.setattr(H, "TILE", (16, 24))
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(230, 6))
+    if kind == "copies":
+        points[40:190] = points[3]
+    if kind == "lattice":
+        points = rng.integers(0, 3, (230, 6)).astype(float)
+    if kind == "far":
+        points = points * 1e-4 + 1000
+    if kind == "near":
+        points[115:] = points[:115] + rng.normal(size=(115, 6)) * 1e-9
+    if kind == "clusters":
+        points = points * 0.01 + rng.normal(size=(5, 6))[rng.integers(0, 5, 230)]
+    if kind == "one":
+        points[:] = 1.0
+    for core in (np.zeros(230), rng.random(230) * 3):
+        a, b, w, line, gaps = H.block_tree(points, core)
+        assert np.array_equal(np.sort(w), tree_lengths(points, core))
+        for i in range(229):
+            assert w[i] == max(np.linalg.norm(points[a[i]] - points[b[i]]), core[a[i]], core[b[i]]) or np.isclose(w[i], max(np.linalg.norm(points[a[i]] - points[b[i]]), core[a[i]], core[b[i]]))
+        # any two rows are joined at the greatest gap between them
+        place, reach = np.argsort(line), np.full((230, 230), np.inf)
+        np.fill_diagonal(reach, 0)
+        groups = {i: [i] for i in range(230)}
+        of = list(range(230))
+        for k in np.argsort(w, kind="stable"):
+            x, y = of[a[k]], of[b[k]]
+            reach[np.ix_(groups[x], groups[y])] = reach[np.ix_(groups[y], groups[x])] = w[k]
+            for i in groups[y]:
+                of[i] = x
+            groups[x] += groups.pop(y)
+        for i in range(0, 230, 7):
+            assert np.array_equal(H.reach_of(gaps, place[i], place[i])[place], reach[i])
+        assert (H.reach_of(gaps, 50, 65) >= reach[line[50:66]][:, line].max(0)).all()
+
+
+def test_few_pairs_are_measured(monkeypatch):
+    points = np.random.default_rng(3).normal(size=(4000, 16))
+    measured = []
+    plain = B.distances
+    sides = [H.block_tree(x, np.zeros(2000)) for x in (points[:2000], points[2000:])]
+    monkeypatch.setattr(B, "distances", lambda m, p: measured.append(len(m)) or plain(m, p))
+    H.joined(points, np.zeros(4000), 2000, *[np.concatenate([sides[0][i], sides[1][i] + 2000 * (i < 2)]) for i in range(3)])
+    assert sum(measured) < 4000 * 40  # of four million
+
+
+def test_rows_that_are_not_finite_are_noise(spark):
+    points = np.random.default_rng(9).normal(size=(60, 3))
+    want = labels_of(H.hdbscan(frame(spark, points), "id", "v", 3, 2, 1, 15))
+    odd = np.concatenate([points, [[np.nan, 0, 0], [np.inf, 1, 1], [np.nan, 0, 0]]])
+    assert labels_of(H.hdbscan(frame(spark, odd), "id", "v", 3, 2, 1, 15)) == [*want, -1, -1, -1]
+    assert set(labels_of(H.hdbscan(frame(spark, odd[60:]), "id", "v", 3))) == {-1}
+
+
+def test_trees_and_choices_in_one_task_or_by_rounds(spark):
+    rng = np.random.default_rng(12)
+    edges = {(int(a), int(b)): float(w) for a, b, w in zip(*np.sort(rng.integers(0, 60, (2, 400)), 0), rng.integers(0, 40, 400)) if a < b}
+    df = spark.createDataFrame([(*e, w) for e, w in edges.items()], "a long, b long, w double")
+    one, many, some = (sorted(tuple(r) for r in H.spanning_tree(df, band).collect()) for band in (1000, 0, 40))
+    assert one == many == some and len(one) == len({x for e in edges for x in e}) - 1
+    above = [(c, c + int(rng.integers(1, 9)) if c < 90 else None, bool(rng.random() < 0.3)) for c in range(91)]
+    above = [(c, min(up, 90) if up is not None else None, ok) for c, up, ok in above]
+    clusters = spark.createDataFrame(above, "c long, above long, chosen boolean")
+    assert sorted(map(tuple, H.chosen_above(clusters, 1000).collect())) == sorted(map(tuple, H.chosen_above(clusters, 0).collect()))
+
+
 def test_few_and_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
